@@ -5,12 +5,14 @@ from __future__ import annotations
 from .bpe import op6_bpe
 from .secrets import op3_secrets
 from .sharding import op9_sharding
+from .simhash import op5_simhash
 from .url_filter import OP10_SQL, op10_url_filter
 from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op2_warc": op2_warc,
     "op3_secrets": op3_secrets,
+    "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
     "op9_sharding": op9_sharding,
     "op10_url_filter": op10_url_filter,
