@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows in an Arrow batch. Texts may be long, so batches are kept small to bound a Python worker's memory.
 BATCH_ROWS = 256
@@ -64,6 +65,24 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: st
     return df.mapInArrow(run, schema)
 
 
+def append_columns(df: DataFrame, inputs: list[str], make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
+    """All columns of ``df`` and those of ``schema``, which a row function (see map_rows) gives for the ``inputs``."""
+    small_batches(df.sparkSession)
+    more = _arrow_schema(df.sparkSession, schema)
+    at = [df.columns.index(c) for c in inputs]
+    out_type = T.StructType([*df.schema.fields, *df.sparkSession.createDataFrame([], schema).schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for b in batches:
+            rows = [fn(*r) for r in zip(*(b.column(i).to_pylist() for i in at), strict=True)]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * len(more)
+            made = [pa.array(list(c), t) for c, t in zip(cols, more.types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *more.names])
+
+    return df.mapInArrow(run, out_type)
+
+
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
