@@ -14,8 +14,9 @@ from collections.abc import Callable, Iterator
 
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import append_columns, map_rows
 
 KINDS = ("assign", "access", "hex")
 _DETECT = (
@@ -228,6 +229,15 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), _row, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long")
 
 
+def mask_secrets(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose texts have a mark in place of every secret. A column n_chars gets
+    the new text's length. Null texts stay null."""
+    name = "factgraph_masked_text"
+    out = append_columns(docs, ["text"], lambda: lambda text: (redact(text),), f"{name} string")
+    changed = {"text": F.col(name)} | ({"n_chars": F.when(F.col(name).eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length(name))} if "n_chars" in docs.columns else {})
+    return out.select(*(changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(c) for c in docs.columns))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text of ``documents``."""
     return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))

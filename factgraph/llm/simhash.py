@@ -1,7 +1,7 @@
 """SimHash near-duplicates: fingerprints linked through a Gray-order hierarchical index.
 
-Fingerprints within ``RADIUS`` bits agree in at least one of RADIUS + 1 blocks, so each is dealt to the RADIUS + 1 groups
-named by its blocks: that block is the pattern which a group's top node holds in common. In a group the fingerprints are
+Fingerprints within ``radius`` bits agree in at least one of radius + 1 blocks (or in ``agree`` of radius + agree), so each is
+dealt to the groups named by its blocks: these are the pattern which a group's top node holds in common. In a group the fingerprints are
 sorted by Gray rank, so that neighbours share many bits; runs of them form the nodes of a tree, each of which keeps the bits
 that all below it share and that its parent doesn't. A search adds up its differences on the way down and leaves a whole
 node as soon as they pass the radius. It also leaves nodes whose fingerprints are all linked to it already, so a large group
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -150,37 +151,46 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, fp) rows of whole groups to (a, b) links."""
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not got:
-        return
-    block, code = np.concatenate([g[0] for g in got]).astype(np.int64), np.concatenate([g[1] for g in got]).view(np.uint64)
-    bits = 64 // (RADIUS + 1)
-    key = (code >> (block.astype(np.uint64) * np.uint64(bits))) & np.uint64((1 << bits) - 1)
-    name = (block.astype(np.uint64) << np.uint64(bits)) | key
-    order = np.lexsort((gray_rank(code), name))
-    name, code = name[order], code[order]
-    _, group, size = np.unique(name, return_inverse=True, return_counts=True)
-    several = size[group] > 1
-    code, group = code[several], np.unique(group[several], return_inverse=True)[1]
-    if not len(code):
-        return
-    label = GrayIndex(code, group).link()
-    moved = np.flatnonzero(label != np.arange(len(label)))
-    for at in range(0, len(moved), 1 << 16):
-        part = moved[at : at + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(code[part].view(np.int64)), pa.array(code[label[part]].view(np.int64))], names=["a", "b"])
-
-
-def link_fingerprints(fps: DataFrame) -> DataFrame:
-    """(a, b) links of distinct fingerprints (column fp) that differ in RADIUS bits or fewer; enough of them that the
-    components are those of all links. A task holds the fingerprints of its groups, 8 bytes each."""
-    bits = 64 // (RADIUS + 1)
+def block_masks(radius: int, agree: int) -> list[int]:
+    """Bit masks of all choices of ``agree`` out of radius + agree blocks of the 64 bits: fingerprints that differ in
+    ``radius`` bits or fewer are equal under one of them at least."""
+    edges = np.linspace(0, 64, radius + agree + 1).astype(int)
+    blocks = [(1 << int(high)) - (1 << int(low)) for low, high in zip(edges[:-1], edges[1:], strict=True)]
+    return [sum(c) for c in combinations(blocks, agree)]
+
+
+def _linker(radius: int):
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(choice, key, fp) rows of whole groups to (a, b) links."""
+        got = [tuple(b.column(i).to_numpy() for i in range(3)) for b in batches]
+        if not got:
+            return
+        choice, key, code = (np.concatenate([g[i] for g in got]) for i in range(3))
+        code = code.view(np.uint64)
+        order = np.lexsort((gray_rank(code), key, choice))
+        choice, key, code = choice[order], key[order], code[order]
+        group = np.cumsum(np.r_[False, (choice[1:] != choice[:-1]) | (key[1:] != key[:-1])])
+        several = np.bincount(group)[group] > 1
+        code, group = code[several], np.unique(group[several], return_inverse=True)[1]
+        if not len(code):
+            return
+        label = GrayIndex(code, group).link(radius)
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        for at in range(0, len(moved), 1 << 16):
+            part = moved[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(code[part].view(np.int64)), pa.array(code[label[part]].view(np.int64))], names=["a", "b"])
+
+    return links
+
+
+def link_fingerprints(fps: DataFrame, radius: int = RADIUS, agree: int = 1) -> DataFrame:
+    """(a, b) links of distinct fingerprints (column fp) that differ in ``radius`` bits or fewer; enough of them that the
+    components are those of all links. ``agree`` only changes the number and size of the groups. A task holds the
+    fingerprints of its groups, 8 bytes each."""
     small_batches(fps.sparkSession)
-    dealt = fps.select(F.explode(F.array(*(F.lit(i) for i in range(RADIUS + 1)))).alias("block"), "fp")
-    key = F.expr(f"(shiftrightunsigned(fp, block * {bits})) & {(1 << bits) - 1}")
-    return dealt.withColumn("key", key).repartition("block", "key").select("block", "fp").mapInArrow(_links, "a long, b long")
+    masks = [signed(m) for m in block_masks(radius, agree)]
+    dealt = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("choice", "key"))
+    return dealt.repartition("choice", "key").select("choice", "key", "fp").mapInArrow(_linker(radius), "a long, b long")
 
 
 def near_duplicate_components(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
