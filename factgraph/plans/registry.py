@@ -2,5 +2,406 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factgraph.operators import facts, graph, text
+from factgraph.sources import tables
+from factgraph.sources.tables import SEQ, with_relations
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+EMAIL, CARD, LICENSE = r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", r"(^|[^0-9])[0-9]{16}($|[^0-9])", r"Licensed under|All rights reserved"
+RULES = [("email", EMAIL), ("card", CARD), ("license", LICENSE), ("credential", r"(?i)(password|secret|token|api_?key) *[:=]")]
+GLOBS = ["docs/src1/**", "**/*7.txt"]
+CATALOG = [("steel", "metal"), ("brass", "metal"), ("red", "colour"), ("blue", "colour"), ("widget", "tool"), ("gear", "machine"), ("part", "generic")]
+_SEQ = ", ".join(SEQ)
+_SEQ4 = ", ".join(SEQ[:-1])
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) under its own name, with its SQL."""
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _rel(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    return [getattr(tables, n)(spark, sf_dir) for n in names]
+
+
+@query("SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host, count(*) AS n FROM pages WHERE url LIKE '%://%' GROUP BY 1")
+def url_host_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by host."""
+    return tables.table(spark, sf_dir, "pages").select(text.host_of(F.col("url")).alias("host")).filter("host is not null").groupBy("host").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT key, vendor, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, vendor) AS k FROM (
+  SELECT key, vendor, CASE WHEN vendor IN ('tiontion.example.net') THEN 0.92 WHEN length(vendor) >= 3 THEN 0.78 ELSE 0.62 END AS score FROM (
+    SELECT regexp_extract(h, '[^.]+$') AS key, regexp_replace(h, '^(api|www|m)\\.', '') AS vendor FROM (
+      SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS h FROM pages WHERE url LIKE '%://%')))) WHERE k = 1""")
+def vendor_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best vendor host per top-level domain."""
+    host = tables.table(spark, sf_dir, "pages").select(text.host_of(F.col("url")).alias("h")).filter("h is not null").distinct()
+    rows = host.select(F.regexp_extract("h", "[^.]+$", 0).alias("key"), text.vendor_of(F.col("h")).alias("vendor"))
+    return text.best_vendor(rows, ["tiontion.example.net"]).select("key", "vendor", "score")
+
+
+@query(with_relations("files") + "SELECT string_split(path, '/')[2] AS folder, count(*) AS files, sum(size)::BIGINT AS bytes FROM files GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
+def files_top_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three largest folders."""
+    return text.top_folders(tables.files(spark, sf_dir))
+
+
+@query(with_relations("files") + "SELECT path, size FROM files WHERE NOT (path LIKE 'docs/src1/%' OR path LIKE '%7.txt')")
+def files_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that no exclusion names."""
+    return tables.files(spark, sf_dir).filter(~text.excluded(F.col("path"), GLOBS)).select("path", "size")
+
+
+@query(with_relations("files") + "SELECT path, running FROM (SELECT path, (sum(size) OVER (ORDER BY path))::BIGINT AS running FROM files) WHERE running <= 500000")
+def files_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by path while their sizes add up to the budget."""
+    return text.running_total(tables.files(spark, sf_dir).select("path", "size"), "path", "size").filter("running <= 500000").select("path", "running")
+
+
+_HITS = f"""hits AS (SELECT path, language, line_no, line, r.name AS rule FROM lines, (VALUES {", ".join(f"('{n}', '{p}')" for n, p in RULES)}) r(name, pattern) WHERE regexp_matches(line, r.pattern))"""
+_WITH_HITS = with_relations("files", "lines").rstrip() + ", " + _HITS + "\n"
+
+
+@query(_WITH_HITS + "SELECT rule, language, count(*) AS n FROM hits GROUP BY ALL")
+def line_signal_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by matching rule and language."""
+    return text.signal_hits(tables.lines(spark, sf_dir), RULES).groupBy("rule", "language").agg(F.count("*").alias("n"))
+
+
+@query(with_relations("files", "lines") + f"""SELECT path, line_no FROM (SELECT *, max(regexp_matches(line, '{LICENSE}')::INT) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM lines)
+WHERE regexp_matches(line, '{EMAIL}') AND near = 1""")
+def line_context_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with an address near a license line."""
+    return text.near_context(tables.lines(spark, sf_dir), F.col("line").rlike(EMAIL), F.col("line").rlike(LICENSE)).select("path", "line_no")
+
+
+@query(_WITH_HITS + "SELECT path, array_to_string(list_sort(list_distinct(list(rule))), ',') AS labels, count(*) AS n FROM hits GROUP BY path")
+def signal_labels_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of each file."""
+    hits = text.signal_hits(tables.lines(spark, sf_dir), RULES)
+    return hits.groupBy("path").agg(F.array_join(F.sort_array(F.collect_set("rule")), ",").alias("labels"), F.count("*").alias("n"))
+
+
+@query(with_relations("flows") + """SELECT id, CASE WHEN bool_or(o) AND bool_or(NOT o) THEN 'bidirectional' WHEN bool_or(o) THEN 'outbound' ELSE 'inbound' END AS direction
+FROM (SELECT source AS id, true AS o FROM flows UNION ALL SELECT target, false FROM flows) GROUP BY id""")
+def direction_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The direction of each vertex."""
+    flows = tables.flows(spark, sf_dir)
+    ends = flows.select(F.col("source").alias("id"), F.lit(True).alias("o")).unionByName(flows.select(F.col("target").alias("id"), F.lit(False).alias("o")))
+    return ends.groupBy("id").agg(text.direction(F.col("o"), ~F.col("o")).alias("direction"))
+
+
+@query(_WITH_HITS + "SELECT path, count(DISTINCT rule) AS owners FROM hits GROUP BY path HAVING count(DISTINCT rule) >= 2")
+def multi_owner_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that two rules or more match."""
+    return text.signal_hits(tables.lines(spark, sf_dir), RULES).groupBy("path").agg(F.countDistinct("rule").alias("owners")).filter("owners >= 2")
+
+
+@query(_WITH_HITS + "SELECT path, line_no, rule, substr(sha256(path || ':' || line_no || ':' || rule), 1, 12) AS id FROM hits WHERE rule IN ('email', 'card')")
+def pii_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of personal data, by id and without the value."""
+    id_ = F.substring(F.sha2(F.concat_ws(":", "path", F.col("line_no").cast("string"), "rule"), 256), 1, 12)
+    return text.signal_hits(tables.lines(spark, sf_dir), RULES[:2]).select("path", "line_no", "rule", id_.alias("id"))
+
+
+@query(f"SELECT conv_id, count(*) AS turns, sum(regexp_matches(text, '{EMAIL}')::INT)::BIGINT AS findings FROM conversations GROUP BY conv_id HAVING sum(regexp_matches(text, '{EMAIL}')::INT) > 0")
+def session_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with addresses."""
+    rows = tables.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("text").rlike(EMAIL)).alias("findings"))
+    return rows.filter("findings > 0")
+
+
+@query(with_relations("files", "lines") + f"SELECT path, line_no, substr(line, 1, 160) AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_no) AS k FROM lines WHERE regexp_matches(line, '{EMAIL}')) WHERE k = 1")
+def first_match_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line with an address in each file."""
+    return text.first_match(tables.lines(spark, sf_dir), EMAIL)
+
+
+@query(with_relations("files", "lines") + f"SELECT path, line_no FROM lines WHERE regexp_matches(line, '{LICENSE}') ORDER BY path, line_no LIMIT 50")
+def search_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifty license lines."""
+    return text.search(tables.lines(spark, sf_dir), LICENSE)
+
+
+def _first(relation: str, keys: str, order: str, where: str = "true") -> str:
+    return f"SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS k FROM {relation} WHERE {where}) WHERE k = 1"
+
+
+@query(with_relations("flows") + f"SELECT id, source, target, type, confidence FROM ({_first('flows', 'source, target', f'confidence DESC, {_SEQ}')})")
+def flow_dedupe_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One flow per directed pair."""
+    return graph.dedupe_directed(tables.flows(spark, sf_dir), SEQ).select("id", "source", "target", "type", "confidence")
+
+
+@query(with_relations("flows") + f"SELECT id, source, target, type, confidence FROM ({_first('flows', 'least(source, target), greatest(source, target)', f'confidence DESC, {_SEQ}')})")
+def flow_dedupe_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One flow per unordered pair."""
+    return graph.dedupe_undirected(tables.flows(spark, sf_dir), SEQ).select("id", "source", "target", "type", "confidence")
+
+
+@query(with_relations("flows") + f"SELECT id, source, target, type FROM ({_first('flows', 'source, target, type', _SEQ, 'source <> target')})")
+def flow_dedupe_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One flow per directed pair and type."""
+    return graph.dedupe_typed(tables.flows(spark, sf_dir), SEQ).select("id", "source", "target", "type")
+
+
+_ENDS = "ends AS (SELECT f.*, s.type AS source_type, s.section AS source_section, t.type AS target_type, t.section AS target_section FROM flows f JOIN components s ON f.source = s.id JOIN components t ON f.target = t.id)"
+_WITH_ENDS = with_relations("components", "flows").rstrip() + ", " + _ENDS + "\n"
+#: Flows of which every fifth is turned round, so that some go from assets to actors.
+_TURNED = "flows AS (SELECT * REPLACE (CASE WHEN hop = 0 AND l_orderkey % 5 = 0 THEN 'p' || l_partkey ELSE source END AS source, CASE WHEN hop = 0 AND l_orderkey % 5 = 0 THEN source ELSE target END AS target) FROM flows0)"
+
+
+def _turned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = (F.col("hop") == 0) & (F.col("l_orderkey") % 5 == 0)
+    part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    return tables.flows(spark, sf_dir).withColumns({"source": F.when(turn, part).otherwise(F.col("source")), "target": F.when(turn, F.col("source")).otherwise(F.col("target"))})
+
+
+@query(with_relations("components", "flows").rstrip().replace("flows AS (", "flows0 AS (") + ", " + _TURNED + ", " + _ENDS + """
+SELECT id, CASE WHEN a THEN target ELSE source END AS source, CASE WHEN a THEN source ELSE target END AS target, type, CASE WHEN a THEN greatest(confidence, 0.8) ELSE confidence END AS confidence
+FROM (SELECT *, source_type = 'asset' AND target_type = 'actor' AS a FROM ends)""")
+def flow_reverse_actor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows from assets to actors turned round."""
+    return graph.reverse_to_actors(_turned(spark, sf_dir), tables.components(spark, sf_dir))
+
+
+@query(_WITH_ENDS + "SELECT CASE WHEN target_type = 'third_party' THEN 'outbound_third_party' WHEN source_type = 'actor' THEN 'from_actor' ELSE 'internal' END AS crossing, type, count(*) AS n FROM ends GROUP BY ALL")
+def flow_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows by crossing and type."""
+    components, flows = _rel(spark, sf_dir, "components", "flows")
+    return graph.classify(flows, components).groupBy("crossing", "type").agg(F.count("*").alias("n"))
+
+
+@query(_WITH_ENDS + "SELECT source_section, target_section, count(*) AS n FROM ends WHERE source_type <> 'actor' AND target_type <> 'actor' AND source_section <> target_section GROUP BY ALL")
+def cross_section_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows between sections."""
+    components, flows = _rel(spark, sf_dir, "components", "flows")
+    return graph.cross_section(flows, components).groupBy("source_section", "target_section").agg(F.count("*").alias("n"))
+
+
+_HUBLESS = "hubless AS (SELECT DISTINCT section FROM components WHERE section NOT IN (SELECT section FROM components WHERE type = 'asset' AND sub_type = 'application'))"
+
+
+@query(with_relations("components").rstrip() + ", " + _HUBLESS + "\nSELECT section FROM hubless")
+def section_missing_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections without a hub."""
+    return graph.sections_without_hub(tables.components(spark, sf_dir))
+
+
+@query(with_relations("components").rstrip() + ", " + _HUBLESS + """
+SELECT coalesce(id, 'hub:' || section) AS id, section, CASE WHEN id IS NULL THEN 'inserted' ELSE 'promoted' END AS how FROM hubless LEFT JOIN (
+  SELECT section, min(id) AS id FROM components WHERE type = 'asset' AND sub_type IN ('application', 'service', 'api', '') GROUP BY section) USING (section)""")
+def section_hub_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hub for each section without one."""
+    return graph.insert_hubs(tables.components(spark, sf_dir))
+
+
+_ORPHANS = "orphans AS (SELECT id, section FROM components WHERE type = 'third_party' AND id NOT IN (SELECT target FROM ends WHERE target_type = 'third_party' AND source_section = target_section))"
+
+
+@query(_WITH_ENDS.rstrip() + ", " + _ORPHANS + "\nSELECT source, o.id AS target, 0.6::DOUBLE AS confidence FROM orphans o JOIN (SELECT section, min(id) AS source FROM components WHERE type = 'asset' AND sub_type = 'application' GROUP BY section) USING (section)")
+def orphan_third_party(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New flows from hubs to orphans."""
+    return graph.attach_orphans(*_rel(spark, sf_dir, "components", "flows"))
+
+
+@query(_WITH_ENDS.rstrip() + ", " + _ORPHANS + ", " + _HUBLESS + """
+SELECT 'isolated_component' AS code, id AS subject FROM components WHERE id NOT IN (SELECT source FROM flows UNION SELECT target FROM flows)
+UNION ALL SELECT 'section_without_hub', section FROM hubless UNION ALL SELECT 'orphan_third_party', id FROM orphans""")
+def red_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connectivity problems by code."""
+    return graph.red_flags(*_rel(spark, sf_dir, "components", "flows"))
+
+
+@query(with_relations("components", "flows") + """, seeds AS (SELECT id AS seed FROM components WHERE type = 'third_party' AND section = 'NATION_1' OR id = 's1')
+SELECT DISTINCT * FROM (SELECT source AS seed, target AS id FROM flows UNION ALL SELECT target, source FROM flows) WHERE seed IN (SELECT seed FROM seeds) UNION SELECT seed, seed FROM seeds""")
+def one_hop_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices one step from some suppliers."""
+    components, flows = _rel(spark, sf_dir, "components", "flows")
+    return graph.neighbourhood(flows, components.filter("type = 'third_party' and section = 'NATION_1' or id = 's1'").select(F.col("id").alias("seed")))
+
+
+_GONE = "gone AS (SELECT id FROM components WHERE type = 'third_party' AND substr(id, length(id), 1) = '7')"
+_HUB = "hub AS (SELECT section, min(id) AS hub FROM components WHERE type = 'asset' AND sub_type = 'application' GROUP BY section)"
+
+
+@query(with_relations("components", "flows").rstrip() + f", {_GONE}, {_HUB}, moved AS (SELECT c.id, hub FROM components c JOIN gone USING (id) LEFT JOIN hub USING (section)),\n" + f"""kept AS (SELECT f.* REPLACE (coalesce(hub, source) AS source) FROM flows f LEFT JOIN moved m ON f.source = m.id WHERE f.target NOT IN (SELECT id FROM gone) AND (m.id IS NULL OR hub IS NOT NULL))
+SELECT id, source, target, type FROM ({_first('kept', 'source, target, type', _SEQ, 'source <> target')})""")
+def vertex_drop_rewire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows after some suppliers are removed."""
+    components, flows = _rel(spark, sf_dir, "components", "flows")
+    gone = components.filter("type = 'third_party' and id like '%7'").select("id")
+    return graph.drop_and_rewire(flows, components, gone, SEQ).select("id", "source", "target", "type")
+
+
+@query(with_relations("components", "flows").rstrip() + ", m AS (SELECT id, 'lambda:' || section AS into_ FROM components WHERE type = 'third_party'), kept AS (SELECT f.* REPLACE (coalesce(a.into_, source) AS source, coalesce(b.into_, target) AS target) FROM flows f LEFT JOIN m a ON f.source = a.id LEFT JOIN m b ON f.target = b.id)\n"
+       + f"SELECT id, source, target, type FROM ({_first('kept', 'source, target, type', _SEQ, 'source <> target')})")
+def vertex_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows after all suppliers of a section become one vertex."""
+    components, flows = _rel(spark, sf_dir, "components", "flows")
+    mapping = components.filter("type = 'third_party'").select("id", F.concat(F.lit("lambda:"), "section").alias("into"))
+    return graph.contract(flows, mapping, SEQ).select("id", "source", "target", "type")
+
+
+@query(with_relations("components") + "SELECT id, key, 'cmp_' || substr(sha256(key), 1, 12) AS stable_id FROM (SELECT id, section || '|' || type || '|' || sub_type || CASE WHEN k > 1 THEN ' #' || k ELSE '' END AS key FROM (SELECT *, row_number() OVER (PARTITION BY section, type, sub_type ORDER BY id) AS k FROM components))")
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identity keys and ids of components."""
+    return facts.stable_ids(tables.components(spark, sf_dir), ["section", "type", "sub_type"], ["id"], "cmp_").select("id", "key", "stable_id")
+
+
+@query(with_relations("kg_links") + "SELECT target, basis, n FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY n DESC, basis) AS k FROM (SELECT target, basis, count(*) AS n FROM kg_links GROUP BY ALL)) WHERE k = 1")
+def group_mode_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commonest basis per target."""
+    return facts.mode_by(tables.kg_links(spark, sf_dir), "target", "basis")
+
+
+@query(with_relations("kg_links") + f"SELECT seq, type, source, target FROM ({_first('kg_links', 'type, source, target', 'seq')}) WHERE type <> 'part_of'")
+def relation_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first link of each kind, without structural ones."""
+    return facts.dedupe_relations(tables.kg_links(spark, sf_dir), ["part_of"]).select("seq", "type", "source", "target")
+
+
+@query(with_relations("kg_links") + "SELECT source, array_to_string(list_sort(list_distinct(list(target))), ',') AS handled_by FROM kg_links WHERE type <> 'part_of' GROUP BY source")
+def handled_by_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct targets of each source."""
+    links = tables.kg_links(spark, sf_dir).filter("type <> 'part_of'")
+    return links.groupBy("source").agg(F.array_join(F.sort_array(F.collect_set("target")), ",").alias("handled_by"))
+
+
+@query(with_relations("components") + "SELECT id, slot, value FROM (UNPIVOT (SELECT id, name, type, sub_type, section FROM components) ON name, type, sub_type, section INTO NAME slot VALUE value) WHERE value <> ''")
+def slot_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of components as rows."""
+    return facts.unpivot_slots(tables.components(spark, sf_dir), "id", ["name", "type", "sub_type", "section"])
+
+
+@query(_WITH_HITS.rstrip() + """, blocks AS (SELECT path, b || ':' || path AS id, b * 3 + 1 AS first, b * 3 + 3 AS last FROM (SELECT DISTINCT path, (line_no - 1) // 3 AS b FROM lines))
+SELECT DISTINCT h.rule || ':' || h.line_no || ':' || h.path AS inner_id, b.id AS outer_id FROM hits h JOIN blocks b ON h.path = b.path AND h.line_no >= b.first AND h.line_no <= b.last""")
+def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences within blocks of three lines."""
+    lines = tables.lines(spark, sf_dir)
+    hits = text.signal_hits(lines, RULES)
+    inner = hits.select("path", F.concat_ws(":", "rule", F.col("line_no").cast("string"), "path").alias("id"), F.col("line_no").alias("first"), F.col("line_no").alias("last"))
+    blocks = lines.select("path", F.floor((F.col("line_no") - 1) / 3).alias("b")).distinct()
+    return facts.contained(inner, blocks.select("path", F.concat_ws(":", F.col("b").cast("string"), "path").alias("id"), (F.col("b") * 3 + 1).alias("first"), (F.col("b") * 3 + 3).alias("last")))
+
+
+_GONE_AT = "gone AS (SELECT fact_id, min({'ts': ts, 'seq': seq}) AS gone FROM answers WHERE action = 'remove' GROUP BY fact_id)"
+
+
+@query(with_relations("answers") + "SELECT fact_id, property, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY fact_id, property ORDER BY ts DESC, seq DESC) AS k FROM answers WHERE action = 'set' AND fact_id NOT IN (SELECT fact_id FROM answers WHERE action = 'remove')) WHERE k = 1")
+def answers_lww(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of facts that stay."""
+    return facts.apply_answers(tables.answers(spark, sf_dir))
+
+
+@query(with_relations("answers").rstrip() + ", " + _GONE_AT + "\nSELECT seq, a.fact_id, CASE WHEN gone IS NULL OR {'ts': ts, 'seq': seq} < gone THEN 'applied' WHEN seq = gone.seq THEN 'removes' ELSE 'ignored' END AS status FROM answers a LEFT JOIN gone USING (fact_id)")
+def answers_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each answer."""
+    return facts.answer_status(tables.answers(spark, sf_dir))
+
+
+@query(with_relations("answers") + "SELECT seq, lag(seq) OVER (PARTITION BY fact_id, property ORDER BY ts, seq) AS previous FROM answers WHERE action = 'set'")
+def answers_supersedes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of answers."""
+    return facts.supersedes(tables.answers(spark, sf_dir))
+
+
+_RANK = "round(score + evidence / 100 - CASE WHEN insert_if_missing THEN 0.02 ELSE 0.0 END::DOUBLE + CASE WHEN kind = 'provider' THEN 0.25 ELSE 0.0 END::DOUBLE, 4)"
+
+
+@query(with_relations("proposals") + f"SELECT id, target, rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY rank DESC, {_SEQ4}) AS k FROM (SELECT *, {_RANK} AS rank FROM proposals)) WHERE k = 1")
+def proposal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best proposal per target."""
+    return facts.rank_proposals(tables.proposals(spark, sf_dir), SEQ[:-1]).select("id", "target", "rank")
+
+
+@query(with_relations("proposals") + f""", gated AS (SELECT *, CASE WHEN score < 0.72 THEN 'low_score' WHEN evidence < 2 THEN 'missing_evidence' END AS reason FROM proposals),
+best AS (SELECT target, id AS best FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY {_RANK} DESC, {_SEQ4}) AS k FROM gated WHERE reason IS NULL) WHERE k = 1)
+SELECT kind || ':' || coalesce(reason, CASE WHEN id = best THEN 'applied' ELSE 'target_taken' END) AS outcome, count(*) AS n FROM gated LEFT JOIN best USING (target) GROUP BY 1""")
+def rejection_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of proposals by source."""
+    gated = facts.gate_proposals(tables.proposals(spark, sf_dir), SEQ[:-1])
+    return gated.groupBy(F.concat_ws(":", "kind", "outcome").alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT agent, n, (17 // count(*) OVER () + CASE WHEN row_number() OVER (ORDER BY agent) <= 17 % count(*) OVER () THEN 1 ELSE 0 END)::BIGINT AS share FROM (SELECT event_type AS agent, count(*) AS n FROM events GROUP BY 1)")
+def queue_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places per agent."""
+    return facts.queue_plan(tables.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("agent")).agg(F.count("*").alias("n")), 17)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, running FROM (SELECT *, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS running FROM lineitem) WHERE running <= 60")
+def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each order while their quantities stay within the budget."""
+    rows = facts.budget_prefix(tables.table(spark, sf_dir, "lineitem"), "l_orderkey", [F.col(c) for c in SEQ[1:-1]], "l_quantity", 60)
+    return rows.select(*SEQ[:-1], "running")
+
+
+@query(with_relations("components") + "SELECT alias, min(id) AS id FROM (SELECT lower(name) AS alias, id FROM components UNION ALL SELECT lower(section), id FROM components UNION ALL SELECT id, id FROM components) WHERE alias <> '' GROUP BY alias HAVING count(DISTINCT id) = 1")
+def alias_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aliases that name one component."""
+    aliases = tables.components(spark, sf_dir).select("id", F.explode(F.array(F.lower("name"), F.lower("section"), "id")).alias("alias"))
+    return facts.unique_aliases(aliases)
+
+
+_CATALOG = ", ".join(f"('{k}', '{v}', {i})" for i, (k, v) in enumerate(CATALOG))
+
+
+@query(f"SELECT p_partkey, p_name, arg_max(value, length(key) * 1000 - seq) AS value FROM part LEFT JOIN (VALUES {_CATALOG}) c(key, value, seq) ON contains(lower(p_name), key) GROUP BY ALL")
+def subtype_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subtypes of parts by the longest catalog key."""
+    catalog = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(CATALOG)], "key string, value string, seq int")
+    return facts.longest_match(tables.table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", catalog)
+
+
+_YEAR = "SELECT o_custkey, max(o_orderpriority) AS v FROM orders WHERE year(o_orderdate) = {} GROUP BY 1"
+
+
+@query(f"SELECT o_custkey, CASE WHEN b.v IS NULL THEN 'added' WHEN h.v IS NULL THEN 'removed' ELSE 'changed' END AS change FROM ({_YEAR.format(1996)}) b FULL JOIN ({_YEAR.format(1997)}) h USING (o_custkey) WHERE b.v IS DISTINCT FROM h.v")
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' orders of one year against the next."""
+    base, head = (tables.table(spark, sf_dir, "orders").filter(F.year("o_orderdate") == y).groupBy("o_custkey").agg(F.max("o_orderpriority").alias("v")) for y in (1996, 1997))
+    return facts.snapshot_diff(base, head, "o_custkey", "v")
+
+
+@query(f"""SELECT avg(filled) AS fill_rate, 1 - sum((conf < 0.6)::INT)::DOUBLE / greatest(count(*), 1) AS guardrail, coalesce(avg(third) FILTER (WHERE third IS NOT NULL), 1) AS third_party FROM (
+  SELECT (n_chars > 500)::INT::DOUBLE AS filled, 1 - 0.5 * toxic AS conf, CASE WHEN quality = 1 THEN regexp_matches(text, '{EMAIL}')::INT::DOUBLE END AS third FROM documents JOIN labels USING (doc_id))""")
+def eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill rate, guardrail and completeness of labelled documents."""
+    rows = tables.table(spark, sf_dir, "documents").join(tables.table(spark, sf_dir, "labels"), "doc_id")
+    third = F.when(F.col("quality") == 1, F.col("text").rlike(EMAIL).cast("double"))
+    low = F.count_if(1 - F.col("toxic") * F.lit(0.5) < 0.6)
+    return rows.agg(F.avg((F.col("n_chars") > 500).cast("double")).alias("fill_rate"), (1 - low.cast("double") / F.greatest(F.count("*"), F.lit(1))).alias("guardrail"), F.coalesce(F.avg(third), F.lit(1.0)).alias("third_party"))
+
+
+@query("""SELECT role AS agent, sum(tokens)::BIGINT AS tokens, CASE WHEN count(*) = count(price) THEN round(sum(tokens * price::DOUBLE / 1e6), 6) END AS cost FROM (
+  SELECT role, CASE WHEN turn % 2 = 0 THEN 'small' ELSE 'large' END AS model, ceil(length(coalesce(text, '')) / 4)::BIGINT AS tokens FROM conversations) LEFT JOIN (VALUES ('small', 0.5), ('large', 4.0)) p(model, price) USING (model) GROUP BY role""")
+def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and cost of conversations by role."""
+    usage = tables.table(spark, sf_dir, "conversations").select(F.col("role").alias("agent"), F.when(F.col("turn") % 2 == 0, "small").otherwise("large").alias("model"), F.ceil(F.length(F.coalesce("text", F.lit(""))) / 4).alias("tokens"))
+    return facts.token_cost(usage, spark.createDataFrame([("small", 0.5), ("large", 4.0)], "model string, price double"))
+
+
+@query(with_relations("components") + """SELECT id, sha1('{"id":"' || id || '","name":"' || name || '","type":"' || type || '"}') AS hash FROM components""")
+def canonical_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content hashes of components as JSON with sorted keys."""
+    return tables.components(spark, sf_dir).select("id", F.sha1(F.to_json(F.struct("id", "name", "type")).cast("binary")).alias("hash"))
+
+
+@query()
+def upload_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next-fit packs of each folder's files."""
+    files = tables.files(spark, sf_dir).withColumn("folder", F.split("path", "/")[1])
+    return text.pack(files, "folder", 70_000, 200)
