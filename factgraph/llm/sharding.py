@@ -25,7 +25,7 @@ HEAVY_SHARE = 1 / 64
 def pack(loads: np.ndarray, n_bins: int) -> np.ndarray:
     """The bin of each row of ``loads`` (items x dimensions). Items go heaviest first to the bin with the highest dot
     product of the item's vector and the bin's residual capacity, both as shares of a bin; ties go to the lower bin."""
-    loads = np.asarray(loads, dtype=float).reshape(len(loads), -1)
+    loads = np.asarray(loads, dtype=float)
     capacity = np.maximum(loads.sum(axis=0) / n_bins, 1e-12)
     shares = loads / capacity
     residual = np.ones((n_bins, shares.shape[1]))

@@ -30,8 +30,10 @@ VOCABULARY = 50_000
 #: Training texts that must hold a word or prefix before it gets a weight of its own.
 LEAST_TEXTS = 3
 PREFIXES = (2, 3, 4, 5, 6)
+#: Texts with which a word counts for its prefixes at most, so that one frequent word doesn't speak for all like it.
+WORD_TEXTS = 3.0
 #: Pseudo-counts of a prior.
-PRIOR = 2.0
+PRIOR = 10.0
 #: Taken from every token's log-odds, which are cut to [LOW, HIGH] before.
 DRIFT, LOW, HIGH = 0.6, -2.0, 5.0
 THRESHOLD = 0.3
@@ -142,19 +144,19 @@ class Scorer:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) rows to (feature, clean texts, toxic texts), summed over parts of the partition."""
+    """(text, toxic) rows to (word, clean texts, toxic texts), summed over parts of the partition."""
     sums: tuple[Counter, Counter] = (Counter(), Counter())
 
     def flush() -> pa.RecordBatch:
         names = list(sums[0].keys() | sums[1].keys())
-        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[0][n] for n in names], pa.int64()), pa.array([sums[1][n] for n in names], pa.int64())], names=["feature", "clean", "toxic"])
+        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[0][n] for n in names], pa.int64()), pa.array([sums[1][n] for n in names], pa.int64())], names=["word", "clean", "toxic"])
         sums[0].clear()
         sums[1].clear()
         return out
 
     for b in batches:
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            sums[toxic].update({f for w in set(words_of(text)) for f in features(w)})
+            sums[toxic].update(set(words_of(text)))
             if len(sums[0]) + len(sums[1]) > _FLUSH:
                 yield flush()
     yield flush()
@@ -182,7 +184,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, vocabulary:
     if len(n) < 2:
         return Model({}, coefficients=(20.0 if 1 in n else -20.0, 0.0, 0.0))
     scale = {y: sum(n.values()) / 2 / n[y] for y in n}
-    counts = train.mapInArrow(_count, "feature string, clean long, toxic long").groupBy("feature").agg((F.sum("clean") * scale[0]).alias("clean"), (F.sum("toxic") * scale[1]).alias("toxic"), F.sum(F.col("clean") + F.col("toxic")).alias("n"))
+    words = train.mapInArrow(_count, "word string, clean long, toxic long").groupBy("word").agg(*((F.sum(c) * scale[y]).alias(c) for y, c in enumerate(("clean", "toxic"))), F.sum(F.col("clean") + F.col("toxic")).alias("n"))
+    part = F.least(F.lit(1.0), F.lit(WORD_TEXTS) / F.col("n"))
+    stems = F.explode(F.expr(f"transform(filter(array{PREFIXES}, k -> k < length(word)), k -> concat(substring(word, 1, k), '*'))"))
+    prefixes = words.select(stems.alias("feature"), *((F.col(c) * part).alias(c) for c in ("clean", "toxic", "n"))).groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "n")))
+    counts = prefixes.unionByName(words.withColumnRenamed("word", "feature"))
     evidence = F.abs(F.col("toxic") - F.col("clean")) / F.sqrt(F.col("toxic") + F.col("clean"))
     best = counts.filter(F.col("n") >= LEAST_TEXTS).orderBy(evidence.desc(), "feature").limit(vocabulary).collect()
     model = Model(posterior_log_odds({r["feature"]: (r["clean"], r["toxic"]) for r in best}))

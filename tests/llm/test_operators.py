@@ -1,0 +1,319 @@
+"""The ten operators against brute force on small tables, with nulls, empty texts, ties, repeated rows and extra columns."""
+
+import base64
+import gzip
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+
+from factgraph.llm import ann, bpe, decontamination, dedup, html_text, secrets, sharding, simhash, toxicity, url_filter, warc
+from factgraph.llm.registry import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, score double, h long, root string, n_chars long"
+
+
+def docs_of(spark, texts, start=0):
+    """Documents with columns whose names clash with the operators' own."""
+    return spark.createDataFrame([(start + i, t, 0.5, 7, "x", None) for i, t in enumerate(texts)], DOCS)
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    got, want = QUERIES[name](spark, SF), con.sql(ORACLE_SQL[name])
+    columns = sorted(got.columns)
+    at = [want.columns.index(c) for c in columns]
+    assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=repr)
+
+
+# 1
+
+
+def leaks(texts, items):
+    split = {i: [decontamination.shingles(p) for p in decontamination.split_item(t)] for i, t in items if t and decontamination.words_of(t)}
+    out = set()
+    for d, text in texts:
+        words = decontamination.words_of(text)
+        for i, parts in split.items():
+            runs = {n: {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} for p in parts for n in {len(s) for s in p}}
+            if all(not p or sum(s in runs[len(s)] for s in p) >= 0.8 * len(p) for p in parts):
+                out.add((d, i))
+    return out
+
+
+def test_leaks_match_brute_force(spark, documents):
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    text = next(t for _, t in items if len(t) > 200)
+    made = [(10_001, None), (10_002, ""), (10_003, "so " * 5000 + text + " so" * 3000), (10_004, text), (10_004, text), (10_005, " ".join(text.split()[:-12])), (10_006, text.upper())]
+    docs = spark.createDataFrame(documents + made, "doc_id long, text string")
+    bench = spark.createDataFrame([*items, items[0], (None, text), (900, None), (901, "?!"), (902, "One?")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, bench).collect()}
+    assert got == leaks(documents + made, [*items, (902, "One?")])
+    assert {10_003, 10_004, 10_006} <= {d for d, _ in got}
+    assert decontamination.find_leaks(docs, bench.limit(0)).count() == 0
+    kept = [r.doc_id for r in decontamination.drop_leaks(docs, bench).collect()]
+    assert sorted(kept) == sorted(d for d, _ in documents + made if d not in {x for x, _ in got})
+
+
+# 2
+
+
+def test_warc_round_trip(spark):
+    rows = [(3, "http://a/ x\r\n", "same"), (1, None, "same"), (1, "http://b/", "same"), (2, "u", None), (5, "u", ""), (None, "n", "same"), (7, "é", "p\r\n\r\nq"), (8, "u", "x" * 300_000)]
+    pages = spark.createDataFrame([(*r, "d") for r in rows], "page_id long, url string, html string, digest string")
+    index = warc.write_archives(pages)
+    got = warc.read_records(index).collect()
+    assert len(got) == len(rows)
+    want = {(3, "revisit", 1), (1, "response", None), (2, "response", None), (5, "revisit", 2), (None, "revisit", 1), (7, "response", None), (8, "response", None)}
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got} == want
+    by_id = {p: (h or "") for p, _, h in rows}
+    for r in got:
+        payload = by_id[r.page_id].encode()
+        assert r.payload_bytes == len(payload) and r.payload_digest == base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        assert r.record_type == "revisit" or bytes(r.payload) == payload
+    assert warc.read_records(index.filter("page_id = 7")).count() == 1
+    assert warc.read_records(warc.write_archives(pages.limit(0))).count() == 0
+
+
+# 3
+
+SECRET = 'password = "hunter2hunter2"'
+
+
+def test_base_spans_match_the_rules(documents):
+    for _, text in documents:
+        want = []
+        for kind, pattern, n, group in (("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6, 2), ("access", "AKIA[A-Z0-9]+", 20, 0), ("hex", "[0-9a-f]+", 24, 0)):
+            want += [(m.start(), m.end(), kind) for m in re.finditer(pattern, text or "") if len(m[group]) >= n]
+        assert sorted(secrets.find_base(text or "")) == sorted(want)
+
+
+@pytest.mark.parametrize("wrap", [lambda b: b, lambda b: base64.b64encode(b), lambda b: base64.b64encode(gzip.compress(b)), lambda b: b"".join(b"%%%02X" % c for c in b), lambda b: "".join(f"\\u{c:04x}" for c in b).encode(), lambda b: base64.b64encode(b"x " + base64.b64encode(zlib.compress(b)) + b" y")])
+def test_secrets_in_nested_layers(wrap):
+    text = "vorher ü " + wrap(SECRET.encode()).decode() + " nachher"
+    base, added = secrets.scan(text)
+    start, end = 9, len(text) - 8
+    assert any(k == "assign" and start <= s and e <= end for s, e, k in [*base, *added])
+    assert "hunter2" not in secrets.redact(text) and secrets.redact(text).startswith("vorher ü ")
+
+
+def test_secrets_cases(spark):
+    docs = docs_of(spark, [None, "", SECRET, SECRET, "%2525252541", "plain " * 20_000])
+    got = sorted(secrets.find_secrets(docs).collect())
+    assert [r.n_assign for r in got] == [0, 0, 1, 1, 0, 0] and got[0].spans == "" and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+    masked = {r.doc_id: r for r in secrets.mask_secrets(docs).collect()}
+    assert masked[0].text is None and masked[2].n_chars == len(masked[2].text) and masked[4].text == "%2525252541" and masked[4].n_chars is None
+    assert secrets.mask_secrets(docs.limit(0)).columns == docs.columns
+
+
+# 4
+
+
+def test_neighbours_recall(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((3000, 16)).astype(np.float32)
+    x[200:1200] = x[200]  # a third is one vector
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3001, None), (3002, [0.0] * 16), (3020, [float("nan")] * 16), (3040, [1.0]), (3060, [])]
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, score int")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert set(got) == set(range(0, 3000, 20))
+    y, hit = x.astype(float), 0
+    for q, found in got.items():
+        s = (y * y[q]).sum(axis=1)
+        want = [i for i in np.lexsort((np.arange(len(s)), -s)) if i != q][:20]
+        assert [f[0] for f in found] == list(range(1, 21)) and all(s[i] == score for _, i, score in found)
+        hit += len({f[1] for f in found} & set(want))
+    assert hit / (20 * len(got)) >= 0.9
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    assert [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(few).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
+    assert ann.nearest(few.limit(0)).count() == 0
+
+
+# 5
+
+
+def fingerprint(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    parts = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum((sum(h >> b & 1 for h in hashes) * 2 > len(hashes)) << b for b in range(64))
+
+
+def classes(nodes, linked):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in linked:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {n: find(n) for n in nodes}
+
+
+def test_simhash_matches_brute_force(spark, documents):
+    made = [(5000 + i, t) for i, t in enumerate([None, "", " \t", "one", "One", documents[0][1]])]
+    rows = documents + made + [documents[1]]
+    fp = {d: fingerprint(t) for d, t in rows}
+    ids = sorted(fp)
+    want = classes(ids, [(a, b) for i, a in enumerate(ids) for b in ids[:i] if (fp[a] ^ fp[b]).bit_count() <= 3])
+    got = simhash.near_duplicate_components(spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, component_id string")).collect()
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == sorted((d, f"{fp[d]:016x}", want[d]) for d, _ in rows)
+
+
+@pytest.mark.parametrize(("radius", "agree"), [(3, 1), (8, 2)])
+def test_gray_index_links(spark, radius, agree):
+    rng = np.random.default_rng(radius)
+    codes = {int(c) for c in rng.integers(0, 2**63, 400)}
+    for c in list(codes)[:300]:
+        for _ in range(3):
+            d = c
+            for b in rng.integers(0, 64, rng.integers(1, radius + 4)):
+                d ^= 1 << int(b)
+            codes.add(d)
+    codes = sorted(codes)
+    fps = spark.createDataFrame([(simhash.signed(c),) for c in codes], "fp long")
+    links = [(r.a & (2**64 - 1), r.b & (2**64 - 1)) for r in simhash.link_fingerprints(fps, radius, agree).collect()]
+    assert all((a ^ b).bit_count() <= radius * len(codes) for a, b in links)
+    near = [(a, b) for i, a in enumerate(codes) for b in codes[:i] if (a ^ b).bit_count() <= radius]
+    assert classes(codes, links) == classes(codes, near)
+
+
+def test_near_duplicates_leave_one_each(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(words, 200).tolist() for _ in range(12)]
+    near = [[*b[:100], "changed", *b[101:]] for b in base[:6]]
+    texts = [" ".join(t) for t in base + near + base[:3]] + [None, "", "short", "short", "other"]
+    docs = docs_of(spark, texts)
+    docs = docs.unionByName(docs.filter("doc_id = 11")).unionByName(spark.createDataFrame([(None, " ".join(base[0]), 0.5, 7, "x", None)], DOCS))
+    out = dedup.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in out.collect()) == [-1, *range(12), 21, 23, 25]
+    assert dedup.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+# 6
+
+
+def test_bpe_equals_tiktoken(spark, documents):
+    ranks = bpe.load_ranks(public_tokenizers.path(bpe.VOCABULARY))
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [t for _, t in documents[:100]] + [None, "", " ", "<|endoftext|>", "a" * 20_000, "ab" * 3000, "日本語 🎉\x00", "\n\n  x"]
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN, cache=50)
+    for t in texts:
+        ids = codec.encode(t or "")
+        assert ids == reference.encode_ordinary(t or "") and codec.decode(ids) == (t or "").encode()
+    got = sorted(bpe.round_trip(docs_of(spark, texts)).collect())
+    assert [r.decoded_sha256 for r in got] == [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
+    encoded = bpe.encode_documents(docs_of(spark, texts))
+    assert [bytes(r.decoded).decode() for r in sorted(bpe.decode_documents(encoded).collect())] == [t or "" for t in texts]
+
+
+# 7
+
+
+def test_main_text(spark):
+    tree = html_text.train()
+    page = """<html><head><title>t</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav>
+      <div class="cookie-notice">We use cookies on this site to show you things.</div><article><h1>A &amp; B</h1><p>First para<b>graph</b> is
+      here,<br>with a line break.<p>Second</p></article><aside>Related: something else entirely that is long.</aside><form><p>Your name</p></form>
+      <section id="comments"><p>I think this is a very good article indeed, thank you.</p></section><footer>&copy; us</footer></body>"""
+    assert html_text.main_text(page, tree) == "A & B First paragraph is here, with a line break. Second"
+    for broken in (None, "", "<", "<p", "<!-- x", "<script>", '<a href="x', "&", "<p>" * 2000, "</div></div>"):
+        html_text.main_text(broken, tree)
+    pages = spark.createDataFrame([(1, "u", page, "x"), (1, "u", page, "x"), (2, None, None, "x"), (None, "u", "", "x")], "page_id long, url string, html string, text string")
+    got = html_text.extract_pages(pages).collect()
+    assert [r.n_chars for r in got] == [len(r.text) for r in got] and [bool(r.text) for r in got] == [True, True, False, False]
+
+
+def test_articles_of_pages(spark):
+    for r in QUERIES["op7_html_text"](spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        inner = re.search("<article>(.*)</article>", r.html, re.S)[1]
+        assert r.text == " ".join(html_text._html.unescape(re.sub("</?(p|br|h1)>", " ", re.sub("</?b>", "", inner))).split())
+
+
+# 8
+
+
+def test_maximal_segments_match_brute_force():
+    rng = np.random.default_rng(5)
+
+    def split(s, at=0):
+        best = max(((s[i:j].sum(), -(j - i), i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=(0,))
+        if best[0] <= 1e-12:
+            return []
+        _, _, i, j = best
+        return split(s[:i], at) + [(at + i, at + j)] + split(s[j:], at + j)
+
+    for _ in range(200):
+        s = rng.normal(-0.3, 1, 14)
+        assert [x[:2] for x in toxicity.maximal_segments(s)] == split(s)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    scored = toxicity.score_documents(docs, model).join(labels, "doc_id").filter("held_out").collect()
+    pos, neg = [r.score for r in scored if r.toxic == 1], [r.score for r in scored if r.toxic == 0]
+    assert len(pos) >= 5
+    assert np.mean([(p > n) + (p == n) / 2 for p in pos for n in neg]) >= 0.85
+    made = docs_of(spark, [None, "", "fine words", "idiot moron scum trash idiot moron loser clown"])
+    got = sorted(toxicity.score_documents(made, model).collect())
+    assert [r.predicted for r in got] == [0, 0, 0, 1] and all(0 <= r.score <= 1 for r in got)
+    assert [r.doc_id for r in toxicity.drop_toxic(made, model).orderBy("doc_id").collect()] == [0, 1, 2] and toxicity.drop_toxic(made, model).columns == made.columns
+    spans = toxicity.toxic_passages(made, model).collect()
+    assert any(r.doc_id == 3 and r.start == 0 for r in spans) and {r.doc_id for r in spans} <= {2, 3}
+    none = toxicity.fit(docs, labels.limit(0))
+    assert {r.predicted for r in toxicity.score_documents(made, none).collect()} == {0}
+
+
+# 9
+
+
+def test_shards_are_balanced(spark):
+    rng = np.random.default_rng(9)
+    texts = ["same text"] * 3000 + ["x" * int(n) for n in rng.integers(0, 3000, 5000)] + [None, "", "y" * 90_000]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, "same text"), (None, "n")]
+    got = sharding.shard_documents(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, shard int")).collect()
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in rows)
+    loads, slots = Counter(), defaultdict(list)
+    for r in got:
+        text = (texts[r.doc_id] or "") if r.doc_id is not None else "n"
+        assert r["size"] == len(text.encode()) + 1 and r.text_crc32 == zlib.crc32(text.encode()) and r.law == "bytes" and r.grown_shard is None
+        loads[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert set(loads) == set(range(8)) and max(loads.values()) < 1.05 * min(loads.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+# 10
+
+
+def test_url_verdicts(spark):
+    urls = [None, "", "no scheme", "http://Example.COM/en/x?y", "http://www.example.com/en/", "http://a.net/es/q", "http://anet/es/", "x://y.net/fr/", "http://b.org/", "https://casino.org/", "http://net", "http://a.com?q", "HTTP://X.com/"]
+    got = [tuple(r)[1:] for r in sorted(url_filter.judge_urls(spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id long, url string, rule string")).collect())]
+    assert got == [
+        ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("example.com", "/en/x", "example.com/en/", "block"), ("www.example.com", "/en/", "www.example.com/en/", "allow"), ("a.net", "/es/q", "net/es/", "block"),
+        ("anet", "/es/", None, "allow"), ("y.net", "/fr/", "net/fr/", "block"), ("b.org", "/", None, "allow"), ("casino.org", "/", None, "block"), ("net", "", None, "allow"), ("a.com", "", None, "allow"), ("x.com", "/", "com/", "allow"),
+    ]
