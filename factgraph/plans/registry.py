@@ -42,7 +42,7 @@ def url_host_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT key, vendor, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, vendor) AS k FROM (
-  SELECT key, vendor, CASE WHEN vendor IN ('tiontion.example.net') THEN 0.92 WHEN length(vendor) >= 3 THEN 0.78 ELSE 0.62 END AS score FROM (
+  SELECT key, vendor, CASE WHEN vendor IN ('tiontion.example.net') THEN 0.92::DOUBLE WHEN length(vendor) >= 3 THEN 0.78 ELSE 0.62 END AS score FROM (
     SELECT regexp_extract(h, '[^.]+$') AS key, regexp_replace(h, '^(api|www|m)\\.', '') AS vendor FROM (
       SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS h FROM pages WHERE url LIKE '%://%')))) WHERE k = 1""")
 def vendor_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
