@@ -3,8 +3,8 @@
 Largest inner product becomes least distance once every vector gets one more component, sqrt(M^2 - |x|^2) with M the
 largest norm (queries get 0). A 2-stable (Gaussian) projection to PROJECTED dimensions turns a distance d into d^2 times a
 chi-square variable. So a neighbour nearer than the k-th distance found so far, d_k, has with probability CONFIDENCE a
-projected distance r with r^2 / d_k^2 under the chi-square quantile: projected neighbours are taken in order of their kd-tree
-boxes and verified on the original vectors until that test holds.
+projected distance r with r^2 / d_k^2 under the chi-square quantile: projected neighbours are taken by kd-tree boxes, nearest
+first, and verified on the original vectors until that test holds for the next box.
 
 On Spark the upper kd-tree levels, whose splits are fitted on a bounded sample, deal all vectors to cells, and each cell is
 cut into blocks of bounded size that carry the lower levels. A query first searches its own cell, which gives d_k, then
@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from .common import small_batches, stage_table
 
 PROJECTED = 8
-CONFIDENCE = 0.99
+CONFIDENCE = 0.95
 K = 20
 SEED = 20
 #: Vectors, least hashes first, on which the splits of the upper levels are fitted.
@@ -35,7 +35,9 @@ SAMPLE = 8192
 CELL_ROWS = 8192
 #: Vectors and queries of one task's group at most, by hash.
 BLOCK_ROWS, CHUNK_ROWS = 32_768, 2048
-LEAF = 64
+LEAF = 256
+#: Products of matrices, which screen, may differ from the exact scores by less than this share of M^2.
+_SLACK = 1e-9
 #: Salts over which equal vectors are spread before they are counted.
 SALTS = 64
 
@@ -109,9 +111,9 @@ def box_gaps(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
     return out
 
 
-def scores_of(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+def scores_of(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Inner products in double precision, row by row: equal vectors get equal scores wherever they stand."""
-    return (vectors * query).sum(axis=1)
+    return (vectors * queries).sum(axis=1)
 
 
 @dataclass
@@ -126,36 +128,43 @@ class Space:
 
 def search_block(space: Space, ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, known: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the (ids, scores) of its k best among ``vectors``, as far as they can enter its k best; ``known`` has
-    k-th best scores found elsewhere (minus infinity: none). Boxes are visited by distance; each visit's points that pass the
-    chi-square test are verified, and the test on the next box ends the search."""
-    projected, at = project(vectors, space.norm, space.directions), queries @ space.directions[:-1]
-    tree = KdTree(projected, LEAF)
+    k-th best scores found elsewhere (minus infinity: none). In each round every query that is still searching takes its
+    next nearest box; the queries at one box verify its points together. A query ends when the chi-square test holds for
+    its next box. ``ids`` are ascending."""
+    tree, at = KdTree(project(vectors, space.norm, space.directions), LEAF), queries @ space.directions[:-1]
+    members = [vectors[m] for m in tree.members]
     gaps = box_gaps(at, tree.low, tree.high)
-    out = []
-    for q, gap in enumerate(gaps):
-        query, reach = queries[q], float(queries[q] @ queries[q]) + space.norm**2
-        best_s, best_i, worst = np.zeros(0), np.zeros(0, np.int64), known[q]
-        order, step, width = np.argsort(gap, kind="stable"), 0, 1
-        while step < len(order):
-            bound = space.limit * max(reach - 2 * worst, 0.0) * (1 + 1e-9) + 1e-12  # infinite at first
-            leaves = order[step : step + width]
-            leaves = leaves[gap[leaves] <= bound]
-            if not len(leaves):
-                break
-            step += width
-            width = min(width * 2, 64)
-            rows = np.concatenate([tree.members[x] for x in leaves])
-            if np.isfinite(bound):
-                rows = rows[((projected[rows] - at[q]) ** 2).sum(axis=1) <= bound]
-            s = scores_of(query, vectors[rows])
-            best_s, best_i = np.r_[best_s, s], np.r_[best_i, ids[rows]]
-            keep = np.lexsort((best_i, -best_s))[:k]
-            best_s, best_i = best_s[keep], best_i[keep]
-            if len(best_s) == k:
-                worst = max(worst, best_s[-1])
-        mine = best_s >= known[q]
-        out.append((best_i[mine], best_s[mine]))
-    return out
+    order = np.argsort(gaps, axis=1, kind="stable")
+    reach = np.einsum("ij,ij->i", queries, queries) + space.norm**2
+    best = np.full((len(queries), k), -np.inf)  # scores only
+    slack = _SLACK * space.norm**2
+    worst, active = known.astype(float), np.arange(len(queries))
+    seen_q, seen_v, seen_s = [], [], []
+    for turn in range(order.shape[1]):
+        leaf = order[active, turn]
+        within = gaps[active, leaf] <= space.limit * np.maximum(reach[active] - 2 * worst[active], 0) * (1 + 1e-9) + 1e-12
+        active, leaf = active[within], leaf[within]
+        if not len(active):
+            break
+        by_leaf = np.argsort(leaf, kind="stable")
+        for group in np.split(by_leaf, np.flatnonzero(np.diff(leaf[by_leaf])) + 1):
+            q, x = active[group], leaf[group[0]]
+            s = queries[q] @ members[x].T
+            joined = np.concatenate([best[q], s], axis=1)
+            best[q] = np.partition(joined, joined.shape[1] - k, axis=1)[:, -k:]
+            worst[q] = np.maximum(worst[q], best[q].min(axis=1))
+            i, j = np.nonzero(s >= worst[q][:, None] - slack)
+            seen_q.append(q[i])
+            seen_v.append(tree.members[x][j])
+            seen_s.append(s[i, j])
+    q, v, s = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (seen_q, seen_v, seen_s))
+    keep = s >= worst[q] - slack
+    q, v = q[keep], v[keep]
+    exact = scores_of(queries[q], vectors[v])
+    rank = np.lexsort((ids[v], -exact, q))
+    q, v, exact = q[rank], v[rank], exact[rank]
+    first = np.searchsorted(q, np.arange(len(queries) + 1))
+    return [(ids[v[a : min(b, a + k)]], exact[a : min(b, a + k)]) for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
