@@ -112,3 +112,14 @@ def token_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """agent, tokens, cost: cost is null if any call has no price."""
     priced = usage.join(F.broadcast(prices), "model", "left").withColumn("cost", F.col("tokens") * F.col("price") / 1e6)
     return priced.groupBy("agent").agg(F.sum("tokens").alias("tokens"), F.when(F.count("*") == F.count("cost"), F.round(F.sum("cost"), 6)).alias("cost"))
+
+
+def cascade(removed: DataFrame, flows: DataFrame, links: DataFrame) -> DataFrame:
+    """kind, id of all that goes with the removed components (id): themselves, their flows and the links that touch them."""
+    ends = removed.select("id").distinct()
+
+    def touching(rows: DataFrame, kind: str, key: str) -> DataFrame:
+        both = rows.select(F.col(key).cast("string").alias("own"), F.explode(F.array("source", "target")).alias("id"))
+        return both.join(ends, "id", "left_semi").select(F.lit(kind).alias("kind"), F.col("own").alias("id")).distinct()
+
+    return ends.select(F.lit("component").alias("kind"), "id").unionByName(touching(flows, "flow", "id")).unionByName(touching(links, "link", "seq"))

@@ -50,7 +50,7 @@ def signal_hits(lines: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
 def near_context(lines: DataFrame, hit: Column, context: Column, distance: int = 2) -> DataFrame:
     """Lines with a hit that have the context within ``distance`` lines in the same file."""
-    window = Window.partitionBy("path").orderBy("line_no").rowsBetween(-distance, distance)
+    window = Window.partitionBy("path").orderBy("line_no").rangeBetween(-distance, distance)
     return lines.withColumn("_near", F.max(context.cast("int")).over(window)).filter(hit & (F.col("_near") == 1)).drop("_near")
 
 

@@ -405,3 +405,12 @@ def upload_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Next-fit packs of each folder's files."""
     files = tables.files(spark, sf_dir).withColumn("folder", F.split("path", "/")[1])
     return text.pack(files, "folder", 70_000, 200)
+
+
+@query(with_relations("components", "flows", "kg_links").rstrip() + f", {_GONE}" + """
+SELECT 'component' AS kind, id FROM gone UNION ALL SELECT 'flow', id FROM flows WHERE source IN (SELECT id FROM gone) OR target IN (SELECT id FROM gone)
+UNION ALL SELECT 'link', seq::VARCHAR FROM kg_links WHERE source IN (SELECT id FROM gone) OR target IN (SELECT id FROM gone)""")
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes with some suppliers."""
+    components, flows, links = _rel(spark, sf_dir, "components", "flows", "kg_links")
+    return facts.cascade(components.filter("type = 'third_party' and id like '%7'").select("id"), flows, links)

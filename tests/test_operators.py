@@ -45,3 +45,16 @@ def test_cost_is_null_without_a_price(spark):
     usage = spark.createDataFrame([("a", "m", 10), ("a", "?", 5), ("b", "m", 1)], "agent string, model string, tokens int")
     prices = spark.createDataFrame([("m", 2.0)], "model string, price double")
     assert {r.agent: (r.tokens, r.cost) for r in facts.token_cost(usage, prices).collect()} == {"a": (15, None), "b": (1, 2e-06)}
+
+
+def test_context_must_be_near(spark):
+    lines = spark.createDataFrame([("a", 1, "hit"), ("a", 2, None), ("a", 3, "verb"), ("a", 9, "hit"), ("b", 1, "hit"), ("c", 1, "hit verb")], "path string, line_no int, line string")
+    got = text.near_context(lines, F.col("line").contains("hit"), F.col("line").contains("verb"))
+    assert sorted((r.path, r.line_no) for r in got.collect()) == [("a", 1), ("c", 1)]
+
+
+def test_cascade(spark):
+    flows = spark.createDataFrame([("f", "a", "b"), ("g", "b", "c"), ("h", "a", "a")], "id string, source string, target string")
+    links = spark.createDataFrame([(1, "a", "x"), (2, "y", "c")], "seq long, source string, target string")
+    got = facts.cascade(spark.createDataFrame([("a",), ("a",)], "id string"), flows, links)
+    assert sorted(map(tuple, got.collect())) == [("component", "a"), ("flow", "f"), ("flow", "h"), ("link", "1")]
