@@ -45,8 +45,8 @@ def reverse_to_actors(flows: DataFrame, components: DataFrame, floor: float = 0.
 
 
 def classify(flows: DataFrame, components: DataFrame) -> DataFrame:
-    """Flows with their crossing: outbound_third_party, from_actor or internal."""
-    crossing = F.when(F.col("target_type") == "third_party", "outbound_third_party").when(F.col("source_type") == "actor", "from_actor").otherwise("internal")
+    """Flows with their crossing: outbound_third_party (not from a third party), from_actor or internal."""
+    crossing = F.when((F.col("target_type") == "third_party") & (F.col("source_type") != "third_party"), "outbound_third_party").when(F.col("source_type") == "actor", "from_actor").otherwise("internal")
     return with_ends(flows, components).withColumn("crossing", crossing)
 
 

@@ -177,7 +177,7 @@ def flow_reverse_actor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reverse_to_actors(_turned(spark, sf_dir), tables.components(spark, sf_dir))
 
 
-@query(_WITH_ENDS + "SELECT CASE WHEN target_type = 'third_party' THEN 'outbound_third_party' WHEN source_type = 'actor' THEN 'from_actor' ELSE 'internal' END AS crossing, type, count(*) AS n FROM ends GROUP BY ALL")
+@query(_WITH_ENDS + "SELECT CASE WHEN target_type = 'third_party' AND source_type <> 'third_party' THEN 'outbound_third_party' WHEN source_type = 'actor' THEN 'from_actor' ELSE 'internal' END AS crossing, type, count(*) AS n FROM ends GROUP BY ALL")
 def flow_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows by crossing and type."""
     components, flows = _rel(spark, sf_dir, "components", "flows")
