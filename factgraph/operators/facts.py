@@ -69,10 +69,10 @@ def gate_proposals(proposals: DataFrame, seq: list[str]) -> DataFrame:
 
 def queue_plan(counts: DataFrame, total: int) -> DataFrame:
     """agent, n, share: ``total`` places split evenly over the agents by name, the remainder to the first."""
-    size = counts.agg(F.count("*").alias("agents"))
+    everyone = F.count("*").over(Window.partitionBy())
     at = F.row_number().over(Window.orderBy("agent"))  # agents are a small dimension
-    share = F.floor(F.lit(total) / F.col("agents")) + F.when(F.col("at") <= F.lit(total) % F.col("agents"), 1).otherwise(0)
-    return counts.withColumn("at", at).crossJoin(F.broadcast(size)).select("agent", "n", share.cast("long").alias("share"))
+    share = F.floor(F.lit(total) / everyone) + F.when(at <= F.lit(total) % everyone, 1).otherwise(0)
+    return counts.select("agent", "n", share.cast("long").alias("share"))
 
 
 def budget_prefix(rows: DataFrame, key: str, order: list[Column], cost: str, budget: float) -> DataFrame:

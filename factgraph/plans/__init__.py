@@ -1,0 +1,4 @@
+"""Queries bound to tables; importing a module registers its queries."""
+
+from . import registry as registry
+from . import enrichment as enrichment

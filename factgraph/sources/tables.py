@@ -77,8 +77,13 @@ def kg_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answers(spark: SparkSession, sf_dir: str, cut_off: float = 95.0) -> DataFrame:
     """seq, fact_id, ts, action (set or remove), property, value."""
+    return as_answers(table(spark, sf_dir, "events"), cut_off)
+
+
+def as_answers(events: DataFrame, cut_off: float = 95.0) -> DataFrame:
+    """Events, of a table or a stream, as answers."""
     remove = (F.col("event_type") == "error") & (F.col("value") > cut_off)
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("fact_id"), "ts", F.when(remove, "remove").otherwise("set").alias("action"), F.col("event_type").alias("property"), "value")
+    return events.select(F.col("event_id").alias("seq"), F.col("user_id").alias("fact_id"), "ts", F.when(remove, "remove").otherwise("set").alias("action"), F.col("event_type").alias("property"), "value")
 
 
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
