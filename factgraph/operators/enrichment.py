@@ -108,3 +108,29 @@ def digest(rows: DataFrame, key: str, order: str, message: str) -> DataFrame:
     """key, digest: the first message of each key and how many more there are, at most 300 characters."""
     got = rows.groupBy(key).agg(F.min(F.struct(order, message)).getField(message).alias("m"), F.count("*").alias("n"))
     return got.select(key, F.substring(F.concat("m", F.when(F.col("n") > 1, F.concat(F.lit(" (+"), (F.col("n") - 1).cast("string"), F.lit(" more)"))).otherwise("")), 1, 300).alias("digest"))
+
+
+def normalised(values: Column, known: list[str], other: str | None = "other") -> Column:
+    """Distinct values, sorted; unknown ones become ``other``, or go if that is None."""
+    mapped = F.transform(values, lambda v: F.when(v.isin(known), v).otherwise(F.lit(other)))
+    return F.array_sort(F.array_distinct(F.array_compact(mapped)))
+
+
+def first_reason(rules: list[tuple[str, Column]]) -> Column:
+    """The name of the first rule that holds; null if none does."""
+    return F.coalesce(*(F.when(when, F.lit(name)) for name, when in rules))
+
+
+def evidence_score(base: float, parts: list[tuple[Column, float]], low: float, high: float) -> Column:
+    """The base and the weight of each condition that holds, within [low, high], to two decimals."""
+    total = F.lit(base)
+    for holds, weight in parts:
+        total = total + F.when(holds, weight).otherwise(0.0)
+    return F.round(F.least(F.lit(high), F.greatest(F.lit(low), total)), 2)
+
+
+def usage_totals(calls: DataFrame, key: str) -> DataFrame:
+    """key, total of calls (input, output, total tokens): the larger of what inputs and outputs add up to and the reported
+    totals; negative and missing counts are 0."""
+    clean = calls.select(key, *(F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).alias(c) for c in ("input", "output", "total")))
+    return clean.groupBy(key).agg(F.greatest(F.sum("input") + F.sum("output"), F.sum("total")).alias("total"))

@@ -108,3 +108,17 @@ def symbol_context(lines: DataFrame, symbol: str, reach: int = 4) -> DataFrame:
     """path, line_no, line around the first line of each file that holds the symbol."""
     first = lines.filter(F.contains("line", F.lit(symbol))).groupBy("path").agg(F.min("line_no").alias("_at"))
     return lines.join(first, "path").filter(F.abs(F.col("line_no") - F.col("_at")) <= reach).select("path", "line_no", "line")
+
+
+def folder_totals(files: DataFrame) -> DataFrame:
+    """folder, files, bytes of every folder with all that lies below it. Files are summed by their own folder first; only those
+    sums are passed up."""
+    own = files.select(scalars.dirname(F.col("path")).alias("own"), "size").groupBy("own").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    up = own.filter("own <> ''").select(F.explode(F.concat(scalars.ancestors(F.col("own")), F.array("own"))).alias("folder"), "files", "bytes")
+    return up.groupBy("folder").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+
+
+def footprint(files: DataFrame, most_files: int, most_bytes: int) -> DataFrame:
+    """One row: files (1 at least), bytes, and whether that is a large tree."""
+    total = files.agg(F.greatest(F.count("*"), F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    return total.withColumn("large", (F.col("files") > most_files) | (F.col("bytes") > most_bytes))

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgraph.functions import scalars
-from factgraph.operators import enrichment, topology
+from factgraph.operators import enrichment, text, topology
 from factgraph.sources import tables
 from factgraph.sources.tables import SEQ, with_relations
 from factgraph.streaming.answers import answer_stream, keep_newest
 
-from .registry import _ENDS, _SEQ4, _TURNED, _rel, _turned, query
+from .registry import _ENDS, _SEQ4, _TURNED, _WITH_HITS, CATALOG, GLOBS, RULES, _rel, _turned, query
 
 MANIFEST = "77.txt"
 MANAGED = [("cache", "furniture", False), ("queue", "machinery", False), ("supplier", "building", False), ("auth", None, True)]
@@ -207,3 +207,53 @@ def answers_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest answers, kept by a stream of events."""
     schema = tables.table(spark, sf_dir, "events").schema
     return keep_newest(tables.as_answers(answer_stream(spark, f"{sf_dir}/event[s].parquet", schema)))
+
+
+_KNOWN = sorted({k for k, _ in CATALOG})
+_KNOWN_SQL = ", ".join(f"'{k}'" for k in _KNOWN)
+
+
+@query(f"SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(string_split(p_name, ' '), lambda x: CASE WHEN x IN ({_KNOWN_SQL}) THEN x ELSE 'other' END))), ',') AS categories FROM part")
+def slot_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of parts' names in the vocabulary."""
+    return tables.table(spark, sf_dir, "part").select("p_partkey", F.array_join(enrichment.normalised(F.split("p_name", " "), _KNOWN), ",").alias("categories"))
+
+
+@query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN l_quantity > 45 THEN 'too_many' WHEN l_discount > 0.08 THEN 'too_cheap' WHEN l_linestatus = 'O' AND l_linenumber = 1 THEN 'unsupported' END AS reason FROM lineitem) GROUP BY 1""")
+def drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by the first reason against them; null for none."""
+    rules = [("too_many", F.col("l_quantity") > 45), ("too_cheap", F.col("l_discount") > 0.08), ("unsupported", (F.col("l_linestatus") == "O") & (F.col("l_linenumber") == 1))]
+    return tables.table(spark, sf_dir, "lineitem").select(enrichment.first_reason(rules).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+_SCORE = "0.42 + CASE WHEN bool_or(rule = 'email') THEN 0.2 ELSE 0 END + CASE WHEN bool_or(rule = 'card') THEN 0.1 ELSE 0 END + CASE WHEN bool_or(rule = 'license') THEN 0.08 ELSE 0 END + CASE WHEN count(*) > 3 THEN 0.1 ELSE 0 END"
+
+
+@query(_WITH_HITS + f"""SELECT path, score, CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.65 THEN 'medium' ELSE 'low' END AS band FROM (
+  SELECT path, round(least(0.95, greatest(0.35, {_SCORE}))::DOUBLE, 2) AS score FROM hits GROUP BY 1)""")
+def evidence_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files' scores by what was found in them, and their bands."""
+    parts = [(F.bool_or(F.col("rule") == "email"), 0.2), (F.bool_or(F.col("rule") == "card"), 0.1), (F.bool_or(F.col("rule") == "license"), 0.08), (F.count("*") > 3, 0.1)]
+    scored = text.signal_hits(tables.lines(spark, sf_dir), RULES).groupBy("path").agg(enrichment.evidence_score(0.42, parts, 0.35, 0.95).alias("score"))
+    return scored.withColumn("band", scalars.band(F.col("score")))
+
+
+@query("""SELECT conv_id, greatest(sum(greatest(coalesce(i, 0), 0)) + sum(greatest(coalesce(o, 0), 0)), sum(greatest(coalesce(t, 0), 0)))::BIGINT AS total FROM (
+  SELECT conv_id, CASE WHEN role = 'user' THEN length(text) ELSE -1 END AS i, CASE WHEN role <> 'user' THEN length(text) END AS o, length(text) + turn - 1 AS t FROM conversations) GROUP BY 1""")
+def conversation_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters used by conversations, as parts or as reported."""
+    size, user = F.length("text"), F.col("role") == "user"
+    calls = tables.table(spark, sf_dir, "conversations").select("conv_id", F.when(user, size).otherwise(-1).alias("input"), F.when(~user, size).alias("output"), (size + F.col("turn") - 1).alias("total"))
+    return enrichment.usage_totals(calls, "conv_id")
+
+
+@query(with_relations("files") + """SELECT folder, count(*) AS files, sum(size)::BIGINT AS bytes FROM (SELECT unnest([regexp_extract(path, '^[^/]*'), regexp_extract(path, '^(.*)/[^/]*$', 1)]) AS folder, size FROM files) GROUP BY 1""")
+def folder_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and bytes below each folder."""
+    return topology.folder_totals(tables.files(spark, sf_dir))
+
+
+@query(with_relations("files") + "SELECT greatest(count(*), 1) AS files, coalesce(sum(size), 0)::BIGINT AS bytes, count(*) > 20000 OR coalesce(sum(size), 0) > 209715200 AS large FROM files WHERE NOT (path LIKE 'docs/src1/%' OR path LIKE '%7.txt')")
+def files_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of what no exclusion names."""
+    return topology.footprint(tables.files(spark, sf_dir).filter(~text.excluded(F.col("path"), GLOBS)), 20_000, 200 << 20)

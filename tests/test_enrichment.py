@@ -145,3 +145,18 @@ def test_stream_over_several_files(spark, tmp_path):
     assert sorted(map(tuple, newest(spark.read.parquet(str(tmp_path / "in*"))).collect())) == want
     spark.createDataFrame([(7, 1, 9, "set", "p", 7.0)], schema).write.parquet(str(tmp_path / "in3"))
     assert sorted(map(tuple, keep_newest(answers, str(tmp_path / "kept")).collect())) == [(1, "p", 7.0, 7), (2, "q", 4.0, 5)]
+
+
+def test_values_reasons_and_totals(spark):
+    assert values(spark, enrichment.normalised(F.col("v"), ["a", "b"]), [(["b", "x", "a", "b"],), ([],), (None,)], "v array<string>") == [["a", "b", "other"], [], None]
+    assert values(spark, enrichment.normalised(F.col("v"), ["a"], None), [(["x", "a"],)], "v array<string>") == [["a"]]
+    assert values(spark, enrichment.first_reason([("big", F.col("n") > 5), ("even", F.col("n") % 2 == 0)]), [(8,), (4,), (3,), (None,)], "n int") == ["big", "even", None, None]
+    calls = spark.createDataFrame([("a", 5, None, 9), ("a", -3, 2, 1), ("b", 5, 5, None)], "k string, input int, output int, total int")
+    assert {r.k: r.total for r in enrichment.usage_totals(calls, "k").collect()} == {"a": 10, "b": 10}
+
+
+def test_folder_totals(spark):
+    files = spark.createDataFrame([("a/b/x", 1), ("a/y", 2), ("z", 4)], "path string, size long")
+    assert {r.folder: (r.files, r.bytes) for r in topology.folder_totals(files).collect()} == {"a": (2, 3), "a/b": (1, 1)}
+    assert tuple(topology.footprint(files, 2, 100).first()) == (3, 7, True)
+    assert tuple(topology.footprint(files.limit(0), 2, 100).first()) == (1, 0, False)
