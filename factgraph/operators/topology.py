@@ -80,15 +80,18 @@ def closure(links: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
     return reached
 
 
-def managed_nodes(components: DataFrame, corpus: DataFrame, rules: DataFrame, prefix: str = "managed:") -> DataFrame:
+def managed_nodes(components: DataFrame, corpus: DataFrame, rules: list[tuple[str, str | None, bool]], prefix: str = "managed:") -> DataFrame:
     """source, target, action for each provider (a section's first hub) and rule (key, signal, always) that holds there: always,
-    or if a word of the section's corpus (section, word) is the rule's signal. The section's first component whose name holds the key is adopted, else
-    a node is created. Rules are a small table."""
+    or if a word of the section's corpus (section, word) is the rule's signal. The section's first component whose name holds the
+    key is adopted, else a node is created. Rules are a short list and become columns, so they aren't joined."""
+    def keys_where(hits: list[Column]) -> Column:
+        return F.explode(F.array_compact(F.array(*hits))).alias("key") if hits else F.explode(F.array().cast("array<string>")).alias("key")
+
     provider = first_per_key(hubs(components), ["section"], [F.col("id")]).select("section", F.col("id").alias("source"))
-    signalled = corpus.select("section", F.lower("word").alias("signal")).distinct().join(F.broadcast(rules.select("key", "signal").filter("signal is not null")), "signal").select("section", "key")
-    always = provider.join(F.broadcast(rules.filter("always").select("key")), F.lit(True)).select("section", "key")  # one row per provider and such rule
+    signalled = corpus.select("section", keys_where([F.when(F.lower("word") == s, F.lit(k)) for k, s, _ in rules if s is not None]))
+    always = provider.select("section", keys_where([F.lit(k) for k, _, a in rules if a]))
     wanted = signalled.unionByName(always).distinct().join(provider, "section")
-    named = components.join(F.broadcast(rules.select("key")), F.contains(F.lower("name"), F.col("key"))).groupBy("section", "key").agg(F.min("id").alias("adopted"))
+    named = components.select("section", "id", keys_where([F.when(F.contains(F.lower("name"), F.lit(k)), F.lit(k)) for k, *_ in rules])).groupBy("section", "key").agg(F.min("id").alias("adopted"))
     made = F.concat(F.lit(prefix), F.col("section"), F.lit(":"), F.col("key"))
     return wanted.join(named, ["section", "key"], "left").select("source", F.coalesce("adopted", made).alias("target"), F.when(F.col("adopted").isNull(), "create").otherwise("adopt").alias("action"))
 

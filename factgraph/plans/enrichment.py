@@ -19,7 +19,7 @@ CAP = 100
 
 
 def _with_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components with properties: parts have three, some of them empty; of the suppliers every seventh lacks its subtype."""
+    """Components with properties: parts have three, some of them empty; suppliers whose id ends in 7 lack their subtype."""
     part = tables.table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.create_map(
         F.lit("brand"), F.col("p_brand"), F.lit("kind"), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_type")), F.lit("size"), F.when(F.col("p_size") % 5 != 0, F.col("p_size").cast("string"))).alias("properties"))
     rows = tables.components(spark, sf_dir).join(part, "id", "left")
@@ -191,9 +191,8 @@ named AS (SELECT section, key, min(id) AS adopted FROM components JOIN rules ON
 SELECT source, coalesce(adopted, 'managed:' || section || ':' || key) AS target, CASE WHEN adopted IS NULL THEN 'create' ELSE 'adopt' END AS action FROM wanted JOIN provider USING (section) LEFT JOIN named USING (section, key)""")
 def managed_node_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Managed nodes that rules ask for in each section."""
-    rules = spark.createDataFrame(MANAGED, "key string, signal string, always boolean")
     corpus = tables.table(spark, sf_dir, "customer").join(tables.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("section"), F.col("c_mktsegment").alias("word"))
-    return topology.managed_nodes(tables.components(spark, sf_dir), corpus, rules)
+    return topology.managed_nodes(tables.components(spark, sf_dir), corpus, MANAGED)
 
 
 @query(with_relations("files", "lines") + """SELECT path, line_no, line FROM lines JOIN (SELECT path, min(line_no) AS first FROM lines WHERE contains(line, '@') GROUP BY 1) USING (path) WHERE abs(line_no - first) <= 4""")

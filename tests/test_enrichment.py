@@ -160,3 +160,12 @@ def test_folder_totals(spark):
     assert {r.folder: (r.files, r.bytes) for r in topology.folder_totals(files).collect()} == {"a": (2, 3), "a/b": (1, 1)}
     assert tuple(topology.footprint(files, 2, 100).first()) == (3, 7, True)
     assert tuple(topology.footprint(files.limit(0), 2, 100).first()) == (1, 0, False)
+
+
+def test_managed_nodes(spark):
+    components = spark.createDataFrame([("h", "main", "asset", "application", "A"), ("c", "My Cache", "asset", "database", "A"), ("d", None, "asset", "database", "A")], "id string, name string, type string, sub_type string, section string")
+    corpus = spark.createDataFrame([("A", "Redis"), ("A", "sqs"), ("B", "redis"), ("A", None)], "section string, word string")
+    rules = [("cache", "redis", False), ("queue", "sqs", False), ("auth", None, True), ("mail", "smtp", False)]
+    got = topology.managed_nodes(components, corpus, rules)
+    assert sorted(map(tuple, got.collect())) == [("h", "c", "adopt"), ("h", "managed:A:auth", "create"), ("h", "managed:A:queue", "create")]
+    assert topology.managed_nodes(components, corpus, []).count() == 0
