@@ -1,7 +1,11 @@
-"""Near-duplicate removal: SimHash links, verified on word shingles; one document of each group stays."""
+"""Near-duplicate removal: SimHash links, verified on word shingles, then an exact search by shingles; one document of each group stays."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +18,15 @@ RADIUS = 8
 AGREE = 2
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+#: One text in so many is looked at for common shingles.
+SAMPLE = 32
+HOT_SHINGLES = 1 << 16
+#: Groups of texts under one key of the exact search.
+SALTED = 1000
+_EPS = 1e-9
 
 
 def _shingle_hashes(text: str | None, size: int = SHINGLE_WORDS) -> list[int]:
-    import xxhash
-
     return [h - (1 << 63) for h in {xxhash.xxh64_intdigest(s) for s in shingles(words_of(text), size)}]
 
 
@@ -48,24 +56,82 @@ def _alike():
     return both >= SIMILARITY * (F.size("shingles") + F.size("wanted") - both)
 
 
-def _verified_links(judged: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
-    """(a, b) similar texts (by h), among the links of members that are unlike their set's middle: one text stands for all
-    of a fingerprint."""
-    loose = judged.filter("not alike").select("h", "fp")
-    stands = judged.groupBy("fp").agg(F.min("h").alias("b"))
-    ways = links.select(F.col("a").alias("fp"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("fp"), F.col("a").alias("to"))).distinct()
-    over = loose.join(ways, "fp").select("h", F.col("to").alias("fp")).join(stands, "fp").unionByName(loose.join(stands, "fp").select("fp", "h", "b"))
-    pairs = stage_table(over.filter("h <> b").select(F.least("h", "b").alias("h"), F.greatest("h", "b").alias("b")).distinct(), "dedup-pairs")
-    shown = members.select(F.col("h").alias("b"), F.col("shingles").alias("wanted"))
-    return pairs.join(members.select("h", "shingles"), "h").join(shown, "b").filter(_alike()).select(F.col("h").alias("a"), "b")
+def _prefix(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The first of distinct sorted ``hashes`` in the order all texts share: by hash, but those of ``hot`` last, in its order.
+    Texts similar enough share one of these at least, as two that share none lack too many of each other's."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    if len(hot):
+        by_value = np.argsort(hot, kind="stable")
+        at = np.minimum(np.searchsorted(hot, hashes, sorter=by_value), len(hot) - 1)
+        rank = np.where(hot[by_value[at]] == hashes, by_value[at], -1)
+        hashes = hashes[np.argsort(rank, kind="stable")]
+    return hashes[: n - math.ceil(SIMILARITY * n - _EPS) + 1]
+
+
+def _hot_shingles(texts: DataFrame) -> np.ndarray:
+    """Shingles that many texts of a sample hold, the commonest last, HOT_SHINGLES at most. They only order the search."""
+    sample = texts.filter(F.pmod("h", F.lit(SAMPLE)) == 0).select("h", "text")
+    held = map_rows(sample, lambda: lambda h, text: (h, _shingle_hashes(text)), "h long, shingles array<long>").dropDuplicates(["h"])
+    counts = held.select(F.explode("shingles").alias("s")).groupBy("s").count().filter("count > 2")
+    rows = counts.orderBy(F.desc("count"), "s").limit(HOT_SHINGLES).collect()
+    return np.array([r["s"] for r in reversed(rows)], np.int64)
+
+
+def _prints(texts: DataFrame, hot: np.ndarray) -> DataFrame:
+    """first_id, h, fp, class (equal for equal sets of shingles), n (shingles), prefix for rows with doc_id, h, text."""
+
+    def one(doc_id, h, text):
+        words = words_of(text)
+        hashes = np.sort(np.array(_shingle_hashes(text), np.int64))
+        return doc_id, h, signed(fingerprint(words)), signed(xxhash.xxh64_intdigest(hashes.tobytes())), len(hashes), _prefix(hashes, hot).tolist()
+
+    return map_rows(texts.select("doc_id", "h", "text"), lambda: one, "first_id long, h long, fp long, class long, n long, prefix array<long>")
+
+
+def _candidates(posts: DataFrame) -> DataFrame:
+    """(a, b) distinct pairs of texts that share a shingle of their prefixes, are of different groups (column part) and could be
+    similar enough by their sizes and the shingle's places, for rows of s, h, part, n, at. A shingle with many groups is
+    dealt over several keys."""
+    parts = posts.select("s", "part").distinct()
+    several = parts.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1").withColumn("k", F.ceil(F.col("k") / SALTED))
+    posts = stage_table(posts.join(several, "s"), "dedup-posts")
+    parts = posts.select("s", "part", "k").distinct()
+    left = parts.select("s", "part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
+    right = parts.select("s", F.col("part").alias("other"), F.pmod(F.xxhash64("part"), F.col("k")).alias("salt"))
+    ways = left.join(right, ["s", "salt"]).filter("part <> other").select("s", "part", "other")
+    x = posts.select("s", "part", F.col("h").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    # of the smaller text a shorter prefix is enough
+    core = F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * SIMILARITY / (1 + SIMILARITY)) - _EPS)
+    y = posts.filter(core).select("s", F.col("part").alias("other"), F.col("h").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    smaller = F.struct("n_b", "b") < F.struct(F.col("n_a").alias("n_b"), F.col("a").alias("b"))
+    left_over = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    possible = smaller & (F.col("n_b") >= F.col("n_a") * SIMILARITY - _EPS) & (left_over >= (F.col("n_a") + F.col("n_b")) * (SIMILARITY / (1 + SIMILARITY)) - _EPS)
+    return x.join(ways, ["s", "part"]).join(y, ["s", "other"]).filter(possible).select("a", "b").distinct()
+
+
+def _verified_links(prints: DataFrame, near: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) similar texts (by h) that ``near`` doesn't join yet, and one link from every text to the least of its class."""
+    least = stage_table(prints.groupBy("class").agg(F.min("h").alias("b")), "dedup-classes")
+    same = stage_table(prints.join(least, "class").filter("h <> b").select(F.col("h").alias("a"), "b"), "dedup-same")
+    parts = components(near.unionByName(same))
+    shown = prints.join(least, prints.h == least.b, "left_semi").join(parts, prints.h == parts.node, "left")
+    posts = shown.select(F.posexplode("prefix").alias("at", "s"), "h", F.coalesce("root", "h").alias("part"), "n")
+    pairs = stage_table(_candidates(posts), "dedup-pairs")
+    wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct().join(prints.select("h", F.col("first_id").alias("doc_id")), "h")
+    held = texts.join(wanted, ["doc_id", "h"], "left_semi").select("h", "text")
+    held = stage_table(map_rows(held, lambda: lambda h, text: (h, _shingle_hashes(text)), "h long, shingles array<long>").dropDuplicates(["h"]), "dedup-shingles")
+    both = pairs.join(held.withColumnRenamed("h", "a"), "a").join(held.select(F.col("h").alias("b"), F.col("shingles").alias("wanted")), "b")
+    return same.unionByName(both.filter(_alike()).select("a", "b"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others), less all near-duplicates but the one of least doc_id.
 
-    Equal texts are one group. Texts whose fingerprints link (also over others) within RADIUS bits form a set. In it every
-    member is compared with the set's middle, and those unlike it with what the index linked them to; a Jaccard similarity
-    of SIMILARITY or more joins their groups. Rows with a null doc_id are kept. Of repeated rows (equal id and text) one is kept,
+    Equal texts are one group. Texts whose fingerprints link (also over others) within RADIUS bits form a set, in which every
+    member is compared with the set's middle; a Jaccard similarity of SIMILARITY or more joins their groups. Then an exact
+    search by shingles compares all texts of different groups that can be so similar. Rows with a null doc_id are kept. Of repeated rows (equal id and text) one is kept,
     any of them if other columns differ. Null texts count as empty, and all empty texts are equal.
     """
     hashed = docs.withColumn("factgraph_h", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -73,8 +139,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     counted = stage_table(texts.groupBy("doc_id", "h").agg(F.count("*").alias("n")), "dedup-rows")
     equal = stage_table(counted.groupBy("h").agg(F.min("doc_id").alias("doc_id")), "dedup-texts")
     first = texts.join(equal, ["doc_id", "h"], "left_semi").select("doc_id", "h", "text")
-    prints = map_rows(first, lambda: lambda doc_id, h, text: (doc_id, h, signed(fingerprint(words_of(text)))), "first_id long, h long, fp long")
-    prints = stage_table(prints.dropDuplicates(["h"]), "dedup-prints")
+    made = stage_table(_prints(first, _hot_shingles(texts)).dropDuplicates(["h"]), "dedup-prints")
+    prints = made.select("first_id", "h", "fp")
     distinct = stage_table(prints.groupBy("fp").agg(F.count("*").alias("n")), "dedup-fingerprints")
     links = stage_table(link_fingerprints(distinct, RADIUS, AGREE).distinct(), "dedup-links")
     roots = components(links)
@@ -84,8 +150,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     members = stage_table(_with_shingles(texts.join(suspects.withColumnRenamed("first_id", "doc_id"), ["doc_id", "h"]).withColumnRenamed("doc_id", "first_id")).dropDuplicates(["first_id", "h"]), "dedup-members")
     judged = stage_table(_judged(members), "dedup-judged")
     near = judged.filter("alike and h <> middle_h").select(F.col("h").alias("a"), F.col("middle_h").alias("b"))
-    groups = components(near.unionByName(_verified_links(judged, members, links)))
-    grouped = judged.select("h", "first_id").join(groups, judged.h == groups.node, "left").select("h", "first_id", F.coalesce("root", "h").alias("root"))
+    groups = components(near.unionByName(_verified_links(made, near, texts)))
+    grouped = prints.select("h", "first_id").join(groups, prints.h == groups.node, "left").select("h", "first_id", F.coalesce("root", "h").alias("root"))
     kept = grouped.groupBy("root").agg(F.min("first_id").alias("kept_id"))
     dropped = grouped.join(kept, "root").filter("first_id <> kept_id").select(F.col("first_id").alias("doc_id"), "h")
     stay = stage_table(equal.select("doc_id", "h").join(dropped, ["doc_id", "h"], "left_anti"), "dedup-stay").withColumnRenamed("h", "factgraph_h")

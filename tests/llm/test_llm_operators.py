@@ -211,6 +211,28 @@ def test_near_duplicates_leave_one_each(spark):
     assert dedup.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def left_by_all_pairs(texts):
+    sets = [set(simhash.shingles(simhash.words_of(t), 5)) for t in texts]
+    alike = [(i, k) for i, a in enumerate(sets) for k, b in enumerate(sets[:i]) if len(a & b) >= 0.8 * len(a | b)]
+    return sorted(set(classes(range(len(texts)), alike).values()))
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for i in rng.choice(len(words), n, replace=False):
+        out[i] = f"e{rng.integers(1 << 40)}"
+    return out
+
+
+def test_fillings_of_a_template_are_compared_with_each_other(spark):
+    rng = np.random.default_rng(11)
+    base = [f"w{w}" for w in rng.integers(0, 5000, 400)]
+    filled = [edited(rng, base, 12) for _ in range(60)]
+    texts = [" ".join(t) for t in [base, *filled, *(edited(rng, f, 2) for f in filled)]]
+    got = sorted(r.doc_id for r in dedup.drop_near_duplicates(docs_of(spark, texts)).collect())
+    assert got == left_by_all_pairs(texts)
+
+
 # 6
 
 
