@@ -19,7 +19,7 @@ AGREE = 2
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: One text in so many is looked at for common shingles.
-SAMPLE = 32
+SAMPLE = 16
 HOT_SHINGLES = 1 << 16
 #: Groups of texts under one key of the exact search.
 SALTED = 1000
@@ -71,10 +71,10 @@ def _prefix(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def _hot_shingles(texts: DataFrame) -> np.ndarray:
-    """Shingles that many texts of a sample hold, the commonest last, HOT_SHINGLES at most. They only order the search."""
+    """Shingles that several texts of a sample hold, the commonest last, HOT_SHINGLES at most. They only order the search."""
     sample = texts.filter(F.pmod("h", F.lit(SAMPLE)) == 0).select("h", "text")
     held = map_rows(sample, lambda: lambda h, text: (h, _shingle_hashes(text)), "h long, shingles array<long>").dropDuplicates(["h"])
-    counts = held.select(F.explode("shingles").alias("s")).groupBy("s").count().filter("count > 2")
+    counts = held.select(F.explode("shingles").alias("s")).groupBy("s").count().filter("count > 1")
     rows = counts.orderBy(F.desc("count"), "s").limit(HOT_SHINGLES).collect()
     return np.array([r["s"] for r in reversed(rows)], np.int64)
 
@@ -91,39 +91,51 @@ def _prints(texts: DataFrame, hot: np.ndarray) -> DataFrame:
 
 
 def _candidates(posts: DataFrame) -> DataFrame:
-    """(a, b) distinct pairs of texts that share a shingle of their prefixes, are of different groups (column part) and could be
-    similar enough by their sizes and the shingle's places, for rows of s, h, part, n, at. A shingle with many groups is
-    dealt over several keys."""
+    """(a, b, part, other) distinct pairs of texts of different groups (part, other) that could be similar enough by their sizes
+    and the number of shingles that their prefixes share, for rows of s, h, part, n. A shingle with many groups is dealt
+    over several keys."""
+    several = posts.groupBy("s").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("s")
+    posts = stage_table(posts.join(several, "s", "left_semi"), "dedup-posts")
     parts = posts.select("s", "part").distinct()
-    several = parts.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1").withColumn("k", F.ceil(F.col("k") / SALTED))
-    posts = stage_table(posts.join(several, "s"), "dedup-posts")
-    parts = posts.select("s", "part", "k").distinct()
+    parts = parts.join(parts.groupBy("s").agg(F.ceil(F.count("*") / SALTED).alias("k")), "s")
     left = parts.select("s", "part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
     right = parts.select("s", F.col("part").alias("other"), F.pmod(F.xxhash64("part"), F.col("k")).alias("salt"))
     ways = left.join(right, ["s", "salt"]).filter("part <> other").select("s", "part", "other")
-    x = posts.select("s", "part", F.col("h").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
-    # of the smaller text a shorter prefix is enough
-    core = F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * SIMILARITY / (1 + SIMILARITY)) - _EPS)
-    y = posts.filter(core).select("s", F.col("part").alias("other"), F.col("h").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    x = posts.select("s", "part", F.col("h").alias("a"), F.col("n").alias("n_a"))
+    y = posts.select("s", F.col("part").alias("other"), F.col("h").alias("b"), F.col("n").alias("n_b"))
     smaller = F.struct("n_b", "b") < F.struct(F.col("n_a").alias("n_b"), F.col("a").alias("b"))
-    left_over = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    possible = smaller & (F.col("n_b") >= F.col("n_a") * SIMILARITY - _EPS) & (left_over >= (F.col("n_a") + F.col("n_b")) * (SIMILARITY / (1 + SIMILARITY)) - _EPS)
-    return x.join(ways, ["s", "part"]).join(y, ["s", "other"]).filter(possible).select("a", "b").distinct()
+    shared = x.join(ways, ["s", "part"]).join(y, ["s", "other"]).filter(smaller & (F.col("n_b") >= F.col("n_a") * SIMILARITY - _EPS))
+    counted = shared.groupBy("a", "b", "part", "other", "n_a", "n_b").agg(F.count("*").alias("c"))
+    # all that texts share and that isn't counted lies after the prefix of one of them
+    most = F.col("c") + F.ceil(F.col("n_a") * SIMILARITY - _EPS) - 1
+    return counted.filter(most >= (F.col("n_a") + F.col("n_b")) * (SIMILARITY / (1 + SIMILARITY)) - _EPS).select("a", "b", "part", "other")
+
+
+def _similar(pairs: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of the ``pairs`` whose texts are similar enough."""
+    wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct().join(prints.select("h", F.col("first_id").alias("doc_id")), "h")
+    held = texts.join(wanted, ["doc_id", "h"], "left_semi").select("h", "text")
+    held = stage_table(map_rows(held, lambda: lambda h, text: (h, _shingle_hashes(text)), "h long, shingles array<long>").dropDuplicates(["h"]), "dedup-shingles")
+    both = pairs.select("a", "b").join(held.withColumnRenamed("h", "a"), "a").join(held.select(F.col("h").alias("b"), F.col("shingles").alias("wanted")), "b")
+    return stage_table(both.filter(_alike()).select("a", "b"), "dedup-similar")
 
 
 def _verified_links(prints: DataFrame, near: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) similar texts (by h) that ``near`` doesn't join yet, and one link from every text to the least of its class."""
+    """(a, b) links that join all groups of similar texts (by h), given those of ``near``: one from every text to the least
+    of its class, then one pair of any two groups is compared, then all pairs whose groups are still apart."""
     least = stage_table(prints.groupBy("class").agg(F.min("h").alias("b")), "dedup-classes")
     same = stage_table(prints.join(least, "class").filter("h <> b").select(F.col("h").alias("a"), "b"), "dedup-same")
-    parts = components(near.unionByName(same))
-    shown = prints.join(least, prints.h == least.b, "left_semi").join(parts, prints.h == parts.node, "left")
-    posts = shown.select(F.posexplode("prefix").alias("at", "s"), "h", F.coalesce("root", "h").alias("part"), "n")
+    links = near.unionByName(same)
+    shown = prints.join(least, prints.h == least.b, "left_semi")
+    parts = components(links)
+    posts = shown.join(parts, shown.h == parts.node, "left").select(F.explode("prefix").alias("s"), "h", F.coalesce("root", "h").alias("part"), "n")
     pairs = stage_table(_candidates(posts), "dedup-pairs")
-    wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct().join(prints.select("h", F.col("first_id").alias("doc_id")), "h")
-    held = texts.join(wanted, ["doc_id", "h"], "left_semi").select("h", "text")
-    held = stage_table(map_rows(held, lambda: lambda h, text: (h, _shingle_hashes(text)), "h long, shingles array<long>").dropDuplicates(["h"]), "dedup-shingles")
-    both = pairs.join(held.withColumnRenamed("h", "a"), "a").join(held.select(F.col("h").alias("b"), F.col("shingles").alias("wanted")), "b")
-    return same.unionByName(both.filter(_alike()).select("a", "b"))
+    first = pairs.groupBy(F.least("part", "other"), F.greatest("part", "other")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+    found = _similar(stage_table(first, "dedup-first-pairs"), prints, texts)
+    roots = components(found.join(pairs, ["a", "b"]).select(F.col("part").alias("a"), F.col("other").alias("b")))
+    apart = pairs.join(first, ["a", "b"], "left_anti").join(roots.select(F.col("node").alias("part"), F.col("root").alias("r")), "part", "left").join(roots.select(F.col("node").alias("other"), F.col("root").alias("q")), "other", "left")
+    apart = stage_table(apart.filter(F.coalesce("r", "part") != F.coalesce("q", "other")).select("a", "b"), "dedup-apart")
+    return links.unionByName(found).unionByName(_similar(apart, prints, texts))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -139,8 +151,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     counted = stage_table(texts.groupBy("doc_id", "h").agg(F.count("*").alias("n")), "dedup-rows")
     equal = stage_table(counted.groupBy("h").agg(F.min("doc_id").alias("doc_id")), "dedup-texts")
     first = texts.join(equal, ["doc_id", "h"], "left_semi").select("doc_id", "h", "text")
-    made = stage_table(_prints(first, _hot_shingles(texts)).dropDuplicates(["h"]), "dedup-prints")
-    prints = made.select("first_id", "h", "fp")
+    made = stage_table(_prints(first, _hot_shingles(texts)), "dedup-shingled")
+    prints = stage_table(made.select("first_id", "h", "fp").dropDuplicates(["h"]), "dedup-prints")
     distinct = stage_table(prints.groupBy("fp").agg(F.count("*").alias("n")), "dedup-fingerprints")
     links = stage_table(link_fingerprints(distinct, RADIUS, AGREE).distinct(), "dedup-links")
     roots = components(links)
@@ -150,7 +162,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     members = stage_table(_with_shingles(texts.join(suspects.withColumnRenamed("first_id", "doc_id"), ["doc_id", "h"]).withColumnRenamed("doc_id", "first_id")).dropDuplicates(["first_id", "h"]), "dedup-members")
     judged = stage_table(_judged(members), "dedup-judged")
     near = judged.filter("alike and h <> middle_h").select(F.col("h").alias("a"), F.col("middle_h").alias("b"))
-    groups = components(near.unionByName(_verified_links(made, near, texts)))
+    groups = components(_verified_links(made, near, texts))
     grouped = prints.select("h", "first_id").join(groups, prints.h == groups.node, "left").select("h", "first_id", F.coalesce("root", "h").alias("root"))
     kept = grouped.groupBy("root").agg(F.min("first_id").alias("kept_id"))
     dropped = grouped.join(kept, "root").filter("first_id <> kept_id").select(F.col("first_id").alias("doc_id"), "h")

@@ -233,6 +233,20 @@ def test_fillings_of_a_template_are_compared_with_each_other(spark):
     assert got == left_by_all_pairs(texts)
 
 
+def test_near_duplicates_match_all_pairs_from_80_to_90(spark):
+    rng = np.random.default_rng(12)
+    texts, similar = [], []
+    for k in range(150):
+        words = [f"w{w}" for w in rng.integers(0, 50_000, int(rng.integers(40, 600)))]
+        more = edited(rng, words, len(words) // 50) if k % 2 else words + [f"m{w}" for w in rng.integers(0, 50_000, int(len(words) * rng.uniform(0.1, 0.24)))]
+        a, b = (set(simhash.shingles([w.encode() for w in t], 5)) for t in (words, more))
+        similar.append(len(a & b) / len(a | b))
+        texts += [" ".join(words), " ".join(more)]
+    assert sum(0.8 <= s < 0.9 for s in similar) > 60
+    got = sorted(r.doc_id for r in dedup.drop_near_duplicates(docs_of(spark, texts)).collect())
+    assert got == left_by_all_pairs(texts)
+
+
 # 6
 
 
