@@ -1,9 +1,14 @@
 """The ten operators against brute force on small tables, with nulls, empty texts, ties, repeated rows and extra columns."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
+import random
 import re
+import time
+import urllib.parse
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,6 +18,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+import zstandard
 
 from factgraph.llm import ann, bpe, decontamination, dedup, html_text, secrets, sharding, simhash, toxicity, url_filter, warc
 from factgraph.llm.registry import ORACLE_SQL, QUERIES
@@ -112,13 +118,104 @@ def test_secrets_in_nested_layers(wrap):
     assert "hunter2" not in secrets.redact(text) and secrets.redact(text).startswith("vorher ü ")
 
 
+def raw_deflate(b):
+    press = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return press.compress(b) + press.flush()
+
+
+@pytest.mark.parametrize(
+    "layer",
+    [
+        lambda b: urllib.parse.quote_from_bytes(gzip.compress(b)), lambda b: "".join(f"%{c:02X}" for c in b"\xff" + b), lambda b: repr(gzip.compress(b)), lambda b: "https://h/a/" + b64(b), lambda b: b64(b"\x00 " + b),
+        lambda b: b64("\ufeff\u3000\u200b".encode() + b), lambda b: b64("é ".encode("latin-1") + b), lambda b: b64(b.decode().encode("utf-16")), lambda b: b64(b.decode().encode("utf-16-be")), lambda b: b64(b.decode().encode("utf-32")),
+        lambda b: b64(gzip.compress(b"first") + gzip.compress(b)), lambda b: b64(raw_deflate(b"some words before " + b)), lambda b: b64(gzip.compress(b * 3)[:-9]), lambda b: b64(bz2.compress(b)), lambda b: b64(lzma.compress(b)),
+        lambda b: b64(zstandard.compress(b)), lambda b: base64.encodebytes(b"lorem ipsum dolor sit amet " * 4 + b).decode(), lambda b: b.decode().replace("=", "&#61;").replace('"', "&quot;"), lambda b: b64(gzip.compress(gzip.compress(b))),
+        lambda b: b64(gzip.compress(b" " * (70 << 20) + b)),
+    ],
+)
+def test_layers_of_every_kind_are_opened(layer):
+    text = "vorher ü " + layer(SECRET.encode()) + " nachher"
+    base, added = secrets.scan(text)
+    assert any(k == "assign" and s >= 9 and e <= len(text) - 8 for s, e, k in added) and not base
+    assert "hunter2" not in secrets.redact(text)
+
+
+def b64(b):
+    return base64.b64encode(b).decode()
+
+
+def test_spans_cover_the_digits_that_spell_a_secret():
+    text = "a " + b64(b"0123456789 " + SECRET.encode() + b" and more text") + " b"
+    assert secrets.scan(text)[1] == {(2 + 11 * 4 // 3, 2 + -(-(11 + len(SECRET) - 1) * 4 // 3), "assign")}
+    text = "x token%3Dabc%64ef y"
+    assert secrets.scan(text)[1] == {(2, len(text) - 2, "assign")}
+
+
+def test_deep_nesting_is_linear():
+    began = time.time()
+    assert secrets.scan(SECRET + " %" + "25" * 1200 + "41")[0]
+    secrets.scan("%" + "5cx25" * 2000 + "41")
+    mixed = "\\x41%41"
+    for i in range(30):
+        mixed = re.sub(r"[%\\]", lambda m, i=i: ("%%%02x" if i % 2 else "\\x%02x") % ord(m[0]), mixed)
+    secrets.scan(mixed)
+    inner = SECRET
+    for i in range(12):
+        inner = b64(inner.encode()) if i % 2 else urllib.parse.quote(inner)
+    assert secrets.scan(inner)[1]
+    assert time.time() - began < 5
+    quine = secrets.scan("%2525252541 " + b64(b"A" * 40) + " &amp;amp;amp;#65;")
+    assert quine == ([], set())
+
+
+def layers_by_all_orders(text):
+    """What the base rules find in every text that single decoders reach, in any order; kind and matched text."""
+    todo, seen, found = [text], set(), set()
+    while todo:
+        t = todo.pop()
+        if t in seen:
+            continue
+        seen.add(t)
+        found |= {(k, t[s:e]) for s, e, k in secrets.find_base(t)}
+        todo.append(urllib.parse.unquote(t, errors="replace"))
+        todo.append(re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), t))
+        for run in re.findall("[A-Za-z0-9+/]{16,}={0,2}", t):
+            try:
+                data = base64.b64decode(run)
+            except ValueError:
+                continue
+            try:
+                data = gzip.decompress(data)
+            except (OSError, EOFError, zlib.error):
+                pass
+            todo.append(data.decode("utf-8", "replace"))
+    return found
+
+
+def test_added_spans_match_brute_force():
+    rng = random.Random(3)
+    wraps = [urllib.parse.quote, lambda t: "".join(f"%{c:02x}" for c in t.encode()), lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: b64(t.encode()), lambda t: b64(gzip.compress(t.encode()))]
+    for n in range(150):
+        secret = rng.choice([f"password={n:06d}abc", f"AKIA{n:016d}", f"{n:024x}", f"api_key: '{n:08d}/x'"])
+        inner = secret
+        for _ in range(rng.randrange(1, 5)):
+            inner = rng.choice(["", "so ", "ü; "]) + rng.choice(wraps)(inner) + rng.choice(["", " end"])
+        text = "some words. " + inner + rng.choice(["", "\n plain 50% and \\n more", " " + b64(b"nothing in here at all")])
+        want = layers_by_all_orders(text)
+        got = {(k, layer.text[s:e]) for layer in secrets.layers(text) for s, e, k in secrets.find_base(layer.text)}
+        assert want and want <= got
+        base, added = secrets.scan(text)
+        assert sorted(base) == sorted(secrets.find_base(text)) and all(12 <= s < e <= 12 + len(inner) for s, e, _ in added) and len(base) + len(added)
+
+
 def test_secrets_cases(spark):
     docs = docs_of(spark, [None, "", SECRET, SECRET, "%2525252541", "plain " * 20_000])
     got = sorted(secrets.find_secrets(docs).collect())
     assert [r.n_assign for r in got] == [0, 0, 1, 1, 0, 0] and got[0].spans == "" and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
     masked = {r.doc_id: r for r in secrets.mask_secrets(docs).collect()}
     assert masked[0].text is None and masked[2].n_chars == len(masked[2].text) and masked[4].text == "%2525252541" and masked[4].n_chars is None
-    assert secrets.mask_secrets(docs.limit(0)).columns == docs.columns
+    assert secrets.mask_secrets(docs.limit(0)).columns == docs.columns and secrets.mask_secrets(docs.limit(0)).count() == 0
+    assert secrets.find_secrets(docs.limit(0)).count() == 0
 
 
 # 4
