@@ -48,8 +48,9 @@ _MORE_SIGNS = {"%": re.compile("(2[56]|5[Cc])"), "\\": re.compile("(?:x|u00)(2[5
 _SIGNS = {"25": "%", "26": "&", "5c": "\\", "#37": "%", "#38": "&", "#92": "\\", "amp": "&"}
 _NAMED = {"quot": '"', "apos": "'", "lt": "<", "gt": ">"}
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+")
-#: A line that goes on with a base64 run of at least LINE_DIGITS: as long as the first, or shorter and the last.
-_MORE = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/_-]++)")
+#: A line that goes on with a base64 run of at least LINE_DIGITS: as long as the first, or shorter and the last. Nothing
+#: but padding, white space or the end of a quotation follows.
+_MORE = re.compile(r"""\r?\n[ \t]*([A-Za-z0-9+/_-]++)(?==*[ \t]*(?:[\r\n"'<,;)]|\Z))""")
 LINE_DIGITS = 40
 #: Stretches that may spell bytes by percent escapes, or as a quoted string does.
 _SPELLED = ((re.compile(r"""[^\s"'<>]+"""), ("%",)), (re.compile(r"""[^"'\n]+"""), ("\\x", "\\u00")))
@@ -246,7 +247,7 @@ def _base64(layer: Layer) -> Iterator[Data]:
         if start < joined or end - start < LINE_DIGITS:
             continue
         joined, width = end, end - start
-        while width == end - start and (more := _MORE.match(text, joined)) and (width := more.end() - more.start(1)) <= end - start:
+        while width == end - start and (more := _MORE.match(text, joined)) and (width := more.end(1) - more.start(1)) <= end - start:
             joined = more.end()
         if joined > end:
             yield from decoded(re.sub(r"\s", "", text[start:joined]), None, start, joined)
