@@ -54,7 +54,7 @@ _MORE = re.compile(r"""\r?\n[ \t]*([A-Za-z0-9+/_-]++)(?==*[ \t]*(?:[\r\n"'<,;)]|
 LINE_DIGITS = 40
 #: Stretches that may spell bytes by percent escapes, or as a quoted string does.
 _SPELLED = ((re.compile(r"""[^\s"'<>]+"""), ("%",)), (re.compile(r"""[^"'\n]+"""), ("\\x", "\\u00")))
-_GZIP, _ZLIB = (lambda: zlib.decompressobj(31)), (lambda: zlib.decompressobj(15))
+_GZIP, _ZLIB, _DEFLATE = (lambda: zlib.decompressobj(31)), (lambda: zlib.decompressobj(15)), (lambda: zlib.decompressobj(-15))
 #: How compressed streams begin. Fixed values.
 _MAGIC = {
     b"\x1f\x8b\x08": _GZIP, b"\x78\x01": _ZLIB, b"\x78\x5e": _ZLIB, b"\x78\x9c": _ZLIB, b"\x78\xda": _ZLIB, b"BZh": bz2.BZ2Decompressor,
@@ -257,7 +257,8 @@ _STANDARD = str.maketrans("-_", "+/")
 
 
 def _spelled(layer: Layer) -> Iterator[Data]:
-    """The bytes that stretches with escapes spell, if a compressed stream may be among them."""
+    """What compressed streams hold among the bytes that stretches with escapes spell. (As text, escapes are undone by
+    _unescaped.)"""
     text = layer.text
     for pattern, marks in _SPELLED:
         if not any(k in text for k in marks):
@@ -265,13 +266,14 @@ def _spelled(layer: Layer) -> Iterator[Data]:
         for m in pattern.finditer(text):
             if not any(k in m[0] for k in marks):
                 continue
+            run = m[0].encode("latin-1", "replace")
             if marks == ("%",):
-                found = {urllib.parse.unquote_to_bytes(m[0]), urllib.parse.unquote_to_bytes(m[0].replace("+", " "))}
+                found = {urllib.parse.unquote_to_bytes(run), urllib.parse.unquote_to_bytes(run.replace(b"+", b" "))}
             else:
-                found = {m[0].encode("latin-1", "backslashreplace").decode("unicode_escape", "replace").encode("latin-1", "replace")}
-            for data in sorted(found):
+                found = {run.decode("unicode_escape", "replace").encode("latin-1", "replace")}
+            for data in sorted(found - {run}):
                 if _compressed(data):
-                    yield Data(data, Pieces((0, HIDDEN, *layer.pieces.span(*m.span()))))
+                    yield from _streams(Data(data, Pieces((0, HIDDEN, *layer.pieces.span(*m.span())))))
 
 
 def _compressed(data: bytes) -> bool:
@@ -285,7 +287,7 @@ def _fed(d, data: bytes, start: int, end: int, step: int) -> Iterator[bytes]:
             return
 
 
-def _inflated(make, data: bytes, start: int, again: bool = True) -> Iterator[bytes]:
+def _inflated(make, data: bytes, start: int) -> Iterator[bytes]:
     """What a stream that begins at ``start`` yields, up to its end, a fault or the end of ``data``. Returns the position
     after a complete stream, else None."""
     d, good = make(), start
@@ -294,7 +296,7 @@ def _inflated(make, data: bytes, start: int, again: bool = True) -> Iterator[byt
             yield out
             good = min(len(data), good + STEP)
     except _BROKEN:
-        if again and good + 1 < len(data):  # what comes before the fault in this step
+        if good + 1 < len(data):  # what comes before the fault in this step
             d = make()
             try:
                 for _ in _fed(d, data, start, good, STEP):
@@ -306,6 +308,18 @@ def _inflated(make, data: bytes, start: int, again: bool = True) -> Iterator[byt
     return good - len(d.unused_data) if d.eof else None
 
 
+def _whole_deflate(data: bytes) -> bool:
+    """Whether a complete deflate stream without a header begins the bytes. Without a magic number, most bytes begin one
+    that breaks off, so these count only if they come to their end."""
+    d = _DEFLATE()
+    try:
+        for _ in _fed(d, data, 0, len(data), STEP):
+            pass
+    except _BROKEN:
+        return False
+    return d.eof
+
+
 def _windows(chunks: Iterator[bytes]) -> Iterator[bytes]:
     """Chunks joined to windows, each with the end of the one before. Long runs of spaces are shortened in large streams,
     as patterns take any number of them."""
@@ -328,19 +342,19 @@ def _streams(node: Data) -> Iterator[Data]:
     """Windows of what compressed streams hold, wherever they begin in the bytes."""
     data, whole = node.data, node.pieces.span(0, len(node.data))
 
-    def opened(make, start: int, again: bool = True):
+    def opened(make, start: int):
         ended = None
 
         def chunks():
             nonlocal ended
-            ended = yield from _inflated(make, data, start, again)
+            ended = yield from _inflated(make, data, start)
 
         for window in _windows(chunks()):
             yield Data(window, Pieces((0, HIDDEN, *whole)))
         return ended
 
-    if node.bare:
-        yield from opened(lambda: zlib.decompressobj(-15), 0, again=False)
+    if node.bare and _whole_deflate(data):
+        yield from opened(_DEFLATE, 0)
     at, begins = 0, {magic: data.find(magic) for magic in _MAGIC}
     while found := [(x, magic) for magic, x in begins.items() if x >= 0]:
         start, magic = min(found)

@@ -166,6 +166,7 @@ def test_deep_nesting_is_linear():
     assert time.time() - began < 5
     quine = secrets.scan("%2525252541 " + b64(b"A" * 40) + " &amp;amp;amp;#65;")
     assert quine == ([], set())
+    assert secrets.scan("diechschlichlich unglicheinheitkeitzu enscheinscheinau") == ([], set())
 
 
 def layers_by_all_orders(text):
