@@ -378,6 +378,50 @@ def test_main_text(spark):
     pages = spark.createDataFrame([(1, "u", page, "x"), (1, "u", page, "x"), (2, None, None, "x"), (None, "u", "", "x")], "page_id long, url string, html string, text string")
     got = html_text.extract_pages(pages).collect()
     assert [r.n_chars for r in got] == [len(r.text) for r in got] and [bool(r.text) for r in got] == [True, True, False, False]
+    assert html_text.extract_pages(pages.limit(0)).count() == 0
+    words = "many words " * 200_000
+    assert html_text.main_text(f"{MENU}<article><p>{words}</p></article>", tree) == words.strip()
+
+
+ARTICLE = "<h1>Title of it</h1><p>First paragraph, with <a href='/x'>a link</a>. " + "word " * 60 + "</p><p><a href='/y'>Only a link</a></p><p>Second one. " + "text " * 50 + "</p>"
+ARTICLE_TEXT = "Title of it First paragraph, with a link. " + "word " * 60 + "Only a link Second one. " + ("text " * 50).strip()
+MENU = "<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>About us</a></li></ul></nav>"
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        '<div class="entry-content no-sidebar">%s</div>', '<main class="content with-sidebar"><article>%s</article></main>', '<article class="post has-comments">%s</article>', '<div class="sidebar-layout"><article>%s</article></div>', "<article>%s", "<button>Go <article>%s</article>",
+        "<svg> <article>%s</article>", "<select><option>x <article>%s</article>", "<title>abc<article>%s</article>", "<div><object><article>%s</article></div>",
+    ],
+)
+def test_articles_are_kept_whole(around):
+    for menu in (MENU, ""):
+        assert html_text.main_text("<html><head><body>" + menu + around % ARTICLE + "<footer>&copy; all of us</footer>", html_text.train()) == ARTICLE_TEXT
+
+
+@pytest.mark.parametrize("around", ['<div id="content" class="layout-no-header">%s</div>', '<div class="with-comments">%s</div>', '<div class="has-header">%s</div>', '<div class="widget">%s</div>', '<div class="page sidebar-right">%s</div>', "<div>%s</div>", "<main>%s</main>"])
+def test_articles_in_other_markup_are_told_by_their_words(around):
+    text = html_text.main_text(MENU + around % ARTICLE + "<footer>&copy; all of us</footer>", html_text.train())
+    assert text.replace("Only a link ", "") == ARTICLE_TEXT.replace("Only a link ", "")
+
+
+@pytest.mark.parametrize("around", ['<div class="ad">%s</div>', '<div id="comments">%s</div>', '<div class="cookie-notice">%s</div>', "<aside>%s</aside>", "<form>%s</form>", '<div class="sidebar">%s</div>', '<section class="related-posts">%s</section>', "<footer>%s</footer>", "<header>%s</header>", '<div class="site-header">%s</div>', '<ul class="menu"><li>%s</li></ul>', "<div hidden>%s</div>", '<div id="comments"><article class="comment">%s</article></div>'])
+@pytest.mark.parametrize("article", ["<article>%s</article>", "<main>%s</main>", "<div>%s</div>"])
+def test_what_is_beside_the_article_goes(around, article):
+    tree = html_text.train()
+    for text in ("Buy this now, it is very cheap for you.", "Buy " * 45, "<p>I like it.</p>" + "<p>words of somebody here</p>" * 12):
+        for parts in ((around % text, article % ARTICLE), (article % ARTICLE, around % text)):
+            got = html_text.main_text(MENU + "".join(parts) + "<footer>us</footer>", tree)
+            assert got.replace("Only a link ", "") == ARTICLE_TEXT.replace("Only a link ", "")
+
+
+def test_parsing_is_linear():
+    began = time.time()
+    n = 100_000
+    for page in ("<div>" * n + "</p>" * n, "<svg>" * n + "x<p>", "<p>" * n + "</div>" * n, "<button>" * n + "<title>" * n, "<a b='" * n, "<!--" * n, "<script>" * n, "&amp" * n, "<ul><li>" * n + "</ul>" * n):
+        html_text.blocks_of(page)
+    assert time.time() - began < 20
 
 
 def test_articles_of_pages(spark):
