@@ -1,4 +1,4 @@
-"""Shared helpers: tables in the cluster's shared folder, small Arrow batches, row-wise Arrow operators."""
+"""Shared helpers: tables in the cluster's shared folder, row-wise Arrow operators."""
 
 from __future__ import annotations
 
@@ -11,18 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows in an Arrow batch. Texts may be long, so batches are kept small to bound a Python worker's memory.
+#: Rows that a Python worker holds as objects. Spark bounds an Arrow batch in bytes; the objects made of it are bounded by
+#: taking it in slices.
 BATCH_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temporary one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and all runs on this machine, as
+    in tests, a temporary one is set; on a cluster that is an error, since a folder of the driver's is no shared one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="factgraph-")
-            spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="factgraph-")
+        spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
@@ -38,9 +40,27 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+class Scratch:
+    """Stage tables that are removed together once what follows from them is written: ``with Scratch(spark) as keep``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for p in self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+        self.paths.clear()
 
 
 def ascii_lower(col: Column) -> Column:
@@ -48,16 +68,22 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of BATCH_ROWS rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, BATCH_ROWS):
+            yield b.slice(at, BATCH_ROWS)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
     """Apply a row function over Arrow batches. ``make`` builds the function once for a task, so that tables and caches
     that it needs are built there; it gets a row's values in column order and returns the output values."""
-    small_batches(df.sparkSession)
     names = list(df.sparkSession.createDataFrame([], schema).schema.names)
     arrow = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for b in batches:
+        for b in slices(batches):
             rows = [fn(*r) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
@@ -67,14 +93,13 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: st
 
 def append_columns(df: DataFrame, inputs: list[str], make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
     """All columns of ``df`` and those of ``schema``, which a row function (see map_rows) gives for the ``inputs``."""
-    small_batches(df.sparkSession)
     more = _arrow_schema(df.sparkSession, schema)
     at = [df.columns.index(c) for c in inputs]
     out_type = T.StructType([*df.schema.fields, *df.sparkSession.createDataFrame([], schema).schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for b in batches:
+        for b in slices(batches):
             rows = [fn(*r) for r in zip(*(b.column(i).to_pylist() for i in at), strict=True)]
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(more)
             made = [pa.array(list(c), t) for c, t in zip(cols, more.types, strict=True)]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_columns, small_batches
+from .common import append_columns
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -209,7 +209,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Whole texts are searched, a null text has no words. The score is BM25 as a multiple of the item's threshold. Rows with
     equal doc_id are judged one by one. Without documents or items the result is empty. Other columns are not read.
     """
-    small_batches(docs.sparkSession)
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     out = docs.sparkSession.createDataFrame([], schema)
     for index in build_indexes(benchmark):

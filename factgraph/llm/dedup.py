@@ -1,4 +1,9 @@
-"""Near-duplicate removal: SimHash links, verified on word shingles, then an exact search by shingles; one document of each group stays."""
+"""Near-duplicate removal: SimHash links, verified on word shingles, then an exact search by shingles; one document of each group stays.
+
+A text is a node. SimHash joins most copies with little work: each node of a linked set is compared with the set's middle.
+The exact search then compares all texts whose groups are still apart and that can be similar enough: two such texts share
+one of the first shingles, in an order that all texts have in common, of either.
+"""
 
 from __future__ import annotations
 
@@ -6,103 +11,159 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import map_rows, stage_table
+from .common import Scratch, map_rows
 from .components import components
-from .simhash import fingerprint, link_fingerprints, shingles, signed, words_of
+from .simhash import link_fingerprints, majority_bits, signed, words_of
 
 #: Fingerprints that differ in so many bits are compared by their shingles.
 RADIUS = 8
 AGREE = 2
 SHINGLE_WORDS = 5
+#: Words of the shingles of a fingerprint: shorter ones leave similar texts nearer to each other.
+PRINT_WORDS = 3
 SIMILARITY = 0.8
 #: One text in so many is looked at for common shingles.
-SAMPLE = 16
+SAMPLE = 32
 HOT_SHINGLES = 1 << 16
-#: Groups of texts under one key of the exact search.
+#: Rows of one key that go to one task: beyond it the key is dealt over several.
 SALTED = 1000
+#: Tables of ids up to this many rows are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 400_000
 _EPS = 1e-9
 
 
-def _shingle_hashes(text: str | None, size: int = SHINGLE_WORDS) -> list[int]:
-    return [h - (1 << 63) for h in {xxhash.xxh64_intdigest(s) for s in shingles(words_of(text), size)}]
+class Shingler:
+    """Hashes of word shingles: words are hashed once each, runs of words by a polynomial in those hashes, all at once."""
 
+    WORDS = 1 << 20
 
-def _with_shingles(rows: DataFrame) -> DataFrame:
-    """root, fp, h, first_id, shingles for rows with root, fp, h, first_id, text."""
-    return map_rows(rows.select("root", "fp", "h", "first_id", "text"), lambda: lambda root, fp, h, first, text: (root, fp, h, first, _shingle_hashes(text)), "root long, fp long, h long, first_id long, shingles array<long>")
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
 
+    def words(self, text: str | None) -> np.ndarray:
+        known, words = self.known, words_of(text)
+        if len(known) > self.WORDS:
+            known.clear()
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+    @staticmethod
+    def runs(words: np.ndarray, size: int) -> np.ndarray:
+        """A hash for each run of ``size`` words, repeats included; fewer words give one of the whole sequence, none give none."""
+        size = min(size, len(words))
+        if not size:
+            return words
+        n = len(words) - size + 1
+        h = np.full(n, size, np.uint64)
+        for i in range(size):
+            h = (h ^ words[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ h >> np.uint64(32)
 
-def _judged(members: DataFrame) -> DataFrame:
-    """fp, h, first_id, middle_h, alike: whether a member's shingles are similar enough to those of its set's middle, the
-    member nearest to the majority of the set's fingerprint bits (ties: the least id)."""
-    ones = members.groupBy("root").agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)))
-    bits = [F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)) for i in range(64)]
-    major = bits[0].cast("long")
-    for b in bits[1:]:
-        major = major.bitwiseOR(b.cast("long"))
-    ones = ones.select("root", major.alias("major"))
-    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("major")))
-    middles = members.join(ones, "root").groupBy("root").agg(F.min(F.struct(far.alias("far"), "first_id", "h")).alias("m")).select("root", "m.first_id", "m.h")
-    shown = members.join(middles, ["root", "first_id", "h"], "left_semi").select("root", F.col("shingles").alias("wanted"), F.col("h").alias("middle_h"))
-    return members.join(shown, "root").select("fp", "h", "first_id", F.col("middle_h"), ((F.col("h") == F.col("middle_h")) | _alike()).alias("alike"))
 
+def _set_of(words: np.ndarray) -> np.ndarray:
+    """The distinct shingles of a text, ascending."""
+    return np.unique(Shingler.runs(words, SHINGLE_WORDS).view(np.int64))
 
-def _alike():
-    """Whether columns shingles and wanted, both distinct, are similar enough; two texts without shingles are."""
-    both = F.size(F.array_intersect("shingles", "wanted"))
-    return both >= SIMILARITY * (F.size("shingles") + F.size("wanted") - both)
 
+def _shingled():
+    shingler = Shingler()
+    return lambda node, text: (node, _set_of(shingler.words(text)).tolist())
 
-def _prefix(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The first of distinct sorted ``hashes`` in the order all texts share: by hash, but those of ``hot`` last, in its order.
-    Texts similar enough share one of these at least, as two that share none lack too many of each other's."""
-    n = len(hashes)
-    if not n:
-        return hashes
-    if len(hot):
-        by_value = np.argsort(hot, kind="stable")
-        at = np.minimum(np.searchsorted(hot, hashes, sorter=by_value), len(hot) - 1)
-        rank = np.where(hot[by_value[at]] == hashes, by_value[at], -1)
-        hashes = hashes[np.argsort(rank, kind="stable")]
-    return hashes[: n - math.ceil(SIMILARITY * n - _EPS) + 1]
+
+class Order:
+    """An order that all texts share: shingles by hash, but those of ``hot`` last, in its order."""
+
+    def __init__(self, hot: np.ndarray):
+        self.rank = np.argsort(hot, kind="stable")
+        self.hot = hot[self.rank]
+
+    def prefix(self, hashes: np.ndarray) -> np.ndarray:
+        """The first of distinct sorted ``hashes``. Texts similar enough share one of these at least, as two that share none
+        lack too many of each other's."""
+        n = len(hashes)
+        if not n:
+            return hashes
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, hashes), len(self.hot) - 1)
+            rank = np.where(self.hot[at] == hashes, self.rank[at], -1)
+            hashes = hashes[np.argsort(rank, kind="stable")]
+        return hashes[: n - math.ceil(SIMILARITY * n - _EPS) + 1]
 
 
 def _hot_shingles(texts: DataFrame) -> np.ndarray:
     """Shingles that several texts of a sample hold, the commonest last, HOT_SHINGLES at most. They only order the search."""
-    sample = texts.filter(F.pmod("h", F.lit(SAMPLE)) == 0).select("h", "text")
-    held = map_rows(sample, lambda: lambda h, text: (h, _shingle_hashes(text)), "h long, shingles array<long>").dropDuplicates(["h"])
+    sample = texts.filter(F.pmod("k1", F.lit(SAMPLE)) == 0).select("k1", "text")
+    held = map_rows(sample, _shingled, "k1 long, shingles array<long>").dropDuplicates(["k1"])
     counts = held.select(F.explode("shingles").alias("s")).groupBy("s").count().filter("count > 1")
     rows = counts.orderBy(F.desc("count"), "s").limit(HOT_SHINGLES).collect()
     return np.array([r["s"] for r in reversed(rows)], np.int64)
 
 
 def _prints(texts: DataFrame, hot: np.ndarray) -> DataFrame:
-    """first_id, h, fp, class (equal for equal sets of shingles), n (shingles), prefix for rows with doc_id, h, text."""
+    """node, first_id, fp, c1 and c2 (equal for equal sets of shingles), n (shingles), prefix for rows with node, doc_id, text."""
+
+    def make():
+        shingler, order = Shingler(), Order(hot)
+
+        def one(node, doc_id, text):
+            words = shingler.words(text)
+            hashes = _set_of(words)
+            digest = xxhash.xxh3_128_intdigest(hashes.tobytes())
+            return node, doc_id, signed(majority_bits(Shingler.runs(words, PRINT_WORDS))), signed(digest >> 64), signed(digest & (1 << 64) - 1), len(hashes), order.prefix(hashes).tolist()
+
+        return one
+
+    return map_rows(texts.select("node", "doc_id", "text"), make, "node long, first_id long, fp long, c1 long, c2 long, n long, prefix array<long>")
 
-    def one(doc_id, h, text):
-        words = words_of(text)
-        hashes = np.sort(np.array(_shingle_hashes(text), np.int64))
-        return doc_id, h, signed(fingerprint(words)), signed(xxhash.xxh64_intdigest(hashes.tobytes())), len(hashes), _prefix(hashes, hot).tolist()
 
-    return map_rows(texts.select("doc_id", "h", "text"), lambda: one, "first_id long, h long, fp long, class long, n long, prefix array<long>")
+def _spread(big: DataFrame, small: DataFrame, key: list[str], by: str, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, whose rows have distinct keys: broadcast where it has few rows, else each row is there
+    SPREAD times, so that the many rows of one key in ``big`` are dealt by their column ``by``."""
+    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), key, how)
+    salted = small.withColumn("factgraph_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return big.withColumn("factgraph_salt", F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int")).join(salted, [*key, "factgraph_salt"], how).drop("factgraph_salt")
 
 
-def _candidates(posts: DataFrame) -> DataFrame:
+SPREAD = 64
+
+
+def _middles(members: DataFrame, keep: Scratch) -> DataFrame:
+    """(a, b): each member of a set (root, fp, node, first_id) and its set's middle, the member nearest to the majority of
+    the set's fingerprint bits (ties: the least id)."""
+    ones = members.groupBy("root").agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)))
+    bits = [F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)) for i in range(64)]
+    major = bits[0].cast("long")
+    for b in bits[1:]:
+        major = major.bitwiseOR(b.cast("long"))
+    ones = keep(ones.select("root", major.alias("major")), "dedup-majorities")
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("major")))
+    middles = keep(_spread(members, ones, ["root"], "node").groupBy("root").agg(F.min(F.struct(far.alias("far"), "first_id", "node")).alias("m")).select("root", F.col("m.node").alias("b")), "dedup-middles")
+    return _spread(members, middles, ["root"], "node").filter("node <> b").select(F.col("node").alias("a"), "b")
+
+
+def _candidates(posts: DataFrame, keep: Scratch) -> DataFrame:
     """(a, b, part, other) distinct pairs of texts of different groups (part, other) that could be similar enough by their sizes
-    and the number of shingles that their prefixes share, for rows of s, h, part, n. A shingle with many groups is dealt
+    and the number of shingles that their prefixes share, for rows of s, node, part, n. A shingle with many groups is dealt
     over several keys."""
-    several = posts.groupBy("s").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("s")
-    posts = stage_table(posts.join(several, "s", "left_semi"), "dedup-posts")
+    of_s = Window.partitionBy("s")
+    several = posts.withColumn("low", F.min("part").over(of_s)).withColumn("high", F.max("part").over(of_s)).filter("low < high")
+    posts = keep(several.drop("low", "high"), "dedup-posts")
     parts = posts.select("s", "part").distinct()
     parts = parts.join(parts.groupBy("s").agg(F.ceil(F.count("*") / SALTED).alias("k")), "s")
     left = parts.select("s", "part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
     right = parts.select("s", F.col("part").alias("other"), F.pmod(F.xxhash64("part"), F.col("k")).alias("salt"))
     ways = left.join(right, ["s", "salt"]).filter("part <> other").select("s", "part", "other")
-    x = posts.select("s", "part", F.col("h").alias("a"), F.col("n").alias("n_a"))
-    y = posts.select("s", F.col("part").alias("other"), F.col("h").alias("b"), F.col("n").alias("n_b"))
+    x = posts.select("s", "part", F.col("node").alias("a"), F.col("n").alias("n_a"))
+    y = posts.select("s", F.col("part").alias("other"), F.col("node").alias("b"), F.col("n").alias("n_b"))
     smaller = F.struct("n_b", "b") < F.struct(F.col("n_a").alias("n_b"), F.col("a").alias("b"))
     shared = x.join(ways, ["s", "part"]).join(y, ["s", "other"]).filter(smaller & (F.col("n_b") >= F.col("n_a") * SIMILARITY - _EPS))
     counted = shared.groupBy("a", "b", "part", "other", "n_a", "n_b").agg(F.count("*").alias("c"))
@@ -111,65 +172,92 @@ def _candidates(posts: DataFrame) -> DataFrame:
     return counted.filter(most >= (F.col("n_a") + F.col("n_b")) * (SIMILARITY / (1 + SIMILARITY)) - _EPS).select("a", "b", "part", "other")
 
 
-def _similar(pairs: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) of the ``pairs`` whose texts are similar enough."""
-    wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct().join(prints.select("h", F.col("first_id").alias("doc_id")), "h")
-    held = texts.join(wanted, ["doc_id", "h"], "left_semi").select("h", "text")
-    held = stage_table(map_rows(held, lambda: lambda h, text: (h, _shingle_hashes(text)), "h long, shingles array<long>").dropDuplicates(["h"]), "dedup-shingles")
-    both = pairs.select("a", "b").join(held.withColumnRenamed("h", "a"), "a").join(held.select(F.col("h").alias("b"), F.col("shingles").alias("wanted")), "b")
-    return stage_table(both.filter(_alike()).select("a", "b"), "dedup-similar")
+def _alike() -> Column:
+    """Whether columns x and y, both distinct, are similar enough; two texts without shingles are."""
+    both = F.size(F.array_intersect("x", "y"))
+    return both >= SIMILARITY * (F.size("x") + F.size("y") - both) - _EPS
+
 
+def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, repeated: bool, keep: Scratch) -> DataFrame:
+    """(a, b) of the ``pairs`` whose texts are similar enough. A text in many pairs is dealt over several keys."""
+    pairs = pairs.select("a", "b")
+    ends = keep(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node"), "dedup-ends")
+    small = ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    held = texts.join(F.broadcast(ends) if small else ends, ["doc_id", "k1", "k2"]).select("node", "text")
+    held = map_rows(held, _shingled, "node long, shingles array<long>")
+    held = keep(held.dropDuplicates(["node"]) if repeated else held, "dedup-shingles")
+    for end, other, name in (("a", "b", "x"), ("b", "a", "y")):
+        degree = pairs.groupBy(end).agg(F.ceil(F.count("*") / SALTED).alias("k"))
+        salted = held.withColumnRenamed("node", end).withColumnRenamed("shingles", name).join(degree.filter("k > 1"), end, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)))
+        many = keep(degree.filter("k > 1"), "dedup-degrees")
+        dealt = _spread(pairs, many, [end], other, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("k", F.lit(1)))).drop("k")
+        pairs = dealt.join(salted.drop("k"), [end, "salt"]).drop("salt")
+    return keep(pairs.filter(_alike()).select("a", "b"), "dedup-similar")
 
-def _verified_links(prints: DataFrame, near: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) links that join all groups of similar texts (by h), given those of ``near``: one from every text to the least
-    of its class, then one pair of any two groups is compared, then all pairs whose groups are still apart."""
-    least = stage_table(prints.groupBy("class").agg(F.min("h").alias("b")), "dedup-classes")
-    same = stage_table(prints.join(least, "class").filter("h <> b").select(F.col("h").alias("a"), "b"), "dedup-same")
+
+def _all_links(prints: DataFrame, near: DataFrame, nodes: DataFrame, texts: DataFrame, repeated: bool, keep: Scratch) -> DataFrame:
+    """(a, b) links that join all groups of similar texts, given those of ``near``: one from every text to the least of its
+    class, then one pair of any two groups is compared, then all pairs whose groups are still apart."""
+    least = keep(prints.groupBy("c1", "c2").agg(F.min("node").alias("b")), "dedup-classes")
+    same = keep(_spread(prints.select("c1", "c2", "node"), least, ["c1", "c2"], "node").filter("node <> b").select(F.col("node").alias("a"), "b"), "dedup-same")
     links = near.unionByName(same)
-    shown = prints.join(least, prints.h == least.b, "left_semi")
+    shown = prints.join(same.select(F.col("a").alias("node")), "node", "left_anti")
     parts = components(links)
-    posts = shown.join(parts, shown.h == parts.node, "left").select(F.explode("prefix").alias("s"), "h", F.coalesce("root", "h").alias("part"), "n")
-    pairs = stage_table(_candidates(posts), "dedup-pairs")
-    first = pairs.groupBy(F.least("part", "other"), F.greatest("part", "other")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-    found = _similar(stage_table(first, "dedup-first-pairs"), prints, texts)
+    posts = shown.join(parts, "node", "left").select(F.explode("prefix").alias("s"), "node", F.coalesce("root", "node").alias("part"), "n")
+    pairs = keep(_candidates(posts, keep), "dedup-pairs")
+    first = keep(pairs.groupBy(F.least("part", "other"), F.greatest("part", "other")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), "dedup-first-pairs")
+    found = _similar(first, nodes, texts, repeated, keep)
     roots = components(found.join(pairs, ["a", "b"]).select(F.col("part").alias("a"), F.col("other").alias("b")))
     apart = pairs.join(first, ["a", "b"], "left_anti").join(roots.select(F.col("node").alias("part"), F.col("root").alias("r")), "part", "left").join(roots.select(F.col("node").alias("other"), F.col("root").alias("q")), "other", "left")
-    apart = stage_table(apart.filter(F.coalesce("r", "part") != F.coalesce("q", "other")).select("a", "b"), "dedup-apart")
-    return links.unionByName(found).unionByName(_similar(apart, prints, texts))
+    apart = keep(apart.filter(F.coalesce("r", "part") != F.coalesce("q", "other")).select("a", "b"), "dedup-apart")
+    return links.unionByName(found).unionByName(_similar(apart, nodes, texts, repeated, keep))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others), less all near-duplicates but the one of least doc_id.
 
-    Equal texts are one group. Texts whose fingerprints link (also over others) within RADIUS bits form a set, in which every
-    member is compared with the set's middle; a Jaccard similarity of SIMILARITY or more joins their groups. Then an exact
-    search by shingles compares all texts of different groups that can be so similar. Rows with a null doc_id are kept. Of repeated rows (equal id and text) one is kept,
-    any of them if other columns differ. Null texts count as empty, and all empty texts are equal.
+    Equal texts (by 128 bits of hash) are one group, and so are texts with equal sets of shingles. Texts whose fingerprints
+    link (also over others) within RADIUS bits form a set, in which every member is compared with the set's middle; a Jaccard
+    similarity of SIMILARITY or more joins their groups. Then an exact search by shingles compares all texts of different
+    groups that can be so similar. Rows with a null doc_id are kept. Of repeated rows (equal id and text) one is kept, any of
+    them if other columns differ. Null texts count as empty, and all empty texts are equal. An empty table stays empty.
     """
-    hashed = docs.withColumn("factgraph_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    texts = hashed.select("doc_id", "text", F.col("factgraph_h").alias("h")).filter("doc_id is not null")
-    counted = stage_table(texts.groupBy("doc_id", "h").agg(F.count("*").alias("n")), "dedup-rows")
-    equal = stage_table(counted.groupBy("h").agg(F.min("doc_id").alias("doc_id")), "dedup-texts")
-    first = texts.join(equal, ["doc_id", "h"], "left_semi").select("doc_id", "h", "text")
-    made = stage_table(_prints(first, _hot_shingles(texts)), "dedup-shingled")
-    prints = stage_table(made.select("first_id", "h", "fp").dropDuplicates(["h"]), "dedup-prints")
-    distinct = stage_table(prints.groupBy("fp").agg(F.count("*").alias("n")), "dedup-fingerprints")
-    links = stage_table(link_fingerprints(distinct, RADIUS, AGREE).distinct(), "dedup-links")
-    roots = components(links)
-    rooted = prints.join(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root")), "fp")
-    several = rooted.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
-    suspects = stage_table(rooted.join(several, "root"), "dedup-suspects")
-    members = stage_table(_with_shingles(texts.join(suspects.withColumnRenamed("first_id", "doc_id"), ["doc_id", "h"]).withColumnRenamed("doc_id", "first_id")).dropDuplicates(["first_id", "h"]), "dedup-members")
-    judged = stage_table(_judged(members), "dedup-judged")
-    near = judged.filter("alike and h <> middle_h").select(F.col("h").alias("a"), F.col("middle_h").alias("b"))
-    groups = components(_verified_links(made, near, texts))
-    grouped = prints.select("h", "first_id").join(groups, prints.h == groups.node, "left").select("h", "first_id", F.coalesce("root", "h").alias("root"))
-    kept = grouped.groupBy("root").agg(F.min("first_id").alias("kept_id"))
-    dropped = grouped.join(kept, "root").filter("first_id <> kept_id").select(F.col("first_id").alias("doc_id"), "h")
-    stay = stage_table(equal.select("doc_id", "h").join(dropped, ["doc_id", "h"], "left_anti"), "dedup-stay").withColumnRenamed("h", "factgraph_h")
-    out = hashed.join(stay, ["doc_id", "factgraph_h"], "left_semi")
-    repeated = counted.filter("n > 1").select("doc_id", F.col("h").alias("factgraph_h"))
-    if not repeated.isEmpty():
-        more = out.join(repeated, ["doc_id", "factgraph_h"], "left_semi").dropDuplicates(["doc_id", "factgraph_h"])
-        out = out.join(repeated, ["doc_id", "factgraph_h"], "left_anti").unionByName(more)
-    return out.unionByName(hashed.filter("doc_id is null")).drop("factgraph_h").select(docs.columns)
+    text = F.coalesce("text", F.lit(""))
+    hashed = docs.withColumn("factgraph_k1", F.xxhash64(text)).withColumn("factgraph_k2", F.xxhash64(F.lit(1), text))
+    own = {"k1": "factgraph_k1", "k2": "factgraph_k2"}
+    texts = hashed.filter("doc_id is not null").select("doc_id", "text", *(F.col(c).alias(k) for k, c in own.items()))
+    last = Scratch(docs.sparkSession)
+    with Scratch(docs.sparkSession) as keep:
+        counted = last(texts.groupBy("doc_id", "k1", "k2").agg(F.count("*").alias("rows")), "dedup-rows")
+        equal = counted.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
+        nodes = keep(equal.select("doc_id", "k1", "k2", F.monotonically_increasing_id().alias("node")), "dedup-nodes")
+        first = texts.join(nodes, ["doc_id", "k1", "k2"])
+        repeated = not counted.filter("rows > 1").isEmpty()
+        prints = _prints(first, _hot_shingles(texts))
+        prints = keep(prints.dropDuplicates(["node"]) if repeated else prints, "dedup-prints")
+        distinct = keep(prints.select("fp").distinct(), "dedup-fingerprints")
+        roots = components(link_fingerprints(distinct, RADIUS, AGREE).distinct())
+        narrow = prints.select("fp", "node", "first_id")
+        rooted = _spread(narrow, roots.withColumnRenamed("node", "fp"), ["fp"], "node", "left").withColumn("root", F.coalesce("root", "fp"))
+        several = keep(rooted.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root"), "dedup-sets")
+        members = keep(_spread(rooted, several, ["root"], "node"), "dedup-members")
+        near = _similar(keep(_middles(members, keep), "dedup-stars"), nodes, texts, repeated, keep)
+        groups = components(_all_links(prints, near, nodes, texts, repeated, keep))
+        grouped = nodes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        kept = keep(grouped.groupBy("root").agg(F.min("doc_id").alias("kept_id")), "dedup-kept")
+        dropped = last(_spread(grouped, kept, ["root"], "node").filter("doc_id <> kept_id").select("k1", "k2"), "dedup-dropped")
+        copies = last(counted.join(nodes, ["doc_id", "k1", "k2"], "left_anti").select("doc_id", "k1", "k2"), "dedup-copies")
+    gone = [F.col(k).alias(c) for k, c in own.items()]
+    out = _without(hashed.filter("doc_id is not null"), dropped.select(*gone), list(own.values()))
+    out = _without(out, copies.select("doc_id", *gone), ["doc_id", *own.values()])
+    if repeated:
+        several = counted.filter("rows > 1").select("doc_id", *gone)
+        more = out.join(several, ["doc_id", *own.values()], "left_semi").dropDuplicates(["doc_id", *own.values()])
+        out = _without(out, several, ["doc_id", *own.values()]).unionByName(more)
+    return out.unionByName(hashed.filter("doc_id is null")).select(docs.columns)
+
+
+def _without(rows: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key isn't in ``gone``, which is broadcast where it has few rows."""
+    small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(gone) if small else gone, key, "left_anti")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, small_batches, stage_table
+from .common import map_rows, stage_table
 from .components import components
 
 RADIUS = 3
@@ -43,9 +43,11 @@ def shingles(words: list[bytes], size: int) -> list[bytes]:
 def fingerprint(words: list[bytes], size: int = SHINGLE_WORDS) -> int:
     """The 64-bit SimHash of a word sequence, unsigned: a bit is 1 if set in over half the shingles' hashes."""
     parts = shingles(words, size)
-    if not parts:
-        return 0
-    h = np.fromiter(map(_hash, parts), np.uint64, len(parts))
+    return majority_bits(np.fromiter(map(_hash, parts), np.uint64, len(parts)))
+
+
+def majority_bits(h: np.ndarray) -> int:
+    """The bits that over half of the 64-bit hashes have set; zero for none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -187,7 +189,6 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS, agree: int = 1) -> D
     """(a, b) links of distinct fingerprints (column fp) that differ in ``radius`` bits or fewer; enough of them that the
     components are those of all links. ``agree`` only changes the number and size of the groups. A task holds the
     fingerprints of its groups, 8 bytes each."""
-    small_batches(fps.sparkSession)
     masks = [signed(m) for m in block_masks(radius, agree)]
     dealt = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("choice", "key"))
     return dealt.repartition("choice", "key").select("choice", "key", "fp").mapInArrow(_linker(radius), "a long, b long")

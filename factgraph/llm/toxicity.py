@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_columns, map_rows, small_batches, stage_table
+from .common import append_columns, map_rows, slices, stage_table
 
 #: Labelled rows, least hashes of doc_id first, on which the model is fitted; texts that repeat count once.
 TRAIN_ROWS = 20_000
@@ -154,7 +154,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums[1].clear()
         return out
 
-    for b in batches:
+    for b in slices(batches):
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             sums[toxic].update(set(words_of(text)))
             if len(sums[0]) + len(sums[1]) > _FLUSH:
@@ -178,7 +178,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, vocabulary: int = VOCABULARY) -> Model:
     """The model of the labelled ``docs`` that aren't held out. Without rows of both labels it scores every text alike:
     near 0, or near 1 where all labels are toxic."""
-    small_batches(docs.sparkSession)
     train = training_rows(docs, labels, rows)
     n = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:

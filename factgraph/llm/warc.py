@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, small_batches, stage_table
+from .common import shared_path, slices, stage_table
 
 #: Byte ranges at most this far apart are read as one.
 GAP = 64 << 10
@@ -88,7 +88,6 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = DATE) -> Da
     to find repeats; the html itself is read by the writers. Other columns are not read.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"))
     repeats = stage_table(
@@ -106,7 +105,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = DATE) -> Da
         name = f"{uuid.uuid4().hex}.warc.gz"
         at = 0
         with files.open_output_stream(f"{path}/{name}", compression=None) as out:
-            for b in batches:
+            for b in slices(batches):
                 index = []
                 for page_id, url, text, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     member, digest, kind = build_record(page_id, url, text.encode(), refers_to, date)
@@ -146,7 +145,6 @@ def read_records(selected: DataFrame, payloads: bool = True) -> DataFrame:
     digest is computed from its payload; a record that fails its digest or lengths raises an error.
     """
     rows = selected.select("file", "offset", "length", "page_id", "url", "digest")
-    small_batches(rows.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict[str, pa.NativeFile] = {}

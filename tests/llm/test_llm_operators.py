@@ -316,6 +316,13 @@ def left_by_all_pairs(texts):
     return sorted(set(classes(range(len(texts)), alike).values()))
 
 
+def test_near_duplicates_of_the_table_match_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    want = [rows[i].doc_id for i in left_by_all_pairs([r.text for r in rows])]
+    assert sorted(r.doc_id for r in dedup.drop_near_duplicates(docs).collect()) == want
+
+
 def edited(rng, words, n):
     out = list(words)
     for i in rng.choice(len(words), n, replace=False):
