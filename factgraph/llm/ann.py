@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage_table
+from .common import hot_join, stage_table
 
 PROJECTED = 8
 CONFIDENCE = 0.95
@@ -33,8 +33,8 @@ SEED = 20
 SAMPLE = 8192
 #: Vectors that a cell is meant to hold; the upper levels have SAMPLE / 8 cells at most.
 CELL_ROWS = 8192
-#: Vectors and queries of one task's group at most, by hash.
-BLOCK_ROWS, CHUNK_ROWS = 32_768, 2048
+#: Bytes of vectors and number of queries of one task's group, on average (they are dealt by hash).
+BLOCK_BYTES, CHUNK_ROWS = 16 << 20, 2048
 LEAF = 256
 #: Products of matrices, which screen, may differ from the exact scores by less than this share of M^2.
 _SLACK = 1e-9
@@ -191,9 +191,10 @@ def _search(space, k: int):
 
 
 def _valid(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) rows that take part."""
+    """(vec_id, embedding) rows that take part; components are doubles, or floats if they come as such."""
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"
     ok = "vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
-    return vectors.select("vec_id", "embedding").filter(ok)
+    return vectors.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("embedding")).filter(ok)
 
 
 def _salted_first(rows: DataFrame, n: int, by: str) -> DataFrame:
@@ -242,13 +243,14 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, confidence: float =
             cell = s.tree.leaf_of(p)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(list(p), pa.list_(pa.float64()))], names=[*b.schema.names, "cell", "projected"])
 
-    dealt = stage_table(candidates.mapInArrow(place, "vec_id long, embedding array<float>, cell long, projected array<double>"), "ann-cells")
+    kind = rows.schema["embedding"].dataType.simpleString()
+    dealt = stage_table(candidates.mapInArrow(place, f"vec_id long, embedding {kind}, cell long, projected array<double>"), "ann-cells")
     axes = [F.get("projected", F.lit(d)).alias(f"p{d}") for d in range(PROJECTED)]
     cells = dealt.select("cell", *axes).groupBy("cell").agg(F.count("*").alias("n"), *(f(f"p{d}").alias(f"{f.__name__}{d}") for f in (F.min, F.max) for d in range(PROJECTED))).orderBy("cell").collect()  # at most SAMPLE / 8 cells
     number = np.array([c["cell"] for c in cells])
     low, high = (np.array([[c[f"{f}{d}"] for d in range(PROJECTED)] for c in cells]) for f in ("min", "max"))
     boxes = spark.sparkContext.broadcast((number, low, high))
-    parts = {c["cell"]: math.ceil(c["n"] / BLOCK_ROWS) for c in cells}
+    parts = {c["cell"]: math.ceil(c["n"] * 8 * top["n"] / BLOCK_BYTES) for c in cells}
 
     def route(first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +276,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, confidence: float =
     dealt = dealt.join(F.broadcast(block_of), "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part"), "vec_id", "embedding")
 
     def visit(asked: DataFrame, first: bool, name: str) -> DataFrame:
-        sent = stage_table(asked.select("query_key", "embedding", "known").mapInArrow(route(first), "cell long, query_key long, embedding array<float>, known double"), f"{name}-visits")
+        sent = stage_table(asked.select("query_key", "embedding", "known").mapInArrow(route(first), f"cell long, query_key long, embedding {kind}, known double"), f"{name}-visits")
         counts = sent.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks"))  # at most one row per cell
         left = sent.join(F.broadcast(counts), "cell").join(F.broadcast(block_of), "cell").select("cell", F.explode(F.expr("sequence(0L, parts - 1L)")).alias("part"), F.pmod(F.xxhash64("query_key"), F.col("chunks")).alias("chunk"), "query_key", "embedding", "known")
         right = dealt.join(F.broadcast(counts), "cell").select("cell", "part", F.explode(F.expr("sequence(0L, chunks - 1L)")).alias("chunk"), "vec_id", "embedding")
@@ -293,7 +295,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, confidence: float =
     best = merged(near.unionByName(far)).groupBy("query_key").agg(F.sort_array(F.collect_list(F.struct("at", "vec_id", "score"))).alias("best"))
     whole = queries.join(best, "query_key").select("embedding", "best")
     others = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    flat = asked.select(F.col("vec_id").alias("query_id"), "embedding").join(whole, "embedding").select("query_id", F.posexplode(others).alias("at", "x"))
+    flat = hot_join(asked.select(F.col("vec_id").alias("query_id"), "embedding"), whole, "embedding", "query_id").select("query_id", F.posexplode(others).alias("at", "x"))
     return flat.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
 
 

@@ -22,8 +22,8 @@ from .common import map_rows
 #: A word of the lower bitmap level has 2 ** SHIFT bits.
 SHIFT = 8
 MASK = (1 << SHIFT) - 1
-#: Encoded pre-tokens in one of the two generations that a task keeps.
-CACHE = 400_000
+#: Encoded pre-tokens in one of the two generations that a worker keeps, and the characters of those that it keeps at all.
+CACHE, CACHED_CHARS = 400_000, 48
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -101,7 +101,9 @@ class _Known(dict):
         self.ranks, self.older = ranks, older
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        self[piece] = ids = self.older[piece] if piece in self.older else merge(piece.encode(), self.ranks)
+        ids = self.older[piece] if piece in self.older else merge(piece.encode(), self.ranks)
+        if len(piece) <= CACHED_CHARS:
+            self[piece] = ids
         return ids
 
 
@@ -171,7 +173,11 @@ def decode_documents(encoded: DataFrame, vocabulary: str | None = None, pattern:
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: ids of every whole text and their decoding, as digests."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: ids of every whole text and their decoding, as digests.
+
+    A null text counts as empty, with no ids and the digests of nothing. Rows are independent: repeated rows give repeated
+    results, a null doc_id stays null, an empty table gives none. Other columns are not read.
+    """
     make = _codec_maker(docs.sparkSession, vocabulary or public_tokenizers.path(VOCABULARY), pattern)
 
     def rows():

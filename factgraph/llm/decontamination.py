@@ -1,10 +1,12 @@
 """Benchmark decontamination: a BM25 index of the test items, searched with block-max WAND by every training passage.
 
-An item's own threshold is the least score that a passage can have which repeats ``SIMILARITY`` of its word shingles, so the
-search loses none of those; weights are divided by it, and 1 is the threshold of all. Passages are searched a batch at a
-time with WAND's tests: terms whose upper bounds add up to less than the threshold can't lift an item alone, so a passage
-that has no other term is left at once; then the block maxima of its terms are added up, and postings are scored only in
-blocks that can still reach the threshold. What is retrieved is verified: question and answer must both be repeated.
+An item is a leak where a document repeats enough shingles of its question and of its answer, however far apart. So the
+longer of the two is indexed, which must lie in one passage, and both are verified over the whole document. An item's own
+threshold is the least score that a passage can have which repeats ``SIMILARITY`` of the indexed part's shingles, so the search
+loses none of those; weights are divided by it, and 1 is the threshold of all. Passages are searched a batch at a time with
+WAND's two tests: terms whose upper bounds add up to less than the threshold can't lift an item alone, so a passage that has no
+other term is left at once; then the block maxima of its terms are added up, and postings are scored only in blocks that can
+still reach the threshold. ``Index.skipped`` counts what either test saves.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_columns
+from .common import append_columns, slices
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -68,17 +70,19 @@ class Index:
     terms: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.longest = max((len(q) + len(a) for q, a in self.parts), default=0)
-        bags = [Counter([*q, *a]) for q, a in self.parts]
+        indexed = [a if len(a) > len(q) else q for q, a in self.parts]
+        self.longest = max(map(len, indexed), default=0)
+        self.skipped = Counter()
+        bags = [Counter(p) for p in indexed]
         held = Counter(t for b in bags for t in b)
         self.terms = {t: i for i, t in enumerate(sorted(held))}
         mean = sum(sum(b.values()) for b in bags) / max(1, len(bags))
         rows = []
-        for item, ((q, a), bag) in enumerate(zip(self.parts, bags, strict=True)):
+        for item, (part, bag) in enumerate(zip(indexed, bags, strict=True)):
             n = sum(bag.values())
             weight = {t: math.log(1 + (len(bags) - held[t] + 0.5) / (held[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * n / mean)) for t, f in bag.items()}
-            # a passage that repeats enough shingles of both parts lacks at most so many words of the item
-            lacking = sum(math.floor((1 - SIMILARITY) * len(shingles(p)) + _EPS) * (1 if len(p) > SHINGLE_WORDS else 0) for p in (q, a))
+            # a passage that repeats enough of the shingles lacks at most so many words of the part
+            lacking = math.floor((1 - SIMILARITY) * len(shingles(part)) + _EPS) if len(part) > SHINGLE_WORDS else 0
             heaviest = sorted(weight.values(), reverse=True)[:lacking]
             least = max(sum(weight.values()) - sum(heaviest), 1e-6)
             rows += [(self.terms[t], item, w / least) for t, w in weight.items()]
@@ -102,6 +106,7 @@ class Index:
         alive = np.zeros(n, bool)
         alive[passage[self.essential[term]]] = True
         keep = alive[passage]
+        self.skipped.update(passages=n, left_at_once=n - int(alive.sum()))
         passage, term = passage[keep], term[keep]
         p, at = _expand(passage, self.block_start, term)
         cells = _sums(p * self.n_blocks + self.block[at], self.block_max[at], n * self.n_blocks)[0]
@@ -110,6 +115,7 @@ class Index:
         keep = np.isin(passage, cells // self.n_blocks)
         p, at = _expand(passage[keep], self.start, term[keep])
         inside = np.isin(p * self.n_blocks + self.item[at] // BLOCK_ITEMS, cells)
+        self.skipped.update(postings=len(inside), not_scored=len(inside) - int(inside.sum()))
         pairs, score = _sums(p[inside] * len(self.items) + self.item[at[inside]], self.weight[at[inside]], n * len(self.items))
         return pairs // len(self.items), pairs % len(self.items), score
 
@@ -152,7 +158,7 @@ class Matcher:
         self.shingles: dict[int, tuple[set, set]] = {}
 
     def find(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, float, float]]:
-        """(text, item_id, score, question overlap, answer overlap) of the verified items of each text, best passage each."""
+        """(text, item_id, best score of a passage, question overlap, answer overlap) of the verified items of each text."""
         n_terms = len(self.index.terms)
         if not n_terms:
             return
@@ -167,24 +173,28 @@ class Matcher:
                 first.append(at)
                 n += 1
         distinct = _distinct(keys, n * n_terms)
-        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        best: dict[tuple[int, int], float] = {}
         for p, i, score in zip(*(x.tolist() for x in self.index.search(distinct // n_terms, distinct % n_terms, n)), strict=True):
-            question, answer = self.overlaps(docs[owner[p]][first[p] : first[p] + self.size], i)
+            best[owner[p], i] = max(score, best.get((owner[p], i), 0.0))
+        last, runs = -1, {}
+        for (d, i), score in sorted(best.items()):
+            if d != last:
+                last, runs = d, {}
+            question, answer = self.overlaps(docs[d], i, runs)
             if question >= SIMILARITY - _EPS and answer >= SIMILARITY - _EPS:
-                key = owner[p], i
-                best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, question, answer))
-        for (d, i), x in best.items():
-            yield d, self.index.items[i], *x
+                yield d, self.index.items[i], score, question, answer
 
-    def overlaps(self, words: list[str], item: int) -> tuple[float, float]:
-        """Shares of the item's question and answer shingles that the passage repeats; 1 for a part without words."""
+    def overlaps(self, words: list[str], item: int, runs: dict[int, set]) -> tuple[float, float]:
+        """Shares of the item's question and answer shingles that the text repeats; 1 for a part without words. ``runs``
+        keeps the text's shingles by size."""
         if item not in self.shingles:
             self.shingles[item] = tuple(shingles(p) for p in self.index.parts[item])
         out = []
         for wanted in self.shingles[item]:
-            size = len(next(iter(wanted))) if wanted else 1
-            runs = {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if wanted else set()
-            out.append(len(wanted & runs) / len(wanted) if wanted else 1.0)
+            size = len(next(iter(wanted))) if wanted else 0
+            if size and size not in runs:
+                runs[size] = set(zip(*(words[k:] for k in range(size)))) if len(words) >= size else set()
+            out.append(len(wanted & runs[size]) / len(wanted) if wanted else 1.0)
         return out[0], out[1]
 
 
@@ -216,7 +226,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value)
-            for b in batches:
+            for b in slices(batches):
                 ids = b.column(0).to_pylist()
                 rows = [(ids[d], *x) for d, *x in matcher.find(b.column(1).to_pylist())]
                 if rows:
@@ -227,7 +237,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that repeat no item."""
+    """The rows of ``docs``, with all their columns, that repeat no item. Null and empty texts repeat none; repeated rows stay
+    or go together; without items all rows stay."""
     name = "factgraph_leaked_items"
     for index in build_indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)

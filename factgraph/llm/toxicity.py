@@ -25,9 +25,8 @@ from .common import append_columns, map_rows, slices, stage_table
 
 #: Labelled rows, least hashes of doc_id first, on which the model is fitted; texts that repeat count once.
 TRAIN_ROWS = 20_000
-#: Words and prefixes in the model, those with the most evidence first.
-VOCABULARY = 50_000
-#: Training texts that must hold a word or prefix before it gets a weight of its own.
+#: Training texts that must hold a word or prefix before it gets a weight of its own. All of these are in the model, so its
+#: size is bounded by the training rows.
 LEAST_TEXTS = 3
 PREFIXES = (2, 3, 4, 5, 6)
 #: Texts with which a word counts for its prefixes at most, so that one frequent word doesn't speak for all like it.
@@ -175,7 +174,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     return stage_table(got.groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id")).select("text", "toxic"), "toxicity-training")
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, vocabulary: int = VOCABULARY) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """The model of the labelled ``docs`` that aren't held out. Without rows of both labels it scores every text alike:
     near 0, or near 1 where all labels are toxic."""
     train = training_rows(docs, labels, rows)
@@ -188,9 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, vocabulary:
     stems = F.explode(F.expr(f"transform(filter(array{PREFIXES}, k -> k < length(word)), k -> concat(substring(word, 1, k), '*'))"))
     prefixes = words.select(stems.alias("feature"), *((F.col(c) * part).alias(c) for c in ("clean", "toxic", "n"))).groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "n")))
     counts = prefixes.unionByName(words.withColumnRenamed("word", "feature"))
-    evidence = F.abs(F.col("toxic") - F.col("clean")) / F.sqrt(F.col("toxic") + F.col("clean"))
-    best = counts.filter(F.col("n") >= LEAST_TEXTS).orderBy(evidence.desc(), "feature").limit(vocabulary).collect()
-    model = Model(posterior_log_odds({r["feature"]: (r["clean"], r["toxic"]) for r in best}))
+    held = counts.filter(F.col("n") >= LEAST_TEXTS).collect()  # bounded by the words of ``rows`` texts
+    model = Model(posterior_log_odds({r["feature"]: (r["clean"], r["toxic"]) for r in held}))
 
     def measure():
         scorer = model.scorer()
@@ -240,7 +238,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 50)
 
 
 def _score_maker(spark: SparkSession, model: Model):
-    shared = spark.sparkContext.broadcast(model)  # bounded: VOCABULARY weights
+    shared = spark.sparkContext.broadcast(model)  # bounded by the training rows
 
     def make():
         scorer = shared.value.scorer()
@@ -257,7 +255,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, start, end (code points), strength of every significant passage."""
+    """doc_id, start, end (code points), strength of every significant passage; none for null and empty texts. Repeated rows
+    give repeated passages; other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -268,7 +267,8 @@ def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is under ``threshold``."""
+    """The rows of ``docs``, with all their columns, whose score is under ``threshold``. Null and empty texts have the score of
+    a text without segments; repeated rows stay or go together; an empty table stays empty."""
     name = "factgraph_toxicity_score"
     return append_columns(docs, ["text"], _score_maker(docs.sparkSession, model), f"{name} double").filter(F.col(name) < threshold).drop(name)
 

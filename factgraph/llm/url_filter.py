@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import ascii_lower
+from .common import ascii_lower, hot_join
 
 #: Host/path rules: the rule fits its host and all subdomains when the path starts with the rule's path.
 HOST_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -88,7 +88,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, default: str =
         F.max(F.when(F.col("kind") == "host", F.struct(F.length("rule").alias("long"), F.expr("transform(split(rule, ''), c -> -ascii(c))").alias("first"), "rule", "verdict"))).alias("best"),
         F.max(F.when(F.col("kind") == "pattern", F.col("verdict"))).alias("pattern"),
     )
-    return pages.join(decided, "url", "left").select(
+    return hot_join(pages, decided, "url", "page_id", "left").select(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", "pattern", F.lit(default)).alias("verdict"),
     )

@@ -67,6 +67,14 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to
     return press.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + press.flush(), digest, kind
 
 
+def info_record(name: str, date: str = DATE) -> bytes:
+    """The warcinfo record that an archive begins with, as a gzip member."""
+    fields = b"software: factgraph\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(fields)}"]
+    press = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return press.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + fields + b"\r\n\r\n") + press.flush()
+
+
 def parse_record(member: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     """WARC headers, HTTP headers and payload of one gzip member; raises ValueError where lengths don't agree."""
     raw = zlib.decompress(member, 31)
@@ -103,8 +111,10 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = DATE) -> Da
         files, path = _filesystem(root)
         files.create_dir(path, recursive=True)
         name = f"{uuid.uuid4().hex}.warc.gz"
-        at = 0
         with files.open_output_stream(f"{path}/{name}", compression=None) as out:
+            first = info_record(name, date)
+            out.write(first)
+            at = len(first)
             for b in slices(batches):
                 index = []
                 for page_id, url, text, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -142,7 +152,8 @@ def read_records(selected: DataFrame, payloads: bool = True) -> DataFrame:
     and payload (null for revisits, or for all if ``payloads`` is false).
 
     Rows are dealt by range of (file, offset) and sorted, and neighbouring byte ranges are read at once. A response's
-    digest is computed from its payload; a record that fails its digest or lengths raises an error.
+    digest is computed from its payload; a record that fails its digest or lengths, or names another page or URL than the
+    index does, raises an error.
     """
     rows = selected.select("file", "offset", "length", "page_id", "url", "digest")
 
@@ -163,6 +174,8 @@ def read_records(selected: DataFrame, payloads: bool = True) -> DataFrame:
                 found = base64.b32encode(hashlib.sha1(payload).digest()).decode() if kind == "response" else warc["WARC-Payload-Digest"].removeprefix("sha1:")
                 if found != digest or kind == "response" and len(payload) != int(http["Content-Length"]):
                     raise ValueError(f"{file}, offset {offset}: the payload doesn't fit its digest or length")
+                if warc["WARC-Record-ID"] != _record_id(page_id, url, digest) or warc.get("WARC-Target-URI") != (None if url is None else _header_value(url)):
+                    raise ValueError(f"{file}, offset {offset}: the record is not that of page {page_id}")
                 refers = re.fullmatch(r"<urn:page:(-?\d+)>", warc.get("WARC-Refers-To", ""))
                 out.append((page_id, url, int(http["Content-Length"]), found, kind, int(refers[1]) if refers else None, payload if payloads and kind == "response" else None))
             yield _batch(out, _RECORD)

@@ -67,11 +67,19 @@ def test_leaks_match_brute_force(spark, documents):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     text = next(t for _, t in items if len(t) > 200)
     made = [(10_001, None), (10_002, ""), (10_003, "so " * 5000 + text + " so" * 3000), (10_004, text), (10_004, text), (10_005, " ".join(text.split()[:-12])), (10_006, text.upper())]
-    docs = spark.createDataFrame(documents + made, "doc_id long, text string")
+    items.append((950, "Which of the nine old mills by the river was the first to grind oats for the town? It was the one below the stone bridge"))
+    question, answer = (" ".join(p) for p in decontamination.split_item(items[-1][1]))
+    filler = [f"filler{k % 97}" for k in range(2000)]
+    made += [(10_010 + k, " ".join([*filler[:50], question, *filler[:gap], answer, *filler[:30]])) for k, gap in enumerate((1, 100, 250, 400, 1000, 2000))]
+    docs = spark.createDataFrame([(*r, "x", 0.5) for r in documents + made], "doc_id long, text string, item_id string, score double")
     bench = spark.createDataFrame([*items, items[0], (None, text), (900, None), (901, "?!"), (902, "One?")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, bench).collect()}
     assert got == leaks(documents + made, [*items, (902, "One?")])
-    assert {10_003, 10_004, 10_006} <= {d for d, _ in got}
+    assert {10_003, 10_004, 10_006, *range(10_010, 10_016)} <= {d for d, _ in got}
+    assert decontamination.drop_leaks(docs, bench).columns == docs.columns and decontamination.drop_leaks(docs.limit(0), bench).count() == 0
+    index = decontamination.build_indexes(bench)[0]
+    assert {(documents + made)[d][0] for d, *_ in decontamination.Matcher(index).find([t for _, t in documents + made])} == {d for d, _ in got}
+    assert index.skipped["left_at_once"] > 0 and index.skipped["not_scored"] > 0
     assert decontamination.find_leaks(docs, bench.limit(0)).count() == 0
     kept = [r.doc_id for r in decontamination.drop_leaks(docs, bench).collect()]
     assert sorted(kept) == sorted(d for d, _ in documents + made if d not in {x for x, _ in got})
@@ -242,6 +250,26 @@ def test_neighbours_recall(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(few).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
     assert ann.nearest(few.limit(0)).count() == 0
+    doubles = spark.createDataFrame([(0, [0.1, 1e-9]), (1, [1.0, 0.0]), (2, [1.0, 1e-8])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in ann.nearest(doubles).orderBy("rank").collect()] == [(2, 0.1 + 1e-17), (1, 0.1)]
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(3000)], "vec_id long, embedding array<float>")
+    got = ann.nearest(same).groupBy("query_id").count().collect()
+    assert len(got) == 150 and {r["count"] for r in got} == {20}
+
+
+def test_neighbours_recall_on_the_table(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = [r for r in vectors.collect() if r.embedding is not None and any(r.embedding)]
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    found = defaultdict(set)
+    for r in ann.nearest(vectors).collect():
+        found[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(found[ids[q]] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+    assert hit / (20 * len(found)) >= 0.9
 
 
 # 5
@@ -274,6 +302,9 @@ def test_simhash_matches_brute_force(spark, documents):
     fp = {d: fingerprint(t) for d, t in rows}
     ids = sorted(fp)
     want = classes(ids, [(a, b) for i, a in enumerate(ids) for b in ids[:i] if (fp[a] ^ fp[b]).bit_count() <= 3])
+    assert simhash.near_duplicate_components(docs_of(spark, ["a"]).limit(0)).count() == 0
+    long = simhash.near_duplicate_components(docs_of(spark, ["very long " * 300_000, "very long " * 300_000])).collect()
+    assert {r.component_id for r in long} == {0} and long[0].fingerprint == f"{fingerprint('very long ' * 300_000):016x}"
     got = simhash.near_duplicate_components(spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, component_id string")).collect()
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == sorted((d, f"{fp[d]:016x}", want[d]) for d, _ in rows)
 
@@ -364,6 +395,8 @@ def test_bpe_equals_tiktoken(spark, documents):
     for t in texts:
         ids = codec.encode(t or "")
         assert ids == reference.encode_ordinary(t or "") and codec.decode(ids) == (t or "").encode()
+    assert bpe.round_trip(docs_of(spark, texts).limit(0)).count() == 0
+    assert max(len(p) for p in codec.known) <= bpe.CACHED_CHARS
     got = sorted(bpe.round_trip(docs_of(spark, texts)).collect())
     assert [r.decoded_sha256 for r in got] == [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
     encoded = bpe.encode_documents(docs_of(spark, texts))
@@ -455,6 +488,27 @@ def test_maximal_segments_match_brute_force():
         assert [x[:2] for x in toxicity.maximal_segments(s)] == split(s)
 
 
+def test_toxicity_score_matches_brute_force(documents):
+    rng = np.random.default_rng(4)
+    vocabulary = sorted({w for _, t in documents[:40] for w in toxicity.words_of(t)})
+    weights = {f: float(x) for f, x in zip(vocabulary[::2] + [f"{w[:3]}*" for w in vocabulary if len(w) > 3], rng.normal(-0.5, 3, 2 * len(vocabulary)))}
+    model = toxicity.Model(weights, rate=0.7, log_k=-1.0, coefficients=(-2.0, 0.4, 0.9))
+    for _, text in documents[:60] + [(0, None), (0, ""), (0, vocabulary[0])]:
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())[:60]
+        scores = []
+        for w in words:
+            names = [w] + [f"{w[:k]}*" for k in (6, 5, 4, 3, 2) if k < len(w)]
+            scores.append(min(5.0, max(-2.0, next((weights[n] for n in names if n in weights), 0.0))) - 0.6)
+
+        def split(s):
+            best = max(((sum(s[i:j]), i - j, i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=(0,))
+            return [] if best[0] <= 1e-12 else split(s[: best[2]]) + [best[0]] + split(s[best[3] :])
+
+        good = [0.7 * s + 1.0 - np.log(max(len(words), 1)) for s in split(scores)]
+        want = -2.0 + 0.4 * max([-5.0, *good]) + 0.9 * np.log1p(sum(g for g in good if g > 0))
+        assert model.scorer().score(" ".join(words)) == pytest.approx(1 / (1 + np.exp(-want)))
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -469,6 +523,7 @@ def test_toxicity_on_held_out_rows(spark):
     assert [r.doc_id for r in toxicity.drop_toxic(made, model).orderBy("doc_id").collect()] == [0, 1, 2] and toxicity.drop_toxic(made, model).columns == made.columns
     spans = toxicity.toxic_passages(made, model).collect()
     assert any(r.doc_id == 3 and r.start == 0 for r in spans) and {r.doc_id for r in spans} <= {2, 3}
+    assert toxicity.score_documents(made.limit(0), model).count() == 0 and toxicity.score_documents(docs_of(spark, ["long " * 300_000] * 2), model).count() == 2
     none = toxicity.fit(docs, labels.limit(0))
     assert {r.predicted for r in toxicity.score_documents(made, none).collect()} == {0}
 
@@ -529,3 +584,15 @@ def test_url_verdicts(spark):
         ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("example.com", "/en/x", "example.com/en/", "block"), ("www.example.com", "/en/", "www.example.com/en/", "allow"), ("a.net", "/es/q", "net/es/", "block"),
         ("anet", "/es/", None, "allow"), ("y.net", "/fr/", "net/fr/", "block"), ("b.org", "/", None, "allow"), ("casino.org", "/", None, "block"), ("net", "", None, "allow"), ("a.com", "", None, "allow"), ("x.com", "/", "com/", "allow"),
     ]
+
+
+def test_url_rules_of_ones_own(spark):
+    rules = [("a.org/", "block"), ("a.org/x/", "allow"), ("a.org", "allow"), ("b.org/p?", "block")]
+    patterns = [("no literal", (), r"\A[^/]*/\d+\z"), ("games", ("games", "free"), r"free-games")]
+    table = url_filter.rule_table(spark, rules, patterns)
+    urls = ["http://a.org/x/1", "http://www.a.org/y", "http://c.org/123", "http://c.org/free-games", "http://c.org/games", "http://b.org/p", "http://c.org/" + "free-games-" * 20_000] + ["http://hot.org/123"] * 3000
+    pages = spark.createDataFrame([(i, u, "v") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, table).collect()}
+    assert [got[i] for i in range(7)] == [("a.org/x/", "allow"), ("a.org/", "block"), (None, "block"), (None, "block"), (None, "allow"), (None, "allow"), (None, "block")]
+    assert len(got) == len(urls) and {got[i] for i in range(7, len(urls))} == {(None, "block")}
+    assert url_filter.judge_urls(pages.limit(0), table).count() == 0
