@@ -65,19 +65,29 @@ def resolve_relative(folder: Column, reference: Column) -> Column:
 
 
 def container_key(raw: Column) -> Column:
-    """Letters, digits, _ and - only; not empty, not starting with a digit."""
+    """Letters, digits, _ and - only; not empty, not starting with a digit. "element" and "n_" are fixed values."""
     clean = F.regexp_replace(raw, "[^A-Za-z0-9_-]", "_")
     return F.when(clean == "", "element").when(clean.rlike("^[0-9]"), F.concat(F.lit("n_"), clean)).otherwise(clean)
 
 
 def http_urls(line: Column) -> Column:
-    """All http and https URLs of a line."""
-    return F.regexp_extract_all(line, F.lit(r"(https?://[^\s\"'<>`)]+)"), F.lit(1))
+    """All http and https URLs of a line: the characters that RFC 3986 allows, less quotes and closing brackets, which rather
+    end a URL in code, and without full stops or commas at the end."""
+    allowed = r"[A-Za-z0-9._~:/?#\[@!$&(*+,;=%-]"
+    return F.transform(F.regexp_extract_all(line, F.lit(f"(https?://{allowed}+)"), F.lit(1)), lambda u: F.regexp_replace(u, "[.,;:!]+$", ""))
+
+
+#: Words that name no vendor. Own choice.
+STOP_WORDS = ["api", "app", "client", "cloud", "com", "http", "https", "inc", "io", "ltd", "sdk", "service", "services", "the", "www"]
 
 
 def vendor_tokens(name: Column) -> Column:
-    """Distinct alphanumeric tokens of three characters or more, lower-cased."""
-    return F.array_distinct(F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda t: F.length(t) >= 3))
+    """Distinct alphanumeric tokens of three characters or more, lower-cased and without STOP_WORDS, and the whole name
+    without other characters, if it has five or more."""
+    low = F.lower(name)
+    compact = F.regexp_replace(low, "[^a-z0-9]+", "")
+    tokens = F.filter(F.split(low, "[^a-z0-9]+"), lambda t: (F.length(t) >= 3) & ~t.isin(STOP_WORDS))
+    return F.array_distinct(F.concat(tokens, F.when((F.length(compact) >= 5) & ~compact.isin(STOP_WORDS), F.array(compact)).otherwise(F.array().cast("array<string>"))))
 
 
 def token_estimate(text: Column) -> Column:

@@ -86,12 +86,26 @@ def unique_aliases(aliases: DataFrame) -> DataFrame:
     return aliases.filter("alias is not null and alias <> ''").groupBy("alias").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id")).filter("n = 1").select("alias", "id")
 
 
-def longest_match(rows: DataFrame, text: str, catalog: DataFrame) -> DataFrame:
-    """``rows`` with the catalog entry (key, value, seq) whose key their text contains: the longest key, then the earliest.
-    The catalog is a small table of rules; an entry's key is matched without case."""
-    hit = F.contains(F.lower(F.col(text)), F.col("key"))
-    best = rows.join(F.broadcast(catalog), hit, "left")
-    return best.groupBy(*rows.columns).agg(F.max(F.when(F.col("key").isNotNull(), F.struct(F.length("key").alias("long"), (-F.col("seq")).alias("early"), "value"))).alias("m")).select(*rows.columns, F.col("m.value").alias("value"))
+#: Catalogs up to this many rules become one column expression; larger ones are joined.
+EXPRESSION_RULES = 2000
+
+
+def longest_match(rows: DataFrame, text: str, catalog: DataFrame, expression_rules: int = EXPRESSION_RULES) -> DataFrame:
+    """``rows`` with the value of the catalog entry (key, value, seq) whose key their text contains, without case: the longest
+    key, then the earliest. Keys of fewer than three characters or that begin with @ don't count. Every row stays, also
+    repeated ones. Rules of a large catalog are joined by their first three characters, so that no row meets all of them."""
+    usable = catalog.select(F.lower("key").alias("key"), "value", "seq").filter("length(key) >= 3 and not startswith(key, '@')")
+    rules = usable.orderBy(F.length("key").desc(), "seq").limit(expression_rules + 1).collect()
+    low = F.lower(F.col(text))
+    if len(rules) <= expression_rules:
+        found = [F.when(F.contains(low, F.lit(r["key"])), F.lit(r["value"])) for r in rules]
+        return rows.withColumn("value", F.coalesce(*found) if found else F.lit(None).cast("string"))
+    keyed = usable.withColumn("start", F.substring("key", 1, 3))
+    texts = rows.select(low.alias("_low")).distinct()
+    starts = texts.select("_low", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_low") - 2, F.lit(1))), lambda i: F.substring(F.col("_low"), i, F.lit(3))))).alias("start"))
+    hits = starts.join(keyed, "start").filter(F.contains("_low", F.col("key")))
+    best = hits.groupBy("_low").agg(F.min(F.struct((-F.length("key")).alias("long"), "seq", "value")).alias("m")).select("_low", F.col("m.value").alias("value"))
+    return rows.withColumn("_low", low).join(best, "_low", "left").drop("_low")
 
 
 def snapshot_diff(base: DataFrame, head: DataFrame, key: str, value: str) -> DataFrame:
@@ -110,7 +124,7 @@ def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
 
 def token_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """agent, tokens, cost: cost is null if any call has no price."""
-    priced = usage.join(F.broadcast(prices), "model", "left").withColumn("cost", F.col("tokens") * F.col("price") / 1e6)
+    priced = usage.join(prices, "model", "left").withColumn("cost", F.col("tokens") * F.col("price") / 1e6)
     return priced.groupBy("agent").agg(F.sum("tokens").alias("tokens"), F.when(F.count("*") == F.count("cost"), F.round(F.sum("cost"), 6)).alias("cost"))
 
 

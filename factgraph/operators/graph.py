@@ -12,14 +12,30 @@ def first_per_key(rows: DataFrame, keys: list, order: list[Column]) -> DataFrame
     return rows.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_at = 1").drop("_at")
 
 
+#: Flows that an earlier pass made up have ids that begin so. A fixed value.
+MADE_UP = "flow_fallback_"
+
+
+def best_per_key(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
+    """The least row of each key in a total order of ascending columns. Rows are reduced before they are shuffled."""
+    best = rows.groupBy(*(k.alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.min(F.struct(*(o.alias(f"_o{i}") for i, o in enumerate(order)), F.struct(*rows.columns).alias("_row"))).alias("_m"))
+    return best.select("_m._row.*")
+
+
+def _preference(flows: DataFrame, seq: list[str]) -> list[Column]:
+    """Detected flows before made-up ones, then the more confident, then the earlier."""
+    made_up = F.col("id").startswith(MADE_UP) if "id" in flows.columns else F.lit(False)
+    return [made_up, -F.col("confidence"), *map(F.col, seq)]
+
+
 def dedupe_directed(flows: DataFrame, seq: list[str]) -> DataFrame:
-    """One flow per (source, target), whatever its type: higher confidence first, then the earlier."""
-    return first_per_key(flows, ["source", "target"], [F.desc("confidence"), *map(F.col, seq)])
+    """One flow per (source, target), whatever its type: detected before made up, higher confidence first, then the earlier."""
+    return best_per_key(flows, [F.col("source"), F.col("target")], _preference(flows, seq))
 
 
 def dedupe_undirected(flows: DataFrame, seq: list[str]) -> DataFrame:
     """One flow per unordered pair, with the same preference."""
-    return first_per_key(flows, [F.least("source", "target"), F.greatest("source", "target")], [F.desc("confidence"), *map(F.col, seq)])
+    return best_per_key(flows, [F.least("source", "target"), F.greatest("source", "target")], _preference(flows, seq))
 
 
 def dedupe_typed(flows: DataFrame, seq: list[str]) -> DataFrame:
@@ -85,11 +101,17 @@ def attach_orphans(components: DataFrame, flows: DataFrame, confidence: float =
 
 
 def red_flags(components: DataFrame, flows: DataFrame) -> DataFrame:
-    """code, subject: components without flows, sections without a hub, third parties without a flow from their section."""
-    touched = flows.select(F.col("source").alias("id")).unionByName(flows.select(F.col("target").alias("id")))
+    """code, subject: components without flows, sections without a hub, third parties without a flow from their section. The
+    flows are reduced to distinct pairs once; one join per end then gives every component its flags."""
+    pairs = flows.select("source", "target").distinct()
+    section = components.select(F.col("id").alias("source"), F.col("section").alias("from_section"))
+    ends = pairs.join(section, "source", "left").select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(None).cast("string").alias("from_section")), F.struct(F.col("target").alias("id"), "from_section"))).alias("e")).select("e.*").distinct()
+    seen = components.join(ends, "id", "left")
+    touched = ends.select("id").distinct()
     alone = components.join(touched, "id", "left_anti").select(F.lit("isolated_component").alias("code"), F.col("id").alias("subject"))
+    fed = seen.filter("type = 'third_party'").groupBy("id").agg(F.coalesce(F.bool_or(F.col("from_section") == F.col("section")), F.lit(False)).alias("fed"))
     no_hub = sections_without_hub(components).select(F.lit("section_without_hub").alias("code"), F.col("section").alias("subject"))
-    return alone.unionByName(no_hub).unionByName(orphans(components, flows).select(F.lit("orphan_third_party").alias("code"), F.col("id").alias("subject")))
+    return alone.unionByName(no_hub).unionByName(fed.filter("not fed").select(F.lit("orphan_third_party").alias("code"), F.col("id").alias("subject")))
 
 
 def neighbourhood(flows: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -112,4 +134,4 @@ def contract(flows: DataFrame, mapping: DataFrame, seq: list[str]) -> DataFrame:
     out = flows
     for end in ("source", "target"):
         out = out.join(mapping.select(F.col("id").alias(end), F.col("into").alias("_into")), end, "left").withColumn(end, F.coalesce("_into", end)).drop("_into")
-    return dedupe_typed(out, seq)
+    return best_per_key(out.filter("source <> target"), [F.col("source"), F.col("target"), F.col("type")], list(map(F.col, seq)))

@@ -83,10 +83,34 @@ def running_total(rows: DataFrame, order: str, value: str, buckets: int = 64) ->
     return cut.join(F.broadcast(before), "_bucket").withColumn("running", F.col("_before") + inside).drop("_bucket", "_before")
 
 
+def json_bytes(path: Column, content: Column) -> Column:
+    """Bytes of ``{"path":...,"content":...}`` in UTF-8. (A path holds nothing that JSON escapes.)"""
+    return F.octet_length(F.to_json(F.struct(path.alias("path"), content.alias("content"))))
+
+
+def halved(files: DataFrame, max_size: int) -> DataFrame:
+    """folder, path, part, size: the files (folder, path, content), of which those whose JSON is larger than ``max_size`` are cut
+    in halves by code points until each part fits; ``part`` spells the halves taken (0 or 1 each). What a single code point
+    makes too large is left out. The longest text bounds the number of rounds, which only grows with its logarithm."""
+    size = json_bytes(F.col("path"), F.col("content"))
+    parts = files.withColumn("part", F.lit("")).withColumn("size", size)
+    longest = parts.agg(F.max("size")).first()[0] or 0
+    large = (F.col("size") > max_size) & (F.length("content") > 1)
+    while longest > max_size:
+        middle = F.ceil(F.length("content") / 2).cast("int")
+        first = F.struct(F.concat("part", F.lit("0")).alias("part"), F.substring(F.col("content"), F.lit(1), middle).alias("content"))
+        second = F.struct(F.concat("part", F.lit("1")).alias("part"), F.substring(F.col("content"), middle + 1, F.length("content")).alias("content"))
+        cut = parts.select("folder", "path", F.explode(F.when(large, F.array(first, second)).otherwise(F.array(F.struct("part", "content")))).alias("x"))
+        parts = cut.select("folder", "path", "x.part", "x.content").withColumn("size", size)
+        longest = (longest + 1) // 2 + 64
+        if longest <= max_size + 64 * 2:
+            longest = parts.filter(large).agg(F.max("size")).first()[0] or 0
+    return parts.filter(F.col("size") <= max_size).select("folder", "path", "part", "size")
+
+
 def pack(files: DataFrame, key: str, max_size: int, max_files: int) -> DataFrame:
-    """path, pack: next-fit packing of each key's files in path order; a file larger than ``max_size`` has a pack of its own.
-    A pack is closed by the first file that doesn't fit. Only paths and sizes reach the packing function, one key at a
-    time, in sorted batches."""
+    """path, part, pack: next-fit packing of each key's files in order of path and part. A pack is closed by the first file
+    that doesn't fit; so the law is sequential, and one key's sizes go through one task, in sorted batches (without contents)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, number, used, count = object(), 0, 0, 0
         for b in batches:
@@ -98,10 +122,15 @@ def pack(files: DataFrame, key: str, max_size: int, max_files: int) -> DataFrame
                     number, used, count = number + 1, 0, 0
                 used, count = used + size, count + 1
                 out.append(number)
-            yield pd.DataFrame({"path": b["path"], "k": b["k"], "pack": pd.Series(out, dtype="int64")})
+            yield pd.DataFrame({"path": b["path"], "part": b["part"], "k": b["k"], "pack": pd.Series(out, dtype="int64")})
+
+    slim = files.select("path", "part", F.col(key).alias("k"), "size").repartition("k").sortWithinPartitions("k", "path", "part")
+    return slim.mapInPandas(run, "path string, part string, k string, pack long").withColumnRenamed("k", key)
+
 
-    slim = files.select("path", F.col(key).alias("k"), "size").repartition("k").sortWithinPartitions("k", "path")
-    return slim.mapInPandas(run, "path string, k string, pack long").withColumnRenamed("k", key)
+def sessions(turns: DataFrame, found: Column, scope: Column) -> DataFrame:
+    """conv_id, turns, findings of the conversations in ``scope``."""
+    return turns.filter(scope).groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(found).alias("findings"))
 
 
 def top_folders(files: DataFrame, n: int = 3) -> DataFrame:

@@ -49,7 +49,8 @@ def match_paths(wanted: DataFrame, paths: DataFrame) -> DataFrame:
         return have.select(F.explode(key).alias("key"), "path").groupBy("key").agg(F.min("path").alias("path"), F.count("*").alias("n")).withColumn("tier", F.lit(tier))
 
     def tail(path: str) -> Column:
-        return F.slice(scalars.path_suffixes(F.col(path)), 2, 1000)
+        suffixes = scalars.path_suffixes(F.col(path))
+        return F.slice(suffixes, F.lit(2), F.size(suffixes))
 
     def own(key: Column) -> DataFrame:
         return want.select("wanted", F.explode(key).alias("key"))

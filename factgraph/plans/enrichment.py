@@ -121,10 +121,12 @@ def balanced_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "events").select("event_id", scalars.first_json_object(text).alias("found"))
 
 
-@query()
+@query("""WITH n AS (SELECT DISTINCT regexp_extract(html, '<title>(.*?)</title>', 1) AS name FROM pages), b AS (
+  SELECT name, regexp_replace(regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(name)), '[^a-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), '-{2,}', '-', 'g'), 1, 80), '[-.]+$', ''), '^$', 'item') AS base FROM n)
+SELECT name, CASE WHEN count(*) OVER (PARTITION BY base) = 1 THEN base ELSE base || '-' || substr(sha256(name), 1, 6) END AS slug FROM b""")
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File-safe names of the documents' first words."""
-    names = tables.table(spark, sf_dir, "documents").select(F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), r"\s+"), 1, 2), " ").alias("name"))
+    """File-safe names of the pages' titles."""
+    names = tables.table(spark, sf_dir, "pages").select(F.regexp_extract(F.coalesce("html", F.lit("")), "<title>(.*?)</title>", 1).alias("name")).distinct()
     return enrichment.slugs(names, scalars.slug_base("name"))
 
 
@@ -157,8 +159,10 @@ def c4_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.containers(tables.files(spark, sf_dir).select(F.col("path").alias("id"), "path", F.lit("file").alias("sub_type")))
 
 
+#: What links may say of a page's path: all of it, more, or only its last part.
+_WANTED = "CASE page_id % 3 WHEN 0 THEN path WHEN 1 THEN 'q/' || path ELSE 'zz/' || regexp_extract(path, '([^/]*)$', 1) END"
 _PAGE_PATHS = r"p AS (SELECT DISTINCT regexp_extract(url, '://[^/?#]*/([^?#]*)', 1) AS path FROM pages WHERE url LIKE '%://%/%')"
-_HREFS = """w AS (SELECT DISTINCT ltrim(h, '/') AS wanted FROM (SELECT unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h FROM pages))"""
+_HREFS = rf"""w AS (SELECT DISTINCT {_WANTED} AS wanted FROM (SELECT page_id, regexp_extract(url, '://[^/?#]*/([^?#]*)', 1) AS path FROM pages WHERE url LIKE '%://%/%'))"""
 
 
 @query(f"""WITH {_PAGE_PATHS}, {_HREFS}, t AS (SELECT wanted, path, CASE WHEN wanted = path THEN 1 WHEN ends_with(path, '/' || wanted) OR ends_with(wanted, '/' || path) THEN 2
@@ -167,8 +171,9 @@ SELECT wanted, tier, min(path) AS path, count(*) AS n FROM t WHERE tier IS NOT N
 def href_basename_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the pages' links may mean among the paths of all pages."""
     pages = tables.table(spark, sf_dir, "pages")
-    paths = pages.filter("url like '%://%/%'").select(F.regexp_extract("url", "://[^/?#]*/([^?#]*)", 1).alias("path")).filter("path <> ''")
-    wanted = pages.select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("h")).select(F.ltrim("h", F.lit("/")).alias("wanted")).filter("wanted <> ''")
+    paths = pages.filter("url like '%://%/%'").select("page_id", F.regexp_extract("url", "://[^/?#]*/([^?#]*)", 1).alias("path")).filter("path <> ''")
+    kind = F.col("page_id") % 3
+    wanted = paths.select(F.when(kind == 0, F.col("path")).when(kind == 1, F.concat(F.lit("q/"), "path")).otherwise(F.concat(F.lit("zz/"), scalars.basename(F.col("path")))).alias("wanted"))
     return topology.match_paths(wanted, paths)
 
 

@@ -80,11 +80,11 @@ def line_signal_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.signal_hits(tables.lines(spark, sf_dir), RULES).groupBy("rule", "language").agg(F.count("*").alias("n"))
 
 
-@query(with_relations("files", "lines") + f"""SELECT path, line_no FROM (SELECT *, max(regexp_matches(line, '{LICENSE}')::INT) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM lines)
-WHERE regexp_matches(line, '{EMAIL}') AND near = 1""")
+@query(with_relations("files", "lines") + f"""SELECT path, line_no FROM (SELECT *, max(regexp_matches(line, '[0-9]')::INT) OVER (PARTITION BY path ORDER BY line_no RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM lines)
+WHERE regexp_matches(line, '{LICENSE}') AND near = 1""")
 def line_context_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with an address near a license line."""
-    return text.near_context(tables.lines(spark, sf_dir), F.col("line").rlike(EMAIL), F.col("line").rlike(LICENSE)).select("path", "line_no")
+    """License lines near a line with a digit."""
+    return text.near_context(tables.lines(spark, sf_dir), F.col("line").rlike(LICENSE), F.col("line").rlike("[0-9]")).select("path", "line_no")
 
 
 @query(_WITH_HITS + "SELECT path, array_to_string(list_sort(list_distinct(list(rule))), ',') AS labels, count(*) AS n FROM hits GROUP BY path")
@@ -116,11 +116,10 @@ def pii_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.signal_hits(tables.lines(spark, sf_dir), RULES[:2]).select("path", "line_no", "rule", id_.alias("id"))
 
 
-@query(f"SELECT conv_id, count(*) AS turns, sum(regexp_matches(text, '{EMAIL}')::INT)::BIGINT AS findings FROM conversations GROUP BY conv_id HAVING sum(regexp_matches(text, '{EMAIL}')::INT) > 0")
+@query("SELECT conv_id, count(*) AS turns, sum(regexp_matches(text, '[0-9]')::INT)::BIGINT AS findings FROM conversations WHERE conv_id >= 5 GROUP BY conv_id HAVING sum(regexp_matches(text, '[0-9]')::INT) > 0 OR count(*) > 3")
 def session_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations with addresses."""
-    rows = tables.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("text").rlike(EMAIL)).alias("findings"))
-    return rows.filter("findings > 0")
+    """Turns with digits in conversations from the fifth on, of conversations that have some or more than three turns."""
+    return text.sessions(tables.table(spark, sf_dir, "conversations"), F.col("text").rlike("[0-9]"), F.col("conv_id") >= 5).filter("findings > 0 or turns > 3")
 
 
 @query(with_relations("files", "lines") + f"SELECT path, line_no, substr(line, 1, 160) AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_no) AS k FROM lines WHERE regexp_matches(line, '{EMAIL}')) WHERE k = 1")
@@ -139,16 +138,25 @@ def _first(relation: str, keys: str, order: str, where: str = "true") -> str:
     return f"SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS k FROM {relation} WHERE {where}) WHERE k = 1"
 
 
-@query(with_relations("flows") + f"SELECT id, source, target, type, confidence FROM ({_first('flows', 'source, target', f'confidence DESC, {_SEQ}')})")
+#: Flows of which every fourth order's were made up by an earlier pass.
+_MARKED = with_relations("flows").rstrip() + ", marked AS (SELECT * REPLACE (CASE WHEN l_orderkey % 4 = 0 THEN 'flow_fallback_' || id ELSE id END AS id) FROM flows)\n"
+_PREFER = f"starts_with(id, 'flow_fallback_'), confidence DESC, {_SEQ}"
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.flows(spark, sf_dir).withColumn("id", F.when(F.col("l_orderkey") % 4 == 0, F.concat(F.lit(graph.MADE_UP), "id")).otherwise(F.col("id")))
+
+
+@query(_MARKED + f"SELECT id, source, target, type, confidence FROM ({_first('marked', 'source, target', _PREFER)})")
 def flow_dedupe_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flow per directed pair."""
-    return graph.dedupe_directed(tables.flows(spark, sf_dir), SEQ).select("id", "source", "target", "type", "confidence")
+    return graph.dedupe_directed(_marked(spark, sf_dir), SEQ).select("id", "source", "target", "type", "confidence")
 
 
-@query(with_relations("flows") + f"SELECT id, source, target, type, confidence FROM ({_first('flows', 'least(source, target), greatest(source, target)', f'confidence DESC, {_SEQ}')})")
+@query(_MARKED + f"SELECT id, source, target, type, confidence FROM ({_first('marked', 'least(source, target), greatest(source, target)', _PREFER)})")
 def flow_dedupe_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flow per unordered pair."""
-    return graph.dedupe_undirected(tables.flows(spark, sf_dir), SEQ).select("id", "source", "target", "type", "confidence")
+    return graph.dedupe_undirected(_marked(spark, sf_dir), SEQ).select("id", "source", "target", "type", "confidence")
 
 
 @query(with_relations("flows") + f"SELECT id, source, target, type FROM ({_first('flows', 'source, target, type', _SEQ, 'source <> target')})")
@@ -211,10 +219,15 @@ def section_hub_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ORPHANS = "orphans AS (SELECT id, section FROM components WHERE type = 'third_party' AND id NOT IN (SELECT target FROM ends WHERE target_type = 'third_party' AND source_section = target_section))"
 
 
-@query(_WITH_ENDS.rstrip() + ", " + _ORPHANS + "\nSELECT source, o.id AS target, 0.6::DOUBLE AS confidence FROM orphans o JOIN (SELECT section, min(id) AS source FROM components WHERE type = 'asset' AND sub_type = 'application' GROUP BY section) USING (section)")
+#: One order in forty has flows.
+_FEW = with_relations("components", "flows").rstrip().replace("flows AS (", "flows0 AS (") + ", flows AS (SELECT * FROM flows0 WHERE l_orderkey % 40 = 0), " + _ENDS
+
+
+@query(_FEW + ", " + _ORPHANS + "\nSELECT source, o.id AS target, 0.6::DOUBLE AS confidence FROM orphans o JOIN (SELECT section, min(id) AS source FROM components WHERE type = 'asset' AND sub_type = 'application' GROUP BY section) USING (section)")
 def orphan_third_party(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New flows from hubs to orphans."""
-    return graph.attach_orphans(*_rel(spark, sf_dir, "components", "flows"))
+    """New flows from hubs to orphans, where one order in forty has flows."""
+    components, flows = _rel(spark, sf_dir, "components", "flows")
+    return graph.attach_orphans(components, flows.filter("l_orderkey % 40 = 0"))
 
 
 @query(_WITH_ENDS.rstrip() + ", " + _ORPHANS + ", " + _HUBLESS + """
@@ -400,11 +413,25 @@ def canonical_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.components(spark, sf_dir).select("id", F.sha1(F.to_json(F.struct("id", "name", "type")).cast("binary")).alias("hash"))
 
 
-@query()
+UPLOAD_BYTES, UPLOAD_FILES = 4000, 6
+
+
+@query(with_relations("files").replace("WITH", "WITH RECURSIVE").rstrip() + f""", parts(path, part, content) AS (
+  SELECT path, '', content FROM files UNION ALL
+  SELECT path, part || h, CASE h WHEN '0' THEN substr(content, 1, ceil(length(content) / 2)::BIGINT) ELSE substr(content, ceil(length(content) / 2)::BIGINT + 1) END
+  FROM parts, (VALUES ('0'), ('1')) v(h) WHERE strlen(content) + length(content) - length(translate(content, '\n\t\r"\\', '')) + strlen(path) + 24 > {UPLOAD_BYTES} AND length(content) > 1
+), sized AS (
+  SELECT path, part, string_split(path, '/')[2] AS folder, strlen(content) + length(content) - length(translate(content, '\n\t\r"\\', '')) + strlen(path) + 24 AS size FROM parts
+), fit AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY path, part) AS k FROM sized WHERE size <= {UPLOAD_BYTES}),
+r(folder, k, path, part, used, n, pack) AS (
+  SELECT folder, k, path, part, size, 1, 0::BIGINT FROM fit WHERE k = 1 UNION ALL
+  SELECT f.folder, f.k, f.path, f.part, CASE WHEN used + size > {UPLOAD_BYTES} OR n >= {UPLOAD_FILES} THEN size ELSE used + size END, CASE WHEN used + size > {UPLOAD_BYTES} OR n >= {UPLOAD_FILES} THEN 1 ELSE n + 1 END,
+    CASE WHEN used + size > {UPLOAD_BYTES} OR n >= {UPLOAD_FILES} THEN pack + 1 ELSE pack END FROM r JOIN fit f ON f.folder = r.folder AND f.k = r.k + 1
+) SELECT folder, path, part, pack FROM r""")
 def upload_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Next-fit packs of each folder's files."""
+    """Next-fit packs of each folder's files as JSON, those too large cut in halves."""
     files = tables.files(spark, sf_dir).withColumn("folder", F.split("path", "/")[1])
-    return text.pack(files, "folder", 70_000, 200)
+    return text.pack(text.halved(files.select("folder", "path", "content"), UPLOAD_BYTES), "folder", UPLOAD_BYTES, UPLOAD_FILES)
 
 
 @query(with_relations("components", "flows", "kg_links").rstrip() + f", {_GONE}" + """
