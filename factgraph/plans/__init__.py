@@ -3,3 +3,4 @@
 from . import registry as registry
 from . import enrichment as enrichment
 from . import merge as merge
+from . import rewrites as rewrites
