@@ -4,3 +4,5 @@ from . import registry as registry
 from . import enrichment as enrichment
 from . import merge as merge
 from . import rewrites as rewrites
+from . import metrics as metrics
+from . import knowledge as knowledge
