@@ -153,3 +153,56 @@ def first_json_object(texts: pd.Series) -> pd.Series:
             return None
 
     return texts.map(one)
+
+
+def entity_uri(kind: Column, identity: Column) -> Column:
+    """``dp:`` kind ``/`` identity, the identity percent-encoded."""
+    return F.concat(F.lit("dp:"), kind, F.lit("/"), F.replace(F.url_encode(identity), F.lit("+"), F.lit("%20")))
+
+
+def entity_of(uri: Column) -> Column:
+    """(kind, identity) of such a URI; null for other texts."""
+    kind, rest = F.regexp_extract(uri, "^dp:([a-z0-9_]+)/(.+)$", 1), F.regexp_extract(uri, "^dp:([a-z0-9_]+)/(.+)$", 2)
+    return F.when(kind != "", F.struct(kind.alias("kind"), F.try_url_decode(rest).alias("identity")))
+
+
+def epoch_seconds(iso: Column) -> Column:
+    """Seconds since 1970 of an ISO time; null if it's none."""
+    return F.unix_seconds(F.try_to_timestamp(iso))
+
+
+def land_date(seconds: Column) -> Column:
+    """``YYYYMMDD`` of seconds since 1970, in the session's time zone (UTC)."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyyMMdd")
+
+
+def title_case(name: Column) -> Column:
+    """Words between spaces, hyphens and underscores, each with a capital."""
+    return F.initcap(F.trim(F.regexp_replace(name, r"[\s_-]+", " ")))
+
+
+def is_public_url(text: Column) -> Column:
+    """An http or https URL of another host than this machine or a private network."""
+    return text.rlike(r"^https?://") & ~text.rlike(r"^https?://(localhost|127\.|0\.0\.0\.0|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)")
+
+
+def git_remote(remote: Column) -> Column:
+    """host/path of a git remote, of URLs and of user@host:path alike, without user, port and .git."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(remote), r"\.git/?$", ""), "^[a-z+]+://", "")
+    return F.lower(F.regexp_replace(F.regexp_replace(bare, "^[^@/]*@", ""), "^([^/:]+):(?:[0-9]+/)?", "$1/"))
+
+
+def imports_of(source: Column) -> Column:
+    """Modules that a source text imports or requires, once each, in order."""
+    return F.array_distinct(F.regexp_extract_all(source, F.lit(r"(?:\bfrom\s+|\bimport\s+|\b(?:require|import)\s*\(\s*)['\"]([^'\"]+)['\"]"), F.lit(1)))
+
+
+def redacted(text: Column) -> Column:
+    """The text with values of keys that name secrets, and tokens after Bearer, replaced."""
+    keyed = F.regexp_replace(text, r"(?i)((?:api[_-]?key|token|secret|password)[\"']?\s*[:=]\s*[\"']?)[^\s\"',;}]+", "$1[redacted]")
+    return F.regexp_replace(keyed, r"(?i)(bearer\s+)[A-Za-z0-9._~+/=-]+", "$1[redacted]")
+
+
+def normal_token(raw: Column, joiner: str = "_") -> Column:
+    """Lower-case, other characters than letters and digits as one joiner, none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(F.trim(raw)), "[^a-z0-9]+", joiner), F.lit(joiner))

@@ -6,3 +6,4 @@ from . import merge as merge
 from . import rewrites as rewrites
 from . import metrics as metrics
 from . import knowledge as knowledge
+from . import third_party as third_party
