@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -54,4 +54,39 @@ def write_each(rows: DataFrame, path: str, key: str) -> None:
     """One folder per record, named by ``key``, which must be unique and filled: else nothing is written and it fails."""
     if not rows.groupBy(key).count().filter((F.col("count") > 1) | F.col(key).isNull()).isEmpty():
         raise ValueError(f"{key} is not unique or has nulls")
-    rows.withColumn("_file", F.col(key)).repartition("_file").write.mode("errorifexists").partitionBy("_file").json(path)
+    rows.withColumn("_file", file_name(F.col(key))).repartition("_file").write.mode("errorifexists").partitionBy("_file").json(path)
+
+
+def read_records(spark: SparkSession, folder: str, schema: str, pins: list[str] | None = None, pin: str = "pin") -> DataFrame:
+    """The records of a folder's JSON files, in order of file names as far as they are sorted by ``_file``; only those of the ``pins``,
+    if any are given. A folder without any records is an error."""
+    rows = read_json(spark, folder, schema).withColumn("_file", F.input_file_name())
+    rows = rows.filter(F.col(pin).isin(pins)) if pins else rows
+    if rows.isEmpty():
+        raise ValueError(f"no records in {folder}")
+    return rows
+
+
+def file_name(uid: Column, most: int = 200) -> Column:
+    """A file-safe name of an id: other characters than letters, digits, dots, _ and - become _; names of more than ``most``
+    characters are cut and end in 16 digits of the id's hash."""
+    safe = F.regexp_replace(uid, "[^A-Za-z0-9._-]+", "_")
+    short = F.concat(F.substring(safe, 1, most - 17), F.lit("-"), F.substring(F.sha2(uid, 256), 1, 16))
+    return F.when(F.length(safe) > most, short).otherwise(safe)
+
+
+def wrapper(parts: dict[str, DataFrame], version: str) -> DataFrame:
+    """part, at, json: a document in rows, the version first and then every row of the parts as JSON in order of its own text, so that
+    a writer can stream it and nothing is gathered."""
+    rows = [df.select(F.lit(name).alias("part"), F.to_json(F.struct(*df.columns)).alias("json")) for name, df in parts.items()]
+    head = next(iter(parts.values())).sparkSession.createDataFrame([("version", f'{{"schemaVersion":"{version}"}}')], "part string, json string")
+    for r in rows:
+        head = head.unionByName(r)
+    return head
+
+
+def without_own_output(paths: DataFrame, output: str, own: list[str]) -> DataFrame:
+    """Paths (path) that aren't in the output folder of an earlier run; where that is the root (``""``), only the files ``own``
+    names are left out."""
+    folder = output.strip("/")
+    return paths.filter(~F.startswith("path", F.lit(folder + "/"))) if folder else paths.filter(~F.col("path").isin(own))
