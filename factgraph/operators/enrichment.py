@@ -66,18 +66,24 @@ def merge_properties(current: DataFrame, patches: DataFrame, rank: list[Column])
     return first_per_key(open_, ["id", "property"], rank).select("id", "property", "value", "patch")
 
 
+def with_status(questions: DataFrame, answered: DataFrame) -> DataFrame:
+    """The questions with status: answered where there's an answer to (subject, slot), else unknown."""
+    known = answered.select("subject", "slot").distinct().withColumn("_known", F.lit(True))
+    return questions.join(known, ["subject", "slot"], "left").withColumn("status", F.when(F.col("_known"), "answered").otherwise("unknown")).drop("_known")
+
+
 def questions(components: DataFrame, flows: DataFrame) -> DataFrame:
     """subject, slot, about: the scope of the system, two questions on each flow out to a third party, one on each actor."""
-    scope = components.sparkSession.createDataFrame([("system", "in_scope", "What is the system, and what is in scope?")], "subject string, slot string, about string")
+    scope = components.sparkSession.createDataFrame([("system", "in_scope", "Which system is this, and where does it end?")], "subject string, slot string, about string")
     names = components.select("id", "name")
     out = classify(flows, components).filter("crossing = 'outbound_third_party'").select("id", "source", "target")
     out = out.join(names.toDF("source", "from"), "source").join(names.toDF("target", "to"), "target")
     asked = F.explode(F.array(
-        F.struct(F.lit("data_categories").alias("slot"), F.concat(F.lit("What data goes from "), "from", F.lit(" to "), "to", F.lit("?")).alias("about")),
-        F.struct(F.lit("purpose").alias("slot"), F.concat(F.lit("Why does "), "from", F.lit(" send data to "), "to", F.lit("?")).alias("about")),
+        F.struct(F.lit("data_categories").alias("slot"), F.concat(F.lit("Which kinds of data does "), "from", F.lit(" pass to "), "to", F.lit("?")).alias("about")),
+        F.struct(F.lit("purpose").alias("slot"), F.concat(F.lit("What for does "), "to", F.lit(" get data of "), "from", F.lit("?")).alias("about")),
     ))
     of_flows = out.select(F.col("id").alias("subject"), asked.alias("q")).select("subject", "q.slot", "q.about")
-    of_actors = components.filter("type = 'actor'").select(F.col("id").alias("subject"), F.lit("actor_kind").alias("slot"), F.concat(F.lit('Is "'), "name", F.lit('" a specific person, a role, or a persona?')).alias("about"))
+    of_actors = components.filter("type = 'actor'").select(F.col("id").alias("subject"), F.lit("actor_kind").alias("slot"), F.concat(F.lit("Does "), "name", F.lit(" stand for one person, for a role or for a kind of user?")).alias("about"))
     return scope.unionByName(of_flows).unionByName(of_actors)
 
 

@@ -75,10 +75,11 @@ def queue_plan(counts: DataFrame, total: int) -> DataFrame:
     return counts.select("agent", "n", share.cast("long").alias("share"))
 
 
-def budget_prefix(rows: DataFrame, key: str, order: list[Column], cost: str, budget: float) -> DataFrame:
-    """Rows of each key, in order, while their running cost stays within the budget."""
+def budget_prefix(rows: DataFrame, key: str, order: list[Column], cost: str, budget: float, least: int = 0) -> DataFrame:
+    """Rows of each key, in order, while their running cost stays within the budget; the first ``least`` are kept anyway."""
     running = F.sum(cost).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("running", running).filter(F.col("running") <= budget)
+    at = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return rows.withColumns({"running": running, "_at": at}).filter((F.col("running") <= budget) | (F.col("_at") <= least)).drop("_at")
 
 
 def unique_aliases(aliases: DataFrame) -> DataFrame:
@@ -115,11 +116,12 @@ def snapshot_diff(base: DataFrame, head: DataFrame, key: str, value: str) -> Dat
     return both.select(key, change.alias("change")).filter("change is not null")
 
 
-def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """inner_id, outer_id: spans (path, first, last) that lie within others of the same path."""
-    i = inner.select("path", F.col("id").alias("inner_id"), F.col("first").alias("f"), F.col("last").alias("l"))
-    o = outer.select("path", F.col("id").alias("outer_id"), "first", "last")
-    return i.join(o, "path").filter("f >= first and l <= last").select("inner_id", "outer_id").distinct()
+def contained(inner: DataFrame, outer: DataFrame, block: int = 64) -> DataFrame:
+    """inner_id, outer_id: spans (path, first, last) that lie within others of the same path. Outer spans are filed under every block of
+    lines they touch, inner ones under that of their first line, so a long path makes no pairs of spans far apart."""
+    i = inner.select("path", F.col("id").alias("inner_id"), F.col("first").alias("f"), F.col("last").alias("l"), F.floor(F.col("first") / block).alias("b"))
+    o = outer.select("path", F.col("id").alias("outer_id"), "first", "last", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor(F.col("last") / block))).alias("b"))
+    return i.join(o, ["path", "b"]).filter("f >= first and l <= last").select("inner_id", "outer_id").distinct()
 
 
 def token_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
@@ -137,3 +139,33 @@ def cascade(removed: DataFrame, flows: DataFrame, links: DataFrame) -> DataFrame
         return both.join(ends, "id", "left_semi").select(F.lit(kind).alias("kind"), F.col("own").alias("id")).distinct()
 
     return ends.select(F.lit("component").alias("kind"), "id").unionByName(touching(flows, "flow", "id")).unionByName(touching(links, "link", "seq"))
+
+
+def identity_key(rows: DataFrame) -> Column:
+    """The identity of a component (section, type, sub_type, file, name, address, provider_key, service): its address in infrastructure
+    code, else what manages it, else section, type, subtype, file and name. The prefixes are fixed values."""
+    def text(c: str) -> Column:
+        return F.coalesce(F.col(c), F.lit(""))
+
+    app = F.concat(F.lit("app:"), F.concat_ws("|", text("section"), text("type"), text("sub_type"), text("file"), F.regexp_replace(F.lower(F.trim(text("name"))), r"\s+", " ")))
+    managed = F.concat(F.lit("managed:{"), F.col("provider_key"), F.lit("}|"), text("service"), F.lit("|"), text("section"))
+    return F.when(text("address") != "", F.concat(F.lit("tf:"), "address")).when(text("provider_key") != "", managed).otherwise(app)
+
+
+def flow_key() -> Column:
+    """The identity of a flow (source, target, type, method, endpoint, file) as a JSON list; the version is a fixed value."""
+    return F.to_json(F.array(F.lit("flow/v1"), "source", "target", "type", F.upper(F.coalesce("method", F.lit(""))), F.coalesce("endpoint", F.lit("")), F.coalesce("file", F.lit(""))))
+
+
+def aliases_of(components: DataFrame) -> DataFrame:
+    """id, alias of components (id, name, path): id, name, path, the path without its index file, and that one's folder, in lower case."""
+    from factgraph.functions import scalars
+
+    path = scalars.posix_path(F.lower("path"))
+    bare = scalars.without_index(path)
+    return components.select("id", F.explode(F.array_distinct(F.array_compact(F.array(F.lower("id"), F.lower("name"), path, bare, scalars.dirname(bare))))).alias("alias")).filter("alias <> ''")
+
+
+def status_counts(statuses: DataFrame) -> DataFrame:
+    """status, n."""
+    return statuses.groupBy("status").agg(F.count("*").alias("n"))

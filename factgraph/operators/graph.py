@@ -120,11 +120,20 @@ def neighbourhood(flows: DataFrame, seeds: DataFrame) -> DataFrame:
     return ways.join(seeds, "seed", "left_semi").unionByName(seeds.select("seed", F.col("seed").alias("id"))).distinct()
 
 
+def neighbourhood_edges(flows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """seed, id: the flows that touch each seed or a vertex one step from it."""
+    near = neighbourhood(flows, seeds).withColumnRenamed("id", "end")
+    ends = flows.select("id", F.explode(F.array("source", "target")).alias("end"))
+    return ends.join(near, "end").select("seed", "id").distinct()
+
+
 def drop_and_rewire(flows: DataFrame, components: DataFrame, gone: DataFrame, seq: list[str]) -> DataFrame:
     """Flows after the vertices ``gone`` (id) are removed: flows into them go, flows out of them start at the hub of their
-    section instead (none: they go too); self-loops go and the earliest of equal flows stays."""
+    section instead, or at the first hub of all where it has none (without any hub they go too); self-loops go and the earliest
+    of equal flows stays."""
     hub = first_per_key(hubs(components), ["section"], [F.col("id")]).select("section", F.col("id").alias("hub"))
-    moved = components.join(gone, "id", "left_semi").join(hub, "section", "left").select(F.col("id").alias("source"), "hub", F.lit(True).alias("moved"))
+    any_hub = hubs(components).agg(F.min("id")).first()[0]
+    moved = components.join(gone, "id", "left_semi").join(hub, "section", "left").select(F.col("id").alias("source"), F.coalesce("hub", F.lit(any_hub)).alias("hub"), F.lit(True).alias("moved"))
     kept = flows.join(gone.select(F.col("id").alias("target")), "target", "left_anti").join(moved, "source", "left").filter("moved is null or hub is not null")
     return dedupe_typed(kept.withColumn("source", F.coalesce("hub", "source")).drop("hub", "moved"), seq)
 

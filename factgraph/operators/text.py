@@ -142,3 +142,17 @@ def best_vendor(hosts: DataFrame, known: list[str]) -> DataFrame:
     """The best vendor of each key: known .92, names of three letters or more .78, else .62; ties to the smaller name."""
     score = F.when(F.col("vendor").isin(known), 0.92).when(F.length("vendor") >= 3, 0.78).otherwise(0.62)
     return first_per_key(hosts.withColumn("score", score), ["key"], [F.desc("score"), F.col("vendor")])
+
+
+#: What follows a text that was cut. A fixed value.
+CUT = "\n...[truncated]"
+
+
+def excerpts(files: DataFrame, key: str, most_files: int, width: int, budget: int) -> DataFrame:
+    """key, path, excerpt: the first files of each key by path, at most ``most_files``, their contents cut to ``width`` characters and
+    marked so, up to the first that passes the budget of all characters of the key (marks count)."""
+    cut = F.when(F.length("content") > width, F.concat(F.substring("content", 1, width), F.lit(CUT))).otherwise(F.col("content"))
+    order = Window.partitionBy(key).orderBy("path")
+    rows = files.select(key, "path", F.substring("content", 1, width + 1).alias("content")).withColumn("at", F.row_number().over(order)).filter(F.col("at") <= most_files).withColumn("excerpt", cut)
+    running = F.sum(F.length("excerpt")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("running", running).filter(F.col("running") <= budget).select(key, "path", "excerpt")

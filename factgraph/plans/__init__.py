@@ -7,3 +7,4 @@ from . import rewrites as rewrites
 from . import metrics as metrics
 from . import knowledge as knowledge
 from . import third_party as third_party
+from . import identity as identity

@@ -87,9 +87,9 @@ def proposal_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrichment.merge_properties(current, patches, [F.desc("score"), *own])
 
 
-@query(with_relations("components", "flows") + """SELECT 'system' AS subject, 'in_scope' AS slot, 'What is the system, and what is in scope?' AS about
-UNION ALL SELECT id, 'actor_kind', 'Is "' || name || '" a specific person, a role, or a persona?' FROM components WHERE type = 'actor'
-UNION ALL SELECT f.id, slot, CASE slot WHEN 'purpose' THEN 'Why does ' || s.name || ' send data to ' || t.name || '?' ELSE 'What data goes from ' || s.name || ' to ' || t.name || '?' END
+@query(with_relations("components", "flows") + """SELECT 'system' AS subject, 'in_scope' AS slot, 'Which system is this, and where does it end?' AS about
+UNION ALL SELECT id, 'actor_kind', 'Does ' || name || ' stand for one person, for a role or for a kind of user?' FROM components WHERE type = 'actor'
+UNION ALL SELECT f.id, slot, CASE slot WHEN 'purpose' THEN 'What for does ' || t.name || ' get data of ' || s.name || '?' ELSE 'Which kinds of data does ' || s.name || ' pass to ' || t.name || '?' END
 FROM flows f JOIN components s ON s.id = f.source JOIN components t ON t.id = f.target, (VALUES ('purpose'), ('data_categories')) q(slot) WHERE t.type = 'third_party' AND s.type <> 'third_party'""")
 def brief_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an interview should ask."""

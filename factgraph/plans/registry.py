@@ -250,7 +250,7 @@ _GONE = "gone AS (SELECT id FROM components WHERE type = 'third_party' AND subst
 _HUB = "hub AS (SELECT section, min(id) AS hub FROM components WHERE type = 'asset' AND sub_type = 'application' GROUP BY section)"
 
 
-@query(with_relations("components", "flows").rstrip() + f", {_GONE}, {_HUB}, moved AS (SELECT c.id, hub FROM components c JOIN gone USING (id) LEFT JOIN hub USING (section)),\n" + f"""kept AS (SELECT f.* REPLACE (coalesce(hub, source) AS source) FROM flows f LEFT JOIN moved m ON f.source = m.id WHERE f.target NOT IN (SELECT id FROM gone) AND (m.id IS NULL OR hub IS NOT NULL))
+@query(with_relations("components", "flows").rstrip() + f", {_GONE}, {_HUB}, moved AS (SELECT c.id, coalesce(hub, (SELECT min(hub) FROM hub)) AS hub FROM components c JOIN gone USING (id) LEFT JOIN hub USING (section)),\n" + f"""kept AS (SELECT f.* REPLACE (coalesce(hub, source) AS source) FROM flows f LEFT JOIN moved m ON f.source = m.id WHERE f.target NOT IN (SELECT id FROM gone) AND (m.id IS NULL OR hub IS NOT NULL))
 SELECT id, source, target, type FROM ({_first('kept', 'source, target, type', _SEQ, 'source <> target')})""")
 def vertex_drop_rewire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows after some suppliers are removed."""
