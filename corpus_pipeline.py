@@ -9,17 +9,18 @@ from factgraph.llm.common import stage_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under the threshold; the model learns from the labels of these documents."""
+    """Documents whose toxicity score is under the threshold; the model learns from the labels of these documents. Null and empty
+    texts stay."""
     return toxicity.drop_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, that of least doc_id; all empty texts are one group. Rows without doc_id stay."""
     return dedup.drop_near_duplicates(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that repeat no benchmark item."""
+    """Documents that repeat no benchmark item; without items all stay."""
     return decontamination.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

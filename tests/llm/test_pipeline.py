@@ -2,7 +2,13 @@
 
 import hashlib
 
+import public_tokenizers
+import tiktoken
+
 import corpus_pipeline
+from factgraph.llm import bpe, secrets, toxicity
+
+from test_llm_operators import leaks, left_by_all_pairs
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +32,32 @@ def test_stages(spark):
     assert masked[90_002] == "zzz qqq xxx [secret] end" or "hunter2" not in masked[90_002]
     for r in docs.collect():
         assert r.decoded_sha256 == hashlib.sha256((masked[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_run_matches_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    scorer = toxicity.fit(docs, labels).scorer()
+    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect() if scorer.score(r.text) < toxicity.THRESHOLD]
+    rows = [rows[i] for i in left_by_all_pairs([t for _, t in rows])]
+    gone = {d for d, _ in leaks(rows, items)}
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path(bpe.VOCABULARY)), special_tokens={})
+    want = []
+    for d, text in rows:
+        if d not in gone:
+            masked = secrets.redact(text) or ""
+            ids = encoding.encode_ordinary(masked)
+            want.append((d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(masked.encode()).hexdigest()))
+    got = corpus_pipeline.run(spark, SF)
+    assert sorted(tuple(r[c] for c in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")) for r in got.collect()) == want
+
+
+def test_stages_on_odd_tables(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node long, k1 string, score double, root int, fp long"
+    odd = spark.createDataFrame([(1, None, None, None, None, 1, "a", 0.1, 1, 1), (2, "", None, "s", 0, 2, "b", 0.2, 2, 2), (3, "so long " * 100_000, "en", "s", 1, 3, "c", 0.3, 3, 3), (3, "so long " * 100_000, "en", "s", 1, 3, "c", 0.3, 3, 3), (None, "no id", "en", "s", 5, 4, "d", 0.4, 4, 4)], schema)
+    for docs, left in ((odd, [-1, 1, 3]), (odd.limit(0), [])):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.columns == odd.columns
+        assert sorted(r.doc_id or -1 for r in docs.collect()) == left
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(left)
