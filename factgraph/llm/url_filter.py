@@ -13,15 +13,17 @@ from .common import ascii_lower, hot_join
 
 #: Host/path rules: the rule fits its host and all subdomains when the path starts with the rule's path.
 HOST_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-#: Pattern rules that decide where no host/path rule fits: (name, literal tokens, regular expression on host + path).
-PATTERN_RULES = (
-    ("adult", ("adult",), r"(?s)\A[^/]*(?<![a-z0-9])adult(?![a-z0-9])"),
-    ("casino", ("casino",), r"(?s)\A[^/]*(?<![a-z0-9])casino(?![a-z0-9])"),
-    ("bets", ("free", "bets"), r"(?s)\A[^/]*(?<![a-z0-9])free-bets(?![a-z0-9])"),
-    ("pills", ("cheap", "pills"), r"(?s)\A[^/]*(?<![a-z0-9])cheap-pills(?![a-z0-9])"),
-    ("ads", ("ads", "track"), r"(?s)\A[^/]*(?<![a-z0-9])ads-track(?![a-z0-9])"),
-    ("spam", ("spam", "farm"), r"(?s)\A[^/]*(?<![a-z0-9])spam-farm(?![a-z0-9])"),
-)
+#: Phrases by topic that block a URL in whose host or path they stand between separators, where no host/path rule fits. An own
+#: list of common topics, as an example: users pass their own rules.
+TOPICS = {
+    "adult": ("adult", "porn", "xxx", "nude", "escort"),
+    "gambling": ("casino", "free-bets", "poker", "sportsbook", "slots"),
+    "pharmacy": ("cheap-pills", "viagra", "online-pharmacy"),
+    "advertising": ("ads-track", "adserver", "banner-ads", "popunder"),
+    "spam": ("spam-farm", "link-farm", "buy-followers", "keygen"),
+}
+#: Pattern rules: (name, literal tokens, regular expression on host + path).
+PATTERN_RULES = tuple((f"{topic}:{phrase}", tuple(phrase.split("-")), rf"(?is)(?<![a-z0-9]){phrase}(?![a-z0-9])") for topic, phrases in TOPICS.items() for phrase in phrases)
 #: Rule indexes up to this many rows are broadcast; larger ones are joined by a shuffle on the token.
 BROADCAST_RULES = 20_000
 
@@ -115,6 +117,6 @@ WITH u AS (
 )
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN regexp_matches(host, '(^|[^a-z0-9])(adult|casino|free-bets|cheap-pills|ads-track|spam-farm)([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END AS verdict
+  WHEN regexp_matches(lower(host || path), '(^|[^a-z0-9])({"|".join(p for phrases in TOPICS.values() for p in phrases)})([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """

@@ -578,11 +578,12 @@ def test_no_group_is_split_on_the_tables(spark):
 
 
 def test_url_verdicts(spark):
-    urls = [None, "", "no scheme", "http://Example.COM/en/x?y", "http://www.example.com/en/", "http://a.net/es/q", "http://anet/es/", "x://y.net/fr/", "http://b.org/", "https://casino.org/", "http://net", "http://a.com?q", "HTTP://X.com/"]
+    urls = [None, "", "no scheme", "http://Example.COM/en/x?y", "http://www.example.com/en/", "http://a.net/es/q", "http://anet/es/", "x://y.net/fr/", "http://b.org/", "https://casino.org/", "http://net", "http://a.com?q", "HTTP://X.com/", "http://b.org/The-Free-Bets/", "http://b.org/freebets"]
     got = [tuple(r)[1:] for r in sorted(url_filter.judge_urls(spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id long, url string, rule string")).collect())]
     assert got == [
         ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("example.com", "/en/x", "example.com/en/", "block"), ("www.example.com", "/en/", "www.example.com/en/", "allow"), ("a.net", "/es/q", "net/es/", "block"),
         ("anet", "/es/", None, "allow"), ("y.net", "/fr/", "net/fr/", "block"), ("b.org", "/", None, "allow"), ("casino.org", "/", None, "block"), ("net", "", None, "allow"), ("a.com", "", None, "allow"), ("x.com", "/", "com/", "allow"),
+        ("b.org", "/The-Free-Bets/", None, "block"), ("b.org", "/freebets", None, "allow"),
     ]
 
 
