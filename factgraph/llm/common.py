@@ -67,17 +67,17 @@ class Scratch:
 HOT_SHARE = 1 / 1024
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str | list[str], by: str, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right``, which has distinct keys. The rows of a key that is more than HOT_SHARE of ``left`` are
     dealt by their column ``by`` over so many tasks, and the key's row of ``right`` is repeated for each."""
-    counts = left.groupBy(key).agg(F.count("*").alias("n"))
-    total = left.count()
-    hot = counts.filter(F.col("n") > max(1.0, total * HOT_SHARE)).select(key, F.ceil(F.col("n") / max(1.0, total * HOT_SHARE)).alias("factgraph_parts"))
+    keys = [key] if isinstance(key, str) else key
+    most = max(1.0, left.count() * HOT_SHARE)
+    hot = left.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).alias("factgraph_parts"))
     hot = F.broadcast(hot)  # fewer than 1 / HOT_SHARE rows
     one = F.coalesce("factgraph_parts", F.lit(1))
-    x = left.join(hot, key, "left").withColumn("factgraph_part", F.pmod(F.xxhash64(by), one)).drop("factgraph_parts")
-    y = right.join(hot, key, "left").withColumn("factgraph_part", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("factgraph_parts")
-    return x.join(y, [key, "factgraph_part"], how).drop("factgraph_part")
+    x = left.join(hot, keys, "left").withColumn("factgraph_part", F.pmod(F.xxhash64(by), one)).drop("factgraph_parts")
+    y = right.join(hot, keys, "left").withColumn("factgraph_part", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("factgraph_parts")
+    return x.join(y, [*keys, "factgraph_part"], how).drop("factgraph_part")
 
 
 def ascii_lower(col: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, map_rows
+from .common import Scratch, hot_join, map_rows
 from .components import components
 from .simhash import link_fingerprints, majority_bits, signed, words_of
 
@@ -32,14 +32,15 @@ HOT_SHINGLES = 1 << 16
 #: Rows of one key that go to one task: beyond it the key is dealt over several.
 SALTED = 1000
 #: Tables of ids up to this many rows are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 200_000
 _EPS = 1e-9
 
 
 class Shingler:
     """Hashes of word shingles: words are hashed once each, runs of words by a polynomial in those hashes, all at once."""
 
-    WORDS = 1 << 20
+    #: Words that are kept.
+    WORDS = 1 << 17
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
@@ -124,18 +125,6 @@ def _prints(texts: DataFrame, hot: np.ndarray) -> DataFrame:
     return map_rows(texts.select("node", "doc_id", "text"), make, "node long, first_id long, fp long, c1 long, c2 long, n long, prefix array<long>")
 
 
-def _spread(big: DataFrame, small: DataFrame, key: list[str], by: str, how: str = "inner") -> DataFrame:
-    """``big`` joined with ``small``, whose rows have distinct keys: broadcast where it has few rows, else each row is there
-    SPREAD times, so that the many rows of one key in ``big`` are dealt by their column ``by``."""
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return big.join(F.broadcast(small), key, how)
-    salted = small.withColumn("factgraph_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    return big.withColumn("factgraph_salt", F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int")).join(salted, [*key, "factgraph_salt"], how).drop("factgraph_salt")
-
-
-SPREAD = 64
-
-
 def _middles(members: DataFrame, keep: Scratch) -> DataFrame:
     """(a, b): each member of a set (root, fp, node, first_id) and its set's middle, the member nearest to the majority of
     the set's fingerprint bits (ties: the least id)."""
@@ -146,8 +135,8 @@ def _middles(members: DataFrame, keep: Scratch) -> DataFrame:
         major = major.bitwiseOR(b.cast("long"))
     ones = keep(ones.select("root", major.alias("major")), "dedup-majorities")
     far = F.bit_count(F.col("fp").bitwiseXOR(F.col("major")))
-    middles = keep(_spread(members, ones, ["root"], "node").groupBy("root").agg(F.min(F.struct(far.alias("far"), "first_id", "node")).alias("m")).select("root", F.col("m.node").alias("b")), "dedup-middles")
-    return _spread(members, middles, ["root"], "node").filter("node <> b").select(F.col("node").alias("a"), "b")
+    middles = keep(hot_join(members, ones, ["root"], "node").groupBy("root").agg(F.min(F.struct(far.alias("far"), "first_id", "node")).alias("m")).select("root", F.col("m.node").alias("b")), "dedup-middles")
+    return hot_join(members, middles, ["root"], "node").filter("node <> b").select(F.col("node").alias("a"), "b")
 
 
 def _candidates(posts: DataFrame, keep: Scratch) -> DataFrame:
@@ -190,7 +179,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, repeated: boo
         degree = pairs.groupBy(end).agg(F.ceil(F.count("*") / SALTED).alias("k"))
         salted = held.withColumnRenamed("node", end).withColumnRenamed("shingles", name).join(degree.filter("k > 1"), end, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)))
         many = keep(degree.filter("k > 1"), "dedup-degrees")
-        dealt = _spread(pairs, many, [end], other, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("k", F.lit(1)))).drop("k")
+        dealt = pairs.join(many, end, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("k", F.lit(1)))).drop("k")
         pairs = dealt.join(salted.drop("k"), [end, "salt"]).drop("salt")
     return keep(pairs.filter(_alike()).select("a", "b"), "dedup-similar")
 
@@ -199,7 +188,7 @@ def _all_links(prints: DataFrame, near: DataFrame, nodes: DataFrame, texts: Data
     """(a, b) links that join all groups of similar texts, given those of ``near``: one from every text to the least of its
     class, then one pair of any two groups is compared, then all pairs whose groups are still apart."""
     least = keep(prints.groupBy("c1", "c2").agg(F.min("node").alias("b")), "dedup-classes")
-    same = keep(_spread(prints.select("c1", "c2", "node"), least, ["c1", "c2"], "node").filter("node <> b").select(F.col("node").alias("a"), "b"), "dedup-same")
+    same = keep(hot_join(prints.select("c1", "c2", "node"), least, ["c1", "c2"], "node").filter("node <> b").select(F.col("node").alias("a"), "b"), "dedup-same")
     links = near.unionByName(same)
     shown = prints.join(same.select(F.col("a").alias("node")), "node", "left_anti")
     parts = components(links)
@@ -238,14 +227,14 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
         distinct = keep(prints.select("fp").distinct(), "dedup-fingerprints")
         roots = components(link_fingerprints(distinct, RADIUS, AGREE).distinct())
         narrow = prints.select("fp", "node", "first_id")
-        rooted = _spread(narrow, roots.withColumnRenamed("node", "fp"), ["fp"], "node", "left").withColumn("root", F.coalesce("root", "fp"))
+        rooted = hot_join(narrow, roots.withColumnRenamed("node", "fp"), ["fp"], "node", "left").withColumn("root", F.coalesce("root", "fp"))
         several = keep(rooted.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root"), "dedup-sets")
-        members = keep(_spread(rooted, several, ["root"], "node"), "dedup-members")
+        members = keep(hot_join(rooted, several, ["root"], "node"), "dedup-members")
         near = _similar(keep(_middles(members, keep), "dedup-stars"), nodes, texts, repeated, keep)
         groups = components(_all_links(prints, near, nodes, texts, repeated, keep))
         grouped = nodes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
         kept = keep(grouped.groupBy("root").agg(F.min("doc_id").alias("kept_id")), "dedup-kept")
-        dropped = last(_spread(grouped, kept, ["root"], "node").filter("doc_id <> kept_id").select("k1", "k2"), "dedup-dropped")
+        dropped = last(hot_join(grouped, kept, ["root"], "node").filter("doc_id <> kept_id").select("k1", "k2"), "dedup-dropped")
         copies = last(counted.join(nodes, ["doc_id", "k1", "k2"], "left_anti").select("doc_id", "k1", "k2"), "dedup-copies")
     gone = [F.col(k).alias(c) for k, c in own.items()]
     out = _without(hashed.filter("doc_id is not null"), dropped.select(*gone), list(own.values()))

@@ -37,7 +37,7 @@ PRIOR = 10.0
 DRIFT, LOW, HIGH = 0.6, -2.0, 5.0
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 300_000
+_CACHE = 100_000
 _FLUSH = 200_000
 
 
@@ -187,8 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     stems = F.explode(F.expr(f"transform(filter(array{PREFIXES}, k -> k < length(word)), k -> concat(substring(word, 1, k), '*'))"))
     prefixes = words.select(stems.alias("feature"), *((F.col(c) * part).alias(c) for c in ("clean", "toxic", "n"))).groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "n")))
     counts = prefixes.unionByName(words.withColumnRenamed("word", "feature"))
-    held = counts.filter(F.col("n") >= LEAST_TEXTS).collect()  # bounded by the words of ``rows`` texts
-    model = Model(posterior_log_odds({r["feature"]: (r["clean"], r["toxic"]) for r in held}))
+    held = counts.filter(F.col("n") >= LEAST_TEXTS).select("feature", "clean", "toxic").toArrow()  # bounded by the words of ``rows`` texts
+    model = Model(posterior_log_odds(dict(zip(held["feature"].to_pylist(), zip(held["clean"].to_pylist(), held["toxic"].to_pylist(), strict=True), strict=True))))
 
     def measure():
         scorer = model.scorer()
