@@ -196,11 +196,11 @@ def near_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.near_paths(tables.files(spark, sf_dir), seeds)
 
 
-@query("SELECT DISTINCT user_id AS id FROM events WHERE value > 97 AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click')")
+@query("SELECT DISTINCT user_id AS id FROM events WHERE value > 97 AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click' AND value > 96)")
 def unknown_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users of high values that never clicked."""
+    """Users of high values that have no click of a high value."""
     events = tables.table(spark, sf_dir, "events").withColumnRenamed("user_id", "id")
-    return knowledge.unknown_ids(events.filter("value > 97"), events.filter("event_type = 'click'"))
+    return knowledge.unknown_ids(events.filter("value > 97"), events.filter("event_type = 'click' and value > 96"))
 
 
 @query("""SELECT p_partkey, array_to_string(list_transform(list_sort(list_filter([['brand', p_brand], ['name', CASE WHEN p_size > 10 THEN p_name ELSE '' END], ['type', CASE WHEN p_size > 25 THEN p_type END]], lambda e: coalesce(trim(e[2]), '') <> ''))[1:2], lambda e: e[1] || '=' || substr(e[2], 1, 5)), ',') AS filled,
