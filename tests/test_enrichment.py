@@ -51,7 +51,7 @@ def test_slugs_against_brute_force(spark):
 
     got = {r.name: r.slug for r in QUERIES["slugs"](spark, SF).collect()}
     bases = [plain(n) for n in got]
-    assert len(got) > 50
+    assert len(got) > 20
     for name, slug in got.items():
         base = plain(name)
         assert slug == (base if bases.count(base) == 1 else f"{base}-{hashlib.sha256(name.encode()).hexdigest()[:6]}")
