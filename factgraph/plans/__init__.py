@@ -8,3 +8,4 @@ from . import metrics as metrics
 from . import knowledge as knowledge
 from . import third_party as third_party
 from . import identity as identity
+from . import lineage as lineage
