@@ -9,3 +9,4 @@ from . import knowledge as knowledge
 from . import third_party as third_party
 from . import identity as identity
 from . import lineage as lineage
+from . import rules as rules
