@@ -4,37 +4,107 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, MapType, StringType, StructType
 
+from factgraph.sources.storage import written
+
+from .fold import ordered_fold
 from .graph import best_per_key
+from .text import running_total
 
 #: Least scores of patches of components, of flows, and of new flows. Fixed values.
 COMPONENT_SCORE, FLOW_SCORE, INSERT_SCORE = 0.72, 0.75, 0.85
 
 
 def rank_of(insert: Column | None = None) -> Column:
-    """Score, a hundredth per piece of evidence, 0.02 less for an insert, 0.25 more for a provider's proposal."""
-    return F.round(F.col("score") + F.col("evidence") / 100 - (F.when(insert, 0.02).otherwise(0.0) if insert is not None else 0.0) + F.when(F.col("provider"), 0.25).otherwise(0.0), 4)
+    """Score, a hundredth per piece of evidence, 0.02 less for an insert, 0.25 more for a provider's proposal, added in this order in doubles."""
+    bonus = F.when(F.col("provider"), 0.25).otherwise(0.0)
+    less = F.when(insert, -0.02).otherwise(0.0) if insert is not None else F.lit(0.0)
+    return F.col("score").cast("double") + F.col("evidence") / F.lit(100.0) + less + bonus
+
+
+def _map(kind: str) -> MapType:
+    return MapType(StringType(), StringType() if kind == "text" else DoubleType() if kind == "number" else ArrayType(StringType()))
+
+
+_COMPONENT = StructType().add("patch", StringType()).add("outcome", StringType()).add("wins", LongType()).add("id", StringType()).add("sub_type", StringType()).add("description", StringType()).add("properties", _map("text")).add("evidence", _map("list")).add("verbs", _map("number"))
+
 
+def _empty(value: str | None) -> bool:
+    """Missing, the word none, or an empty list."""
+    return value is None or value.strip().lower() == "none" or value == "[]"
 
-def merge_component_patches(patches: DataFrame, filled: DataFrame) -> DataFrame:
-    """id, outcome, wins for patches (id, component, properties as a map without empty values, score, evidence, provider).
 
-    ``filled`` (component, property) are properties that have a value: these are never overwritten. Patches are taken by
-    rank (ties: id); the first that is good enough and names an empty property fills it. ``wins`` counts what a patch fills. A
-    patch that fills nothing is rejected for its score or lack of evidence, because a better patch with the same properties
-    was applied, or because nothing would change.
+def merge_components(components: DataFrame, patches: DataFrame, aliases: DataFrame | None = None, least: float = COMPONENT_SCORE, carriers: tuple[str, ...] = ("asset", "third_party")) -> tuple[DataFrame, DataFrame]:
+    """(patch, outcome, wins; id, sub_type, description, properties, evidence, verbs): what becomes of the patches, and the components after them.
+
+    Components have id, type, sub_type, description, properties (map of texts), property_evidence (map of lists) and verbs (map of verb to confidence); patches have id (unique), component,
+    score, evidence (a number), provider, set_sub_type, set_description, properties, property_evidence and verbs (list). A patch whose component isn't one goes to the one that its
+    lower-case name is an ``aliases`` (alias, id; unique) of. Patches are taken by rank, then target (component, names of properties, subtype, whether there is a
+    description), then id. One that is too unsure or lacks evidence is rejected; so is one whose target an earlier one changed. Others set a new subtype or description,
+    fill properties that are empty (null, none, []), with their evidence, and add verbs or raise their confidence, on components of ``carriers`` only; one that changes nothing is rejected too, and
+    then leaves its target to later ones. ``wins`` counts the properties that it filled.
     """
     names = F.array_join(F.array_sort(F.map_keys("properties")), "|")
-    gated = patches.withColumns({"rank": rank_of(), "names": names, "reason": F.when(F.col("score") < COMPONENT_SCORE, "confidence_below_threshold").when(F.col("evidence") == 0, "missing_evidence")})
-    wanted = gated.filter("reason is null").select("id", "component", "names", "rank", F.explode(F.map_keys("properties")).alias("property"))
-    open_ = wanted.join(filled, ["component", "property"], "left_anti")
-    first = open_.groupBy("component", "property").agg(F.min(F.struct((-F.col("rank")).alias("r"), "id", "names")).alias("m"))
-    wins = first.groupBy(F.col("m.id").alias("id")).agg(F.count("*").alias("wins"))
-    # of patches with equal properties, the one that wins is the best, so any winner of that key was applied before
-    taken = first.select("component", F.col("m.names").alias("names")).distinct().withColumn("taken", F.lit(True))
-    out = gated.join(wins, "id", "left").join(taken, ["component", "names"], "left")
-    outcome = F.coalesce("reason", F.when(F.col("wins").isNotNull(), "applied").when(F.col("taken"), "target_already_modified").otherwise("no_meaningful_changes"))
-    return out.select("id", outcome.alias("outcome"), F.coalesce("wins", F.lit(0)).alias("wins"))
+    wanted = patches.withColumnRenamed("evidence", "pieces").withColumns({
+        "names": F.concat_ws("|", F.nullif(names, F.lit("")), F.when(F.size("verbs") > 0, F.lit("data_action"))), "rank": rank_of_pieces(),
+        "reason": F.when(F.col("score") < least, f"confidence_below_threshold:{least:g}").when(F.col("pieces") == 0, "missing_evidence"),
+    })
+    if aliases is not None:
+        known = components.select(F.col("id").alias("component"), F.lit(True).alias("_known"))
+        other = aliases.select(F.col("alias").alias("_alias"), F.col("id").alias("_id"))
+        wanted = wanted.join(known, "component", "left").withColumn("_alias", F.when(F.col("_known").isNull(), F.lower(F.trim("component")))).join(other, "_alias", "left").withColumn("component", F.coalesce("_id", "component"))
+    wanted = wanted.withColumn("target", F.concat_ws(":", "component", "names", F.coalesce(F.concat(F.lit("sub:"), "set_sub_type"), F.lit("")), F.when(F.col("set_description").isNotNull(), "desc").otherwise("")))
+    rejected = wanted.filter("reason is not null")
+    own = components.select("id", "type", F.lit(0).alias("kind"), F.col("id").alias("component"), "sub_type", "description", "properties", "property_evidence", F.col("verbs").alias("held"))
+    asked = wanted.filter("reason is null").select("id", F.lit(1).alias("kind"), "component", "score", "rank", "target", F.col("set_sub_type").alias("sub_type"), F.col("set_description").alias("description"), "properties", "property_evidence", "verbs")
+
+    def start(row: dict) -> dict:
+        return {"component": row if row["kind"] == 0 else None, "taken": set()}
+
+    def step(state: dict, row: dict) -> list[dict]:
+        own = state["component"]
+        if row["kind"] == 0:
+            for c in ("properties", "property_evidence", "held"):
+                own[c] = dict(own[c] or ())
+            return []
+        done = {"patch": row["id"], "outcome": "no_meaningful_changes", "wins": 0}
+        if row["target"] in state["taken"]:
+            return [done | {"outcome": "target_already_modified_by_higher_ranked_proposal"}]
+        if own is None:
+            return [done]
+        changed = False
+        for c in ("sub_type", "description"):
+            if row[c] and row[c] != own[c]:
+                own[c], changed = row[c], True
+        for verb in row["verbs"] or () if own["type"] in carriers else ():
+            if own["held"].get(verb, -1.0) < row["score"]:
+                own["held"][verb], changed = row["score"], True
+        given = dict(row["property_evidence"] or ())
+        for name, value in sorted(dict(row["properties"] or ()).items()):
+            if _empty(own["properties"].get(name)) and not _empty(value) and (name, value) != ("inference_status", "needs_review"):
+                own["properties"][name] = value
+                if given.get(name):
+                    own["property_evidence"][name] = given[name]
+                done["wins"] += 1
+        if changed or done["wins"]:
+            state["taken"].add(row["target"])
+            done["outcome"] = "applied"
+        return [done]
+
+    def finish(state: dict) -> list[dict]:
+        own = state["component"]
+        return [] if own is None else [{"id": own["id"], "sub_type": own["sub_type"], "description": own["description"], "properties": list(own["properties"].items()), "evidence": list(own["property_evidence"].items()), "verbs": list(own["held"].items())}]
+
+    folded = written(ordered_fold(own.unionByName(asked, allowMissingColumns=True), ["component"], [F.col("kind"), -F.col("rank"), F.col("target"), F.col("id")], start, step, finish, _COMPONENT), "merged-components")
+    early = rejected.select(F.col("id").alias("patch"), F.col("reason").alias("outcome"), F.lit(0).cast("long").alias("wins"))
+    outcomes = folded.filter("patch is not null").select("patch", "outcome", "wins").unionByName(early)
+    return outcomes, folded.filter("patch is null").select("id", "sub_type", "description", "properties", "evidence", "verbs")
+
+
+def rank_of_pieces() -> Column:
+    """The rank of component patches with their number of pieces of evidence."""
+    return F.col("score").cast("double") + F.col("pieces") / F.lit(100.0) + F.when(F.col("provider"), 0.25).otherwise(0.0)
 
 
 def merge_evidence(existing: Column, incoming: Column) -> Column:
@@ -49,31 +119,95 @@ def merge_verbs(existing: DataFrame, proposed: DataFrame) -> DataFrame:
     return existing.select("component", "verb").unionByName(good).groupBy("component").agg(F.array_sort(F.collect_set("verb")).alias("verbs"))
 
 
-def flow_gates(patches: DataFrame, components: DataFrame, flows: DataFrame, keep_topology: bool = False) -> DataFrame:
-    """id, outcome for flow patches (id, source, target, score, evidence, provider, insert): topology kept, ends in different
-    sections, a score below the threshold, no evidence, no such flow, a better patch of the same flow, or applied. A patch
-    without a flow to change is only applied if it may insert one."""
-    section = components.select("id", F.coalesce("section", F.lit("")).alias("section"))
-    ends = patches.join(section.withColumnsRenamed({"id": "source", "section": "_from"}), "source", "left").join(section.withColumnsRenamed({"id": "target", "section": "_to"}), "target", "left")
-    known = flows.select("source", "target").distinct().withColumn("_known", F.lit(True))
-    least = F.when(F.col("insert"), INSERT_SCORE).otherwise(FLOW_SCORE)
+_FLOW = StructType().add("patch", StringType()).add("outcome", StringType())
+for _c in ("id", "source", "target", "type", "method", "endpoint", "description"):
+    _FLOW = _FLOW.add(_c, StringType())
+_FLOW = _FLOW.add("confidence", DoubleType()).add("how", StringType()).add("rank", DoubleType()).add("named", StringType())
+_SETTABLE = ("type", "method", "endpoint", "description")
+
+
+def merge_flows(components: DataFrame, flows: DataFrame, patches: DataFrame, keep_topology: bool = False, own_sections_only: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(patch, outcome; id, source, target, type, method, endpoint, description, confidence, how): what becomes of the patches, and the flows after them.
+
+    Components have id and section; flows have id, seq (unique), source, target, type, method, endpoint, description and confidence; patches have id (unique), flow (an id, or null), source, target, score,
+    evidence (a number), provider, insert and set_type, set_method, set_endpoint, set_description. A patch concerns the flow that it names or, without a name, the
+    first one between its ends. All may be rejected (``keep_topology``), and those whose ends aren't two components of one section (none counts as a section), those below the threshold of changes or of inserts, and those without
+    evidence. The others are taken by rank, then target, then id: an earlier change of the same target rejects one; without a flow to change it must be an insert with both ends, and
+    what it inserts is what later ones find. A change overwrites what the patch sets and takes the higher confidence. Inserted flows are called flow_ai_{source}_{target}_{number of flows by then}.
+    """
+    named = flows.select(F.col("id").alias("flow"), F.col("source").alias("_s"), F.col("target").alias("_t"), F.lit(True).alias("_named"))
+    asked = patches.join(named, "flow", "left").withColumns({"source": F.coalesce("_s", "source"), "target": F.coalesce("_t", "target")})
+    where = components.select("id", F.coalesce(F.trim("section"), F.lit("")).alias("section"))
+    ends = asked.join(where.withColumnsRenamed({"id": "source", "section": "_from"}), "source", "left").join(where.withColumnsRenamed({"id": "target", "section": "_to"}), "target", "left")
+    bound = F.when(F.col("insert"), INSERT_SCORE).otherwise(FLOW_SCORE)
+    lost = F.col("flow").isNotNull() & F.col("_named").isNull()
+    apart = lost | F.col("_from").isNull() | F.col("_to").isNull() | (F.col("_from") != F.col("_to"))
     reason = (
-        F.when(F.lit(keep_topology), "data_flow_topology_preserved").when(F.col("_from").isNull() | F.col("_to").isNull() | (F.col("_from") != F.col("_to")), "cross_section_flow_change_blocked")
-        .when(F.col("score") < least, "confidence_below_threshold").when(F.col("evidence") == 0, "missing_evidence").when(F.col("_known").isNull() & ~F.col("insert"), "target_not_found")
+        F.when(F.lit(keep_topology), "data_flow_topology_preserved").when(F.lit(own_sections_only) & apart, "cross_section_flow_change_blocked")
+        .when(F.col("score") < bound, F.concat(F.lit("confidence_below_threshold:"), bound.cast("string"))).when(F.col("evidence") == 0, "missing_evidence")
     )
-    gated = ends.join(known, ["source", "target"], "left").withColumns({"reason": reason, "rank": rank_of(F.col("insert"))})
-    best = gated.filter("reason is null").groupBy("source", "target").agg(F.min(F.struct((-F.col("rank")).alias("r"), "id")).alias("m")).select("source", "target", F.col("m.id").alias("best"))
-    return gated.join(best, ["source", "target"], "left").select("id", F.coalesce("reason", F.when(F.col("id") == F.col("best"), "applied").otherwise("target_already_modified")).alias("outcome"))
-
-
-def merge_flow_patches(flows: DataFrame, patches: DataFrame) -> DataFrame:
-    """source, target, type, confidence, how of flows (one per pair) and the best applied patch of each pair (source, target,
-    set_type, score, rank): a known flow takes the patch's type, if it has one, and the higher confidence; a pair without a
-    flow gets a new one, of type api_call where none is set."""
-    best = best_per_key(patches.select("source", "target", "set_type", "score", "rank", "id"), [F.col("source"), F.col("target")], [-F.col("rank"), F.col("id")]).drop("id", "rank")
-    both = flows.select("source", "target", "type", "confidence").join(best, ["source", "target"], "full")
-    how = F.when(F.col("confidence").isNull(), "inserted").when(F.col("score").isNull(), "kept").otherwise("patched")
-    return both.select("source", "target", F.coalesce("set_type", "type", F.lit("api_call")).alias("type"), F.greatest("confidence", "score").alias("confidence"), how.alias("how"))
+    key = F.coalesce(F.concat(F.lit("flow:"), "flow"), F.concat(F.lit("flow:"), F.coalesce("source", F.lit("undefined")), F.lit("->"), F.coalesce("target", F.lit("undefined"))))
+    gated = ends.withColumns({"reason": reason, "rank": rank_of(F.col("insert")), "named": key})
+    # patches that name an unknown flow find nothing but what one of them inserts: the first that may insert does
+    turn = F.struct((-F.col("rank")).alias("r"), "named", "id")
+    may = F.col("insert") & F.col("source").isNotNull() & F.col("target").isNotNull()
+    hits = gated.filter(F.col("reason").isNull() & lost & may).groupBy("named").agg(F.min(turn).alias("_hit"))
+    late = F.when(turn > F.col("_hit"), "target_already_modified_by_higher_ranked_proposal").when(F.col("_hit").isNull() | (turn < F.col("_hit")), "target_not_found")
+    gated = gated.join(hits, "named", "left").withColumn("reason", F.coalesce("reason", F.when(lost, late))).drop("_hit")
+    open_ = gated.filter("reason is null")
+    wanted = open_.select("id", F.lit(1).alias("kind"), "flow", "source", "target", "score", "rank", "insert", "named", *(F.col(f"set_{c}").alias(c) for c in _SETTABLE))
+    # of each pair only the first flow and those that patches name can change
+    pairs = open_.select("source", "target").distinct()
+    near = flows.join(pairs, ["source", "target"], "left_semi")
+    first = best_per_key(near, [F.col("source"), F.col("target")], [F.col("seq")])
+    called = near.join(open_.select(F.col("flow").alias("id")).distinct(), "id", "left_semi")
+    held = first.unionByName(called).dropDuplicates(["id"]).select("id", F.lit(0).alias("kind"), "seq", "source", "target", "confidence", *_SETTABLE)
+
+    def start(row: dict) -> dict:
+        return {"flows": [], "taken": set()}
+
+    def step(state: dict, row: dict) -> list[dict]:
+        if row["kind"] == 0:
+            state["flows"].append({c: row[c] for c in ("id", "source", "target", "confidence", *_SETTABLE)} | {"how": "kept"})
+            return []
+        done = {"patch": row["id"], "outcome": "applied"}
+        if row["named"] in state["taken"]:
+            return [done | {"outcome": "target_already_modified_by_higher_ranked_proposal"}]
+        flow = next((f for f in state["flows"] if row["flow"] in (None, f["id"])), None)
+        if flow is None and not (row["insert"] and row["source"] is not None and row["target"] is not None):
+            return [done | {"outcome": "target_not_found"}]
+        if flow is None:
+            new = {c: row[c] for c in ("source", "target", *_SETTABLE)}
+            state["flows"].append(new | {"id": None, "type": row["type"] or "api_call", "confidence": row["score"], "how": "inserted", "rank": row["rank"], "named": f"{row['named']}|{row['id']}"})
+        else:
+            flow |= {c: row[c] for c in _SETTABLE if row[c]}
+            flow |= {"confidence": max(flow["confidence"], row["score"]), "how": "patched" if flow["how"] == "kept" else flow["how"]}
+        state["taken"].add(row["named"])
+        return [done]
+
+    order = [F.col("kind"), F.col("seq"), -F.col("rank"), F.col("named"), F.col("id")]
+    folded = written(ordered_fold(held.unionByName(wanted, allowMissingColumns=True), ["source", "target"], order, start, step, lambda state: state["flows"], _FLOW), "merged-flows")
+    outcomes = folded.filter("patch is not null").select("patch", "outcome").unionByName(gated.filter("reason is not null").select(F.col("id").alias("patch"), F.col("reason").alias("outcome")))
+    columns = ["id", "source", "target", *_SETTABLE, "confidence", "how"]
+    new = folded.filter("patch is null and how = 'inserted'").withColumns({"_order": F.concat_ws("|", F.format_string("%025.20f", 10 - F.col("rank")), "named"), "_one": F.lit(1).cast("long")})
+    numbered = running_total(new, "_order", "_one").withColumn("id", F.concat_ws("_", F.lit("flow_ai"), "source", "target", (F.col("running") + flows.count()).cast("string")))
+    changed = folded.filter("patch is null and how <> 'inserted'")
+    rest = flows.join(changed.select("id"), "id", "left_anti").withColumn("how", F.lit("kept"))
+    return outcomes, rest.select(columns).unionByName(changed.select(columns)).unionByName(numbered.select(columns))
+
+
+#: A candidate assignment becomes an asserted one, never the other way.
+_STATUS = {"candidate": 0, "asserted": 1}
+
+
+def merge_assignments(assignments: DataFrame) -> DataFrame:
+    """component, verbs (array of verb, confidence, status, source, sorted by verb), primary of assignments (component, verb, confidence, status, source) of any origin: of each verb the asserted one, then the
+    surest, then the source of least name, holds; primary is the surest asserted verb, of equals the least. The result doesn't depend on an order or on how rows are merged before, so it can be
+    merged with further assignments."""
+    rank = F.coalesce(*(F.when(F.col("status") == s, F.lit(n)) for s, n in _STATUS.items()), F.lit(0))
+    best = assignments.groupBy("component", "verb").agg(F.min_by(F.struct("confidence", "status", "source"), F.struct((-rank).alias("r"), (-F.col("confidence")).alias("c"), "source", "status")).alias("m"))
+    sure = F.when(F.col("m.status") == "asserted", F.struct((-F.col("m.confidence")).alias("c"), "verb"))
+    return best.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("verb", "m.confidence", "m.status", "m.source"))).alias("verbs"), F.min(sure).getField("verb").alias("primary"))
 
 
 def verify_patches(patches: DataFrame) -> DataFrame:

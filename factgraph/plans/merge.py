@@ -14,7 +14,6 @@ from .registry import _SEQ, _first, query
 _PATCHES = """patches AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, 's' || l_suppkey AS component, round(1 - l_tax * 4, 2) AS score, (l_linenumber - 1)::BIGINT AS evidence, l_linestatus = 'O' AS provider,
   CASE l_linenumber % 3 WHEN 0 THEN ['vendor'] WHEN 1 THEN ['region', 'vendor'] ELSE ['plan', 'region'] END AS keys, l_returnflag || l_linenumber AS value FROM lineitem),
 filled AS (SELECT 's' || s_suppkey AS component, 'vendor' AS property, s_name AS value FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 's' || s_suppkey, 'plan', 'basic' FROM supplier WHERE s_suppkey % 3 = 0)"""
-_RANK = "round(score + evidence / 100 {insert}+ CASE WHEN provider THEN 0.25 ELSE 0 END, 4)"
 
 
 def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,40 +26,68 @@ def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    supplier = tables.table(spark, sf_dir, "supplier").withColumn("component", F.concat(F.lit("s"), F.col("s_suppkey").cast("string")))
-    return supplier.filter("s_suppkey % 2 = 0").select("component", F.lit("vendor").alias("property"), F.col("s_name").alias("value")).unionByName(supplier.filter("s_suppkey % 3 = 0").select("component", F.lit("plan").alias("property"), F.lit("basic").alias("value")))
-
-
-_GATED = f"""{_PATCHES}, gated AS (SELECT *, array_to_string(keys, '|') AS names, {_RANK.format(insert='')} AS rank, CASE WHEN score < 0.72 THEN 'confidence_below_threshold' WHEN evidence = 0 THEN 'missing_evidence' END AS reason FROM patches),
-firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY component, property ORDER BY rank DESC, id) AS k FROM (SELECT id, component, names, rank, unnest(keys) AS property FROM gated WHERE reason IS NULL) ANTI JOIN filled USING (component, property)) WHERE k = 1),
-outcomes AS (SELECT g.id, coalesce(reason, CASE WHEN w.wins > 0 THEN 'applied' WHEN t.names IS NOT NULL THEN 'target_already_modified' ELSE 'no_meaningful_changes' END) AS outcome, coalesce(w.wins, 0) AS wins
-  FROM gated g LEFT JOIN (SELECT id, count(*) AS wins FROM firsts GROUP BY id) w USING (id) LEFT JOIN (SELECT DISTINCT component, names FROM firsts) t ON t.component = g.component AND t.names = g.names)"""
-
-
-def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.merge_component_patches(_unique(_patches(spark, sf_dir)), _filled(spark, sf_dir).select("component", "property"))
-
-
-def _unique(patches: DataFrame) -> DataFrame:
-    """Line items repeat their key now and then; one patch per id stays."""
-    return graph.best_per_key(patches.withColumn("names", F.array_join(F.map_keys("properties"), "|")).withColumn("value", F.get(F.map_values("properties"), F.lit(0))).drop("properties"), [F.col("id")], [F.col("score"), F.col("provider"), F.col("value")]).select(
-        "id", "component", "score", "evidence", "provider", F.map_from_arrays(F.split("names", "\\|"), F.transform(F.split("names", "\\|"), lambda k: F.col("value"))).alias("properties"))
+#: Patches of parts, one for each line item: properties, every fourth a subtype, some a description. The SQL takes them one by one, as a loop would.
+_COMPONENT_PATCHES = """cp AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, 'p' || l_partkey AS component, round(1 - l_tax * 4, 2) AS score, (l_linenumber - 1)::BIGINT AS evidence, l_linestatus = 'O' AS provider,
+  CASE l_linenumber % 3 WHEN 0 THEN ['vendor'] WHEN 1 THEN ['region', 'vendor'] ELSE ['plan', 'region'] END AS keys, CASE WHEN l_linenumber = 4 THEN 'none' ELSE l_returnflag || l_linenumber END AS value,
+  CASE l_linenumber % 4 WHEN 0 THEN 'store' WHEN 1 THEN 'queue' END AS sub, CASE WHEN l_linenumber = 5 THEN l_returnflag END AS descr FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY l_tax, l_linestatus, l_returnflag) = 1),
+gated AS (SELECT *, array_to_string(keys, '|') AS names, score::DOUBLE + evidence / 100.0::DOUBLE + CASE WHEN provider THEN 0.25::DOUBLE ELSE 0::DOUBLE END AS rank, CASE WHEN score < 0.72 THEN 'confidence_below_threshold:0.72' WHEN evidence = 0 THEN 'missing_evidence' END AS reason FROM cp),
+ranked AS (SELECT *, component || ':' || names || ':' || coalesce('sub:' || sub, '') || ':' || CASE WHEN descr IS NULL THEN '' ELSE 'desc' END AS target FROM gated WHERE reason IS NULL),
+turns AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY rank DESC, target, id) AS n FROM ranked),
+fold AS (
+  SELECT 'p' || p_partkey AS component, 0::BIGINT AS n, NULL::VARCHAR AS id, NULL::VARCHAR AS outcome, 0::BIGINT AS wins, CASE WHEN p_partkey % 5 = 0 THEN 'queue' END AS sub, CASE WHEN p_partkey % 7 = 0 THEN 'A' END AS descr,
+    list_concat(CASE WHEN p_partkey % 2 = 0 THEN ['vendor'] ELSE [] END, CASE WHEN p_partkey % 3 = 0 THEN ['plan'] ELSE [] END)::VARCHAR[] AS filled, []::VARCHAR[] AS taken FROM part
+  UNION ALL
+  SELECT component, n, id, CASE WHEN again THEN 'target_already_modified_by_higher_ranked_proposal' WHEN changed OR len(fresh) > 0 THEN 'applied' ELSE 'no_meaningful_changes' END, CASE WHEN again THEN 0 ELSE len(fresh) END,
+    CASE WHEN again THEN was_sub ELSE coalesce(set_sub, was_sub) END, CASE WHEN again THEN was_descr ELSE coalesce(set_descr, was_descr) END, CASE WHEN again THEN filled ELSE list_concat(filled, fresh) END,
+    CASE WHEN NOT again AND (changed OR len(fresh) > 0) THEN list_append(taken, target) ELSE taken END
+  FROM (SELECT t.component, t.n, t.id, t.target, t.sub AS set_sub, t.descr AS set_descr, f.sub AS was_sub, f.descr AS was_descr, f.filled, f.taken, list_contains(f.taken, t.target) AS again,
+      (t.sub IS NOT NULL AND t.sub IS DISTINCT FROM f.sub) OR (t.descr IS NOT NULL AND t.descr IS DISTINCT FROM f.descr) AS changed,
+      CASE WHEN t.value = 'none' THEN []::VARCHAR[] ELSE list_filter(t.keys, lambda k: NOT list_contains(f.filled, k)) END AS fresh
+    FROM fold f JOIN turns t ON t.component = f.component AND t.n = f.n + 1)),
+outcomes AS (SELECT id, outcome, wins FROM fold WHERE n > 0 UNION ALL SELECT id, reason, 0 FROM gated WHERE reason IS NOT NULL)"""
+
+
+def _component_patches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = graph.best_per_key(tables.table(spark, sf_dir, "lineitem"), [F.col(c) for c in SEQ[:-1]], [F.col(c) for c in ("l_tax", "l_linestatus", "l_returnflag")])
+    line, none = F.col("l_linenumber"), F.lit(None).cast("map<string,array<string>>")
+    keys = F.when(line % 3 == 0, F.array(F.lit("vendor"))).when(line % 3 == 1, F.array(F.lit("region"), F.lit("vendor"))).otherwise(F.array(F.lit("plan"), F.lit("region")))
+    value = F.when(line == 4, "none").otherwise(F.concat("l_returnflag", line.cast("string")))
+    patches = rows.select(
+        F.concat_ws("-", *(F.col(c).cast("string") for c in SEQ[:-1])).alias("id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("component"), F.round(1 - F.col("l_tax") * 4, 2).alias("score"), (line - 1).cast("long").alias("evidence"),
+        (F.col("l_linestatus") == "O").alias("provider"), F.map_from_arrays(keys, F.transform(keys, lambda k: value)).alias("properties"), F.when(line % 4 == 0, "store").when(line % 4 == 1, "queue").alias("set_sub_type"),
+        F.when(line == 5, F.col("l_returnflag")).alias("set_description"), none.alias("property_evidence"), F.lit(None).cast("array<string>").alias("verbs"),
+    )
+    own = F.filter(F.array(F.when(F.col("p_partkey") % 2 == 0, "vendor"), F.when(F.col("p_partkey") % 3 == 0, "plan")), lambda x: x.isNotNull())
+    components = tables.table(spark, sf_dir, "part").select(
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.lit("asset").alias("type"), F.when(F.col("p_partkey") % 5 == 0, "queue").alias("sub_type"), F.when(F.col("p_partkey") % 7 == 0, "A").alias("description"),
+        F.map_from_arrays(own, F.transform(own, lambda k: F.lit("kept"))).alias("properties"), none.alias("property_evidence"), F.lit(None).cast("map<string,double>").alias("verbs"),
+    )
+    return components, patches
 
 
-_UNIQUE = _GATED.replace("FROM lineitem)", "FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY round(1 - l_tax * 4, 2), l_linestatus = 'O', l_returnflag || l_linenumber) = 1)", 1)
+@query(f"WITH RECURSIVE {_COMPONENT_PATCHES} SELECT id, outcome, wins FROM outcomes")
+def merge_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of patches of parts that are taken in order."""
+    outcomes, _ = merge.merge_components(*_component_patches(spark, sf_dir))
+    return outcomes.select(F.col("patch").alias("id"), "outcome", "wins")
 
 
-@query(f"WITH {_UNIQUE} SELECT * FROM outcomes")
-def merge_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What becomes of patches of suppliers."""
-    return _outcomes(spark, sf_dir)
+@query(f"WITH RECURSIVE {_COMPONENT_PATCHES} SELECT component AS id, sub AS sub_type, descr AS description, array_to_string(list_sort(filled), ',') AS filled FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY n DESC) AS k FROM fold) WHERE k = 1")
+def merged_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts after the patches."""
+    _, merged = merge.merge_components(*_component_patches(spark, sf_dir))
+    return merged.select("id", "sub_type", "description", F.array_join(F.array_sort(F.map_keys("properties")), ",").alias("filled"))
 
 
-@query(f"WITH {_UNIQUE} SELECT p.id, o.outcome, p.property, f.value AS old, p.value AS new FROM (SELECT id, component, unnest(keys) AS property, value FROM patches) p JOIN outcomes o USING (id) LEFT JOIN filled f ON f.component = p.component AND f.property = p.property WHERE o.outcome <> 'no_meaningful_changes'")
+@query(f"""WITH RECURSIVE {_COMPONENT_PATCHES} SELECT p.id, o.outcome, p.property, CASE WHEN p.property = 'vendor' AND part.p_partkey % 2 = 0 OR p.property = 'plan' AND part.p_partkey % 3 = 0 THEN 'kept' END AS old, p.value AS new
+FROM (SELECT id, component, unnest(keys) AS property, value FROM cp) p JOIN outcomes o USING (id) LEFT JOIN part ON p.component = 'p' || part.p_partkey WHERE o.outcome <> 'no_meaningful_changes'""")
 def proposal_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each property of the patches that changed or could change something, before and after."""
-    return merge.proposal_details(_unique(_patches(spark, sf_dir)), _outcomes(spark, sf_dir), _filled(spark, sf_dir)).filter("outcome <> 'no_meaningful_changes'")
+    components, patches = _component_patches(spark, sf_dir)
+    outcomes, _ = merge.merge_components(components, patches)
+    before = components.select(F.col("id").alias("component"), F.explode("properties").alias("property", "value"))
+    return merge.proposal_details(patches, outcomes.select(F.col("patch").alias("id"), "outcome"), before).filter("outcome <> 'no_meaningful_changes'")
 
 
 @query("""WITH e AS (SELECT user_id, event_type, event_id % 2 = 0 AS old, list(event_id ORDER BY event_id) AS refs FROM events WHERE event_id % 2 = 0 OR event_type IN ('click', 'error') GROUP BY ALL)
@@ -73,40 +100,69 @@ def evidence_map_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.select("user_id", F.explode(merge.merge_evidence(F.col("o"), F.col("n"))).alias("property", "refs")).select("user_id", "property", F.array_join(F.transform("refs", lambda r: r.cast("string")), ",").alias("refs"))
 
 
-_FLOW_PATCHES = with_relations("components", "flows").rstrip() + f""", once AS ({_first('flows', 'source, target', f'confidence DESC, {_SEQ}', 'hop = 0')}), fp AS (
-  SELECT o_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, 'c' || o_custkey AS source, 's' || (CASE WHEN l_quantity > 40 THEN l_suppkey ELSE 1 + (l_suppkey + l_linenumber) % 9 END) AS target, round(1 - l_tax * 3, 2) AS score, (l_linenumber - 1)::BIGINT AS evidence,
-    l_linestatus = 'O' AS provider, l_returnflag = 'R' AS "insert", CASE WHEN l_returnflag = 'A' THEN 'rpc' END AS set_type FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+#: Patches of flows between customers and suppliers. A pair's first patch that finds a flow, or may insert one, is applied; those before it find nothing, those after it come too late.
+_FLOW_PATCHES = with_relations("components", "flows").rstrip() + f""", first AS ({_first('flows', 'source, target', _SEQ, 'hop = 0')}), fp AS (
+  SELECT o_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, CASE WHEN l_linenumber = 6 THEN l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-0' END AS flow,
+    'c' || o_custkey AS source, 's' || (CASE WHEN l_quantity > 40 OR l_linenumber = 6 THEN l_suppkey ELSE 1 + (l_suppkey + l_linenumber) % 9 END) AS target, round(1 - l_tax * 3, 2) AS score, (l_linenumber - 1)::BIGINT AS evidence,
+    l_linestatus = 'O' AS provider, l_returnflag = 'R' AS "insert", CASE WHEN l_returnflag = 'A' THEN 'rpc' END AS set_type, CASE WHEN l_linenumber = 3 THEN l_shipmode_like END AS set_method
+  FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode_like FROM lineitem) JOIN orders ON l_orderkey = o_orderkey
   QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY l_quantity, l_tax, l_linestatus, l_returnflag) = 1
-), gates AS (SELECT fp.*, {_RANK.format(insert='- CASE WHEN "insert" THEN 0.02 ELSE 0 END ')} AS rank, CASE WHEN s.section IS NULL OR t.section IS NULL OR s.section <> t.section THEN 'cross_section_flow_change_blocked' WHEN score < CASE WHEN "insert" THEN 0.85 ELSE 0.75 END THEN 'confidence_below_threshold'
-  WHEN evidence = 0 THEN 'missing_evidence' WHEN o.source IS NULL AND NOT "insert" THEN 'target_not_found' END AS reason
-  FROM fp LEFT JOIN components s ON s.id = fp.source LEFT JOIN components t ON t.id = fp.target LEFT JOIN once o ON o.source = fp.source AND o.target = fp.target),
-done AS (SELECT *, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY source, target, reason IS NULL ORDER BY rank DESC, id) = 1 THEN 'applied' ELSE 'target_already_modified' END) AS outcome FROM gates)"""
+), known AS (SELECT DISTINCT source, target, true AS known FROM flows WHERE hop = 0),
+gates AS (SELECT fp.*, score::DOUBLE + evidence / 100.0::DOUBLE + CASE WHEN "insert" THEN -0.02::DOUBLE ELSE 0::DOUBLE END + CASE WHEN provider THEN 0.25::DOUBLE ELSE 0::DOUBLE END AS rank, coalesce('flow:' || flow, 'flow:' || fp.source || '->' || fp.target) AS named, coalesce(k.known, false) AS known,
+  CASE WHEN s.section IS NULL OR t.section IS NULL OR s.section <> t.section THEN 'cross_section_flow_change_blocked' WHEN score < CASE WHEN "insert" THEN 0.85 ELSE 0.75 END THEN 'confidence_below_threshold:' || CASE WHEN "insert" THEN '0.85' ELSE '0.75' END WHEN evidence = 0 THEN 'missing_evidence' END AS reason
+  FROM fp LEFT JOIN components s ON s.id = fp.source LEFT JOIN components t ON t.id = fp.target LEFT JOIN known k ON k.source = fp.source AND k.target = fp.target),
+turns AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY rank DESC, named, id) AS n FROM gates WHERE reason IS NULL),
+firsts AS (SELECT source, target, named, min(n) FILTER (known OR "insert") AS hit FROM turns GROUP BY ALL),
+done AS (SELECT id, coalesce(g.reason, CASE WHEN t.n = f.hit THEN 'applied' WHEN t.n > f.hit THEN 'target_already_modified_by_higher_ranked_proposal' ELSE 'target_not_found' END) AS outcome
+  FROM gates g LEFT JOIN turns t USING (id) LEFT JOIN firsts f ON f.source = t.source AND f.target = t.target AND f.named = t.named)"""
 
 
 def _flow_patches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    flows = graph.dedupe_directed(tables.flows(spark, sf_dir).filter("hop = 0"), SEQ)
+    text = F.lit(None).cast("string")
+    flows = graph.best_per_key(tables.flows(spark, sf_dir).filter("hop = 0"), [F.col("id")], [F.col("type"), F.col("confidence")])
+    flows = flows.withColumns({"seq": F.struct(*SEQ), "method": text, "endpoint": text, "description": text})
     rows = graph.best_per_key(tables.table(spark, sf_dir, "lineitem"), [F.col(c) for c in SEQ[:-1]], [F.col(c) for c in ("l_quantity", "l_tax", "l_linestatus", "l_returnflag")]).join(tables.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    target = F.when(F.col("l_quantity") > 40, F.col("l_suppkey")).otherwise(1 + (F.col("l_suppkey") + F.col("l_linenumber")) % 9)
+    target = F.when((F.col("l_quantity") > 40) | (F.col("l_linenumber") == 6), F.col("l_suppkey")).otherwise(1 + (F.col("l_suppkey") + F.col("l_linenumber")) % 9)
+    id_ = F.concat_ws("-", *(F.col(c).cast("string") for c in SEQ[:-1]))
     return flows, rows.select(
-        F.concat_ws("-", *(F.col(c).cast("string") for c in SEQ[:-1])).alias("id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("s"), target.cast("string")).alias("target"), F.round(1 - F.col("l_tax") * 3, 2).alias("score"),
+        id_.alias("id"), F.when(F.col("l_linenumber") == 6, F.concat(id_, F.lit("-0"))).alias("flow"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("s"), target.cast("string")).alias("target"), F.round(1 - F.col("l_tax") * 3, 2).alias("score"),
         (F.col("l_linenumber") - 1).cast("long").alias("evidence"), (F.col("l_linestatus") == "O").alias("provider"), (F.col("l_returnflag") == "R").alias("insert"), F.when(F.col("l_returnflag") == "A", "rpc").alias("set_type"),
+        F.when(F.col("l_linenumber") == 3, F.concat("l_returnflag", "l_linestatus")).alias("set_method"), text.alias("set_endpoint"), text.alias("set_description"),
     )
 
 
 @query(_FLOW_PATCHES + " SELECT outcome, count(*) AS n, min(id) AS first FROM done GROUP BY outcome")
 def flow_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What becomes of patches of flows."""
+    """What becomes of patches of flows that are taken in order."""
     flows, patches = _flow_patches(spark, sf_dir)
-    return merge.flow_gates(patches, tables.components(spark, sf_dir), flows).groupBy("outcome").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    outcomes, _ = merge.merge_flows(tables.components(spark, sf_dir), flows, patches)
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("n"), F.min("patch").alias("first"))
 
 
-@query(_FLOW_PATCHES + """ SELECT source, target, coalesce(set_type, type, 'api_call') AS type, greatest(confidence, score) AS confidence, CASE WHEN confidence IS NULL THEN 'inserted' WHEN score IS NULL THEN 'kept' ELSE 'patched' END AS how
-FROM (SELECT source, target, type, confidence FROM once) FULL JOIN (SELECT source, target, set_type, score FROM done WHERE outcome = 'applied') USING (source, target)""")
+@query(_FLOW_PATCHES + """, hits AS (SELECT t.*, coalesce(t.flow, f.id) AS changed FROM turns t JOIN done d USING (id) LEFT JOIN first f ON f.source = t.source AND f.target = t.target WHERE d.outcome = 'applied'),
+own AS (SELECT id, source, target, min(type) AS type, min(confidence) FILTER (type = low) AS confidence FROM (SELECT *, min(type) OVER (PARTITION BY id) AS low FROM flows WHERE hop = 0) GROUP BY id, source, target),
+by_flow AS (SELECT changed, max_by(set_type, n) FILTER (set_type IS NOT NULL) AS set_type, max_by(set_method, n) FILTER (set_method IS NOT NULL) AS set_method, max(score) AS score FROM hits WHERE changed IS NOT NULL GROUP BY changed)
+SELECT o.source, o.target, coalesce(set_type, type) AS type, set_method AS method, greatest(confidence, score) AS confidence, CASE WHEN b.changed IS NULL THEN 'kept' ELSE 'patched' END AS how, count(*) AS n FROM own o LEFT JOIN by_flow b ON b.changed = o.id GROUP BY ALL
+UNION ALL SELECT source, target, coalesce(set_type, 'api_call'), set_method, score, 'inserted', count(*) FROM hits WHERE changed IS NULL GROUP BY ALL""")
 def flow_patch_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flows after the patches that apply."""
+    """Flows after the patches, those that are alike together."""
     flows, patches = _flow_patches(spark, sf_dir)
-    applied = merge.flow_gates(patches, tables.components(spark, sf_dir), flows).filter("outcome = 'applied'")
-    return merge.merge_flow_patches(flows, patches.join(applied, "id", "left_semi").withColumn("rank", merge.rank_of(F.col("insert"))))
+    _, merged = merge.merge_flows(tables.components(spark, sf_dir), flows, patches)
+    return merged.groupBy("source", "target", "type", "method", "confidence", "how").agg(F.count("*").alias("n"))
+
+
+@query("""WITH a AS (SELECT 's' || l_suppkey AS component, l_returnflag || (l_linenumber % 4) AS verb, round(1 - l_tax * 4, 2) AS confidence, CASE l_linestatus WHEN 'O' THEN 'asserted' ELSE 'candidate' END AS status, CASE WHEN l_quantity > 25 THEN 'ai' ELSE 'scan' END AS source FROM lineitem),
+best AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY component, verb ORDER BY status = 'asserted' DESC, confidence DESC, source, status) = 1)
+SELECT component, string_agg(verb || ':' || status || ':' || source, ',' ORDER BY verb) AS verbs, min_by(verb, (-confidence, verb)) FILTER (status = 'asserted') AS "primary" FROM best GROUP BY component""")
+def verb_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verbs of suppliers, each from its best assignment, and the primary one."""
+    line = F.col("l_linenumber")
+    rows = tables.table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("component"), F.concat("l_returnflag", (line % 4).cast("string")).alias("verb"), F.round(1 - F.col("l_tax") * 4, 2).alias("confidence"),
+        F.when(F.col("l_linestatus") == "O", "asserted").otherwise("candidate").alias("status"), F.when(F.col("l_quantity") > 25, "ai").otherwise("scan").alias("source"),
+    )
+    shown = F.array_join(F.transform("verbs", lambda v: F.concat_ws(":", v["verb"], v["status"], v["source"])), ",")
+    return merge.merge_assignments(rows).select("component", shown.alias("verbs"), "primary")
 
 
 @query(f"WITH {_PATCHES} SELECT component, array_to_string(list_sort(list_distinct(list(verb))), ',') AS verbs FROM (SELECT 's' || s_suppkey AS component, CASE WHEN s_acctbal < 0 THEN 'delete' ELSE 'store' END AS verb FROM supplier UNION ALL SELECT component, value FROM patches WHERE score >= 0.72 AND evidence > 0) GROUP BY component")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.operators import metrics
+from factgraph.operators import merge, metrics
 from factgraph.sources import tables
 from factgraph.sources.tables import with_relations
 
-from .merge import _UNIQUE, _filled, _outcomes, _patches, _unique
+from .merge import _COMPONENT_PATCHES, _component_patches
 from .registry import query
 
 _PROPS = """props AS (SELECT 's' || s_suppkey AS id, 'third_party' AS type, CASE WHEN s_suppkey % 9 > 0 THEN 'vendor' ELSE '' END AS sub_type, unnest(['vendor', 'client', 'gdpr_role', 'encryption_at_rest']) AS k,
@@ -52,15 +52,17 @@ def interaction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.select(F.round("recall", 9).alias("recall"), F.round(F.lit(scores["guardrail"]), 9).alias("guardrail"), F.lit(scores["direction_accuracy"]).alias("direction_accuracy"))
 
 
-@query(f"""WITH {_UNIQUE}, each AS (SELECT unnest(keys) AS property, outcome FROM patches JOIN outcomes USING (id)), lacking AS (SELECT 's' || s_suppkey AS component, unnest(['vendor', 'plan']) AS property FROM supplier)
+@query(f"""WITH RECURSIVE {_COMPONENT_PATCHES}, each AS (SELECT unnest(keys) AS property, outcome FROM cp JOIN outcomes USING (id)), lacking AS (SELECT p_partkey, unnest(['vendor', 'plan']) AS property FROM part)
 SELECT property, sum(a)::BIGINT AS autofilled, sum(s)::BIGINT AS suggested, sum(u)::BIGINT AS unknown FROM (SELECT property, (outcome = 'applied')::INT AS a, starts_with(outcome, 'confidence_below_threshold')::INT AS s, 0 AS u FROM each
-  UNION ALL SELECT property, 0, 0, 1 FROM lacking ANTI JOIN filled USING (component, property)) GROUP BY property""")
+  UNION ALL SELECT property, 0, 0, 1 FROM lacking WHERE CASE property WHEN 'vendor' THEN p_partkey % 2 <> 0 ELSE p_partkey % 3 <> 0 END) GROUP BY property""")
 def property_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What patches filled, could fill and left open."""
-    supplier = tables.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("component"), F.explode(F.array(F.lit("vendor"), F.lit("plan"))).alias("property"))
-    after = supplier.join(_filled(spark, sf_dir), ["component", "property"], "left")
-    proposals = _unique(_patches(spark, sf_dir)).select("id", F.map_keys("properties").alias("keys"))
-    return metrics.property_coverage(proposals, _outcomes(spark, sf_dir), after)
+    components, patches = _component_patches(spark, sf_dir)
+    outcomes, _ = merge.merge_components(components, patches)
+    wanted = F.explode(F.array(F.lit("vendor"), F.lit("plan"))).alias("property")
+    filled = components.select(F.col("id").alias("component"), F.explode("properties").alias("property", "value"))
+    after = components.select(F.col("id").alias("component"), wanted).join(filled, ["component", "property"], "left")
+    return metrics.property_coverage(patches.select("id", F.map_keys("properties").alias("keys")), outcomes.select(F.col("patch").alias("id"), "outcome"), after)
 
 
 @query("SELECT coalesce(CASE WHEN p_size % 3 > 0 THEN p_type END, 'database') AS client, coalesce(CASE WHEN p_size % 2 = 0 THEN p_brand END, 'SQL') AS kind, count(*) AS n FROM part GROUP BY ALL")

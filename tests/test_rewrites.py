@@ -13,35 +13,11 @@ def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
-def test_patches_fill_by_rank(spark):
-    patches = spark.createDataFrame(
-        [("a", "c", {"x": "1"}, 0.9, 1, False), ("b", "c", {"x": "2", "y": "2"}, 0.8, 1, True), ("d", "c", {"x": "3"}, 0.95, 0, True), ("e", "c", {"x": "4"}, 0.5, 3, True), ("f", "c", {"x": "5", "y": "5"}, 0.8, 1, False), ("g", "c", {"z": "6"}, 0.9, 1, True), ("h", "c", {"w": "7"}, 0.9, 1, True)],
-        "id string, component string, properties map<string,string>, score double, evidence int, provider boolean",
-    )
-    filled = spark.createDataFrame([("c", "z")], "component string, property string")
-    want = [("a", "no_meaningful_changes", 0), ("b", "applied", 2), ("d", "missing_evidence", 0), ("e", "confidence_below_threshold", 0), ("f", "target_already_modified", 0), ("g", "no_meaningful_changes", 0), ("h", "applied", 1)]
-    assert rows(merge.merge_component_patches(patches, filled)) == want
-    assert merge.merge_component_patches(patches.limit(0), filled).count() == 0
-
-
 def test_evidence_is_replaced_by_key(spark):
     df = spark.createDataFrame([({"a": [1], "b": [2]}, {"b": [3], "c": [4], "a": []})], "old map<string,array<int>>, new map<string,array<int>>")
     assert df.select(merge.merge_evidence(F.col("old"), F.col("new"))).first()[0] == {"a": [1], "b": [3], "c": [4]}
 
 
-def test_flow_patches(spark):
-    components = spark.createDataFrame([("a", "s"), ("b", "s"), ("c", "t")], "id string, section string")
-    flows = spark.createDataFrame([("a", "b", "rpc", 0.6)], "source string, target string, type string, confidence double")
-    patches = spark.createDataFrame(
-        [("1", "a", "b", 0.8, 1, True, False, "webhook"), ("2", "a", "b", 0.9, 1, False, False, None), ("3", "b", "a", 0.8, 1, True, False, None), ("4", "b", "a", 0.86, 1, True, True, None), ("5", "a", "c", 0.9, 1, True, True, None), ("6", "b", "a", 0.8, 1, True, True, None)],
-        "id string, source string, target string, score double, evidence int, provider boolean, insert boolean, set_type string",
-    )
-    gates = merge.flow_gates(patches, components, flows)
-    assert rows(gates) == [("1", "applied"), ("2", "target_already_modified"), ("3", "target_not_found"), ("4", "applied"), ("5", "cross_section_flow_change_blocked"), ("6", "confidence_below_threshold")]
-    assert {r.outcome for r in merge.flow_gates(patches, components, flows, keep_topology=True).collect()} == {"data_flow_topology_preserved"}
-    applied = patches.join(gates.filter("outcome = 'applied'"), "id", "left_semi").withColumn("rank", merge.rank_of(F.col("insert")))
-    assert rows(merge.merge_flow_patches(flows, applied)) == [("a", "b", "webhook", 0.8, "patched"), ("b", "a", "api_call", 0.86, "inserted")]
-
 
 def test_detected_flows_come_before_made_up_ones(spark):
     flows = spark.createDataFrame([("flow_fallback_1", 1, "a", "b", "x", 0.9), ("f2", 2, "a", "b", "x", 0.5), ("f3", 3, "b", "a", "y", 0.4)], "id string, seq int, source string, target string, type string, confidence double")
