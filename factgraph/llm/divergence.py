@@ -24,7 +24,7 @@ SMOOTHING = 5
 SCALE = 10**9
 TOP = 50
 #: Numbers in the vectors of a chunk, on average: its terms times the sources of its language.
-CELLS = 1 << 20
+CELLS = 1 << 16
 #: Different (group, term) that a task counts before it hands them on, and bytes of a text that it splits at a time.
 HELD, WINDOW = 400_000, 1 << 22
 
