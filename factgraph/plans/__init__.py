@@ -10,3 +10,4 @@ from . import third_party as third_party
 from . import identity as identity
 from . import lineage as lineage
 from . import rules as rules
+from . import renames as renames
