@@ -11,3 +11,4 @@ from . import identity as identity
 from . import lineage as lineage
 from . import rules as rules
 from . import renames as renames
+from . import absorb as absorb
