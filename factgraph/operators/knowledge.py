@@ -12,17 +12,24 @@ from .graph import best_per_key
 STRUCTURAL = ("occurrence_of", "part_of", "declared_by", "occurs_in", "defined_in", "observed_in")
 CODE_LINKS = ("occurs_in", "defined_in", "observed_in")
 #: Slots of answers and their shapes. Fixed values.
-SLOT_SHAPES = {"in_scope": "text", "actor_kind": "enum", "data_categories": "list", "purpose": "list"}
+SLOT_SHAPES = {"in_scope": "text", "actor_kind": "enum", "data_categories": "list", "purpose": "enum"}
+#: Vocabularies of slots. Fixed values.
+DATA_CATEGORIES = ("personal", "identifiers", "contact", "demographic", "credentials", "financial", "health", "location", "communications", "commercial", "other")
+PURPOSES = ("service_provision", "analytics", "marketing", "security", "legal_obligation", "research", "debugging", "unspecified")
+ACTOR_KINDS = ("person", "role", "persona")
 #: Reviewers that are no person, and evidence that never counts. Fixed values.
 AUTOMATIC = r"(?i)^(gpt|claude|composer|model|agent|auto|rubric|the room|coding agent)"
 NO_EVIDENCE = r"(?i)experiments/datap-|/eval/|fixtures/|mapped-transcript|stakeholder-script|discovery-export-bundle|raw-model-transcript"
 
 
 def scrubbed(text: Column, root: str) -> Column:
-    """The text with / as separator and without the scan's root, wherever it occurs, also where its removal joins one anew."""
+    """The text with / as separator and without the scan's root, wherever it occurs, also where its removal joins one anew: what still has it is treated again until it can't, at most as often as there are
+    slashes for."""
     prefix = root.rstrip("/") + "/"
     once = F.replace(F.replace(text, F.lit("\\"), F.lit("/")), F.lit(prefix), F.lit(""))
-    return F.replace(F.replace(once, F.lit(prefix), F.lit("")), F.lit(prefix), F.lit(""))
+    slashes = F.length(once) - F.length(F.replace(once, F.lit("/"), F.lit("")))
+    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(slashes / prefix.count("/")).cast("int")))
+    return F.when(F.contains(once, F.lit(prefix)), F.aggregate(rounds, once, lambda t, _: F.replace(t, F.lit(prefix), F.lit("")))).otherwise(once)
 
 
 def bare_id(raw: Column) -> Column:
@@ -76,11 +83,29 @@ def landing(answers: DataFrame, asked: DataFrame, evidence: DataFrame) -> DataFr
     return rows.select("id", outcome.alias("outcome"))
 
 
+def slot_value(slot: Column, raw: Column) -> Column:
+    """A struct of value, as it is stored, and error (null if there is none): a scope is a text that isn't empty, a kind of actor and a purpose one word of their vocabulary, categories a JSON list
+    of theirs, distinct and sorted, from a JSON list or words between commas; ``unspecified`` is none of them. Words are trimmed and compared by case."""
+    value = F.trim(F.coalesce(raw, F.lit("")))
+    listed = F.startswith(value, F.lit("["))
+    parsed = F.from_json(value, "array<string>")
+    strings = listed & parsed.isNotNull() & value.rlike(r'^\[\s*("([^"\\]|\\.)*"\s*(,\s*"([^"\\]|\\.)*"\s*)*)?\]$')
+    words = F.filter(F.transform(F.when(listed, parsed).otherwise(F.split(value, ",")), lambda w: F.trim(w)), lambda w: w != "")
+    error = (
+        F.when(slot == "in_scope", F.when(value == "", "empty_scope"))
+        .when(slot == "actor_kind", F.when(~value.isin(*ACTOR_KINDS), "unknown_actor_kind"))
+        .when(slot == "purpose", F.when(~value.isin(*PURPOSES), "unknown_purpose"))
+        .when(slot == "data_categories", F.when(listed & ~strings, "no_list_of_categories").when(F.size(words) == 0, "no_category").when(F.array_contains(words, "unspecified"), "unspecified_category").when(F.exists(words, lambda w: ~w.isin(*DATA_CATEGORIES)), "unknown_category"))
+        .otherwise("no_slot")
+    )
+    stored = F.when(slot == "data_categories", F.to_json(F.array_sort(F.array_distinct(words)))).otherwise(value)
+    return F.struct(F.when(error.isNull(), stored).alias("value"), error.alias("error"))
+
+
 def interview_records(landed: DataFrame) -> DataFrame:
-    """id, target, slot, shape, value of landed answers; lists are distinct and sorted."""
+    """id, target, slot, shape, value, error of landed answers (id, target, slot, value); see slot_value."""
     shape = F.coalesce(*(F.when(F.col("slot") == s, F.lit(v)) for s, v in SLOT_SHAPES.items()))
-    items = F.array_sort(F.array_distinct(F.filter(F.transform(F.split("value", ","), lambda v: F.lower(F.trim(v))), lambda v: v != "")))
-    return landed.select("id", "target", "slot", shape.alias("shape"), F.when(shape == "list", F.array_join(items, ",")).otherwise(F.trim("value")).alias("value"))
+    return landed.withColumn("_v", slot_value(F.col("slot"), F.col("value"))).select("id", "target", "slot", shape.alias("shape"), "_v.value", "_v.error")
 
 
 def comparable(base: DataFrame, head: DataFrame, key: str, tools: list[str]) -> DataFrame:

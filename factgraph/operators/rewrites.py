@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factgraph.functions.scalars import is_public_url
+
 from .graph import best_per_key
 
 #: Sections that are none. Fixed values.
@@ -35,7 +37,7 @@ def matches_provider(name: Column, service: Column, keys: list[str]) -> Column:
 
 def is_product(service: Column, keys: list[str]) -> Column:
     """A product of a provider has a service of its own, which is not a key."""
-    return F.coalesce(service, F.lit("")).isNotNull() & (F.coalesce(service, F.lit("")) != "") & ~F.lower(F.coalesce(service, F.lit(""))).isin(keys)
+    return (F.coalesce(service, F.lit("")) != "") & ~F.lower(F.coalesce(service, F.lit(""))).isin(keys)
 
 
 def holds_any(columns: list[Column], hints: list[str]) -> Column:
@@ -49,17 +51,31 @@ def is_managed_resource(hints: list[str]) -> Column:
     return (F.col("type") == "asset") & (F.col("sub_type") == "database") & holds_any([F.col("client"), F.col("name")], hints)
 
 
-def is_bare_client(transports: list[str]) -> Column:
-    """A third party that is only a transport: no URL, and its compact service, client or name is one of the transports."""
-    compact = [F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[\s_-]+", "") for c in (F.col("service"), F.col("client"), F.col("name"))]
-    return (F.col("type") == "third_party") & F.col("url").isNull() & F.exists(F.array(*compact), lambda c: c.isin(transports))
+#: Names of HTTP transports, compact. Fixed values.
+TRANSPORTS = ("axios", "fetch", "got", "ky", "httpclient", "httpclientfactory", "restsharp", "flurl", "undici", "nodefetch", "crossfetch")
+
+
+def compact_name(text: Column) -> Column:
+    """Trimmed, lower-case, without blanks, underscores and hyphens; empty if null."""
+    return F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"[\s_-]+", "")
+
+
+def has_public_url() -> Column:
+    """One of the URLs (``urls``, an array), the name if it's a URL, or the host is a public URL."""
+    host = F.when(F.coalesce("host", F.lit("")) != "", F.concat(F.lit("https://"), "host"))
+    named = F.when(F.col("name").rlike("(?i)^https?://"), F.col("name"))
+    every = F.array_compact(F.concat(F.coalesce("urls", F.array().cast("array<string>")), F.array(named, host)))
+    return F.exists(every, is_public_url)
 
 
-def is_serverless_handler(patterns: list[str]) -> Column:
-    """An asset that no provider manages and is no compute service, with a handler type, a handler's pattern or a function called
-    lambda or handler."""
-    plain = (F.col("type") == "asset") & F.col("managed_by").isNull() & (F.coalesce("sub_type", F.lit("")) != "compute_service")
-    return plain & (F.col("handler_type").isNotNull() | F.col("pattern").isin(patterns) | F.coalesce(F.lower("function").rlike("lambda|handler"), F.lit(False)))
+def is_bare_client() -> Column:
+    """A component (name, service, client, host, urls, source_context) that is only a transport: not from a dependency manifest, without a public URL and a service of its own, whose client or service is
+    a transport, or whose name is one followed by "call"."""
+    service, client, name = compact_name(F.col("service")), compact_name(F.col("client")), compact_name(F.col("name"))
+    called = F.coalesce(F.trim("name").rlike(r"(?i)\bcall$"), F.lit(False)) & F.regexp_replace(name, "call$", "").isin(*TRANSPORTS)
+    own = (service != "") & ~service.isin(*TRANSPORTS)
+    manifest = F.coalesce(F.col("source_context") == "dependency_manifest", F.lit(False))
+    return ~manifest & ~has_public_url() & ~own & (client.isin(*TRANSPORTS) | service.isin(*TRANSPORTS) | called)
 
 
 def signal_text(*columns: Column) -> Column:
@@ -77,12 +93,20 @@ def matches_resource(resource: Column, exact: list[str], prefixes: list[str]) ->
     return resource.isin(exact) | F.greatest(F.lit(False), F.lit(False), *(F.startswith(resource, F.lit(p)) for p in prefixes))
 
 
-def service_classes(assets: DataFrame, lines: DataFrame, reach: int = 4, exempt: str = "ItemsService") -> DataFrame:
-    """id of assets (id, path, start_line, name) in a folder of services that declare their class within ``reach`` lines from their
-    start, but for the exempt one."""
-    wanted = assets.filter(F.col("path").rlike(r"(^|/)services/[^/]+\.ts$") & (F.col("name") != exempt))
-    window = wanted.join(lines.select("path", "line_no", "line"), "path").filter("line_no >= start_line and line_no < start_line + %d" % reach)
-    return window.filter(F.contains("line", F.concat(F.lit("class "), "name"))).select("id").distinct()
+def service_classes(assets: DataFrame, locations: DataFrame, detections: DataFrame, lines: DataFrame, reach: int = 4) -> DataFrame:
+    """id of assets (id, type, sub_type) that are only a service's class: of subtype service, found by the pattern auth_middleware alone (detections: id, pattern), and with a location (id, path, start_line, code) in a folder of
+    services that exports a class called so, in its snippet or within ``reach`` lines (path, line_no, line) from its start. Those of which such a location extends ItemsService are exempt. A start that is null or below 1 is the first line."""
+    kind = assets.filter("type = 'asset' and sub_type = 'service'").select("id")
+    only = detections.groupBy("id").agg(F.bool_and(F.coalesce(F.col("pattern") == "auth_middleware", F.lit(False))).alias("only")).filter("only").select("id")
+    places = locations.withColumn("_path", F.replace("path", F.lit("\\"), F.lit("/"))).filter(F.col("_path").rlike(r"(?i)(?:^|/)services/.+\.tsx?$"))
+    wanted = places.join(kind, "id", "left_semi").join(only, "id", "left_semi").withColumn("_first", F.greatest(F.coalesce("start_line", F.lit(1)), F.lit(1)))
+    # declarations may run over lines, so a location's window is one text, as long as ``reach`` lines
+    spots = wanted.select("path", "_first").distinct()
+    near = spots.withColumn("line_no", F.explode(F.sequence(F.col("_first"), F.col("_first") + reach - 1))).join(lines.select("path", F.col("line_no").cast("int").alias("line_no"), "line"), ["path", "line_no"])
+    windows = near.groupBy("path", "_first").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("window"))
+    seen = wanted.join(windows, ["path", "_first"], "left").select("id", F.explode(F.array(F.coalesce("code", F.lit("")), F.coalesce("window", F.lit("")))).alias("text"))
+    found = seen.groupBy("id").agg(F.bool_or(F.col("text").rlike(r"export\s+class\s+\w+Service\b")).alias("service"), F.bool_or(F.col("text").rlike(r"extends\s+(?:\w+\.)?ItemsService\b")).alias("exempt"))
+    return found.filter("service and not exempt").select("id")
 
 
 def preferred_hub(wanted: DataFrame, hubs: DataFrame) -> DataFrame:

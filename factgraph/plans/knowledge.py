@@ -85,12 +85,17 @@ def landing_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _landing(spark, sf_dir).groupBy("outcome").agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
 
-@query(f"""WITH {_LANDING} SELECT id, target, slot, CASE slot WHEN 'in_scope' THEN 'text' WHEN 'actor_kind' THEN 'enum' ELSE 'list' END AS shape,
-  CASE WHEN slot IN ('data_categories', 'purpose') THEN array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(value, ','), lambda v: lower(trim(v))), lambda v: v <> ''))), ',') ELSE trim(value) END AS value FROM done WHERE outcome = 'landed'""")
+@query(f"""WITH {_LANDING}, r AS (SELECT done.id, target, slot, CASE user_id % 6 WHEN 0 THEN ' marketing' WHEN 1 THEN 'contact, health,contact' WHEN 2 THEN '["location", "contact"]' WHEN 3 THEN 'unspecified' WHEN 4 THEN 'Persona' ELSE 'person ' END AS raw FROM done JOIN events ON done.id = event_id WHERE outcome = 'landed')
+SELECT id, target, slot, CASE slot WHEN 'in_scope' THEN 'text' WHEN 'data_categories' THEN 'list' ELSE 'enum' END AS shape,
+  CASE WHEN slot = 'in_scope' THEN trim(raw) WHEN slot = 'actor_kind' THEN CASE WHEN trim(raw) = 'person' THEN 'person' END WHEN slot = 'purpose' THEN CASE WHEN trim(raw) IN ('marketing', 'unspecified') THEN trim(raw) END
+    WHEN starts_with(raw, '[') THEN '["contact","location"]' WHEN raw LIKE '%,%' THEN '["contact","health"]' END AS value,
+  CASE WHEN slot = 'actor_kind' AND trim(raw) <> 'person' THEN 'unknown_actor_kind' WHEN slot = 'purpose' AND trim(raw) NOT IN ('marketing', 'unspecified') THEN 'unknown_purpose' WHEN slot = 'data_categories' AND raw = 'unspecified' THEN 'unspecified_category' WHEN slot = 'data_categories' AND raw NOT LIKE '%,%' THEN 'unknown_category' END AS error FROM r""")
 def interview_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of the answers that landed."""
-    landed = _landing(spark, sf_dir).filter("outcome = 'landed'")
-    return knowledge.interview_records(_answers(spark, sf_dir).join(landed, "id", "left_semi"))
+    """Records of the answers that landed, their values by the vocabularies of slots."""
+    landed, m = _landing(spark, sf_dir).filter("outcome = 'landed'"), F.col("user_id") % 6
+    raw = F.when(m == 0, " marketing").when(m == 1, "contact, health,contact").when(m == 2, '["location", "contact"]').when(m == 3, "unspecified").when(m == 4, "Persona").otherwise("person ")
+    said = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), raw.alias("value"))
+    return knowledge.interview_records(_answers(spark, sf_dir).drop("value").join(landed, "id", "left_semi").join(said, "id"))
 
 
 @query("""WITH s AS (SELECT o_orderkey AS scan, 'v' || o_custkey % 5 AS cli, o_orderpriority AS catalog, o_orderstatus = 'P' AS inference, o_totalprice > 300000 AS dirty FROM orders)

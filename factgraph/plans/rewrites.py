@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.operators import rewrites
+from factgraph.operators import absorb, rewrites
 from factgraph.sources import tables
 from factgraph.sources.tables import with_relations
 
@@ -175,28 +175,44 @@ def resource_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "resource", rewrites.owner_of(r, {"aws_": "aws", "google_": "gcp", "azurerm_": "azure"}).alias("owner"), rewrites.matches_resource(r, ["aws_db_small"], ["google_sql_"]).alias("fits"), F.contains(rewrites.signal_text(r, F.col("p_brand"), F.col("p_name")), F.lit("red")).alias("signalled"))
 
 
-@query("""SELECT event_id FROM events WHERE event_type <> 'signup' AND user_id % 5 <> 0 AND (value > 90 OR event_type = 'click' OR contains(lower(CASE WHEN event_id % 3 = 0 THEN 'My_Handler' ELSE 'run' END), 'handler'))""")
+@query("""WITH a AS (SELECT event_id, user_id % 5 = 0 AS managed, event_type = 'signup' AS compute, CASE WHEN value > 90 THEN 'serverless_handler' WHEN value > 80 THEN 'http' END AS handler, event_type, CASE WHEN event_id % 4 = 0 THEN 'function' END AS sub_type, CASE WHEN event_id % 3 = 0 THEN 'My_Handler' ELSE 'run ' || user_id END AS name FROM events)
+SELECT event_id FROM a WHERE NOT managed AND NOT compute AND (coalesce(handler, '') = 'serverless_handler' OR event_type = 'click' OR (sub_type = 'function' AND contains(lower(name), 'handler')))""")
 def serverless_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as assets that look like handlers."""
+    e = F.col("event_id")
     rows = tables.table(spark, sf_dir, "events").select(
-        "event_id", F.lit("asset").alias("type"), F.when(F.col("event_type") == "signup", "compute_service").alias("sub_type"), F.when(F.col("user_id") % 5 == 0, "x").alias("managed_by"), F.when(F.col("value") > 90, "http").alias("handler_type"),
-        F.col("event_type").alias("pattern"), F.when(F.col("event_id") % 3 == 0, "My_Handler").otherwise("run").alias("function"))
-    return rows.filter(rewrites.is_serverless_handler(["click"])).select("event_id")
+        "event_id", F.lit("asset").alias("type"), F.when(F.col("event_type") == "signup", "compute_service").when(e % 4 == 0, "function").alias("sub_type"), F.when(F.col("user_id") % 5 == 0, "queue").alias("managed_key"),
+        F.when(F.col("value") > 90, "serverless_handler").when(F.col("value") > 80, "http").alias("handler_type"), F.array(F.lit("env_variable"), F.when(F.col("event_type") == "click", "AWS_Lambda").otherwise(F.col("event_type"))).alias("patterns"),
+        F.when(e % 3 == 0, "My_Handler").otherwise(F.concat(F.lit("run "), F.col("user_id").cast("string"))).alias("name"))
+    return rows.filter(absorb.is_handler(F.col("patterns"))).select("event_id")
 
 
-@query("""SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0 AND CASE s_suppkey % 4 WHEN 0 THEN 'Ax-ios' WHEN 1 THEN 'node_fetch' ELSE 'stripe' END IN ('Ax-ios', 'node_fetch')""")
+@query("""WITH r AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'Ax-ios' WHEN 1 THEN 'node_fetch' ELSE 'Stripe' END AS client, CASE s_suppkey % 5 WHEN 0 THEN 'Stripe' WHEN 1 THEN ' Axios ' END AS service, CASE WHEN s_acctbal < 0 THEN 'https://api.x.com' WHEN s_acctbal < 3000 THEN 'http://localhost:80/' END AS url,
+  CASE WHEN s_suppkey % 7 = 0 THEN 'Http Client call' WHEN s_suppkey % 7 = 1 THEN 'Axios' ELSE s_name END AS name, s_nationkey % 6 = 0 AS manifest FROM supplier)
+SELECT s_suppkey FROM r WHERE NOT manifest AND coalesce(url, '') <> 'https://api.x.com' AND coalesce(service, '') <> 'Stripe' AND (client <> 'Stripe' OR service IS NOT NULL OR name = 'Http Client call')""")
 def bare_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as third parties that are only a transport."""
-    k = F.col("s_suppkey") % 4
-    rows = tables.table(spark, sf_dir, "supplier").select("s_suppkey", F.lit("third_party").alias("type"), F.when(F.col("s_acctbal") < 0, "http://x").alias("url"), F.lit(None).cast("string").alias("service"), F.when(k == 0, "Ax-ios").when(k == 1, "node_fetch").otherwise("stripe").alias("client"), F.col("s_name").alias("name"))
-    return rows.filter(rewrites.is_bare_client(["axios", "nodefetch"])).select("s_suppkey")
+    """Suppliers that are only a transport."""
+    k = F.col("s_suppkey")
+    rows = tables.table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.when(F.col("s_acctbal") < 0, F.array(F.lit("https://api.x.com"))).when(F.col("s_acctbal") < 3000, F.array(F.lit("http://localhost:80/"))).alias("urls"), F.when(k % 5 == 0, "Stripe").when(k % 5 == 1, " Axios ").alias("service"),
+        F.when(k % 4 == 0, "Ax-ios").when(k % 4 == 1, "node_fetch").otherwise("Stripe").alias("client"), F.when(k % 7 == 0, "Http Client call").when(k % 7 == 1, "Axios").otherwise(F.col("s_name")).alias("name"), F.lit(None).cast("string").alias("host"), F.when(F.col("s_nationkey") % 6 == 0, "dependency_manifest").alias("source_context"))
+    return rows.filter(rewrites.is_bare_client()).select("s_suppkey")
+
+
+#: Events as assets of a service's file; the file declares its class on the line that its user's number says.
+_SERVICES = """a AS (SELECT event_id AS id, user_id, 'src/' || CASE WHEN user_id % 3 = 0 THEN 'app/' ELSE '' END || 'services/' || CASE WHEN user_id % 4 = 0 THEN 'deep/' ELSE '' END || 'f' || user_id || CASE WHEN user_id % 5 = 0 THEN '.tsx' WHEN user_id % 5 = 1 THEN '.js' ELSE '.ts' END AS path, event_id % 9 AS start, event_id % 2 = 0 AS service, value < 60 AS alone FROM events),
+l AS (SELECT DISTINCT path, 1 + user_id % 10 AS line_no, 'export  class U' || user_id || CASE WHEN user_id % 7 = 0 THEN 'Service extends ItemsService {' WHEN user_id % 7 = 1 THEN 'Service extends x.ItemsService {' WHEN user_id % 7 = 2 THEN 'Controller {' ELSE 'Service {' END AS line FROM a)"""
 
 
-@query("""WITH a AS (SELECT event_id AS id, 'src/services/f' || user_id || '.ts' AS path, event_id % 7 AS start_line, CASE WHEN event_id % 50 = 0 THEN 'ItemsService' ELSE 'User' || user_id END AS name FROM events), l AS (SELECT DISTINCT 'src/services/f' || user_id || '.ts' AS path, user_id % 10 AS line_no, 'export class User' || user_id || ' {' AS line FROM events)
-SELECT DISTINCT id FROM a JOIN l USING (path) WHERE line_no >= start_line AND line_no < start_line + 4 AND name <> 'ItemsService' AND contains(line, 'class ' || name)""")
+@query(f"""WITH {_SERVICES} SELECT DISTINCT id FROM a JOIN l USING (path) WHERE service AND alone AND path NOT LIKE '%.js' AND line_no BETWEEN greatest(start, 1) AND greatest(start, 1) + 3 AND line LIKE '%Service {{'  AND line NOT LIKE '%ItemsService%'""")
 def service_class_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as assets that declare a service's class near their start."""
-    events = tables.table(spark, sf_dir, "events").withColumns({"path": F.concat(F.lit("src/services/f"), F.col("user_id").cast("string"), F.lit(".ts")), "user": F.concat(F.lit("User"), F.col("user_id").cast("string"))})
-    assets = events.select(F.col("event_id").alias("id"), "path", (F.col("event_id") % 7).alias("start_line"), F.when(F.col("event_id") % 50 == 0, "ItemsService").otherwise(F.col("user")).alias("name"))
-    lines = events.select("path", (F.col("user_id") % 10).alias("line_no"), F.concat(F.lit("export class "), "user", F.lit(" {")).alias("line")).distinct()
-    return rewrites.service_classes(assets, lines)
+    """Events as assets that are only a service's class."""
+    u, e = F.col("user_id"), F.col("event_id")
+    path = F.concat(F.lit("src/"), F.when(u % 3 == 0, "app/").otherwise(""), F.lit("services/"), F.when(u % 4 == 0, "deep/").otherwise(""), F.lit("f"), u.cast("string"), F.when(u % 5 == 0, ".tsx").when(u % 5 == 1, ".js").otherwise(".ts"))
+    events = tables.table(spark, sf_dir, "events").withColumn("path", path)
+    tail = F.when(u % 7 == 0, "Service extends ItemsService {").when(u % 7 == 1, "Service extends x.ItemsService {").when(u % 7 == 2, "Controller {").otherwise("Service {")
+    lines = events.select("path", (1 + u % 10).alias("line_no"), F.concat(F.lit("export  class U"), u.cast("string"), tail).alias("line")).distinct()
+    assets = events.select(e.alias("id"), F.lit("asset").alias("type"), F.when(e % 2 == 0, "service").otherwise("api").alias("sub_type"))
+    found = events.select(e.alias("id"), F.explode(F.array(F.lit("auth_middleware"), F.when(F.col("value") < 60, "auth_middleware").otherwise("env_variable"))).alias("pattern"))
+    places = events.select(e.alias("id"), "path", (e % 9).cast("int").alias("start_line"), F.lit(None).cast("string").alias("code"))
+    return rewrites.service_classes(assets, places, found, lines)

@@ -42,8 +42,8 @@ def third_party_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REASONED = r"""evidence AS (SELECT 'src' || user_id % 12 AS id, CASE event_type WHEN 'click' THEN 'Reads DB_password from env' WHEN 'view' THEN 'Lambda handler found' WHEN 'error' THEN 'connects to host, port' WHEN 'signup' THEN 'an auth token' ELSE 'nothing' END AS reason FROM events WHERE user_id % 12 >= 3 AND event_id % 12 = user_id % 12),
-said AS (SELECT id, unnest(list_filter([CASE WHEN regexp_matches(lower(reason), '\b(secret|password|credential|token|api key|auth)') THEN ['auth_artifacts:auth_token', 'auth', 'y'] END, CASE WHEN regexp_matches(lower(reason), '\bpassword') THEN ['credentials:user_password', 'auth', 'y'] END,
-  CASE WHEN regexp_matches(lower(reason), '\b(database|db_|rds|postgres|host|port)\b') THEN ['identifiers:technical_identifier', 'sdk', 'n'] END, CASE WHEN regexp_matches(lower(reason), '\b(lambda|handler)\b') THEN [NULL, 'api', 'n'] END], lambda x: x IS NOT NULL)) AS h FROM evidence),
+said AS (SELECT id, unnest(list_filter([CASE WHEN regexp_matches(lower(reason), '\b(secret|secrets manager|password|credential|token|api key|auth)\b') THEN ['auth_artifacts:auth_token', 'auth', 'y'] END, CASE WHEN regexp_matches(lower(reason), '\b(db_password|password)\b') THEN ['credentials:user_password', 'auth', 'y'] END,
+  CASE WHEN regexp_matches(lower(reason), '\b(rds|database|db_|postgres|connection parameters|host|port)\b') THEN ['identifiers:technical_identifier', 'sdk', 'n'] END, CASE WHEN regexp_matches(lower(reason), '\b(lambda|handler)\b') THEN [NULL, 'api', 'n'] END], lambda x: x IS NOT NULL)) AS h FROM evidence),
 reasoned AS (SELECT id, coalesce(array_to_string(list_sort(list_distinct(list(h[1]) FILTER (h[1] IS NOT NULL))), ','), '') AS labels, array_to_string(list_sort(list_distinct(list(h[2]))), ',') AS capabilities, CASE WHEN bool_or(h[3] = 'y') THEN 'outbound' ELSE 'unknown' END AS direction, count(*) AS pieces FROM said GROUP BY id)"""
 
 
@@ -62,37 +62,51 @@ def reason_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SCANNED + f", {_REASONED}, total AS (" + """SELECT c.id, coalesce(nullif(s.labels, ''), nullif(r.labels, ''), 'unknown:undetermined') AS labels, array_to_string(list_sort(list_distinct(list_filter(string_split(concat_ws(',', s.capabilities, r.capabilities), ','), lambda x: x <> ''))), ',') AS capabilities,
   coalesce(CASE WHEN s.direction <> 'unknown' THEN s.direction END, r.direction, 'unknown') AS direction, round(least(0.95, greatest(0.35, 0.42 + CASE WHEN k % 2 = 0 THEN 0.2 ELSE 0 END + CASE WHEN k % 3 = 0 THEN 0.08 ELSE 0 END + CASE WHEN coalesce(s.labels, '') <> '' THEN 0.1 ELSE 0 END + CASE WHEN coalesce(s.pieces, 0) + coalesce(r.pieces, 0) >= 3 THEN 0.1 ELSE 0 END)), 2)::DOUBLE AS confidence
-FROM (SELECT 'src' || k AS id, k FROM range(14) t(k)) c LEFT JOIN scanned s ON s.id = c.id LEFT JOIN reasoned r ON r.id = c.id) SELECT *, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.65 THEN 'medium' ELSE 'low' END AS band FROM total""")
+FROM (SELECT 'src' || (p_partkey % 14) AS id, p_partkey % 14 AS k FROM part GROUP BY ALL) c LEFT JOIN scanned s ON s.id = c.id LEFT JOIN reasoned r ON r.id = c.id) SELECT *, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.65 THEN 'medium' ELSE 'low' END AS band FROM total""")
 def third_party_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What flows to each third party, by its files or else by reasons."""
-    components = spark.range(14).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("name"), (F.col("id") % 2 == 0).alias("provider"), (F.col("id") % 3 == 0).alias("heuristic")).withColumnRenamed("name", "id")
+    k = F.col("p_partkey") % 14
+    components = tables.table(spark, sf_dir, "part").select(F.concat(F.lit("src"), k.cast("string")).alias("id"), (k % 2 == 0).alias("provider"), (k % 3 == 0).alias("heuristic")).distinct()
     return third_party.data_flow_summary(components, _scanned(spark, sf_dir), _reasoned(spark, sf_dir))
 
 
-@query("""WITH b AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 > 0 THEN s_name END AS vendor, s_suppkey % 4 AS u, s_suppkey % 5 AS h, s_suppkey % 6 AS a, s_suppkey % 2 AS d, s_suppkey % 7 AS k FROM supplier), r AS (SELECT id, k, unnest(['vendor', 'serviceName', 'client', 'integration_method', 'api_type', 'authentication_method', 'api_endpoint', 'https_enforced', 'sdk_available', 'webhook_used']) AS property,
-  unnest([vendor, vendor, lower(vendor), CASE h WHEN 0 THEN 'api' WHEN 1 THEN 'sdk,webhook' WHEN 2 THEN 'api' END, CASE WHEN h = 2 THEN 'graphql' WHEN h = 1 THEN 'webhook' WHEN u > 0 OR h = 0 THEN 'rest' END, CASE a WHEN 0 THEN 'oauth2' WHEN 1 THEN 'api_key' WHEN 2 THEN 'hmac' END,
-    CASE WHEN u = 1 THEN 'https://a' WHEN u >= 2 THEN 'http://b' END, CASE WHEN u = 1 THEN 'true' WHEN u >= 2 THEN 'false' END, CASE WHEN d > 0 THEN 'true' END, CASE WHEN h = 1 THEN 'true' END]) AS value,
-  unnest([0.92, 0.9, 0.86, 0.82, CASE WHEN h = 2 THEN 0.86 ELSE 0.8 END, 0.8, 0.84, CASE WHEN u = 1 THEN 0.9 ELSE 0.7 END, 0.88, 0.78])::DOUBLE AS score FROM b)
-SELECT id, property, value, score FROM r WHERE value IS NOT NULL AND NOT (k = 0 AND property = 'vendor') AND NOT (k = 1 AND property = 'api_type')""")
-def inferred_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Properties of suppliers that evidence suggests."""
+_INFERRED = """b AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 > 0 THEN s_name END AS vendor, s_suppkey % 4 AS u, s_suppkey % 5 AS h, s_suppkey % 6 AS a, s_suppkey % 2 AS d, s_suppkey % 7 AS k, s_acctbal > 0 AS m, s_nationkey % 2 = 0 AS c FROM supplier),
+v AS (SELECT *, CASE WHEN k <> 0 THEN vendor END AS fresh FROM b),
+r AS (SELECT id, k, unnest(['vendor', 'serviceName', 'client', 'integration_method', 'api_type', 'authentication_method', 'api_endpoint', 'https_enforced', 'sdk_available', 'integration_status']) AS property,
+  unnest([fresh, fresh, lower(fresh), CASE h WHEN 0 THEN 'api' WHEN 1 THEN 'sdk,webhook' WHEN 2 THEN 'api' END, CASE WHEN h = 2 THEN 'graphql' WHEN h = 1 THEN 'webhook' WHEN u > 0 OR h = 0 THEN 'rest' END, CASE a WHEN 0 THEN 'oauth2' WHEN 1 THEN 'api_key' WHEN 2 THEN 'jwt' END,
+    CASE WHEN u = 1 THEN 'https://a' WHEN u >= 2 THEN 'http://b' END, CASE WHEN u = 1 THEN 'true' WHEN u >= 2 THEN 'false' END, CASE WHEN d > 0 THEN 'true' END, CASE WHEN h IN (0, 1, 2) THEN 'active' END]) AS value,
+  unnest([0.92, 0.9, 0.86, 0.82, CASE WHEN h = 2 THEN 0.86 ELSE 0.8 END, 0.78, 0.84, CASE WHEN u = 1 THEN 0.9 ELSE 0.7 END, 0.83, 0.8])::DOUBLE AS score, unnest([true, true, true, c, u > 0, true, true, true, m, true]) AS cited FROM v),
+held AS (SELECT * FROM r WHERE value IS NOT NULL AND NOT (k = 1 AND property = 'api_type')),
+means AS (SELECT id, least(0.96, greatest(0.65, sum(score) / count(*))) AS mean FROM held GROUP BY id),
+inferred AS (SELECT id, property, value, score, round(mean, 2)::DOUBLE AS confidence, CASE WHEN mean >= 0.85 THEN 'high' WHEN mean >= 0.65 THEN 'medium' ELSE 'low' END AS band FROM held JOIN means USING (id) WHERE cited)"""
+
+
+def _inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
 
     def texts(*values: str):
         return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
     rows = tables.table(spark, sf_dir, "supplier").select(
-        k.alias("id"), F.when(k % 3 > 0, F.col("s_name")).alias("vendor"), F.when(k % 4 == 0, texts()).when(k % 4 == 1, texts("https://a")).otherwise(texts("http://b", "https://c")).alias("urls"),
-        F.when(k % 5 == 0, texts("api")).when(k % 5 == 1, texts("webhook", "sdk")).when(k % 5 == 2, texts("graphql", "api")).otherwise(texts()).alias("hints"), F.when(k % 6 == 0, texts("api_key", "oauth2")).when(k % 6 == 1, texts("api_key")).when(k % 6 == 2, texts("hmac")).otherwise(texts()).alias("auth"),
-        (k % 2).alias("dependencies"), F.when(k % 7 == 0, texts("vendor")).when(k % 7 == 1, texts("api_type")).otherwise(texts()).alias("known"))
+        k.alias("id"), F.when(k % 3 > 0, F.col("s_name")).alias("vendor"), F.lit(0.92).alias("vendor_score"), F.when(k % 4 == 0, texts()).when(k % 4 == 1, texts("https://a")).otherwise(texts("http://b", "https://c")).alias("urls"),
+        F.when(k % 5 == 0, texts("api")).when(k % 5 == 1, texts("webhook", "sdk")).when(k % 5 == 2, texts("graphql", "api")).otherwise(texts()).alias("hints"), F.when(k % 6 == 0, texts("api_key", "oauth2")).when(k % 6 == 1, texts("api_key")).when(k % 6 == 2, texts("basic_auth", "jwt")).otherwise(texts()).alias("auth"),
+        (k % 2).alias("dependencies"), (F.col("s_acctbal") > 0).alias("manifest"), (F.col("s_nationkey") % 2 == 0).alias("called"), F.when(k % 7 == 0, texts("vendor")).when(k % 7 == 1, texts("api_type")).otherwise(texts()).alias("known"))
     return third_party.infer_properties(rows)
 
 
-@query("SELECT DISTINCT slot, CASE WHEN slot IN ('vendor', 'client', 'api_type') THEN 'direct' WHEN slot = 'direction' THEN 'heuristic' ELSE 'not_inferable' END AS inferability FROM (SELECT unnest(['vendor', 'client', 'api_type', 'direction', 'gdpr_role']) AS slot FROM region)")
+@query(f"WITH {_INFERRED} SELECT * FROM inferred")
+def inferred_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of suppliers that evidence suggests."""
+    return _inferred(spark, sf_dir)
+
+
+@query(f"""WITH {_INFERRED} SELECT CASE WHEN property IN ('vendor', 'serviceName', 'integration_method', 'sdk_available', 'https_enforced', 'documentation_url') THEN 'direct' WHEN property IN ('client', 'api_type', 'authentication_method', 'api_endpoint', 'integration_status') THEN 'heuristic' ELSE 'not_inferable_v1' END AS inferability, count(*) AS n, count(DISTINCT property) AS properties
+FROM (SELECT property FROM inferred UNION ALL SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'documentation_url' ELSE 'vendor_' || lower(o_orderstatus) END FROM orders) GROUP BY 1""")
 def property_inferability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How properties can be found out."""
-    slots = tables.table(spark, sf_dir, "region").select(F.explode(F.array(*map(F.lit, ["vendor", "client", "api_type", "direction", "gdpr_role"]))).alias("slot")).distinct()
-    return slots.select("slot", third_party.inferability(F.col("slot")).alias("inferability"))
+    """Properties that evidence suggests for suppliers, and those that orders ask for, by how they can be found out."""
+    asked = tables.table(spark, sf_dir, "orders").select(F.when(F.col("o_orderpriority") == "1-URGENT", "documentation_url").otherwise(F.concat(F.lit("vendor_"), F.lower("o_orderstatus"))).alias("property"))
+    rows = _inferred(spark, sf_dir).select("property").unionByName(asked)
+    return rows.groupBy(third_party.inferability(F.col("property")).alias("inferability")).agg(F.count("*").alias("n"), F.countDistinct("property").alias("properties"))
 
 
 @query("""SELECT p_partkey, coalesce(CASE WHEN p_size < 10 THEN p_type END, CASE WHEN contains(p_name, 'gear') THEN 'machine' WHEN contains(p_name, 'part') THEN 'generic' END, CASE WHEN regexp_matches(p_name, '^red') THEN 'colour' WHEN regexp_matches(p_name, 'o') THEN 'vowel' END, 'saas_service') AS sub_type FROM part""")
@@ -152,4 +166,4 @@ def scalar_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.lit("import x from 'a';\nconst y = require(\"./b\"); await import('c'); import 'a'")
     return tables.table(spark, sf_dir, "supplier").select(
         "s_suppkey", uri.alias("uri"), scalars.entity_of(uri)["identity"].alias("identity"), seconds.alias("seconds"), scalars.land_date(seconds).alias("day"), scalars.title_case(F.concat(F.lit("supplier_-"), k.cast("string"))).alias("title"), scalars.git_remote(remote).alias("remote"),
-        scalars.is_public_url(F.when(k % 2 == 0, "https://a.com").otherwise("http://192.168.0.1/x")).alias("public"), F.array_join(scalars.imports_of(source), ",").alias("imports"), scalars.redacted(F.concat(F.lit("token="), "s_name", F.lit(" and Bearer abc.def"))).alias("hidden"), scalars.normal_token(F.concat(F.lit(" A-b "), k.cast("string"), F.lit("!"))).alias("token"))
+        scalars.is_public_url(F.concat(F.when(k % 2 == 0, "HTTPS://").otherwise("https://${"), F.lower("s_name"))).alias("public"), F.array_join(scalars.imports_of(source), ",").alias("imports"), scalars.redacted(F.concat(F.lit("token="), "s_name", F.lit(" and Bearer abc.def"))).alias("hidden"), scalars.normal_token(F.concat(F.lit(" A-b "), k.cast("string"), F.lit("!"))).alias("token"))
