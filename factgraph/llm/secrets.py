@@ -37,21 +37,29 @@ _DETECT = (
 _HEX_LONG = re.compile("[0-9a-f]{24,}")
 #: Words of which one is in any text that the first rule can match.
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Escapes; ``sign`` is one that spells the sign of an escape.
+#: Escapes; ``sign`` is one that spells the sign of an escape, in any spelling.
+_CODES, _NUMBERS = "(?:2[56]|5[Cc])", "(?:3[78]|92)"
+_AFTER = {
+    "%": f"(?:{_CODES}|u00{_CODES})",
+    r"\\": rf"(?:x{_CODES}|u00{_CODES}|U000000{_CODES}|u\{{0{{0,4}}{_CODES}\}})",
+    "&": f"(?:amp|#0{{0,5}}{_NUMBERS}|#[Xx]0{{0,4}}{_CODES});",
+}
 _ESCAPE = re.compile(
-    r"(?P<sign>%(?:2[56]|5[Cc])|\\x(?:2[56]|5[Cc])|\\u00(?:2[56]|5[Cc])|&(?:amp|#3[78]|#92|#[Xx](?:2[56]|5[Cc]));)"
+    "(?P<sign>" + "|".join(s + a for s, a in _AFTER.items()) + ")"
     r"|(?P<percent>(?:%[0-9A-Fa-f]{2})+)|(?P<units>(?:[\\%]u[0-9A-Fa-f]{4})+)"
     r"|\\U(?P<long>[0-9A-Fa-f]{8})|\\u\{(?P<braced>[0-9A-Fa-f]{1,6})\}|\\x(?P<byte>[0-9A-Fa-f]{2})|&#(?P<decimal>[0-9]{1,7});|&#[Xx](?P<hex>[0-9A-Fa-f]{1,6});|&(?P<name>quot|apos|lt|gt);"
 )
-#: What after a sign makes an escape that again spells a sign, and the sign by the digits or name in it.
-_MORE_SIGNS = {"%": re.compile("(2[56]|5[Cc])"), "\\": re.compile("(?:x|u00)(2[56]|5[Cc])"), "&": re.compile("(amp|#3[78]|#92|#[Xx](?:2[56]|5[Cc]));")}
-_SIGNS = {"25": "%", "26": "&", "5c": "\\", "#37": "%", "#38": "&", "#92": "\\", "amp": "&"}
-_NAMED = {"quot": '"', "apos": "'", "lt": "<", "gt": ">"}
+#: What after a sign makes an escape that again spells a sign.
+_MORE_SIGNS = {s[-1]: re.compile(a) for s, a in _AFTER.items()}
+#: One escape at the end of a text.
+_ENDING = re.compile(r"(?:%(?P<percent>[0-9A-Fa-f]{2})|[\\%]u(?P<unit>[0-9A-Fa-f]{4})|\\U(?P<long>[0-9A-Fa-f]{8})|\\u\{(?P<braced>[0-9A-Fa-f]{1,6})\}|\\x(?P<byte>[0-9A-Fa-f]{2})|&#(?P<decimal>[0-9]{1,7});|&#[Xx](?P<hex>[0-9A-Fa-f]{1,6});|&(?P<name>quot|apos|lt|gt|amp);)\Z")
+#: Levels of escapes that are undone one by one. Deeper ones, which only grow with the text if it is made to, are undone at once.
+LEVELS = 32
+_NAMED = {"quot": '"', "apos": "'", "lt": "<", "gt": ">", "amp": "&"}
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+")
-#: A line that goes on with a base64 run of at least LINE_DIGITS: as long as the first, or shorter and the last. Nothing
-#: but padding, white space or the end of a quotation follows.
+#: A line that goes on with a base64 run: as long as the first, or shorter and the last. Nothing but padding, white space or
+#: the end of a quotation follows.
 _MORE = re.compile(r"""\r?\n[ \t]*([A-Za-z0-9+/_-]++)(?==*[ \t]*(?:[\r\n"'<,;)]|\Z))""")
-LINE_DIGITS = 40
 #: Stretches that may spell bytes by percent escapes, or as a quoted string does.
 _SPELLED = ((re.compile(r"""[^\s"'<>]+"""), ("%",)), (re.compile(r"""[^"'\n]+"""), ("\\x", "\\u00")))
 _GZIP, _ZLIB, _DEFLATE = (lambda: zlib.decompressobj(31)), (lambda: zlib.decompressobj(15)), (lambda: zlib.decompressobj(-15))
@@ -131,6 +139,7 @@ class Layer:
 
     text: str
     pieces: Pieces
+    level: int = 0  # of escapes that are undone
 
     def key(self) -> tuple:
         return hashlib.sha1(self.text.encode("utf-8", "surrogatepass")).digest(), self.pieces.span(0, max(1, len(self.text)))
@@ -172,17 +181,60 @@ def _undone(m: re.Match) -> Iterator[tuple[str, int]]:
         yield chr(code) if code <= 0x10FFFF else run, len(run)
 
 
+def _spelled_sign(escape: str) -> str:
+    """The sign that an escape spells."""
+    digits = escape.rstrip(";}").lower()
+    if digits.endswith("amp"):
+        return "&"
+    return chr(int(digits[-2:], 10 if "&#" in escape and "x" not in digits else 16))
+
+
 def _sign(text: str, m: re.Match) -> tuple[str, int]:
     """The sign that a match spells, and its end. Where that sign begins an escape which spells a sign again, and so on
     (%252541), all levels are undone at once: between them nothing else comes to light."""
-    end, spelled = m.end(), m[0].rstrip(";").lower()
-    sign = _SIGNS.get(spelled[1:]) or _SIGNS[spelled[-2:]]
+    end, sign = m.end(), _spelled_sign(m[0])
     while more := _MORE_SIGNS[sign].match(text, end):
-        spelled, end = more[1].lower(), more.end()
-        sign = _SIGNS.get(spelled) or _SIGNS[spelled[-2:]]
+        sign, end = _spelled_sign(sign + more[0]), more.end()
     return sign, end
 
 
+def _settled(layer: Layer) -> Layer:
+    """``layer`` with all levels of escapes undone, in one pass: whenever the end of what is read so far is an escape, it is replaced by
+    what it spells, which may be the end of another. Bytes become Latin-1."""
+    out: list[str] = []
+    spans: list[tuple[int, int] | None] = []  # of what is spelled; None: copied
+    starts: list[int] = []
+    for i, c in enumerate(layer.text):
+        out.append(c)
+        spans.append(None)
+        starts.append(i)
+        while (c in ";}" or c in "0123456789abcdefABCDEF") and (m := _ENDING.search("".join(out[-10:]))):
+            kind, digits = m.lastgroup, m[m.lastgroup]
+            code = ord(_NAMED[digits]) if kind == "name" else int(digits, 10 if kind == "decimal" else 16)
+            if code > 0x10FFFF:
+                break
+            n = m.end() - m.start()
+            low = starts[-n]
+            del out[-n:], spans[-n:], starts[-n:]
+            c = chr(code)
+            out.append(c)
+            spans.append((low, i + 1))
+            starts.append(low)
+    pieces, before = Pieces(), -2
+    for at, (span, start) in enumerate(zip(spans, starts, strict=True)):
+        if span is not None:
+            pieces.add(at, HIDDEN, *layer.pieces.span(*span))
+            before = -2
+        else:
+            if start != before + 1:
+                stop = at
+                while stop + 1 < len(spans) and spans[stop + 1] is None and starts[stop + 1] == starts[stop] + 1:
+                    stop += 1
+                layer.pieces.copy(start, starts[stop] + 1, pieces, at)
+            before = start
+    return Layer("".join(out), pieces, layer.level + 1)
+
+
 def _unescaped(layer: Layer) -> Layer | None:
     """The lines of ``layer`` that hold escapes, all of these undone; lines that don't follow each other are kept apart by a
     NUL. None if there are none."""
@@ -225,7 +277,8 @@ def _unescaped(layer: Layer) -> Layer | None:
     if not changed:
         return None
     keep(last, stop)
-    return Layer("".join(out), pieces)
+    undone = Layer("".join(out), pieces, layer.level + 1)
+    return _settled(undone) if undone.level == LEVELS else undone
 
 
 def _base64(layer: Layer) -> Iterator[Data]:
@@ -244,7 +297,7 @@ def _base64(layer: Layer) -> Iterator[Data]:
     for m in _BASE64.finditer(text):
         start, end = m.span()
         yield from decoded(m[0], pieces.copied(start, end), start, end)
-        if start < joined or end - start < LINE_DIGITS:
+        if start < joined:
             continue
         joined, width = end, end - start
         while width == end - start and (more := _MORE.match(text, joined)) and (width := more.end(1) - more.start(1)) <= end - start:

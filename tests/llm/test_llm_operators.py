@@ -139,7 +139,8 @@ def raw_deflate(b):
         lambda b: b64("\ufeff\u3000\u200b".encode() + b), lambda b: b64("é ".encode("latin-1") + b), lambda b: b64(b.decode().encode("utf-16")), lambda b: b64(b.decode().encode("utf-16-be")), lambda b: b64(b.decode().encode("utf-32")),
         lambda b: b64(gzip.compress(b"first") + gzip.compress(b)), lambda b: b64(raw_deflate(b"some words before " + b)), lambda b: b64(gzip.compress(b * 3)[:-9]), lambda b: b64(bz2.compress(b)), lambda b: b64(lzma.compress(b)),
         lambda b: b64(zstandard.compress(b)), lambda b: base64.encodebytes(b"lorem ipsum dolor sit amet " * 4 + b).decode(), lambda b: b.decode().replace("=", "&#61;").replace('"', "&quot;"), lambda b: b64(gzip.compress(gzip.compress(b))),
-        lambda b: b64(gzip.compress(b" " * (70 << 20) + b)),
+        lambda b: b64(gzip.compress(b" " * (70 << 20) + b)), lambda b: wrapped(gzip.compress(b"some more words to fill lines " + b), 32) + "\n", lambda b: wrapped(b"lorem ipsum dolor sit amet " + b, 20), lambda b: "".join(f"\\U{c:08x}" if c % 2 else f"\\u{{{c:x}}}" for c in b),
+        lambda b: "".join(f"&#{c:06d};" if c % 2 else f"&#x{c:05X};" for c in b), lambda b: "".join(f"%u{c:04x}" for c in b),
     ],
 )
 def test_layers_of_every_kind_are_opened(layer):
@@ -153,6 +154,48 @@ def b64(b):
     return base64.b64encode(b).decode()
 
 
+def wrapped(b, width):
+    return "\n".join(re.findall(f".{{1,{width}}}", b64(b)))
+
+
+CHAINS = {
+    "%u0025": "%" + "u0025" * 20_000, "&#0038;": "&#0038;" + "#0038;" * 16_000, "U0000005c": r"\U0000005c" + "U0000005c" * 11_000, "u{25}": "%25" + r"\u{25}" * 16_000, "u{005c}": r"\u{005c}" + "u{005c}" * 12_000, "%5cu0025": "%5cu0025" * 12_000,
+    "&#x26;": "&#x" * 15_000 + "26;" * 15_000, "amp": "&amp;" + "amp;" * 25_000, "x5c": r"\x5c" + "x5c" * 30_000,
+}
+
+
+@pytest.mark.parametrize("name", CHAINS)
+def test_chains_of_signs_are_undone_at_once(name):
+    began = time.time()
+    secrets.scan(CHAINS[name])
+    assert time.time() - began < 2
+
+
+def test_levels_inside_each_other_cost_as_much_as_the_text_is_long():
+    took = []
+    for n in (8_000, 32_000):
+        began = time.time()
+        secrets.scan("%" * n + "3" * (2 * n + 1))
+        took.append(time.time() - began)
+    assert took[1] < 8 * max(took[0], 0.2)
+    for n in (1, 5, secrets.LEVELS, 200):
+        text = "a password" + "%" * n + "3" * n + "dhunter2hunter2 b"
+        assert (2, len(text) - 2, "assign") in secrets.scan(text)[1]
+
+
+def test_settled_layers_equal_level_by_level():
+    rng = random.Random(9)
+    for _ in range(400):
+        text = "".join(rng.choice(["%", "25", "3", "d", r"\x", "41", "&#", "37", ";", "&amp;", r"\u", "0041", "{41}", " ", "é"]) for _ in range(rng.randint(1, 14)))
+        layer, at = secrets.Layer(text, secrets.Pieces((0, secrets.COPY, 0, 0))), 0
+        settled = secrets._settled(layer)
+        while (more := secrets._unescaped(layer)) is not None and more.text != layer.text and at < 30:
+            layer, at = more, at + 1
+        if "%" not in re.sub("%(?![89a-fA-F])", "", text):  # bytes from 0x80 on may make up one character by level
+            assert settled.text == layer.text
+            assert all(0 <= s < e <= len(text) for s, e in (settled.pieces.span(i, i + 1) for i in range(len(settled.text))))
+
+
 def test_spans_cover_the_digits_that_spell_a_secret():
     text = "a " + b64(b"0123456789 " + SECRET.encode() + b" and more text") + " b"
     assert secrets.scan(text)[1] == {(2 + 11 * 4 // 3, 2 + -(-(11 + len(SECRET) - 1) * 4 // 3), "assign")}
