@@ -164,29 +164,6 @@ def provider_targets(nodes: DataFrame, keys: list[str], hints: list[str], via: l
     return provider.filter("_s <> ''").join(target, "_s").select("provider", "target")
 
 
-def route_through_provider(flows: DataFrame, nodes: DataFrame, targets: DataFrame, rewired: list[str], new_floor: float = 0.7, rewired_floor: float = 0.72, link: float = 0.78) -> DataFrame:
-    """source, target, type, confidence, how of the flows after those into managed targets are routed through the least provider of
-    the target (provider, target).
-
-    Every provider gets a database_query flow to its target, where there is none. A flow from another source, which
-    isn't infrastructure code and whose section is compatible, adds an api_call from its source to the provider, where
-    there is none, with the higher of its confidence and ``new_floor``; if its type is one of ``rewired``, it starts at the provider
-    itself from then on, with its confidence raised to ``rewired_floor``.
-    """
-    first = targets.groupBy("target").agg(F.min("provider").alias("_p"))
-    at = nodes.select("id", "section", "address")
-    ends = flows.join(first, "target").join(at.select(F.col("id").alias("source"), F.col("section").alias("_from"), "address"), "source").join(at.select(F.col("id").alias("_p"), F.col("section").alias("_via")), "_p")
-    routed = ends.filter((F.col("source") != F.col("_p")) & (F.coalesce(F.trim("address"), F.lit("")) == "") & compatible(F.col("_from"), F.col("_via"))).select("id", "source", "_p", "type", "confidence")
-    known = flows.select("source", "target").distinct()
-    links = first.select(F.col("_p").alias("source"), "target").join(known, ["source", "target"], "left_anti").select("source", "target", F.lit("database_query").alias("type"), F.lit(link).alias("confidence"), F.lit("provider_link").alias("how"))
-    hops = routed.groupBy("source", F.col("_p").alias("target")).agg(F.greatest(F.max("confidence"), F.lit(new_floor)).alias("confidence")).join(known, ["source", "target"], "left_anti").select("source", "target", F.lit("api_call").alias("type"), "confidence", F.lit("source_hop").alias("how"))
-    moved = routed.filter(F.col("type").isin(rewired)).select("id", F.col("_p").alias("_to"))
-    kept = flows.join(moved, "id", "left").select(
-        F.coalesce("_to", "source").alias("source"), "target", "type", F.when(F.col("_to").isNull(), F.col("confidence")).otherwise(F.greatest("confidence", F.lit(rewired_floor))).alias("confidence"), F.when(F.col("_to").isNull(), "kept").otherwise("rewired").alias("how"),
-    )
-    return kept.unionByName(links).unionByName(hops)
-
-
 def collapse_generic(nodes: DataFrame, generic: Column, key: str = "postgres") -> DataFrame:
     """id, action, by for the generic nodes of named sections: removed where their section has a managed node of the key (by: the
     least), promoted under the section's least provider that manages something where not, else kept. A promoted node is the
