@@ -12,3 +12,4 @@ from . import lineage as lineage
 from . import rules as rules
 from . import renames as renames
 from . import absorb as absorb
+from . import signals as signals
