@@ -13,3 +13,4 @@ from . import rules as rules
 from . import renames as renames
 from . import absorb as absorb
 from . import signals as signals
+from . import managed as managed
