@@ -10,6 +10,7 @@ from factgraph.operators import enrichment, text, topology
 from factgraph.sources import tables
 from factgraph.sources.tables import SEQ, with_relations
 from factgraph.streaming.answers import answer_stream, keep_newest
+from factgraph.streaming.state import keep_facts
 
 from .registry import _ENDS, _SEQ4, _TURNED, _WITH_HITS, CATALOG, GLOBS, RULES, _rel, _turned, query
 
@@ -213,6 +214,13 @@ def answers_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_newest(tables.as_answers(answer_stream(spark, f"{sf_dir}/event[s].parquet", schema)))
 
 
+@query(with_relations("answers") + "SELECT fact_id, property, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY fact_id, property ORDER BY ts DESC, seq DESC) AS k FROM answers WHERE action = 'set' AND fact_id NOT IN (SELECT fact_id FROM answers WHERE action = 'remove')) WHERE k = 1")
+def facts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of facts that stay, kept by a stream of events with tombstones."""
+    schema = tables.table(spark, sf_dir, "events").schema
+    return keep_facts(tables.as_answers(answer_stream(spark, f"{sf_dir}/event[s].parquet", schema)))
+
+
 _KNOWN = sorted({k for k, _ in CATALOG})
 _KNOWN_SQL = ", ".join(f"'{k}'" for k in _KNOWN)
 
