@@ -35,13 +35,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BESIDE_TAGS = frozenset("nav header footer aside".split())
 NAMED_TAGS = frozenset("form menu dialog".split())
 BESIDE_WORDS = frozenset(
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright disqus footer form gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup privacy promo promoted promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
+    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright disqus footer form gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup privacy promo promoted promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets discussion kommentar kommentare commentaire commentaires comentario comentarios werbung anzeige anzeigen publicite publicidad rightcol rightcolumn leftcol leftcolumn siderail".split()
 )
 ARTICLE_WORDS = frozenset("article articlebody entry post story".split())
 MAIN_WORDS = frozenset("main maincontent".split())
 #: Before a word, these say that an element has it or lacks it, not that it is it.
 QUALIFIERS = frozenset("has have no not with without show hide layout page template".split())
 
+#: Parts of a page.
+_PARTS = re.compile(r"<(?:main|article|nav|header|footer|aside|h1)\b")
+
 #: Where a block stands.
 BESIDE, NAMED, NOWHERE, MAIN, ARTICLE = -1.0, -0.5, 0.0, 0.5, 1.0
 _WHERE = {"t": BESIDE, "b": NAMED, "n": NOWHERE, "m": MAIN, "a": ARTICLE}
@@ -76,6 +79,13 @@ LABELLED = (
     (("t", 40, 0, 0), ("t", 120, 0, 0), ("t", 90, 4, 0), ("n", 4, 4, 0)),
     (("t", 9, 0, 0), ("t", 300, 0, 0), ("t", 80, 0, 0), ("b", 20, 0, 0)),
     (("b", 2, 2, 0), ("b", 3, 3, 0), ("b", 1, 1, 0), ("b", 9, 0, 1), ("b", 150, 4, 1), ("b", 95, 0, 1), ("b", 40, 0, 1), ("n", 5, 3, 0)),
+    # short pages
+    (("n", 14, 0, 1),),
+    (("n", 6, 0, 1),),
+    (("n", 9, 0, 1), ("b", 120, 3, 0)),
+    (("n", 3, 0, 1), ("n", 11, 0, 1), ("b", 90, 0, 0)),
+    (("n", 2, 2, 0), ("n", 2, 2, 0), ("n", 13, 0, 1)),
+    (("b", 140, 2, 0), ("n", 4, 0, 1), ("n", 10, 0, 1), ("b", 60, 1, 0)),
 )
 
 
@@ -137,7 +147,7 @@ def _named(value: str) -> int:
     words = [w.lower() for w in re.findall("[A-Z]?[a-z]+|[A-Z]+", value)]
     if not words or QUALIFIERS & set(words[:-1]):
         return 0
-    ends = {words[0], words[-1]}
+    ends = {words[0], words[-1], "".join(words)}
     if ends & BESIDE_WORDS:
         return -1
     if "".join(words) in MAIN_WORDS or words[0] in MAIN_WORDS:
@@ -147,7 +157,7 @@ def _named(value: str) -> int:
 
 def _where(tag: str, attributes: str, around: float) -> float:
     """Where the content of an element stands, given where the element does. An article or main part stays one inside
-    markup of another name, but not inside a menu, footer or form; what is beside it stays so but for an article."""
+    markup of another name, but not inside a menu, footer or sidebar, where all stays beside it."""
     named: set[int] = set()
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
@@ -158,11 +168,13 @@ def _where(tag: str, attributes: str, around: float) -> float:
                 return BESIDE
     if tag in BESIDE_TAGS and not (tag == "header" and around == ARTICLE):
         return BESIDE
+    if around == BESIDE:
+        return BESIDE
     if tag == "article":
         return NAMED if -1 in named and 1 not in named else ARTICLE
     if tag == "main":
         return around if around == ARTICLE else MAIN
-    if around == BESIDE or tag in NAMED_TAGS:
+    if tag in NAMED_TAGS:
         return min(around, NAMED)
     if 1 in named:
         return around if around < 0 else ARTICLE
@@ -214,6 +226,10 @@ def blocks_of(page: str | None) -> list[tuple[str, float, int, int]]:
         skipping += tag in SKIPPED
         where = inside
 
+    def wraps_the_page() -> bool:
+        """Whether a form holds parts of a page, so that it is none of them itself."""
+        return closed_later("form") and _PARTS.search(low, at, max(at, low.find("</form", at))) is not None
+
     def closed_later(tag: str) -> bool:
         if tag not in last:
             last[tag] = low.rfind(f"</{tag}")
@@ -267,7 +283,11 @@ def blocks_of(page: str | None) -> list[tuple[str, float, int, int]]:
             continue
         if tag == "p" and stack and stack[-1][0] == "p":
             pop()
-        push(tag, where if tag in ("body", "html") else _where(tag, m[3] or "", where))
+        if tag in ("article", "main"):
+            while stack and stack[-1][1] == BESIDE and not closed_later(stack[-1][0]):
+                pop()  # a menu or sidebar that nothing ends does so where the main part begins
+        neutral = tag in ("body", "html") or tag == "form" and wraps_the_page()
+        push(tag, where if neutral else _where(tag, m[3] or "", where))
     close()
     return out
 

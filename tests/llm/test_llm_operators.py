@@ -499,9 +499,36 @@ def test_what_is_beside_the_article_goes(around, article):
             assert got.replace("Only a link ", "") == ARTICLE_TEXT.replace("Only a link ", "")
 
 
+PARAGRAPHS = "<h1>Title of it</h1>" + "".join(f"<p>Paragraph {i} of the article has a number of words that tell a story about things and people.</p>" for i in range(5))
+CARDS = "<article class=card>Read more about this other thing today</article>" * 3
+COOKIES = "<div class=cookie-notice><p>" + "We use cookies and other things to do much. " * 12 + "</p></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        MENU + "<article>%s</article><aside>" + CARDS + "</aside>", "<main>%s</main><footer>" + CARDS + "</footer>", "<form>" + MENU + "<div class=content>%s</div><div class=sidebar><p>Sidebar words that are many and long enough</p></div>" + COOKIES + "</form>",
+        "<form action=x><header>top words</header><article>%s</article><aside>some side text here</aside></form>", "<nav><a href=x>Home</a><a href=y>About</a><article>%s</article>", "<nav><ul><li><a href=x>Home</a><li><a href=y>About</a></ul><main>%s</main>",
+        "<article>%s</article><div class=discussion><p>I like it very much and say so here at length.</p></div>", '<div>%s</div><div class="right-col"><p>Things you may want to read as well as this one today.</p></div>',
+        "<div>%s</div><div class=werbung><p>Kaufen Sie das jetzt, es ist billig und gut und neu.</p></div><div id=kommentare><p>Das finde ich sehr gut und richtig so.</p></div>",
+    ],
+)
+def test_pages_of_other_make(page):
+    want = " ".join(re.sub("<[^>]+>", " ", PARAGRAPHS).split())
+    assert html_text.main_text("<html><body>" + page % PARAGRAPHS + "</body></html>", html_text.train()) == want
+
+
+def test_short_pages_keep_their_text():
+    tree = html_text.train()
+    assert html_text.main_text("<body><h1>Hello there</h1><p>One short sentence is all there is.</p>" + COOKIES, tree) == "Hello there One short sentence is all there is."
+    lone = "A lone paragraph of some fourteen words or so that stands on its own."
+    assert html_text.main_text(f"<body><p>{lone}</p></body>", tree) == lone
+
+
 def test_parsing_is_linear():
     began = time.time()
     n = 100_000
+    html_text.blocks_of("<form><div><h1>x</form>" * 30_000 + "<form>" * 30_000 + "<nav><article>" * 30_000)
     for page in ("<div>" * n + "</p>" * n, "<svg>" * n + "x<p>", "<p>" * n + "</div>" * n, "<button>" * n + "<title>" * n, "<a b='" * n, "<!--" * n, "<script>" * n, "&amp" * n, "<ul><li>" * n + "</ul>" * n):
         html_text.blocks_of(page)
     assert time.time() - began < 20
