@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import best_per_key
+from .text import running_total
 
 #: Links that point at code or that items already carry. Fixed values.
 STRUCTURAL = ("occurrence_of", "part_of", "declared_by", "occurs_in", "defined_in", "observed_in")
@@ -163,10 +164,11 @@ def parsed_categories(text: Column) -> Column:
 
 
 def numbered_from(rows: DataFrame, existing: DataFrame, prefix: str, order: list[str]) -> DataFrame:
-    """``rows`` with new_id: the prefix and a number after the greatest that ``existing`` ids (id) have. Numbers follow the order;
-    rows are new ones, few beside those that exist."""
+    """``rows`` with new_id: the prefix and a number after the greatest that ``existing`` ids (id) have. Numbers follow ``order``, one unique column; ranges of it are counted apart."""
+    (key,) = order
     last = existing.agg(F.coalesce(F.max(F.regexp_extract("id", f"^{prefix}([0-9]+)$", 1).try_cast("long")), F.lit(0))).first()[0]
-    return rows.withColumn("new_id", F.concat(F.lit(prefix), (F.row_number().over(Window.orderBy(*order)) + last).cast("string")))
+    counted = running_total(rows.withColumn("_one", F.lit(1).cast("long")), key, "_one")
+    return counted.withColumn("new_id", F.concat(F.lit(prefix), (F.col("running") + last).cast("string"))).drop("_one", "running")
 
 
 def line_ranges(lines: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -69,7 +69,9 @@ def match_paths(wanted: DataFrame, paths: DataFrame) -> DataFrame:
 def closure(links: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
     """id, depth: what the seeds (id) reach over links (source, target) in at most ``rounds`` steps, with the least number of
     steps. A round expands only what the last one found, and is written, so that the plan doesn't grow; an empty one is the last."""
-    ways = written(links.select("source", "target").distinct(), "closure-links")
+    ways = links.select("source", "target")
+    if rounds > 2:  # else reading the links again costs less than writing them
+        ways = written(ways.distinct(), "closure-links")
     front = seeds.select("id", F.lit(0).alias("depth")).distinct()
     reached = front
     for depth in range(1, rounds + 1):

@@ -204,7 +204,7 @@ def managed_node_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_relations("files", "lines") + """SELECT path, line_no, line FROM lines JOIN (SELECT path, min(line_no) AS first FROM lines WHERE contains(line, '@') GROUP BY 1) USING (path) WHERE abs(line_no - first) <= 4""")
 def symbol_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines around the first at sign of each file."""
-    return topology.symbol_context(tables.lines(spark, sf_dir), "@")
+    return topology.symbol_context(tables.lines(spark, sf_dir, ["@"]), "@")
 
 
 @query(with_relations("answers") + "SELECT fact_id, property, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY fact_id, property ORDER BY ts DESC, seq DESC) AS k FROM answers WHERE action = 'set') WHERE k = 1")
@@ -246,7 +246,7 @@ _SCORE = "0.42 + CASE WHEN bool_or(rule = 'email') THEN 0.2 ELSE 0 END + CASE WH
 def evidence_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files' scores by what was found in them, and their bands."""
     parts = [(F.bool_or(F.col("rule") == "email"), 0.2), (F.bool_or(F.col("rule") == "card"), 0.1), (F.bool_or(F.col("rule") == "license"), 0.08), (F.count("*") > 3, 0.1)]
-    scored = text.signal_hits(tables.lines(spark, sf_dir), RULES).groupBy("path").agg(enrichment.evidence_score(0.42, parts, 0.35, 0.95).alias("score"))
+    scored = text.signal_hits(tables.lines(spark, sf_dir, [p for _, p in RULES]), RULES).groupBy("path").agg(enrichment.evidence_score(0.42, parts, 0.35, 0.95).alias("score"))
     return scored.withColumn("band", scalars.band(F.col("score")))
 
 

@@ -63,12 +63,10 @@ def question_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrichment.with_status(asked, answered).groupBy("slot", "status").agg(F.count("*").alias("n"))
 
 
-@query(with_relations("flows") + """, near AS (SELECT 's3' AS seed, id FROM (SELECT source AS id FROM flows WHERE target = 's3' UNION SELECT target FROM flows WHERE source = 's3' UNION SELECT 's3')) SELECT DISTINCT seed, f.id FROM flows f JOIN near n ON n.id = f.source OR n.id = f.target WHERE f.l_orderkey % 20 = 0""")
+@query(with_relations("flows").rstrip() + """, near AS (SELECT source AS id FROM flows WHERE target = 's3' UNION SELECT target FROM flows WHERE source = 's3' UNION SELECT 's3') SELECT DISTINCT 's3' AS seed, id FROM flows WHERE source IN (FROM near) OR target IN (FROM near)""")
 def one_hop_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some orders' flows that touch a supplier or its neighbours."""
-    flows = tables.flows(spark, sf_dir)
-    edges = graph.neighbourhood_edges(flows, spark.createDataFrame([("s3",)], "seed string"))
-    return edges.join(flows.filter("l_orderkey % 20 = 0").select("id"), "id", "left_semi").select("seed", "id")
+    """Flows that touch a supplier or its neighbours."""
+    return graph.neighbourhood_edges(tables.flows(spark, sf_dir), spark.createDataFrame([("s3",)], "seed string"))
 
 
 @query(f"SELECT {_SEQ4}, running FROM (SELECT *, sum(l_quantity) OVER w AS running, row_number() OVER w AS k FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING)) WHERE running <= 30 OR k = 1")

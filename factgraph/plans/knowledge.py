@@ -190,7 +190,7 @@ def capped_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first twenty hits of each rule."""
     from factgraph.operators import text
 
-    hits = text.signal_hits(tables.lines(spark, sf_dir), RULES).select(F.col("path").alias("file"), F.col("line_no").alias("line"), "rule")
+    hits = text.signal_hits(tables.lines(spark, sf_dir, [p for _, p in RULES]), RULES).select(F.col("path").alias("file"), F.col("line_no").alias("line"), "rule")
     return knowledge.capped_evidence(hits, "rule", 20).drop("at")
 
 

@@ -14,6 +14,7 @@ ORACLE_SQL: dict = {}
 
 EMAIL, CARD, LICENSE = r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", r"(^|[^0-9])[0-9]{16}($|[^0-9])", r"Licensed under|All rights reserved"
 RULES = [("email", EMAIL), ("card", CARD), ("license", LICENSE), ("credential", r"(?i)(password|secret|token|api_?key) *[:=]")]
+_PATTERNS = [p for _, p in RULES]
 GLOBS = ["docs/src1/**", "**/*7.txt"]
 CATALOG = [("steel", "metal"), ("brass", "metal"), ("red", "colour"), ("blue", "colour"), ("widget", "tool"), ("gear", "machine"), ("part", "generic")]
 _SEQ = ", ".join(SEQ)
@@ -77,20 +78,20 @@ _WITH_HITS = with_relations("files", "lines").rstrip() + ", " + _HITS + "\n"
 @query(_WITH_HITS + "SELECT rule, language, count(*) AS n FROM hits GROUP BY ALL")
 def line_signal_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines by matching rule and language."""
-    return text.signal_hits(tables.lines(spark, sf_dir), RULES).groupBy("rule", "language").agg(F.count("*").alias("n"))
+    return text.signal_hits(tables.lines(spark, sf_dir, _PATTERNS), RULES).groupBy("rule", "language").agg(F.count("*").alias("n"))
 
 
 @query(with_relations("files", "lines") + f"""SELECT path, line_no FROM (SELECT *, max(regexp_matches(line, '[0-9]')::INT) OVER (PARTITION BY path ORDER BY line_no RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM lines)
 WHERE regexp_matches(line, '{LICENSE}') AND near = 1""")
 def line_context_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License lines near a line with a digit."""
-    return text.near_context(tables.lines(spark, sf_dir), F.col("line").rlike(LICENSE), F.col("line").rlike("[0-9]")).select("path", "line_no")
+    return text.near_context(tables.lines(spark, sf_dir, [LICENSE]), F.col("line").rlike(LICENSE), F.col("line").rlike("[0-9]")).select("path", "line_no")
 
 
 @query(_WITH_HITS + "SELECT path, array_to_string(list_sort(list_distinct(list(rule))), ',') AS labels, count(*) AS n FROM hits GROUP BY path")
 def signal_labels_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of each file."""
-    hits = text.signal_hits(tables.lines(spark, sf_dir), RULES)
+    hits = text.signal_hits(tables.lines(spark, sf_dir, _PATTERNS), RULES)
     return hits.groupBy("path").agg(F.array_join(F.sort_array(F.collect_set("rule")), ",").alias("labels"), F.count("*").alias("n"))
 
 
@@ -106,14 +107,14 @@ def direction_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_WITH_HITS + "SELECT path, count(DISTINCT rule) AS owners FROM hits GROUP BY path HAVING count(DISTINCT rule) >= 2")
 def multi_owner_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that two rules or more match."""
-    return text.signal_hits(tables.lines(spark, sf_dir), RULES).groupBy("path").agg(F.countDistinct("rule").alias("owners")).filter("owners >= 2")
+    return text.signal_hits(tables.lines(spark, sf_dir, _PATTERNS), RULES).groupBy("path").agg(F.countDistinct("rule").alias("owners")).filter("owners >= 2")
 
 
 @query(_WITH_HITS + "SELECT path, line_no, rule, substr(sha256(path || ':' || line_no || ':' || rule), 1, 12) AS id FROM hits WHERE rule IN ('email', 'card')")
 def pii_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of personal data, by id and without the value."""
     id_ = F.substring(F.sha2(F.concat_ws(":", "path", F.col("line_no").cast("string"), "rule"), 256), 1, 12)
-    return text.signal_hits(tables.lines(spark, sf_dir), RULES[:2]).select("path", "line_no", "rule", id_.alias("id"))
+    return text.signal_hits(tables.lines(spark, sf_dir, _PATTERNS[:2]), RULES[:2]).select("path", "line_no", "rule", id_.alias("id"))
 
 
 @query("SELECT conv_id, count(*) AS turns, sum(regexp_matches(text, '[0-9]')::INT)::BIGINT AS findings FROM conversations WHERE conv_id >= 5 GROUP BY conv_id HAVING sum(regexp_matches(text, '[0-9]')::INT) > 0 OR count(*) > 3")
@@ -125,13 +126,13 @@ def session_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_relations("files", "lines") + f"SELECT path, line_no, substr(line, 1, 160) AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_no) AS k FROM lines WHERE regexp_matches(line, '{EMAIL}')) WHERE k = 1")
 def first_match_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line with an address in each file."""
-    return text.first_match(tables.lines(spark, sf_dir), EMAIL)
+    return text.first_match(tables.lines(spark, sf_dir, [EMAIL]), EMAIL)
 
 
 @query(with_relations("files", "lines") + f"SELECT path, line_no FROM lines WHERE regexp_matches(line, '{LICENSE}') ORDER BY path, line_no LIMIT 50")
 def search_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first fifty license lines."""
-    return text.search(tables.lines(spark, sf_dir), LICENSE)
+    return text.search(tables.lines(spark, sf_dir, [LICENSE]), LICENSE)
 
 
 def _first(relation: str, keys: str, order: str, where: str = "true") -> str:
@@ -220,14 +221,14 @@ _ORPHANS = "orphans AS (SELECT id, section FROM components WHERE type = 'third_p
 
 
 #: One order in forty has flows.
-_FEW = with_relations("components", "flows").rstrip().replace("flows AS (", "flows0 AS (") + ", flows AS (SELECT * FROM flows0 WHERE l_orderkey % 40 = 0), " + _ENDS
+_FEW = with_relations("components", "flows").rstrip().replace("flows AS (", "flows0 AS (") + ", flows AS (SELECT * FROM flows0 WHERE type = 'rpc' AND confidence = 1), " + _ENDS
 
 
 @query(_FEW + ", " + _ORPHANS + "\nSELECT source, o.id AS target, 0.6::DOUBLE AS confidence FROM orphans o JOIN (SELECT section, min(id) AS source FROM components WHERE type = 'asset' AND sub_type = 'application' GROUP BY section) USING (section)")
 def orphan_third_party(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New flows from hubs to orphans, where one order in forty has flows."""
+    """New flows from hubs to orphans, where only certain calls are flows."""
     components, flows = _rel(spark, sf_dir, "components", "flows")
-    return graph.attach_orphans(components, flows.filter("l_orderkey % 40 = 0"))
+    return graph.attach_orphans(components, flows.filter("type = 'rpc' and confidence = 1"))
 
 
 @query(_WITH_ENDS.rstrip() + ", " + _ORPHANS + ", " + _HUBLESS + """
@@ -303,7 +304,7 @@ def slot_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT DISTINCT h.rule || ':' || h.line_no || ':' || h.path AS inner_id, b.id AS outer_id FROM hits h JOIN blocks b ON h.path = b.path AND h.line_no >= b.first AND h.line_no <= b.last""")
 def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences within blocks of three lines."""
-    lines = tables.lines(spark, sf_dir)
+    lines = tables.lines(spark, sf_dir, _PATTERNS)  # files without a hit have nothing that a block could hold
     hits = text.signal_hits(lines, RULES)
     inner = hits.select("path", F.concat_ws(":", "rule", F.col("line_no").cast("string"), "path").alias("id"), F.col("line_no").alias("first"), F.col("line_no").alias("last"))
     blocks = lines.select("path", F.floor((F.col("line_no") - 1) / 3).alias("b")).distinct()

@@ -136,11 +136,13 @@ def location_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrites.distinct_locations(_locations(spark, sf_dir))
 
 
-@query(f"WITH {_LOCATIONS} SELECT DISTINCT a.id AS left_id, b.id AS right_id FROM locations a JOIN locations b ON a.file = b.file WHERE a.id LIKE 's%1' AND b.id LIKE 'c%9'")
+@query("SELECT DISTINCT 's' || l_suppkey AS left_id, 'c' || o_custkey AS right_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def shared_file_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers and customers with a file in common."""
-    rows = _locations(spark, sf_dir)
-    return rewrites.shared_files(rows.filter("id like 's%1'"), rows.filter("id like 'c%9'"))
+    """Suppliers and customers with an order's file in common."""
+    file = F.concat(F.lit("orders/"), F.col("l_orderkey").cast("string"))
+    left = tables.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("id"), file.alias("file"))
+    right = tables.table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("id"), F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")).alias("file"))
+    return rewrites.shared_files(left, right)
 
 
 @query(f"{_BOTH}, {_LOCATIONS}, queued AS (SELECT id FROM nodes WHERE id LIKE 's%77' UNION ALL SELECT id FROM flows WHERE confidence > 0.84 AND target LIKE 'p%99') SELECT DISTINCT file AS path FROM locations WHERE id IN (SELECT id FROM queued UNION ALL SELECT unnest([source, target]) FROM flows WHERE id IN (SELECT id FROM queued))")

@@ -31,7 +31,7 @@ scanned AS (SELECT string_split(path, '/')[2] AS id, array_to_string(list_sort(l
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signals = third_party.rule_signals(tables.lines(spark, sf_dir), SIGNALS, F.col("line").rlike("[0-9]"))
+    signals = third_party.rule_signals(tables.lines(spark, sf_dir, [p for p, *_ in SIGNALS]), SIGNALS, F.col("line").rlike("[0-9]"))
     return third_party.summary(signals.withColumn("id", F.split("path", "/")[1]), "id")
 
 
@@ -124,10 +124,10 @@ def heuristic_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return third_party.heuristic_patches(tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), kind.alias("candidate_type"), F.array_repeat(F.lit("hint"), (F.col("event_id") % 3).cast("int")).alias("hints")))
 
 
-@query(with_relations("files", "flows") + "SELECT f.id FROM flows f WHERE confidence >= 0.8 AND l_orderkey % 10 = 0 UNION ALL SELECT path FROM files WHERE language IN ('en', 'de')")
+@query(with_relations("files", "flows") + "SELECT f.id FROM flows f WHERE confidence >= 0.8 UNION ALL SELECT path FROM files WHERE language IN ('en', 'de')")
 def scan_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confident flows of some orders, and files of two languages."""
-    flows = third_party.confident(tables.flows(spark, sf_dir).filter("l_orderkey % 10 = 0"), 0.8).select("id")
+    """Confident flows, and files of two languages."""
+    flows = third_party.confident(tables.flows(spark, sf_dir), 0.8).select("id")
     return flows.unionByName(tables.files(spark, sf_dir).filter(F.col("language").isin("en", "de")).select(F.col("path").alias("id")))
 
 

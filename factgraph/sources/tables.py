@@ -19,9 +19,12 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, language, line_no (from 1), line."""
-    return files(spark, sf_dir).select("path", "language", F.posexplode(F.split("content", "\r?\n")).alias("at", "line")).select("path", "language", (F.col("at") + 1).cast("long").alias("line_no"), "line")
+def lines(spark: SparkSession, sf_dir: str, holding: list[str] | None = None) -> DataFrame:
+    """path, language, line_no (from 1), line; with ``holding``, only of files of which some line matches one of the patterns, so that others aren't cut into lines."""
+    own = files(spark, sf_dir)
+    if holding:
+        own = own.filter(F.col("content").rlike("(?m)" + "|".join(f"(?:{p})" for p in holding)))
+    return own.select("path", "language", F.posexplode(F.split("content", "\r?\n")).alias("at", "line")).select("path", "language", (F.col("at") + 1).cast("long").alias("line_no"), "line")
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
