@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -210,18 +211,20 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, confidence: float =
     inner products found (all others, if fewer), ties to the smaller vec_id.
 
     ``vectors`` has vec_id and embedding; other columns are not read. Rows whose id or vector is null, or whose vector is
-    empty, zero or holds null or non-finite components take no part, nor do vectors of another length than most (ties: the
-    shorter). Ids are unique; repeated ids count as rows of their own. Of equal vectors only the k + 1 least ids can be
+    empty, zero or holds null or non-finite components take no part; vectors of different lengths aren't compared, so each length is searched apart. Ids are unique; repeated ids count as rows of their own. Of equal vectors only the k + 1 least ids can be
     among k neighbours, so the others are left out of the candidates before the search, and equal queries are searched once.
     Without rows the result is empty.
     """
     spark = vectors.sparkSession
-    rows = _valid(vectors)
+    rows = stage_table(_valid(vectors), "ann-valid")
     lengths = rows.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows"), F.max(F.expr("sqrt(aggregate(embedding, 0d, (s, x) -> s + double(x) * double(x)))")).alias("norm"))
-    top = lengths.orderBy(F.desc("rows"), "n").first()
-    if top is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.filter(F.size("embedding") == top["n"])
+    found = [_nearest_of(rows.filter(F.size("embedding") == r["n"]), r["n"], r["norm"], every, k, confidence) for r in lengths.orderBy("n").collect()]  # one row for each length
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _nearest_of(rows: DataFrame, length: int, largest: float, every: int, k: int, confidence: float) -> DataFrame:
+    """``nearest`` of valid vectors of one length with norms up to ``largest``."""
+    spark = rows.sparkSession
     rows = stage_table(rows, "ann-rows")
     candidates = stage_table(_salted_first(rows, k + 1, "embedding").select("vec_id", "embedding"), "ann-candidates")
     asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0)
@@ -230,7 +233,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, confidence: float =
 
     sample = candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()  # bounded
     n = candidates.count()
-    norm, directions = float(top["norm"]) * (1 + 1e-12), projection(top["n"])
+    norm, directions = float(largest) * (1 + 1e-12), projection(length)
     drawn = project(np.array([r["embedding"] for r in sample], float), norm, directions)
     tree = KdTree(drawn, max(8, math.ceil(len(drawn) * CELL_ROWS / n)))
     space = spark.sparkContext.broadcast(Space(norm, directions, chi_square_quantile(confidence), tree))
@@ -250,7 +253,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, confidence: float =
     number = np.array([c["cell"] for c in cells])
     low, high = (np.array([[c[f"{f}{d}"] for d in range(PROJECTED)] for c in cells]) for f in ("min", "max"))
     boxes = spark.sparkContext.broadcast((number, low, high))
-    parts = {c["cell"]: math.ceil(c["n"] * 8 * top["n"] / BLOCK_BYTES) for c in cells}
+    parts = {c["cell"]: math.ceil(c["n"] * 8 * length / BLOCK_BYTES) for c in cells}
 
     def route(first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

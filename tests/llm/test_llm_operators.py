@@ -300,6 +300,12 @@ def test_neighbours_recall(spark):
     assert len(got) == 150 and {r["count"] for r in got} == {20}
 
 
+def test_lengths_are_searched_apart(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (20, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (40, [2.0, 0.0, 0.0]), (60, [5.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 1, 1.0), (20, 1, 40, 2.0), (20, 2, 2, 0.0), (40, 1, 20, 2.0), (40, 2, 2, 0.0)]
+
+
 def test_neighbours_recall_on_the_table(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
     rows = [r for r in vectors.collect() if r.embedding is not None and any(r.embedding)]
