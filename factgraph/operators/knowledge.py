@@ -18,9 +18,9 @@ SLOT_SHAPES = {"in_scope": "text", "actor_kind": "enum", "data_categories": "lis
 DATA_CATEGORIES = ("personal", "identifiers", "contact", "demographic", "credentials", "financial", "health", "location", "communications", "commercial", "other")
 PURPOSES = ("service_provision", "analytics", "marketing", "security", "legal_obligation", "research", "debugging", "unspecified")
 ACTOR_KINDS = ("person", "role", "persona")
-#: Reviewers that are no person, and evidence that never counts. Fixed values.
+#: Reviewers that are no person, and evidence that never counts, as defaults. Fixed values.
 AUTOMATIC = r"(?i)^(gpt|claude|composer|model|agent|auto|rubric|the room|coding agent)"
-NO_EVIDENCE = r"(?i)experiments/datap-|/eval/|fixtures/|mapped-transcript|stakeholder-script|discovery-export-bundle|raw-model-transcript"
+NO_EVIDENCE = r"(?i)/eval/|fixtures/|mapped-transcript|stakeholder-script|discovery-export-bundle|raw-model-transcript"
 
 
 def scrubbed(text: Column, root: str) -> Column:
@@ -72,14 +72,14 @@ def item_groups(occurrences: DataFrame) -> DataFrame:
     return groups.select("item", "group_id", "occurrences", F.col("b.basis").alias("basis"), number.alias("number"))
 
 
-def landing(answers: DataFrame, asked: DataFrame, evidence: DataFrame) -> DataFrame:
+def landing(answers: DataFrame, asked: DataFrame, evidence: DataFrame, automatic: str = AUTOMATIC, no_evidence: str = NO_EVIDENCE) -> DataFrame:
     """id, outcome for answers (id, target, slot, value, reviewer, skill, evidence): the first rule that an answer breaks, else landed.
     ``asked`` are the brief's questions (target, slot), ``evidence`` the transcripts there are (path)."""
     rows = answers.join(asked.select("target", "slot").distinct().withColumn("_asked", F.lit(True)), ["target", "slot"], "left").join(evidence.select(F.col("path").alias("evidence")).distinct().withColumn("_there", F.lit(True)), "evidence", "left")
     who = F.trim(F.coalesce("reviewer", F.lit("")))
     outcome = (
-        F.when(~F.coalesce(F.col("slot").isin(*SLOT_SHAPES), F.lit(False)), "SLOT_NOT_LANDABLE").when(F.col("_asked").isNull(), "NOT_ASKABLE").when((who == "") | who.rlike(AUTOMATIC) | ~F.contains(who, F.lit("@")), "REVIEWER_NOT_HUMAN")
-        .when(~F.coalesce(F.col("skill").rlike("^[0-9a-f]{40}$"), F.lit(False)), "BAD_SKILL_SHA").when(F.col("_there").isNull(), "NO_EVIDENCE").when(F.col("evidence").rlike(NO_EVIDENCE), "EVIDENCE_NOT_LANDABLE").otherwise("landed")
+        F.when(~F.coalesce(F.col("slot").isin(*SLOT_SHAPES), F.lit(False)), "SLOT_NOT_LANDABLE").when(F.col("_asked").isNull(), "NOT_ASKABLE").when((who == "") | who.rlike(automatic) | ~F.contains(who, F.lit("@")), "REVIEWER_NOT_HUMAN")
+        .when(~F.coalesce(F.col("skill").rlike("^[0-9a-f]{40}$"), F.lit(False)), "BAD_SKILL_SHA").when(F.col("_there").isNull(), "NO_EVIDENCE").when(F.col("evidence").rlike(no_evidence), "EVIDENCE_NOT_LANDABLE").otherwise("landed")
     )
     return rows.select("id", outcome.alias("outcome"))
 
@@ -230,6 +230,34 @@ def scannable(files: DataFrame, most_bytes: int, generated: list[str]) -> DataFr
     return files.filter(~F.col("path").rlike("|".join(generated)) & ~F.contains("content", F.lit("\x00")) & (size <= most_bytes)).select("path", size.cast("long").alias("size"))
 
 
+#: Names of generated files, folders and files that are never scanned, files of the tool's own project folders, and the caps in bytes of a file and of all. Fixed values.
+GENERATED = r"(?i)(?:\.min\.(?:js|mjs|css)|\.map|\.snap|\.lockb?|\.generated\.[^.]+|_pb2(?:_grpc)?\.py|\.pb\.go)$"
+SKIPPED_FOLDERS = ("vendored", "third_party", "sand-client-persistence", "__pycache__")
+SKIPPED_FILES = (".git", "package-lock.json", "pnpm-lock.yaml", "go.sum", "npm-shrinkwrap.json")
+FILE_BYTES, TOTAL_BYTES = 1 << 20, 64 << 20
+
+
+def scan_records(files: DataFrame, file_bytes: int = FILE_BYTES, total_bytes: int = TOTAL_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(id, size, text; scanned, over_size, limit_reached): the files (path, content as binary) that a scan for sensitive data reads, and one row on how far it came.
+
+    Files are taken folder by folder, names in the order of their bytes. Generated and lock files, those in skipped folders, with NULs or without valid UTF-8 are left out; larger ones than ``file_bytes`` too, and they are counted. The scan ends before the
+    first file with which all would pass ``total_bytes``; what comes after isn't read, nor counted."""
+    low, name = F.col("path"), F.substring_index("path", "/", -1)
+    folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
+    wanted = files.filter(~low.rlike(GENERATED) & ~name.isin(*SKIPPED_FILES) & ~F.arrays_overlap(folders, F.array(*map(F.lit, SKIPPED_FOLDERS))) & ~low.rlike("^project/(?:issues|events|\\.cache)/"))
+    # a folder's name ends before any sign, so it sorts as a name of its own
+    sized = wanted.withColumns({"size": F.octet_length("content").cast("long"), "order": F.translate("path", "/", "\u0001")})
+    large = sized.filter(F.col("size") > file_bytes).select("order")
+    small = sized.filter(F.col("size") <= file_bytes).filter((F.position(F.lit(b"\x00"), F.col("content")) == 0) & F.is_valid_utf8(F.col("content").cast("string")))
+    counted = running_total(small.select("path", "order", "size"), "order", "size")
+    read = counted.filter(F.col("running") <= total_bytes)
+    end = counted.filter(F.col("running") > total_bytes).agg(F.min("order").alias("end"))
+    over = large.join(F.broadcast(end), F.col("end").isNull() | (F.col("order") < F.col("end"))).agg(F.count("*").alias("over_size"))  # one row
+    totals = [read.count(), over.first()[0], end.first()[0] is not None]
+    coverage = files.sparkSession.createDataFrame([tuple(totals)], "scanned long, over_size long, limit_reached boolean")
+    return read.join(files, "path").select(F.col("path").alias("id"), "size", F.col("content").cast("string").alias("text")), coverage
+
+
 def state_rows(components: DataFrame, flows: DataFrame, items: DataFrame) -> DataFrame:
     """kind, id, parent, name of all entities of a state: components, flows, items and the groups in them (group_ids)."""
     none = F.lit(None).cast("string")

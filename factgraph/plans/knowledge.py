@@ -244,3 +244,28 @@ def sidecar_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, "[1]").otherwise("{broken")
     files = tables.table(spark, sf_dir, "events").select(F.concat("event_type", F.lit("/"), F.col("event_id").cast("string"), F.lit(".json")).alias("path"), content.alias("content"))
     return knowledge.sidecars(files, [("facts", "^view/"), ("items", "^click/")])
+
+
+_SCAN = """f AS (SELECT 'repo/' || CASE WHEN doc_id % 17 = 0 THEN 'third_party/' WHEN doc_id % 5 = 0 THEN source || '/' ELSE source || '-x/' END || doc_id || CASE WHEN doc_id % 13 = 0 THEN '.min.js' WHEN doc_id % 11 = 0 THEN '.LOCK' ELSE '.txt' END AS path, coalesce(text, '') AS text FROM documents),
+sized AS (SELECT path, strlen(text) AS size, replace(path, '/', chr(1)) AS ord FROM f WHERE path NOT LIKE '%/third_party/%' AND NOT regexp_matches(path, '(?i)([.]min[.]js|[.]lock)$')),
+counted AS (SELECT *, sum(size) OVER (ORDER BY ord) AS running FROM sized WHERE size <= 20000)"""
+
+
+def _scan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d = F.col("doc_id")
+    folder = F.when(d % 17 == 0, "third_party/").when(d % 5 == 0, F.concat("source", F.lit("/"))).otherwise(F.concat("source", F.lit("-x/")))
+    path = F.concat(F.lit("repo/"), folder, d.cast("string"), F.when(d % 13 == 0, ".min.js").when(d % 11 == 0, ".LOCK").otherwise(".txt"))
+    files = tables.table(spark, sf_dir, "documents").select(path.alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return knowledge.scan_records(files, 20_000, 200_000)
+
+
+@query(f"WITH {_SCAN} SELECT path AS id, size FROM counted WHERE running <= 200000")
+def scan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that a scan reads until its budget is spent."""
+    return _scan(spark, sf_dir)[0].select("id", "size")
+
+
+@query(f"WITH {_SCAN} SELECT (SELECT count(*) FROM counted WHERE running <= 200000) AS scanned, (SELECT count(*) FROM sized WHERE size > 20000 AND ord < coalesce((SELECT min(ord) FROM counted WHERE running > 200000), chr(255))) AS over_size, EXISTS (SELECT 1 FROM counted WHERE running > 200000) AS limit_reached")
+def scan_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far that scan came."""
+    return _scan(spark, sf_dir)[1]

@@ -76,3 +76,14 @@ def test_roots_go_at_any_depth(spark):
     texts = [nested + "x", "a r/b r/c", "r\\b", None, "plain/path"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", knowledge.scrubbed(F.col("t"), "r").alias("t")).orderBy("i")
     assert [r["t"] for r in df.collect()] == ["x", "a b c", "b", None, "plain/path"]
+
+
+def test_scans_end_at_the_budget(spark):
+    files = [("b/x.txt", b"12345"), ("a-b.txt", b"12"), ("a/z.txt", b"1"), ("a/big.txt", b"x" * 50), ("c.txt", b"123456"), ("c2.txt", b"1"), ("z/big.txt", b"x" * 50), ("a/third_party/q.txt", b"1"), ("yarn.lock", b"1"), ("a/nul.bin", b"1\x002"), ("a/bad.txt", b"\xff\xfe"), ("go.sum", b"1"), ("project/events/e.txt", b"1"), ("a/empty.txt", b"")]
+    df = spark.createDataFrame(files, "path string, content binary")
+    read, coverage = knowledge.scan_records(df, 20, 9)
+    assert sorted(map(tuple, read.collect())) == [("a-b.txt", 2, "12"), ("a/empty.txt", 0, ""), ("a/z.txt", 1, "1"), ("b/x.txt", 5, "12345")]
+    assert tuple(coverage.first()) == (4, 1, True)
+    read, coverage = knowledge.scan_records(df, 20, 1000)
+    assert read.count() == 6 and tuple(coverage.first()) == (6, 2, False)
+    assert knowledge.scan_records(df.limit(0))[1].first()["scanned"] == 0
