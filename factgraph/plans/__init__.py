@@ -14,3 +14,4 @@ from . import renames as renames
 from . import absorb as absorb
 from . import signals as signals
 from . import managed as managed
+from . import normalise as normalise
