@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgraph.operators import knowledge
-from factgraph.sources import tables
+from factgraph.sources import storage, tables
 from factgraph.sources.tables import with_relations
 
 from .registry import RULES, query
@@ -269,3 +269,15 @@ def scan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far that scan came."""
     return _scan(spark, sf_dir)[1]
+
+
+@query("""WITH nodes AS (SELECT 'p' || (p_partkey // CASE WHEN p_partkey % 50 = 0 THEN 2 ELSE 1 END) AS id, CASE WHEN p_size % 25 = 0 THEN ' ' ELSE p_type END AS type FROM part), edges AS (SELECT 'e' || l_orderkey || '-' || l_linenumber AS id, 'p' || l_partkey AS source, 'p' || (l_partkey + l_suppkey) AS target FROM lineitem)
+SELECT fault, count(*) AS n, min(id) AS first FROM (SELECT 'repeated_node' AS fault, id FROM nodes GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'repeated_edge', id FROM edges GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'node_without_type', id FROM nodes WHERE trim(type) = ''
+  UNION ALL SELECT DISTINCT 'edge_without_end', id FROM edges WHERE source NOT IN (SELECT id FROM nodes) OR target NOT IN (SELECT id FROM nodes)) GROUP BY fault""")
+def graph_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps parts and line items from being written as a graph."""
+    k = F.col("p_partkey")
+    nodes = tables.table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.when(k % 50 == 0, F.floor(k / 2)).otherwise(k).cast("string")).alias("id"), F.when(F.col("p_size") % 25 == 0, " ").otherwise(F.col("p_type")).alias("type"))
+    edges = tables.table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("e"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))).alias("id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("source"), F.concat(F.lit("p"), (F.col("l_partkey") + F.col("l_suppkey")).cast("string")).alias("target"))
+    return storage.graph_faults(nodes, edges).groupBy("fault").agg(F.count("*").alias("n"), F.min("id").alias("first"))

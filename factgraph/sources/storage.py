@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -85,6 +86,38 @@ def wrapper(parts: dict[str, DataFrame], version: str) -> DataFrame:
     return head
 
 
+def graph_faults(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """fault, id of what keeps a graph from being written: nodes (id, type) and edges (id, source, target) without an id or a node without a type, ids that repeat, and ends that are no node."""
+    def named(rows: DataFrame, part: str) -> DataFrame:
+        lost = rows.filter("id is null or trim(id) = ''").select(F.lit(f"{part}_without_id").alias("fault"), F.lit("").alias("id"))
+        return lost.unionByName(rows.filter("id is not null").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit(f"repeated_{part}").alias("fault"), "id"))
+
+    bare = nodes.filter("type is null or trim(type) = ''").select(F.lit("node_without_type").alias("fault"), F.coalesce("id", F.lit("")).alias("id"))
+    ends = edges.select("id", F.explode(F.array("source", "target")).alias("end"))
+    loose = ends.join(nodes.select(F.col("id").alias("end")).distinct(), "end", "left_anti").select(F.lit("edge_without_end").alias("fault"), F.coalesce("id", F.lit("")).alias("id")).distinct()
+    return named(nodes, "node").unionByName(named(edges, "edge")).unionByName(bare).unionByName(loose)
+
+
+def write_document(nodes: DataFrame, edges: DataFrame, metadata: dict, folder: str, version: str = "1.0") -> None:
+    """Write a graph as one JSON document, {"schemaVersion", "graph": {"nodes", "edges"}, "metadata"}, cut into the text files of ``folder``: joined in the order of their names they are the document. Nodes and edges have their columns as keys, nulls left out, and are
+    sorted by id; metadata gets their counts. Raises ValueError if the graph has faults (see graph_faults). No file, and no task, needs more than its share of rows."""
+    faults = graph_faults(nodes, edges).groupBy("fault").agg(F.count("*").alias("n")).orderBy("fault").collect()  # one row for each kind
+    if faults:
+        raise ValueError("the graph isn't valid: " + ", ".join(f"{f['n']} {f['fault']}" for f in faults))
+    spark = nodes.sparkSession
+    parts = [df.select(F.lit(at).alias("at"), F.col("id").cast("string").alias("id"), F.to_json(F.struct(*df.columns)).alias("json")) for at, df in ((1, nodes), (3, edges))]
+    firsts = {at: p.agg(F.min("id")).first()[0] for at, p in zip((1, 3), parts, strict=True)}
+    # every row but a part's first begins with a comma, so that nobody has to know which is the last
+    rows = [p.withColumn("json", F.when(F.col("id") == firsts[at], F.col("json")).otherwise(F.concat(F.lit(","), "json"))) for at, p in zip((1, 3), parts, strict=True) if firsts[at] is not None]
+    counts = {"componentsCount": nodes.count(), "dataFlowsCount": edges.count()}
+    said = json.dumps(metadata | counts)
+    frame = [(0, "", f'{{"schemaVersion":{json.dumps(version)},"graph":{{"nodes":['), (2, "", '],"edges":['), (4, "", f']}},"metadata":{said}}}')]
+    whole = spark.createDataFrame(frame, "at int, id string, json string")
+    for r in rows:
+        whole = whole.unionByName(r)
+    whole.repartitionByRange("at", "id").sortWithinPartitions("at", "id").select("json").write.text(folder)
+
+
 def without_own_output(paths: DataFrame, output: str, own: list[str]) -> DataFrame:
     """Paths (path) that aren't in the output folder of an earlier run; where that is the root (``""``), only the files ``own``
     names are left out."""
