@@ -48,6 +48,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, n, docs): a task's counts of occurrences and of documents, handed on whenever HELD are held."""
     occurrences: dict[tuple, Counter] = {}
     documents: dict[tuple, Counter] = {}
+    held = 0
 
     def handed() -> Iterator[pa.RecordBatch]:
         for group, counts in occurrences.items():
@@ -62,13 +63,17 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
             seen: set[bytes] = set()
+            held += (lang, source) not in occurrences  # a group without terms counts too
             total = occurrences.setdefault((lang, source), Counter())
+            held -= len(total)
             for terms in terms_of(text.as_py()):
                 total.update(terms)
                 seen.update(terms)
             documents.setdefault((lang, source), Counter()).update(seen)
-            if sum(map(len, occurrences.values())) > HELD:
+            held += len(total)
+            if held > HELD:
                 yield from handed()
+                held = 0
     yield from handed()
 
 
