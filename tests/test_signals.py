@@ -58,3 +58,12 @@ def test_evidence_and_sessions(spark):
     assert {tuple(r) for r in signals.scoped_sessions(turns, found, since).collect()} == {("s1", 2, 1), ("s3", 1, 1)}
     assert {tuple(r) for r in signals.scoped_sessions(turns, found, since, project="y").collect()} == {("s3", 1, 1)}
     assert {tuple(r) for r in signals.scoped_sessions(turns, found, since, project="y", session="s1").collect()} == {("s1", 2, 1)}
+
+
+def test_words_of_operations_end_at_accents(spark):
+    files = {"a": "stripe éupload card", "b": "stripe xupload card", "c": "stripe uploadé card", "d": "stripe upload_ card"}
+    rules = spark.createDataFrame([("card", "pattern", ["card"], "financial", ["financial_data"], [], None)], RULE)
+    components = spark.createDataFrame([("stripe", "Stripe", None, None, None, None)], COMPONENT)
+    own = spark.createDataFrame([("stripe", p) for p in files], "id string, path string")
+    got = signals.vendor_signals(lines_of(spark, files), spark.createDataFrame(list(files.items()), "path string, content string"), own, components, rules, r"(?i)\bupload\b")
+    assert sorted(r["path"] for r in got.collect()) == ["a", "c"]
