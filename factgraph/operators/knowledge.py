@@ -153,7 +153,7 @@ def diagram_edges(flows: DataFrame) -> DataFrame:
 
 def document_components(facts: DataFrame, items: DataFrame) -> DataFrame:
     """id, name, items: the distinct items (item, handled_by) that each component handles."""
-    of = items.select("item", F.explode("handled_by").alias("id")).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("item")), ",").alias("items"))
+    of = items.select("item", "handled_by").distinct().select("item", F.explode("handled_by").alias("id")).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("item")), ",").alias("items"))
     return facts.join(of, "id", "left").select("id", "name", F.coalesce("items", F.lit("")).alias("items"))
 
 

@@ -144,7 +144,7 @@ def document_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers with the brands that they handle."""
     supplier = tables.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 50).alias("m"))
     of = supplier.groupBy("m").agg(F.collect_list("id").alias("handled_by"))
-    items = tables.table(spark, sf_dir, "part").filter("p_size > 30").withColumn("m", F.col("p_partkey") % 50).join(of, "m").select(F.col("p_brand").alias("item"), "handled_by")
+    items = tables.table(spark, sf_dir, "part").filter("p_size > 30").select(F.col("p_brand").alias("item"), (F.col("p_partkey") % 50).alias("m")).distinct().join(of, "m").select("item", "handled_by")
     return knowledge.document_components(supplier, items)
 
 

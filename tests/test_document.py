@@ -32,3 +32,17 @@ def test_faults_keep_a_graph_from_being_written(spark, tmp_path):
     with pytest.raises(ValueError, match="1 node_without_id"):
         storage.write_document(nodes, edges, {}, f"file://{tmp_path}/doc")
     assert not (tmp_path / "doc").exists()
+
+
+def test_items_that_repeat_are_exploded_once(spark):
+    from pyspark.sql import functions as F
+
+    from factgraph.operators import knowledge
+
+    items = spark.range(1000).select(F.lit("x").alias("item"), F.array(F.lit("a"), F.lit("b")).alias("handled_by"))
+    facts = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "id string, name string")
+    out = knowledge.document_components(facts, items)
+    assert sorted(map(tuple, out.collect())) == [("a", "A", "x"), ("b", "B", "x"), ("c", "C", "")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    at = plan.index("Generate explode")
+    assert "Aggregate [" in plan[at:]  # repeats go before they are multiplied
