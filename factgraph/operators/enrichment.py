@@ -75,9 +75,7 @@ def with_status(questions: DataFrame, answered: DataFrame) -> DataFrame:
 def questions(components: DataFrame, flows: DataFrame) -> DataFrame:
     """subject, slot, about: the scope of the system, two questions on each flow out to a third party, one on each actor."""
     scope = components.sparkSession.createDataFrame([("system", "in_scope", "Which system is this, and where does it end?")], "subject string, slot string, about string")
-    names = components.select("id", "name")
-    out = classify(flows, components).filter("crossing = 'outbound_third_party'").select("id", "source", "target")
-    out = out.join(names.toDF("source", "from"), "source").join(names.toDF("target", "to"), "target")
+    out = classify(flows, components, ("name",)).filter("crossing = 'outbound_third_party'").select("id", F.col("source_name").alias("from"), F.col("target_name").alias("to"))
     asked = F.explode(F.array(
         F.struct(F.lit("data_categories").alias("slot"), F.concat(F.lit("Which kinds of data does "), "from", F.lit(" pass to "), "to", F.lit("?")).alias("about")),
         F.struct(F.lit("purpose").alias("slot"), F.concat(F.lit("What for does "), "to", F.lit(" get data of "), "from", F.lit("?")).alias("about")),

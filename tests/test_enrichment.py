@@ -169,3 +169,13 @@ def test_managed_nodes(spark):
     got = topology.managed_nodes(components, corpus, rules)
     assert sorted(map(tuple, got.collect())) == [("h", "c", "adopt"), ("h", "managed:A:auth", "create"), ("h", "managed:A:queue", "create")]
     assert topology.managed_nodes(components, corpus, []).count() == 0
+
+
+def test_questions_look_up_each_end_once(spark):
+    components = spark.createDataFrame([("a", "A", "asset", "x"), ("t", "T", "third_party", "y"), ("u", None, "third_party", "y")], "id string, name string, type string, section string")
+    flows = spark.createDataFrame([("f", "a", "t"), ("g", "a", "u"), ("h", "a", "lost")], "id string, source string, target string")
+    out = enrichment.questions(components, flows)
+    assert {(r["subject"], r["slot"], r["about"]) for r in out.collect()} == {
+        ("system", "in_scope", "Which system is this, and where does it end?"), ("f", "purpose", "What for does T get data of A?"), ("f", "data_categories", "Which kinds of data does A pass to T?"),
+        ("g", "purpose", None), ("g", "data_categories", None)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
