@@ -51,3 +51,8 @@ def test_rewired_flows_with_few_or_many_gone(spark, monkeypatch, few):
     assert sorted(map(tuple, got.select("seq", "source", "target", "type").collect())) == [(1, "b", "d", "rpc"), (6, "d", "b", "rpc")]
     got = graph.contract(flows, spark.createDataFrame([("a", "x"), ("b", "x")], "id string, into string"), ["seq"])
     assert sorted(map(tuple, got.select("seq", "source", "target", "type").collect())) == [(1, "x", "d", "rpc"), (3, "d", "x", "rpc"), (5, "e", "d", "rpc")]
+
+
+def test_recall_neither_sorts_nor_groups_flows(large, capsys):
+    text = plan(QUERIES["interaction_scores"](large, SF), capsys)
+    assert "keys=[source#" not in text and not [x for x in text.splitlines() if "SortMergeJoin" in x and ("[source#" in x or "[target#" in x)]
