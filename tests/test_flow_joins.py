@@ -56,3 +56,9 @@ def test_rewired_flows_with_few_or_many_gone(spark, monkeypatch, few):
 def test_recall_neither_sorts_nor_groups_flows(large, capsys):
     text = plan(QUERIES["interaction_scores"](large, SF), capsys)
     assert "keys=[source#" not in text and not [x for x in text.splitlines() if "SortMergeJoin" in x and ("[source#" in x or "[target#" in x)]
+
+
+
+def test_containment_reads_lines_once(spark, capsys):
+    text = plan(QUERIES["containment_join"](spark, SF), capsys)
+    assert "documents.parquet" not in text and "Generate posexplode" not in text
