@@ -58,6 +58,11 @@ def test_recall_neither_sorts_nor_groups_flows(large, capsys):
     assert "keys=[source#" not in text and not [x for x in text.splitlines() if "SortMergeJoin" in x and ("[source#" in x or "[target#" in x)]
 
 
+@pytest.mark.parametrize("name", ["candidates"])
+def test_candidates_meet_ends_without_sorting_flows(large, capsys, name):
+    text = plan(QUERIES[name](large, SF), capsys)
+    assert text.count("ShuffledHashJoin") >= 6 and not [x for x in text.splitlines() if "SortMergeJoin" in x and ("[source" in x or "[target" in x)]
+
 
 def test_containment_reads_lines_once(spark, capsys):
     text = plan(QUERIES["containment_join"](spark, SF), capsys)
