@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from factgraph.sources.storage import written
 
-from .graph import best_per_key
-from .lineage import dealt_join
-from .rewrites import compatible
+from .graph import at_hand, best_per_key
+from .rewrites import section_key
 
 #: Types of flows that start at the provider afterwards. Fixed values.
 REWIRED = ("database_query", "api_call")
@@ -18,49 +16,66 @@ REWIRED = ("database_query", "api_call")
 RESOURCE_FLOW, PROVIDER_FLOOR, REWIRED_FLOOR = 0.75, 0.72, 0.75
 
 
+def _fits(a: Column, b: Column) -> Column:
+    """Whether two section keys may be joined: one is none, or both are the same."""
+    return (a == "") | (b == "") | (a == b)
+
+
+def _passed(rows: DataFrame, turn: str, rewired: tuple[str, ...], floor: float, rewired_floor: float) -> DataFrame:
+    """source, target, type, confidence, how, made, seq, linked, hops of flows after all ``turns`` of theirs; key, open and api are those of the source. Hops are what a flow adds, in order of turns."""
+    hop = f"struct<source:string,provider:string,confidence:double,turn:{turn}>"
+    first = F.struct("source", F.coalesce("key", F.lit("")).alias("key"), F.coalesce("open", F.lit(False)).alias("open"), "api", "confidence", F.lit(False).alias("moved"), F.array().cast(f"array<{hop}>").alias("hops"))
+
+    def step(s: Column, p: Column) -> Column:
+        routed = ~p["direct"] & s["open"] & (s["source"] != p["provider"]) & _fits(s["key"], p["key"])
+        made = F.struct(F.coalesce(F.when(p["third"], s["api"]), s["source"]).alias("source"), p["provider"].alias("provider"), F.greatest(s["confidence"], F.lit(floor)).alias("confidence"), p["turn"].alias("turn"))
+        hops = F.concat(s["hops"], F.array(made)).alias("hops")
+        moved = F.struct(p["provider"].alias("source"), p["key"].alias("key"), p["open"].alias("open"), p["api"].alias("api"), F.greatest(s["confidence"], F.lit(rewired_floor)).alias("confidence"), F.lit(True).alias("moved"), hops)
+        stays = F.struct(*(s[c].alias(c) for c in ("source", "key", "open", "api", "confidence", "moved")), hops)
+        return F.when(~F.coalesce(routed, F.lit(False)), s).when(F.col("type").isin(*rewired), moved).otherwise(stays)
+
+    done = rows.withColumn("_s", F.aggregate("turns", first, step))
+    return done.select("_s.source", "target", "type", "_s.confidence", F.when(F.col("_s.moved"), "rewired").otherwise(F.col("how")).alias("how"), "made", "seq", "linked", "_s.hops")
+
+
 def route_in_order(flows: DataFrame, nodes: DataFrame, pairs: DataFrame, rewired: tuple[str, ...] = REWIRED, link: float = RESOURCE_FLOW, floor: float = PROVIDER_FLOOR, rewired_floor: float = REWIRED_FLOOR) -> DataFrame:
     """source, target, type, confidence, how of the flows (id, seq, source, target, type, confidence) after the pairs (turn, provider, target, direct) are taken in the order of ``turn`` (unique, as seq is).
 
     Nodes have id, seq, type, sub_type, section, address, main. A pair links the provider to its target, unless the two had a flow at first. Unless the target is accessed by a ``direct`` client, each flow into it
     from another known source, which isn't infrastructure code and fits the sections, adds an api_call to the provider from its source, or from the first api asset of that section if the source is a main asset, unless
     these two had a flow at first or got one before; its confidence is that of the flow then or ``floor``. Flows of ``rewired`` types start at the provider from then on, with a confidence of
-    ``rewired_floor`` or more, and so the next provider sees them. A round takes the next provider of every target: as many joins as a target has providers.
+    ``rewired_floor`` or more, and so the next provider sees them. Flows meet the array of their target's providers once and pass them in order, each by itself; those into other targets are only read.
     """
-    at = written(nodes.select("id", "seq", "type", "sub_type", F.coalesce("section", F.lit("")).alias("section"), F.coalesce(F.trim("address"), F.lit("")).alias("address"), F.coalesce("main", F.lit(False)).alias("main")), "routing-nodes")
+    section, address = F.coalesce("section", F.lit("")), F.coalesce(F.trim("address"), F.lit(""))
+    at = written(nodes.select("id", "seq", "type", "sub_type", section.alias("section"), section_key(section).alias("key"), (address == "").alias("open"), F.coalesce("main", F.lit(False)).alias("main")), "routing-nodes")
     api = best_per_key(at.filter("type = 'asset' and sub_type = 'api'"), [F.col("section")], [F.col("seq")]).select("section", F.col("id").alias("api"))
     second = at.filter("type = 'asset' and sub_type = 'api'").join(api, "section").filter("id <> api")
     second = best_per_key(second, [F.col("section")], [F.col("seq")]).select("section", F.col("id").alias("next_api"))  # an api asset doesn't stand for itself
-    sources = at.join(api, "section", "left").join(second, "section", "left").select(F.col("id").alias("source"), F.col("section").alias("_from"), F.col("address").alias("_address"), F.when(F.col("main") & (F.col("type") == "asset"), F.when(F.col("api") == F.col("id"), F.col("next_api")).otherwise(F.col("api"))).alias("_api"))
-    sources = written(sources, "routing-sources")
-    section = at.select(F.col("id").alias("provider"), F.col("section").alias("_via"), (F.col("type") == "third_party").alias("_third"))
-    goal = at.select(F.col("id").alias("target"), F.col("section").alias("_to"))
-    turns = Window.partitionBy("target").orderBy("turn")
-    plan = pairs.join(section, "provider").join(goal, "target").filter(compatible(F.col("_via"), F.col("_to"))).withColumn("round", F.row_number().over(turns))
-    plan = written(plan, "routing-plan")
-    known = written(flows.select("source", "target").distinct(), "routing-known")
-
-    # a link stands behind all flows that were there before it
-    now = written(flows.select("id", F.struct(F.lit(0).cast("long").alias("made"), F.col("seq").cast("string").alias("seq")).alias("at"), "source", "target", "type", F.col("confidence").cast("double").alias("confidence"), F.lit("kept").alias("how")), "routing-flows")
-    hops, links = None, plan.select("provider", "target").limit(0)
-    for number in range(1, (plan.agg(F.max("round")).first()[0] or 0) + 1):
-        own = plan.filter(F.col("round") == number)
-        fresh = own.join(known.select(F.col("source").alias("provider"), "target"), ["provider", "target"], "left_anti").join(links, ["provider", "target"], "left_anti")
-        added = fresh.select(
-            F.concat_ws(">", "provider", "target").alias("id"), F.struct(F.lit(number).cast("long").alias("made"), F.lit("").alias("seq")).alias("at"), F.col("provider").alias("source"), "target", F.lit("database_query").alias("type"), F.lit(link).cast("double").alias("confidence"), F.lit("provider_link").alias("how"))
-        links = links.unionByName(fresh.select("provider", "target"))
-        met = dealt_join(now, own.filter("not direct").select("target", "provider", "turn", "_via", "_to", "_third"), "target", "id", "left")
-        met = dealt_join(met.withColumn("_k", F.when(F.col("provider").isNotNull() & (F.col("source") != F.col("provider")), F.col("source"))), sources.withColumnRenamed("source", "_k"), "_k", "id", "left")
-        routed = F.col("_from").isNotNull() & (F.col("_address") == "") & compatible(F.col("_from"), F.col("_via"))
-        met = written(met.withColumn("routed", F.coalesce(routed, F.lit(False))), "routing-met")
-        hop = met.filter("routed").select(F.coalesce(F.when(F.col("_third"), F.col("_api")), F.col("source")).alias("source"), F.col("provider").alias("target"), F.greatest("confidence", F.lit(floor)).alias("confidence"), F.struct("turn", "at").alias("order"))
-        hop = written(best_per_key(hop, [F.col("source"), F.col("target")], [F.col("order")]), "routing-hops")
-        hops = hop if hops is None else hops.unionByName(hop)
-        moved = F.col("routed") & F.col("type").isin(*rewired)
-        changed = met.select(
-            "id", "at", F.when(moved, F.col("provider")).otherwise(F.col("source")).alias("source"), "target", "type", F.when(moved, F.greatest("confidence", F.lit(rewired_floor))).otherwise(F.col("confidence")).alias("confidence"), F.when(moved, "rewired").otherwise(F.col("how")).alias("how"))
-        now = written(changed.unionByName(added), "routing-flows")
-    out = now.select("source", "target", "type", "confidence", "how")
-    if hops is None:
-        return out
+    stand_in = F.when(F.col("main") & (F.col("type") == "asset"), F.when(F.col("api") == F.col("id"), F.col("next_api")).otherwise(F.col("api")))
+    sources = written(at.join(at_hand(api), "section", "left").join(at_hand(second), "section", "left").select("id", "key", "open", F.coalesce(F.col("type") == "third_party", F.lit(False)).alias("third"), stand_in.alias("api")), "routing-sources")
+    plan = pairs.join(sources.withColumnRenamed("id", "provider"), "provider").join(sources.select(F.col("id").alias("target"), F.col("key").alias("_to")), "target").filter(_fits(F.col("key"), F.col("_to")))
+    turn = F.struct("turn", "provider", F.coalesce("direct", F.lit(True)).alias("direct"), "key", "open", "third", "api")
+    plan = written(plan.groupBy("target").agg(F.array_sort(F.collect_list(turn)).alias("turns")), "routing-plan")
+    kind = pairs.schema["turn"].dataType.simpleString()
+
+    now = written(flows.select(F.col("seq").cast("string").alias("seq"), "source", "target", "type", F.col("confidence").cast("double").alias("confidence")), "routing-flows")
+    rest = now.join(at_hand(plan.select("target")), "target", "left_anti").select("source", "target", "type", "confidence", F.lit("kept").alias("how"))
+    own = now.join(at_hand(plan), "target").join(sources.select(F.col("id").alias("source"), "key", "open", "api").hint("shuffle_hash"), "source", "left")
+    linked = F.when(F.exists("turns", lambda p: p["provider"] == F.col("source")), F.col("source"))
+    own = written(_passed(own.withColumns({"made": F.lit(0).cast("long"), "how": F.lit("kept"), "linked": linked}), kind, rewired, floor, rewired_floor), "routing-met")
+
+    # a link stands behind all flows that were there before it, and only later providers see it
+    each = plan.select("target", F.posexplode("turns").alias("place", "p"), "turns")
+    fresh = best_per_key(each.select("target", "place", F.col("p.provider").alias("provider"), "p", "turns"), [F.col("provider"), F.col("target")], [F.col("place")])
+    fresh = fresh.join(own.filter("linked is not null").select(F.col("linked").alias("provider"), "target").distinct(), ["provider", "target"], "left_anti")
+    made = (F.col("place") + 1).cast("long")
+    links = fresh.select(
+        F.lit("").alias("seq"), F.col("provider").alias("source"), "target", F.lit("database_query").alias("type"), F.lit(link).cast("double").alias("confidence"), "p.key", "p.open", "p.api", F.slice("turns", F.col("place") + 2, F.size("turns")).alias("turns"),
+        made.alias("made"), F.lit("provider_link").alias("how"), F.lit(None).cast("string").alias("linked"))
+    met = own.unionByName(written(_passed(links, kind, rewired, floor, rewired_floor), "routing-links"))
+    hops = met.select("made", "seq", F.explode("hops").alias("h")).select("h.source", F.col("h.provider").alias("target"), "h.confidence", F.struct("h.turn", "made", "seq").alias("order"))
+    providers = each.select(F.col("p.provider").alias("target")).distinct()
+    known = now.select("source", "target").join(at_hand(providers), "target", "left_semi")
     first = best_per_key(hops, [F.col("source"), F.col("target")], [F.col("order")]).join(known, ["source", "target"], "left_anti")
+    out = rest.unionByName(met.select(rest.columns))
     return out.unionByName(first.select("source", "target", F.lit("api_call").alias("type"), "confidence", F.lit("source_hop").alias("how")))

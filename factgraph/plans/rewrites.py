@@ -48,7 +48,7 @@ def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, orders = tables.table(spark, sf_dir, "lineitem"), tables.table(spark, sf_dir, "orders")
     type_ = F.when(F.col("l_returnflag") == "A", "database_query").when(F.col("l_returnflag") == "N", "api_call").otherwise("rpc")
     part = F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target")
-    own = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), part, type_.alias("type"), (0.5 + F.col("l_linenumber") / 20).alias("confidence"))
+    own = line.join(orders.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), part, type_.alias("type"), (0.5 + F.col("l_linenumber") / 20).alias("confidence"))
     links = own.unionByName(line.filter("l_linenumber = 1").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), part, F.lit("database_query").alias("type"), F.lit(0.9).alias("confidence"))).distinct()
     return links.withColumn("id", F.concat("source", F.lit(">"), "target", F.lit(":"), "type", F.lit(":"), F.round(F.col("confidence") * 100).cast("int").cast("string")))
 
@@ -93,8 +93,7 @@ def route_through_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _nodes(spark, sf_dir)
     number, customer = F.regexp_extract("id", "([0-9]+)", 1).cast("int"), F.startswith("id", F.lit("c"))
     placed = nodes.withColumns({"seq": F.col("id"), "main": customer & (number % 3 == 0), "sub_type": F.when(customer & (number % 11 == 0), "api").otherwise(F.col("sub_type"))})
-    both = rewrites.provider_targets(nodes, KEYS, HINTS, VIA).groupBy("target").agg(F.array_distinct(F.array(F.min("provider"), F.max("provider"))).alias("p"))
-    pairs = both.select("target", F.explode("p").alias("provider")).select(F.concat_ws("|", "provider", "target").alias("turn"), "provider", "target", F.endswith("target", F.lit("5")).alias("direct"))
+    pairs = rewrites.provider_targets(nodes, KEYS, HINTS, VIA, outermost=True).select(F.concat_ws("|", "provider", "target").alias("turn"), "provider", "target", F.endswith("target", F.lit("5")).alias("direct"))
     out = routing.route_in_order(_flows(spark, sf_dir).withColumn("seq", F.col("id")), placed, pairs)
     return out.withColumn("confidence", F.round("confidence", 4))
 

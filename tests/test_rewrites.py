@@ -51,6 +51,14 @@ def test_routes_through_a_provider(spark):
     assert rows(targets) == [("p", "d")]
 
 
+def test_outermost_providers_do_not_multiply(spark):
+    nodes = spark.createDataFrame([(f"p{i:02}", "Acme", "third_party", "", s, None, None, None, None, None) for i, s in enumerate(["s", "S "] * 20 + ["t", "root"])] + [(f"d{i}", "gear", "asset", "database", s, "econ", None, None, None, None) for i, s in enumerate(["s", "s", "t", "u", None])], NODE)
+    outer = rewrites.provider_targets(nodes, ["acme"], ["gear"], ["econ"], outermost=True)
+    assert rows(outer) == [("p00", "d0"), ("p00", "d1"), ("p39", "d0"), ("p39", "d1"), ("p40", "d2")]
+    both = rewrites.provider_targets(nodes, ["acme"], ["gear"], ["econ"]).groupBy("target").agg(F.min("provider").alias("a"), F.max("provider").alias("b"))
+    assert rows(both.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("provider"), "target")) == rows(outer)
+
+
 def test_generic_databases_collapse(spark):
     nodes = spark.createDataFrame(
         [("m", "", "asset", "database", "s", "pg", None, "v", "postgres", None), ("g1", "", "asset", "database", "s", "pg", None, None, None, None), ("g2", "", "asset", "database", "t", "pg", None, None, None, None), ("g3", "", "asset", "database", "t", "pg", None, None, None, None), ("v", "", "third_party", "", "t", None, None, None, None, None), ("g4", "", "asset", "database", "u", "pg", None, None, None, None), ("g5", "", "asset", "database", None, "pg", None, None, None, None)], NODE)
