@@ -49,3 +49,14 @@ def test_renames_equal_a_greedy_loop(spark):
         assert got == want and len(want) > 10
     assert renames.detected_renames(frames[0], frames[0]).collect() == []
     assert renames.detected_renames(frames[0].limit(0), frames[1]).collect() == []
+
+
+def test_equal_scores_take_no_round_each(spark, monkeypatch):
+    """All of 30 old and 30 new contents are equally similar, so the names decide of every pair; tables aren't written for each."""
+    tables = []
+    monkeypatch.setattr(renames, "written", lambda rows, name, written=renames.written: (tables.append(name), written(rows, name))[1])
+    common = "".join(f"common line {k}\n" for k in range(10))
+    frames = [spark.createDataFrame([(f"{x}/{i:02}", common + f"own line {x} {i:02}\n") for i in range(30)], "path string, content string") for x in "ab"]
+    got = sorted((a, b) for a, b, _ in renames.detected_renames(*frames).collect())
+    assert got == [(f"a/{i:02}", f"b/{i:02}") for i in range(30)]
+    assert len(tables) < 20
