@@ -49,5 +49,6 @@ def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of the documents of one snapshot in the other, through the renames that were found."""
     base, head = _snapshots(spark, sf_dir)
     found = renames.detected_renames(base, head).select("from", "to")
-    changes = third_party.renamed_diff(base.withColumnRenamed("path", "key"), head.withColumnRenamed("path", "key"), found, "content")
+    base, head = (x.select(F.col("path").alias("key"), F.sha2(F.col("content").cast("binary"), 256).alias("digest")) for x in (base, head))
+    changes = third_party.renamed_diff(base, head, found, "digest")
     return changes.groupBy("change").agg(F.count("*").alias("n"), F.count("previous").alias("renamed"))
