@@ -23,7 +23,7 @@ def dealt_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str =
     hot, parts = F.broadcast(hot), F.coalesce("_parts", F.lit(1))  # fewer than 1 / HOT_SHARE rows
     x = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts)).drop("_parts")
     y = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
-    return x.join(y, [key, "_part"], how).drop("_part")
+    return x.join(y.hint("merge"), [key, "_part"], how).drop("_part")  # a broadcast would send the table through the driver in each round
 
 
 def key_remap(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -62,15 +62,18 @@ def final_ids(merges: DataFrame) -> DataFrame:
     ended = pointers.filter("not open").select(F.col("node").alias("old"), F.col("to").alias("final"), "hops", F.lit(False).alias("cyclic"))
     if not left:
         return ended
-    rest, rounds = pointers.filter("open").select("node", "to"), max(1, left.bit_length())
-    for _ in range(rounds):  # afterwards every pointer's target lies on a cycle, and each id of a cycle is such a target
+    rest, held, before = written(pointers.filter("open").select("node", "to"), "lineage-rest"), left, None
+    while held != before:  # once a round leaves as many targets as before, all of them lie on cycles
         ahead = rest.select(F.col("node").alias("to"), F.col("to").alias("_to"))
         rest = written(dealt_join(rest, ahead, "to", "node").select("node", F.col("_to").alias("to")), "lineage-rest")
+        held, before = rest.select("to").distinct().count(), held
     ring = rest.select(F.col("to").alias("node")).distinct()
     least = written(edges.withColumnsRenamed({"old": "node", "new": "to"}).join(ring, "node", "left_semi").withColumn("least", F.least("node", "to")), "lineage-ring")
-    for _ in range(rounds):  # a ring's pointers are one to one: no key is hot
+    moved = True
+    while moved:  # a ring's pointers are one to one: no key is hot; once a round lowers none, each has its ring's least
         ahead = least.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least"))
-        least = written(least.join(ahead, "to").select("node", F.col("_to").alias("to"), F.least("least", "_least").alias("least")), "lineage-ring")
+        least = written(least.join(ahead.hint("merge"), "to").select("node", F.col("_to").alias("to"), F.least("least", "_least").alias("least"), (F.col("_least") < F.col("least")).alias("moved")), "lineage-ring")
+        moved = not least.filter("moved").isEmpty()
     looped = dealt_join(rest, least.select(F.col("node").alias("to"), "least"), "to", "node").select(F.col("node").alias("old"), F.col("least").alias("final"), F.lit(None).cast("long").alias("hops"), F.lit(True).alias("cyclic"))
     return ended.unionByName(looped)
 

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from factgraph.operators import lineage
 
 
@@ -45,3 +47,14 @@ def test_remap_by_key_takes_third_parties_only(spark):
     assert {tuple(r) for r in remap.collect()} == {("a", "y")}
     rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "n int, target string")
     assert {tuple(r) for r in lineage.remapped(rows, remap).collect()} == {(1, "y"), (2, "y"), (3, "b"), (4, None)}
+
+
+def test_rounds_follow_tails_and_rings_not_rows(spark, monkeypatch):
+    """4,000 rings of two take a few rounds, and none is one more for each doubling of the rows."""
+    tables = []
+    monkeypatch.setattr(lineage, "written", lambda rows, name, written=lineage.written: (tables.append(name), written(rows, name))[1])
+    k = F.col("id")
+    merges = spark.range(8000).select(F.format_string("n%05d", k).alias("old"), F.format_string("n%05d", k + F.when(k % 2 == 0, 1).otherwise(-1)).alias("new"))
+    got = lineage.final_ids(merges).collect()
+    assert {(r.old, r.final, r.cyclic) for r in got} == {(f"n{i:05}", f"n{i // 2 * 2:05}", True) for i in range(8000)}
+    assert len(tables) < 10
