@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factgraph.sources.storage import written
 
-from .graph import best_per_key
+from .graph import at_hand, best_per_key, earliest_per_key
 from .rewrites import NO_SECTION
 from .text import running_total
 
@@ -85,10 +85,11 @@ def absorb_handlers(components: DataFrame, flows: DataFrame, locations: DataFram
 
     out = flows
     for end in ("source", "target"):
-        out = out.join(absorbed.select(F.col("id").alias(end), F.col("into").alias(f"_{end}")), end, "left")
+        out = out.join(at_hand(absorbed.select(F.col("id").alias(end), F.col("into").alias(f"_{end}"))), end, "left")
     note = F.when(F.col("_source").isNotNull() | F.col("_target").isNotNull(), "handler_absorbed_into_lambda")
     out = out.select("id", "seq", F.coalesce("_source", "source").alias("source"), F.coalesce("_target", "target").alias("target"), "type", "confidence", note.alias("note")).filter("source <> target")
-    out = written(best_per_key(out, [F.col("source"), F.col("target"), F.col("type")], [F.col("seq")]), "absorb-flows")
+    ends = ["source", "target", "type"]
+    out = written(earliest_per_key(out.repartition(*ends), ends, ["seq"]), "absorb-flows")  # moved once and sorted once there
     hub = plan.filter("_hub is not null and _hub <> into").select(F.col("_hub").alias("source"), F.col("into").alias("target"), F.lit(HUB_FLOW).alias("confidence"), F.lit("section_hub_to_managed_lambda").alias("note"))
     provider = plan.filter("trim(_by) <> ''").select(F.col("_by").alias("source"), F.col("into").alias("target"), F.lit(PROVIDER_FLOW).alias("confidence"), F.lit("provider_to_managed_lambda").alias("note"))
     links = best_per_key(hub.withColumn("_r", F.lit(0)).unionByName(provider.withColumn("_r", F.lit(1))), [F.col("source"), F.col("target")], [F.col("_r")]).drop("_r")

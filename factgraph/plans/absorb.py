@@ -45,8 +45,9 @@ def _absorbed(spark: SparkSession, sf_dir: str) -> absorb.Absorbed:
         F.concat(F.lit("s"), s.cast("string")).alias("id"), (s + 10**9).alias("seq"), F.col("s_name").alias("name"), F.lit("third_party").alias("type"), F.lit("vendor").alias("sub_type"), F.concat(F.lit("Brand#"), (1 + s % 25).cast("string")).alias("section"), F.lit(0.9).alias("confidence"),
         F.when(s % 3 == 0, "AWS").alias("service"), none.alias("managed_key"), none.alias("managed_by"), none.alias("handler_type"), F.lit(False).alias("main"),
     )
-    flows = graph.best_per_key(tables.flows(spark, sf_dir).filter("hop = 1"), [F.col("id")], [F.col("type"), F.col("confidence")])
-    flows = flows.select("id", F.struct(*SEQ).alias("seq"), "source", F.regexp_replace("target", "^p", "cmp_").alias("target"), "type", "confidence")
+    # an id's columns begin with the order, by which the lines lie already
+    flows = graph.earliest_per_key(tables.flows(spark, sf_dir).filter("hop = 1").drop("id"), [*SEQ, "source", "target"], ["type", "confidence"])
+    flows = flows.select(tables.flow_id().alias("id"), F.struct(*SEQ).alias("seq"), "source", F.regexp_replace("target", "^p", "cmp_").alias("target"), "type", "confidence")
     lines = tables.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("cmp_"), F.col("l_partkey").cast("string")).alias("id"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"), F.concat(F.lit("f"), (F.col("l_suppkey") % 5).cast("string")).alias("file"), F.col("l_linenumber").alias("start"), "l_quantity")
     detections = lines.filter("l_quantity > 45").select("id", "seq", F.when(F.col("start") % 7 == 3, "AWS_Lambda").otherwise("express_route").alias("pattern"), "file", "start")
     return absorb.absorb_handlers(assets.unionByName(vendors), flows, lines.select("id", "seq", "file", "start", (F.col("start") + 1).alias("end")), detections)
