@@ -1,9 +1,12 @@
 """What the near-duplicate stage compares: unlike texts on one template are told apart before they are paired."""
 
+import time
+from pathlib import Path
+
 import numpy as np
 import pytest
 
-from factgraph.llm import dedup
+from factgraph.llm import common, components, dedup
 
 from test_llm_operators import docs_of, edited, left_by_all_pairs
 
@@ -40,3 +43,43 @@ def test_similar_texts_pass_the_bounds(n):
             s = next(x for x in p if x in set(q))
             reach = [(len(t) - r.index(s)) * (1 + dedup.SIMILARITY) / dedup.SIMILARITY - len(t) + 1e-6 for t, r in ((a, p), (b, q))]
             assert len(b) <= reach[0] and len(a) <= reach[1]
+
+
+def _shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {str(f) for d in folders for f in Path(d).rglob("shuffle_*")}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    before, key = _shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    table = common.stage_table(spark.range(5000).selectExpr("id % 700 as k").groupBy("k").count(), "grouped")
+    until = time.time() + 10
+    while (left := _shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and table.count() == 700 and spark.conf.get(key, None) == was
+
+
+def test_components_leave_one_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    assert {r.root for r in components.components(edges).collect()} == {0}
+    assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_unlike_long_texts_do_not_bring_their_shingles(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [f"w{w}" for w in rng.integers(0, 5000, 1200)]
+    texts = [" ".join(t) for t in (*(edited(rng, base, 90) for _ in range(20)), *(edited(rng, base, 6) for _ in range(6)))]
+    shown, shingled = [], dedup._shingled
+
+    def counted(rows, make, schema):
+        if make is shingled and "node" in schema:
+            shown.append(rows.count())
+        return map_rows(rows, make, schema)
+
+    map_rows = dedup.map_rows
+    monkeypatch.setattr(dedup, "map_rows", counted)
+    got = sorted(r.doc_id for r in dedup.drop_near_duplicates(docs_of(spark, texts)).collect())
+    assert got == left_by_all_pairs(texts) and 2 < len(got) < 26
+    assert sum(shown) < len(texts)
