@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graph import classify, cross_section, first_per_key, with_ends
+from .graph import at_hand, cross_section, first_per_key, with_ends
 
 
 def candidates(components: DataFrame, flows: DataFrame) -> DataFrame:
@@ -68,14 +68,17 @@ def merge_properties(current: DataFrame, patches: DataFrame, rank: list[Column])
 
 def with_status(questions: DataFrame, answered: DataFrame) -> DataFrame:
     """The questions with status: answered where there's an answer to (subject, slot), else unknown."""
-    known = answered.select("subject", "slot").distinct().withColumn("_known", F.lit(True))
+    known = answered.select("subject", "slot").distinct().withColumn("_known", F.lit(True)).hint("shuffle_hash")  # the questions aren't sorted
     return questions.join(known, ["subject", "slot"], "left").withColumn("status", F.when(F.col("_known"), "answered").otherwise("unknown")).drop("_known")
 
 
 def questions(components: DataFrame, flows: DataFrame) -> DataFrame:
     """subject, slot, about: the scope of the system, two questions on each flow out to a third party, one on each actor."""
     scope = components.sparkSession.createDataFrame([("system", "in_scope", "Which system is this, and where does it end?")], "subject string, slot string, about string")
-    out = classify(flows, components, ("name",)).filter("crossing = 'outbound_third_party'").select("id", F.col("source_name").alias("from"), F.col("target_name").alias("to"))
+    # flows meet the third parties first, so that others aren't moved to their sources
+    third = components.filter("type = 'third_party'").select(F.col("id").alias("target"), F.col("name").alias("to"))
+    other = components.filter("type <> 'third_party'").select(F.col("id").alias("source"), F.col("name").alias("from")).hint("shuffle_hash")
+    out = flows.select("id", "source", "target").join(at_hand(third), "target").join(other, "source").select("id", "from", "to")
     asked = F.explode(F.array(
         F.struct(F.lit("data_categories").alias("slot"), F.concat(F.lit("Which kinds of data does "), "from", F.lit(" pass to "), "to", F.lit("?")).alias("about")),
         F.struct(F.lit("purpose").alias("slot"), F.concat(F.lit("What for does "), "to", F.lit(" get data of "), "from", F.lit("?")).alias("about")),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factgraph.functions import scalars
-from factgraph.operators import enrichment, topology
+from factgraph.operators import enrichment, graph, topology
 from factgraph.plans.registry import QUERIES
 from factgraph.sources import storage
 from factgraph.streaming.answers import answer_stream, keep_newest, newest
@@ -179,3 +179,17 @@ def test_questions_look_up_each_end_once(spark):
         ("system", "in_scope", "Which system is this, and where does it end?"), ("f", "purpose", "What for does T get data of A?"), ("f", "data_categories", "Which kinds of data does A pass to T?"),
         ("g", "purpose", None), ("g", "data_categories", None)}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
+def test_only_flows_into_third_parties_are_moved_to_their_sources(spark):
+    kinds = [("a", "actor"), ("s", "third_party"), ("t", "third_party"), ("p", "asset"), ("u", None), (None, "third_party")]
+    components = spark.createDataFrame([(i, f"n{i}", t, None, "x") for i, t in kinds], "id string, name string, type string, sub_type string, section string")
+    ends = [("a", "s"), ("s", "t"), ("p", "t"), ("u", "s"), ("a", "p"), ("a", "lost"), ("lost", "s"), (None, "s"), ("a", None), ("s", "p")]
+    flows = spark.createDataFrame([(f"f{n}", s, t, "rpc", 0.5) for n, (s, t) in enumerate(ends)], "id string, source string, target string, type string, confidence double")
+    got = enrichment.questions(components, flows)
+    want = graph.classify(flows, components).filter("crossing = 'outbound_third_party'")
+    assert sorted(r.subject for r in got.filter("slot = 'purpose'").collect()) == sorted(r.id for r in want.collect()) == ["f0", "f2"]
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in text and text.count("strategy=shuffle_hash") == 1
+    answered = got.filter("subject = 'f0' or slot = 'in_scope'").select("subject", "slot")
+    assert sorted((r.subject, r.slot) for r in enrichment.with_status(got, answered).filter("status = 'answered'").collect()) == [("f0", "data_categories"), ("f0", "purpose"), ("system", "in_scope")]
