@@ -159,7 +159,7 @@ def managed_edges_only(flows: DataFrame, nodes: DataFrame, key: str = "postgres"
 
 def provider_targets(nodes: DataFrame, keys: list[str], hints: list[str], via: list[str], outermost: bool = False) -> DataFrame:
     """provider, target of the same named section: a provider and a managed resource that is used through it, as its client says. If ``outermost``, only the least and the greatest
-    provider of a section count, so that rows don't grow with the providers of a section."""
+    provider of a section count, so that rows don't grow with the providers of a section; no query does so."""
     provider = nodes.filter((F.col("type") == "third_party") & matches_provider(F.col("name"), F.col("service"), keys) & ~is_product(F.col("service"), keys)).select(F.col("id").alias("provider"), section_key(F.col("section")).alias("_s"))
     target = nodes.filter(is_managed_resource(hints) & holds_any([F.col("client")], via)).select(F.col("id").alias("target"), section_key(F.col("section")).alias("_s"))
     provider = provider.filter("_s <> ''")

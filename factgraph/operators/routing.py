@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, DataType, DoubleType, LongType, StringType, StructType
 
 from factgraph.sources.storage import written
 
@@ -21,21 +26,67 @@ def _fits(a: Column, b: Column) -> Column:
     return (a == "") | (b == "") | (a == b)
 
 
-def _passed(rows: DataFrame, turn: str, rewired: tuple[str, ...], floor: float, rewired_floor: float) -> DataFrame:
-    """source, target, type, confidence, how, made, seq, linked, hops of flows after all ``turns`` of theirs; key, open and api are those of the source. Hops are what a flow adds, in order of turns."""
-    hop = f"struct<source:string,provider:string,confidence:double,turn:{turn}>"
-    first = F.struct("source", F.coalesce("key", F.lit("")).alias("key"), F.coalesce("open", F.lit(False)).alias("open"), "api", "confidence", F.lit(False).alias("moved"), F.array().cast(f"array<{hop}>").alias("hops"))
-
-    def step(s: Column, p: Column) -> Column:
-        routed = ~p["direct"] & s["open"] & (s["source"] != p["provider"]) & _fits(s["key"], p["key"])
-        made = F.struct(F.coalesce(F.when(p["third"], s["api"]), s["source"]).alias("source"), p["provider"].alias("provider"), F.greatest(s["confidence"], F.lit(floor)).alias("confidence"), p["turn"].alias("turn"))
-        hops = F.concat(s["hops"], F.array(made)).alias("hops")
-        moved = F.struct(p["provider"].alias("source"), p["key"].alias("key"), p["open"].alias("open"), p["api"].alias("api"), F.greatest(s["confidence"], F.lit(rewired_floor)).alias("confidence"), F.lit(True).alias("moved"), hops)
-        stays = F.struct(*(s[c].alias(c) for c in ("source", "key", "open", "api", "confidence", "moved")), hops)
-        return F.when(~F.coalesce(routed, F.lit(False)), s).when(F.col("type").isin(*rewired), moved).otherwise(stays)
-
-    done = rows.withColumn("_s", F.aggregate("turns", first, step))
-    return done.select("_s.source", "target", "type", "_s.confidence", F.when(F.col("_s.moved"), "rewired").otherwise(F.col("how")).alias("how"), "made", "seq", "linked", "_s.hops")
+def _chained(plan: DataFrame, turn: DataType, moves: bool, link: float, floor: float, rewired_floor: float) -> DataFrame:
+    """What a target's links and rewired flows do from their places on, for rows of target, turns, entered (place, seq, confidence of the first flow that got there) and linked (providers that had a flow at first):
+    for each place (from 1) the provider where a flow ends that starts there, whether that is another one, and whether a link is made there; and the hops, each from the first of those that make it.
+
+    All that starts at a provider goes the same way, so that a target's hops are no more than its providers if links move (``moves``)."""
+    out = StructType().add("target", StringType()).add("place", LongType()).add("provider", StringType()).add("end", StringType()).add("moved", BooleanType()).add("fresh", BooleanType())
+    out = out.add("hop", StructType().add("source", StringType()).add("target", StringType()).add("confidence", DoubleType()).add("turn", turn).add("made", LongType()).add("seq", StringType()))
+    arrow = to_arrow_schema(out)
+
+    def chain(row: dict) -> Iterator[dict]:
+        turns, linked, first = row["turns"], set(row["linked"] or ()), {e["place"] - 1: (0, e["seq"], e["confidence"]) for e in row["entered"] or ()}
+        following, waiting = [None] * len(turns), []
+
+        def fits(k: int, j: int) -> bool:
+            a, b = turns[k], turns[j]
+            return a["provider"] != b["provider"] and (not a["key"] or not b["key"] or a["key"] == b["key"])
+
+        def hop(k: int, j: int, made: int, seq: str, confidence: float | None) -> dict:
+            source = turns[k]["api"] if turns[j]["third"] and turns[k]["api"] is not None else turns[k]["provider"]
+            return {"source": source, "target": turns[j]["provider"], "confidence": max(floor, floor if confidence is None else confidence), "turn": turns[j]["turn"], "made": made, "seq": seq}
+
+        for j, t in enumerate(turns):
+            if not t["direct"]:
+                for k in [k for k in waiting if fits(k, j)]:
+                    following[k] = j
+                waiting = [k for k in waiting if following[k] is None]
+            if t["open"]:
+                waiting.append(j)
+        end, fresh, seen = list(range(len(turns))), [], set()
+        for k in reversed(range(len(turns))):
+            end[k] = k if following[k] is None else end[following[k]]
+        for t in turns:
+            fresh.append(t["provider"] not in linked and t["provider"] not in seen)
+            seen.add(t["provider"])
+        for k, t in enumerate(turns):
+            now, j = first.get(k), following[k]
+            if fresh[k] and moves:
+                now = min((x for x in (now, (k + 1, "", link)) if x), key=lambda x: x[:2])
+            if now and j is not None:
+                then = (*now[:2], max(rewired_floor, rewired_floor if now[2] is None else now[2]))
+                first[j] = min((x for x in (first.get(j), then) if x), key=lambda x: x[:2])
+            yield {"target": row["target"], "place": k + 1, "provider": t["provider"], "end": turns[end[k]]["provider"], "moved": end[k] != k, "fresh": fresh[k], "hop": hop(k, j, *now) if now and j is not None else None}
+            if fresh[k] and not moves and t["open"]:
+                for j in range(k + 1, len(turns)):
+                    if not turns[j]["direct"] and fits(k, j):
+                        yield {"target": row["target"], "hop": hop(k, j, k + 1, "", link)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[dict] = []
+        for b in batches:
+            for at in range(0, b.num_rows, 16):
+                for row in b.slice(at, 16).to_pylist():
+                    for x in chain(row):
+                        made.append(x)
+                        if len(made) == 4096:
+                            yield pa.RecordBatch.from_pylist(made, schema=arrow)
+                            made = []
+        if made:
+            yield pa.RecordBatch.from_pylist(made, schema=arrow)
+
+    return plan.mapInArrow(run, out)
 
 
 def route_in_order(flows: DataFrame, nodes: DataFrame, pairs: DataFrame, rewired: tuple[str, ...] = REWIRED, link: float = RESOURCE_FLOW, floor: float = PROVIDER_FLOOR, rewired_floor: float = REWIRED_FLOOR) -> DataFrame:
@@ -44,7 +95,7 @@ def route_in_order(flows: DataFrame, nodes: DataFrame, pairs: DataFrame, rewired
     Nodes have id, seq, type, sub_type, section, address, main. A pair links the provider to its target, unless the two had a flow at first. Unless the target is accessed by a ``direct`` client, each flow into it
     from another known source, which isn't infrastructure code and fits the sections, adds an api_call to the provider from its source, or from the first api asset of that section if the source is a main asset, unless
     these two had a flow at first or got one before; its confidence is that of the flow then or ``floor``. Flows of ``rewired`` types start at the provider from then on, with a confidence of
-    ``rewired_floor`` or more, and so the next provider sees them. Flows meet the array of their target's providers once and pass them in order, each by itself; those into other targets are only read.
+    ``rewired_floor`` or more, and so the next provider sees them. Flows meet the array of their target's providers once; those into other targets are only read.
     """
     section, address = F.coalesce("section", F.lit("")), F.coalesce(F.trim("address"), F.lit(""))
     at = written(nodes.select("id", "seq", "type", "sub_type", section.alias("section"), section_key(section).alias("key"), (address == "").alias("open"), F.coalesce("main", F.lit(False)).alias("main")), "routing-nodes")
@@ -56,26 +107,43 @@ def route_in_order(flows: DataFrame, nodes: DataFrame, pairs: DataFrame, rewired
     plan = pairs.join(sources.withColumnRenamed("id", "provider"), "provider").join(sources.select(F.col("id").alias("target"), F.col("key").alias("_to")), "target").filter(_fits(F.col("key"), F.col("_to")))
     turn = F.struct("turn", "provider", F.coalesce("direct", F.lit(True)).alias("direct"), "key", "open", "third", "api")
     plan = written(plan.groupBy("target").agg(F.array_sort(F.collect_list(turn)).alias("turns")), "routing-plan")
-    kind = pairs.schema["turn"].dataType.simpleString()
 
     now = written(flows.select(F.col("seq").cast("string").alias("seq"), "source", "target", "type", F.col("confidence").cast("double").alias("confidence")), "routing-flows")
-    rest = now.join(at_hand(plan.select("target")), "target", "left_anti").select("source", "target", "type", "confidence", F.lit("kept").alias("how"))
-    own = now.join(at_hand(plan), "target").join(sources.select(F.col("id").alias("source"), "key", "open", "api").hint("shuffle_hash"), "source", "left")
+    targets = plan.select("target")
+    rest = now.join(at_hand(targets), "target", "left_anti").select("source", "target", "type", "confidence", F.lit("kept").alias("how"))
+    own = now.join(at_hand(targets), "target", "left_semi").join(sources.select(F.col("id").alias("source"), "key", "open", "api").hint("shuffle_hash"), "source", "left")
+
+    def routed(p: Column) -> Column:
+        return F.coalesce(~p["direct"] & F.col("open") & (F.col("source") != p["provider"]) & _fits(F.col("key"), p["key"]), F.lit(False))
+
+    def hop(p: Column) -> Column:
+        return F.struct(F.coalesce(F.when(p["third"], F.col("api")), "source").alias("source"), p["provider"].alias("target"), F.greatest("confidence", F.lit(floor)).alias("confidence"), p["turn"].alias("turn"))
+
+    # the providers of a target are many: flows meet them last, and what is written holds only the hops. A rewired flow makes one itself, and goes on as all do that start where it is then
+    moves = F.col("type").isin(*rewired)
+    own = own.join(plan, "target").withColumn("hits", F.filter("turns", routed))
+    own = own.withColumn("hits", F.when(moves, F.slice("hits", 1, 1)).otherwise(F.col("hits")))
+    place = F.when(moves & (F.size("hits") > 0), F.array_position(F.transform("turns", lambda p: p["turn"]), F.col("hits")[0]["turn"]))
     linked = F.when(F.exists("turns", lambda p: p["provider"] == F.col("source")), F.col("source"))
-    own = written(_passed(own.withColumns({"made": F.lit(0).cast("long"), "how": F.lit("kept"), "linked": linked}), kind, rewired, floor, rewired_floor), "routing-met")
+    own = written(own.select("seq", "source", "target", "type", "confidence", place.alias("place"), linked.alias("linked"), F.transform("hits", hop).alias("hops")), "routing-met")
+
+    moved = F.greatest("confidence", F.lit(rewired_floor))
+    entered = own.filter("place is not null").groupBy("target", "place").agg(F.min_by(F.struct("seq", moved.alias("confidence")), "seq").alias("e"))
+    entered = entered.groupBy("target").agg(F.collect_list(F.struct("place", "e.seq", "e.confidence")).alias("entered"))
+    had = own.filter("linked is not null").groupBy("target").agg(F.collect_set("linked").alias("linked"))
+    steps = written(_chained(plan.join(entered, "target", "left").join(had, "target", "left"), pairs.schema["turn"].dataType, "database_query" in rewired, link, floor, rewired_floor), "routing-steps")
 
+    kept = own.filter("place is null").select("source", "target", "type", "confidence", F.lit("kept").alias("how"))
+    went = own.filter("place is not null").select("target", "place", "type", moved.alias("confidence")).join(steps.select("target", "place", "end"), ["target", "place"]).select(F.col("end").alias("source"), "target", "type", "confidence", F.lit("rewired").alias("how"))
     # a link stands behind all flows that were there before it, and only later providers see it
-    each = plan.select("target", F.posexplode("turns").alias("place", "p"), "turns")
-    fresh = best_per_key(each.select("target", "place", F.col("p.provider").alias("provider"), "p", "turns"), [F.col("provider"), F.col("target")], [F.col("place")])
-    fresh = fresh.join(own.filter("linked is not null").select(F.col("linked").alias("provider"), "target").distinct(), ["provider", "target"], "left_anti")
-    made = (F.col("place") + 1).cast("long")
-    links = fresh.select(
-        F.lit("").alias("seq"), F.col("provider").alias("source"), "target", F.lit("database_query").alias("type"), F.lit(link).cast("double").alias("confidence"), "p.key", "p.open", "p.api", F.slice("turns", F.col("place") + 2, F.size("turns")).alias("turns"),
-        made.alias("made"), F.lit("provider_link").alias("how"), F.lit(None).cast("string").alias("linked"))
-    met = own.unionByName(written(_passed(links, kind, rewired, floor, rewired_floor), "routing-links"))
-    hops = met.select("made", "seq", F.explode("hops").alias("h")).select("h.source", F.col("h.provider").alias("target"), "h.confidence", F.struct("h.turn", "made", "seq").alias("order"))
-    providers = each.select(F.col("p.provider").alias("target")).distinct()
+    stays = ~F.col("moved") | F.lit("database_query" not in rewired)
+    links = steps.filter("fresh").select(
+        F.when(stays, F.col("provider")).otherwise(F.col("end")).alias("source"), "target", F.lit("database_query").alias("type"), F.when(stays, F.lit(link)).otherwise(F.lit(max(link, rewired_floor))).cast("double").alias("confidence"),
+        F.when(stays, "provider_link").otherwise("rewired").alias("how"))
+    hops = own.select("seq", F.explode("hops").alias("h")).select("h.source", "h.target", "h.confidence", F.struct("h.turn", F.lit(0).cast("long").alias("made"), "seq").alias("order"))
+    hops = hops.unionByName(steps.filter("hop is not null").select("hop.source", "hop.target", "hop.confidence", F.struct("hop.turn", "hop.made", "hop.seq").alias("order")))
+    providers = plan.select(F.explode("turns.provider").alias("target")).distinct()
     known = now.select("source", "target").join(at_hand(providers), "target", "left_semi")
     first = best_per_key(hops, [F.col("source"), F.col("target")], [F.col("order")]).join(known, ["source", "target"], "left_anti")
-    out = rest.unionByName(met.select(rest.columns))
+    out = rest.unionByName(kept).unionByName(went).unionByName(links)
     return out.unionByName(first.select("source", "target", F.lit("api_call").alias("type"), "confidence", F.lit("source_hop").alias("how")))

@@ -70,30 +70,31 @@ def managed_edge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrites.managed_edges_only(_flows(spark, sf_dir), _nodes(spark, sf_dir)).select("id")
 
 
-#: The two outermost providers of each target; of a target's flows, the second provider sees what the first left.
-_ROUTED = f"""target_of AS (SELECT t.id AS target, min(p.id) AS p1, nullif(max(p.id), min(p.id)) AS p2, t.id LIKE '%5' AS direct FROM (SELECT * FROM keyed WHERE type = 'third_party' AND {_IS_PROVIDER} AND NOT {_IS_PRODUCT} AND s <> '') p
-  JOIN (SELECT * FROM keyed WHERE {_IS_MANAGED} AND (contains(coalesce(client, ''), 'econ') OR contains(coalesce(client, ''), 'standard'))) t ON p.s = t.s GROUP BY t.id),
+#: The providers of each target in order; of a target's flows, each provider sees what the ones before it left.
+_ROUTED = f"""target_of AS (SELECT t.id AS target, p.id AS provider, p.id || '|' || t.id AS turn, row_number() OVER (PARTITION BY t.id ORDER BY p.id || '|' || t.id) AS n, t.id LIKE '%5' AS direct FROM (SELECT * FROM keyed WHERE type = 'third_party' AND {_IS_PROVIDER} AND NOT {_IS_PRODUCT} AND s <> '') p
+  JOIN (SELECT * FROM keyed WHERE {_IS_MANAGED} AND (contains(coalesce(client, ''), 'econ') OR contains(coalesce(client, ''), 'standard'))) t ON p.s = t.s),
+turns AS (SELECT target, max(n) AS last FROM target_of GROUP BY target),
 asset AS (SELECT id, coalesce(section, '') AS section, s, coalesce(trim(address), '') AS address, starts_with(id, 'c') AND substr(id, 2)::INT % 3 = 0 AS main, starts_with(id, 'c') AND substr(id, 2)::INT % 11 = 0 AS api FROM keyed),
 apis AS (SELECT section, list(id ORDER BY id) AS ids FROM asset WHERE api GROUP BY section),
 place AS (SELECT a.id, a.s, a.address, CASE WHEN main THEN list_filter(ids, lambda x: x <> a.id)[1] END AS stand_in FROM asset a LEFT JOIN apis USING (section)),
 known AS (SELECT DISTINCT source, target FROM flows),
-one AS (SELECT f.id, 0 AS made, f.source, f.target, f.type, f.confidence::DOUBLE AS confidence, t.p1 AS p, coalesce(t.p1 <> f.source AND NOT t.direct AND a.address = '' AND (a.s = '' OR v.s = '' OR a.s = v.s), false) AS routed, a.stand_in FROM flows f LEFT JOIN target_of t ON t.target = f.target LEFT JOIN place a ON a.id = f.source LEFT JOIN place v ON v.id = t.p1),
-after_one AS (SELECT id, made, CASE WHEN routed AND type IN ('database_query', 'api_call') THEN p ELSE source END AS source, target, type, CASE WHEN routed AND type IN ('database_query', 'api_call') THEN greatest(confidence, 0.75) ELSE confidence END AS confidence, CASE WHEN routed AND type IN ('database_query', 'api_call') THEN 'rewired' ELSE 'kept' END AS how FROM one
-  UNION ALL SELECT '', 1, p1, target, 'database_query', 0.75, 'provider_link' FROM target_of t WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.source = t.p1 AND k.target = t.target)),
-two AS (SELECT f.*, t.p2 AS p, coalesce(t.p2 <> f.source AND NOT t.direct AND a.address = '' AND (a.s = '' OR v.s = '' OR a.s = v.s), false) AS routed, a.stand_in FROM after_one f LEFT JOIN target_of t ON t.target = f.target LEFT JOIN place a ON a.id = f.source LEFT JOIN place v ON v.id = t.p2),
-after_two AS (SELECT CASE WHEN routed AND type IN ('database_query', 'api_call') THEN p ELSE source END AS source, target, type, CASE WHEN routed AND type IN ('database_query', 'api_call') THEN greatest(confidence, 0.75) ELSE confidence END AS confidence, CASE WHEN routed AND type IN ('database_query', 'api_call') THEN 'rewired' ELSE how END AS how FROM two
-  UNION ALL SELECT p2, target, 'database_query', 0.75, 'provider_link' FROM target_of t WHERE p2 IS NOT NULL AND NOT EXISTS (SELECT 1 FROM known k WHERE k.source = t.p2 AND k.target = t.target)),
-hops AS (SELECT coalesce(stand_in, source) AS source, p AS target, greatest(confidence, 0.72) AS confidence, p || '|' || target AS turn, made, id FROM one WHERE routed UNION ALL SELECT coalesce(stand_in, source), p, greatest(confidence, 0.72), p || '|' || target, made, id FROM two WHERE routed)"""
+walk AS (SELECT f.id, 0::BIGINT AS made, 0::BIGINT AS n, f.source, f.target, f.type, f.confidence::DOUBLE AS confidence, 'kept' AS how, NULL::VARCHAR AS turn, NULL::VARCHAR AS hop, NULL::VARCHAR AS provider, NULL::DOUBLE AS hop_confidence FROM flows f WHERE f.target IN (SELECT target FROM turns)
+  UNION ALL SELECT '', n, n, provider, target, 'database_query', 0.75::DOUBLE, 'provider_link', NULL, NULL, NULL, NULL FROM target_of t WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.source = t.provider AND k.target = t.target)
+  UNION ALL SELECT id, made, n + 1, CASE WHEN routed AND type IN ('database_query', 'api_call') THEN p ELSE source END, target, type, CASE WHEN routed AND type IN ('database_query', 'api_call') THEN greatest(confidence, 0.75::DOUBLE) ELSE confidence END, CASE WHEN routed AND type IN ('database_query', 'api_call') THEN 'rewired' ELSE how END,
+    CASE WHEN routed THEN next_turn END, CASE WHEN routed THEN coalesce(stand_in, source) END, CASE WHEN routed THEN p END, CASE WHEN routed THEN greatest(confidence, 0.72::DOUBLE) END
+  FROM (SELECT w.*, t.provider AS p, t.turn AS next_turn, coalesce(t.provider <> w.source AND NOT t.direct AND a.address = '' AND (a.s = '' OR v.s = '' OR a.s = v.s), false) AS routed, a.stand_in
+    FROM walk w JOIN target_of t ON t.target = w.target AND t.n = w.n + 1 LEFT JOIN place a ON a.id = w.source LEFT JOIN place v ON v.id = t.provider))"""
 
 
-@query(f"""{_BOTH}, {_ROUTED} SELECT how, source, target, type, round(confidence, 4) AS confidence FROM (SELECT * FROM after_two
-  UNION ALL SELECT source, target, 'api_call', confidence, 'source_hop' FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY turn, made, id) AS k FROM hops) h WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM known x WHERE x.source = h.source AND x.target = h.target))""")
+@query(f"""{_BOTH.replace('WITH', 'WITH RECURSIVE', 1)}, {_ROUTED} SELECT how, source, target, type, round(confidence, 4) AS confidence FROM (SELECT how, source, target, type, confidence FROM walk JOIN turns USING (target) WHERE n = last
+  UNION ALL SELECT 'kept', source, target, type, confidence::DOUBLE FROM flows WHERE target NOT IN (SELECT target FROM turns)
+  UNION ALL SELECT 'source_hop', hop, provider, 'api_call', hop_confidence FROM (SELECT *, row_number() OVER (PARTITION BY hop, provider ORDER BY turn, made, id) AS k FROM walk WHERE hop IS NOT NULL) h WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM known x WHERE x.source = h.hop AND x.target = h.provider))""")
 def route_through_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows into managed databases routed through their providers, one after the other."""
     nodes = _nodes(spark, sf_dir)
     number, customer = F.regexp_extract("id", "([0-9]+)", 1).cast("int"), F.startswith("id", F.lit("c"))
     placed = nodes.withColumns({"seq": F.col("id"), "main": customer & (number % 3 == 0), "sub_type": F.when(customer & (number % 11 == 0), "api").otherwise(F.col("sub_type"))})
-    pairs = rewrites.provider_targets(nodes, KEYS, HINTS, VIA, outermost=True).select(F.concat_ws("|", "provider", "target").alias("turn"), "provider", "target", F.endswith("target", F.lit("5")).alias("direct"))
+    pairs = rewrites.provider_targets(nodes, KEYS, HINTS, VIA).select(F.concat_ws("|", "provider", "target").alias("turn"), "provider", "target", F.endswith("target", F.lit("5")).alias("direct"))
     out = routing.route_in_order(_flows(spark, sf_dir).withColumn("seq", F.col("id")), placed, pairs)
     return out.withColumn("confidence", F.round("confidence", 4))
 

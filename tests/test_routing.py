@@ -1,8 +1,14 @@
 """Routing through providers against a sequential loop."""
 
 import random
+from pathlib import Path
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from factgraph.operators import routing
+from factgraph.plans.registry import ORACLE_SQL, QUERIES
 
 NODE = "id string, seq int, type string, sub_type string, section string, address string, main boolean"
 FLOW = "id string, seq string, source string, target string, type string, confidence double"
@@ -64,3 +70,46 @@ def test_later_providers_see_rewired_flows(spark):
     assert sorted(map(tuple, got.collect())) == [
         ("a", "d", "rpc", 0.9, "kept"), ("a", "p", "api_call", 0.72, "source_hop"), ("a", "q", "api_call", 0.9, "source_hop"), ("p", "q", "api_call", 0.75, "source_hop"), ("q", "d", "database_query", 0.75, "provider_link"),
         ("q", "d", "database_query", 0.75, "rewired"), ("q", "d", "database_query", 0.75, "rewired")]
+
+
+def test_flows_pass_all_providers_of_a_section(spark, tmp_path):
+    source = Path("/root/testdata/sf0.01")
+    con = duckdb.connect()
+    for t in ("nation", "part", "customer", "orders", "lineitem"):
+        (tmp_path / f"{t}.parquet").symlink_to(source / f"{t}.parquet")
+    spark.read.parquet(str(source / "supplier.parquet")).withColumn("s_nationkey", F.col("s_suppkey").cast("int") % 3).write.parquet(str(tmp_path / "supplier.parquet"))
+    for t in ("nation", "part", "customer", "orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    columns = ["how", "source", "target", "type", "confidence"]
+    got = sorted(map(tuple, QUERIES["route_through_provider"](spark, str(tmp_path)).select(columns).collect()))
+    assert got == sorted(con.execute(ORACLE_SQL["route_through_provider"]).fetchall())
+    linked = {}
+    for how, provider, target, _, _ in got:
+        if how in ("provider_link", "rewired"):
+            linked.setdefault(target, []).append(provider)
+    hops = {r[:3] for r in got if r[0] == "source_hop" and r[1].startswith("s")}
+    assert max(map(len, linked.values())) > 2 and len({r[2] for r in hops}) > 3
+
+
+@pytest.mark.parametrize("rewired", [("api_call",), ("database_query",), ()])
+def test_links_of_other_types_pass_providers_in_order(spark, rewired):
+    nodes = [(f"p{i}", i, "third_party", "", pick, "aws" if i == 3 else None, False) for i, pick in enumerate(["s", "s", None, "s", "t", "s"])] + [("a", 10, "asset", "service", "s", None, False), ("d", 11, "asset", "database", "s", None, False)]
+    flows = [("1", "1", "a", "d", "database_query", 0.5), ("2", "2", "a", "d", "api_call", 0.9), ("3", "3", "p1", "d", "api_call", 0.6)]
+    pairs = [(i, f"p{i}", "d", i == 2) for i in range(6)]
+    got = routing.route_in_order(spark.createDataFrame(flows, FLOW), spark.createDataFrame(nodes, NODE), spark.createDataFrame(pairs, "turn int, provider string, target string, direct boolean"), rewired)
+    by_id, open_ = {n[0]: n for n in nodes}, lambda n: not n[5]
+    state, known = [[*f[2:], "kept"] for f in flows], {f[2:4] for f in flows}
+    for _, p, d, direct in pairs:
+        if p == "p4":
+            continue  # of another section than its target
+        if (p, d) not in known:
+            known.add((p, d))
+            state.append([p, d, "database_query", 0.75, "provider_link"])
+        for f in [] if direct else [f for f in state if f[1] == d and f[0] != p and open_(by_id[f[0]])]:
+            if (f[0], p) not in known:
+                known.add((f[0], p))
+                state.append([f[0], p, "api_call", max(0.72, f[3]), "source_hop"])
+            if f[2] in rewired:
+                f[0], f[3], f[4] = p, max(f[3], 0.75), "rewired"
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, state))
