@@ -15,6 +15,8 @@ from factgraph.sources.storage import written
 from .graph import at_hand, best_per_key
 from .rewrites import section_key
 
+#: A task takes so many pairs of provider and target, which are work rather than bytes.
+PAIRS_PER_TASK = 1 << 15
 #: Types of flows that start at the provider afterwards. Fixed values.
 REWIRED = ("database_query", "api_call")
 #: Confidence of flows to managed resources; floors of flows to providers and of rewired ones. Fixed values.
@@ -121,7 +123,9 @@ def route_in_order(flows: DataFrame, nodes: DataFrame, pairs: DataFrame, rewired
 
     # the providers of a target are many: flows meet them last, and what is written holds only the hops. A rewired flow makes one itself, and goes on as all do that start where it is then
     moves = F.col("type").isin(*rewired)
-    own = own.join(plan, "target").withColumn("hits", F.filter("turns", routed))
+    tasks = plan.agg(F.coalesce(F.sum(F.size("turns")), F.lit(0))).first()[0] // PAIRS_PER_TASK + 1
+    plan = plan.repartition(tasks, "target")
+    own = own.repartition(tasks, "target").join(plan, "target").withColumn("hits", F.filter("turns", routed))
     own = own.withColumn("hits", F.when(moves, F.slice("hits", 1, 1)).otherwise(F.col("hits")))
     place = F.when(moves & (F.size("hits") > 0), F.array_position(F.transform("turns", lambda p: p["turn"]), F.col("hits")[0]["turn"]))
     linked = F.when(F.exists("turns", lambda p: p["provider"] == F.col("source")), F.col("source"))
